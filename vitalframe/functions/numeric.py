@@ -67,20 +67,28 @@ WGS84_A_KM = 6378.137
 WGS84_F = 1 / 298.257223563
 
 
-def vincenty_km(lat1, lng1, lat2, lng2, iterations: int = 200) -> Column:
+def add_vincenty_km(df, lat1, lng1, lat2, lng2, out: str = "distance_km",
+                    iterations: int = 100):
     """X7 (ellipsoid): Vincenty inverse formula with a fixed iteration count.
 
-    The iteration runs as ``aggregate`` over ``sequence(1, iterations)`` so
-    the whole computation is one JVM expression.  Nearly antipodal points,
-    where the series does not converge, return the last iterate.
+    Done in stages of ``withColumns`` so the reduced latitudes and the
+    converged longitude difference are computed once per row; the iteration
+    runs as ``aggregate`` over ``sequence(1, iterations)`` (one JVM
+    expression, extra steps after convergence change nothing).  Nearly
+    antipodal points, where the series does not converge, keep the last
+    iterate.
     """
     a, f = WGS84_A_KM, WGS84_F
     b = (1 - f) * a
     r = math.pi / 180.0
-    U1 = F.atan((1 - f) * F.tan(_c(lat1) * r))
-    U2 = F.atan((1 - f) * F.tan(_c(lat2) * r))
-    L = (_c(lng2) - _c(lng1)) * r
-    sU1, cU1, sU2, cU2 = F.sin(U1), F.cos(U1), F.sin(U2), F.cos(U2)
+    tmp = ["__sU1", "__cU1", "__sU2", "__cU2", "__L", "__lam"]
+    df = df.withColumns({
+        "__U1": F.atan((1 - f) * F.tan(_c(lat1) * r)),
+        "__U2": F.atan((1 - f) * F.tan(_c(lat2) * r)),
+        "__L": (_c(lng2) - _c(lng1)) * r})
+    df = df.withColumns({"__sU1": F.sin("__U1"), "__cU1": F.cos("__U1"),
+                         "__sU2": F.sin("__U2"), "__cU2": F.cos("__U2")}).drop("__U1", "__U2")
+    sU1, cU1, sU2, cU2, L = (F.col(c) for c in tmp[:5])
 
     def terms(lam):
         sin_sig = F.sqrt(F.pow(cU2 * F.sin(lam), 2) +
@@ -100,15 +108,18 @@ def vincenty_km(lat1, lng1, lat2, lng2, iterations: int = 200) -> Column:
         return L + (1 - C) * f * sin_alpha * (
             sig + C * sin_sig * (cos2sm + C * cos_sig * (-1 + 2 * cos2sm * cos2sm)))
 
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), L, step)
-    sin_sig, cos_sig, sig, _sa, cos2_alpha, cos2sm, _C = terms(lam)
-    u2 = cos2_alpha * (a * a - b * b) / (b * b)
+    df = df.withColumn("__lam", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), L, step))
+    sin_sig, cos_sig, sig, _sa, cos2_alpha, cos2sm, _C = terms(F.col("__lam"))
+    df = df.withColumns({"__ss": sin_sig, "__cs": cos_sig, "__sig": sig,
+                         "__c2a": cos2_alpha, "__c2m": cos2sm})
+    ss, cs, sg, c2a, c2m = (F.col(c) for c in ["__ss", "__cs", "__sig", "__c2a", "__c2m"])
+    u2 = c2a * (a * a - b * b) / (b * b)
     A = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
     B = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-    dsig = B * sin_sig * (cos2sm + B / 4 * (
-        cos_sig * (-1 + 2 * cos2sm * cos2sm) -
-        B / 6 * cos2sm * (-3 + 4 * sin_sig * sin_sig) * (-3 + 4 * cos2sm * cos2sm)))
-    return F.when(sin_sig == 0, F.lit(0.0)).otherwise(b * A * (sig - dsig))
+    dsig = B * ss * (c2m + B / 4 * (
+        cs * (-1 + 2 * c2m * c2m) - B / 6 * c2m * (-3 + 4 * ss * ss) * (-3 + 4 * c2m * c2m)))
+    df = df.withColumn(out, F.when(ss == 0, F.lit(0.0)).otherwise(b * A * (sg - dsig)))
+    return df.drop(*tmp, "__ss", "__cs", "__sig", "__c2a", "__c2m")
 
 
 def lognormal_params(mean, sd):

@@ -334,3 +334,300 @@ def q_parameter_grid(spark, sf):
     j = j.where(F.col("value") > F.col("cutoff"))
     return (j.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "cutoff")
              .agg(F.count("*").alias("n")))
+
+
+# ---------------------------------------------------------------- joins
+
+def _asfr_mean_age(spark, sf):
+    a = _asfr_like(spark, sf)
+    o = tbl(spark, sf, "orders").select("o_custkey", "o_orderdate")
+    c = tbl(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    n = (o.join(c, o.o_custkey == c.c_custkey)
+          .groupBy(F.col("c_nationkey").cast("int").alias("location_id"),
+                   F.year("o_orderdate").cast("int").alias("year_id"))
+          .agg(F.count("*").alias("n_orders")))
+    return a, n
+
+
+@register("inner_multi_key")
+def q_inner_multi_key(spark, sf):
+    """Inner equi-join on (location, year)."""
+    a, n = _asfr_mean_age(spark, sf)
+    return rounded(joins.inner(a, n, ["location_id", "year_id"]))
+
+
+def _daily_events(spark, sf, kind):
+    e = tbl(spark, sf, "events").where(F.col("event_type") == kind)
+    return (e.groupBy("user_id", F.to_date("ts").alias("day"))
+             .agg(F.avg("value").alias("value")))
+
+
+@register("join_renamed_keys")
+def q_join_renamed_keys(spark, sf):
+    """Join on differently named keys (user_id, view_day) =
+    (buyer_id, buy_day); the right key columns are dropped."""
+    v = _daily_events(spark, sf, "view").withColumnsRenamed(
+        {"day": "view_day", "value": "view_value"})
+    p = _daily_events(spark, sf, "purchase").withColumnsRenamed(
+        {"user_id": "buyer_id", "day": "buy_day"})
+    out = joins.on_pairs(v, p, [("user_id", "buyer_id"), ("view_day", "buy_day")])
+    return rounded(out.withColumn("view_day", F.date_format("view_day", "yyyy-MM-dd")))
+
+
+@register("self_join_suffix")
+def q_self_join_suffix(spark, sf):
+    """Two subsets of one table joined on keys; clashing columns get
+    suffixes _x / _y."""
+    e = tbl(spark, sf, "events")
+    daily = (e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+              .agg(F.avg("value").alias("value")))
+    a = daily.where(F.col("event_type") == "view")
+    b = daily.where(F.col("event_type") == "click")
+    return rounded(joins.self_join(a, b, ["user_id", "day"]))
+
+
+@register("region_lookup")
+def q_region_lookup(spark, sf):
+    """Lookup joins against bounded dimensions (nation, region)."""
+    c = tbl(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    n = tbl(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    r = tbl(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    j = joins.lookup(joins.lookup(c, n, ["c_nationkey"]), r, ["n_regionkey"])
+    return j.groupBy("r_name").agg(F.sum("n").alias("n_customers"))
+
+
+@register("anti_pairs")
+def q_anti_pairs(spark, sf):
+    """(cause, risk) pairs minus a pair list."""
+    pairs = views.demography(spark, sf, with_risk=True).select("acause", "risk").distinct()
+    drop = (tbl(spark, sf, "part").where(F.col("p_type").startswith("E"))
+            .select(F.col("p_type").alias("acause")).distinct()
+            .withColumn("risk", F.lit("1-URGENT")))
+    return joins.anti(pairs, drop, ["acause", "risk"])
+
+
+@register("semi_by_list")
+def q_semi_by_list(spark, sf):
+    """Orders of customers in one segment (semi-join), counted."""
+    o = tbl(spark, sf, "orders")
+    seg = (tbl(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING")
+           .select(F.col("c_custkey").alias("o_custkey")))
+    return (joins.semi(o, seg, ["o_custkey"])
+            .groupBy("o_orderpriority").agg(F.count("*").alias("n")))
+
+
+def _addresses(spark, sf):
+    c = tbl(spark, sf, "customer")
+    addr = c.select("c_custkey", F.col("c_name").alias("address"))
+    gaz = (c.where(F.col("c_acctbal") > 0)
+            .select(F.col("c_name").alias("address"), (F.col("c_acctbal") / 125.0).alias("lat"),
+                    (F.col("c_custkey") % 360 - 180).cast("double").alias("lng")))
+    return addr, gaz
+
+
+# Fixed value: the anchor point of the distance job (latitude, longitude);
+# the longitude sign is corrected to the western hemisphere.
+ANCHOR = (38.8976763, -77.0387185)
+
+
+@register("geocode_distance")
+def q_geocode_distance(spark, sf):
+    """J10 + X7: address -> coordinates (null when unknown), then the
+    great-circle distance to the anchor in km."""
+    addr, gaz = _addresses(spark, sf)
+    g = joins.geocode(addr, gaz)
+    d = numeric.haversine_km("lat", "lng", F.lit(ANCHOR[0]), F.lit(ANCHOR[1]))
+    return rounded(g.withColumn("distance_km", d))
+
+
+@register("vincenty_distance")
+def q_vincenty_distance(spark, sf):
+    """X7 precise mode: ellipsoid distance (Vincenty) to the anchor."""
+    addr, gaz = _addresses(spark, sf)
+    g = joins.geocode(addr, gaz).where(F.col("lat").isNotNull())
+    return rounded(numeric.add_vincenty_km(g, "lat", "lng", F.lit(ANCHOR[0]),
+                                           F.lit(ANCHOR[1])))
+
+
+# ---------------------------------------------------------------- aggregates
+
+@register("word_frequency")
+def q_word_frequency(spark, sf):
+    """A2: count per array element (words of whole documents), by count."""
+    d = tbl(spark, sf, "documents").select(F.split("text", " ").alias("words"))
+    return aggs.element_frequency(d, "words", "word")
+
+
+@register("group_sums")
+def q_group_sums(spark, sf):
+    """A3: group sums of several value columns."""
+    l = tbl(spark, sf, "lineitem")
+    return rounded(aggs.group_sums(l, ["l_returnflag", "l_linestatus"],
+                                   ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+@register("quantity_quantiles")
+def q_quantity_quantiles(spark, sf):
+    """Median and 90th percentile of a bounded-domain column (exact)."""
+    l = tbl(spark, sf, "lineitem")
+    return rounded(aggs.column_quantiles(l, "l_quantity", (0.5, 0.9), names=["median", "p90"]))
+
+
+@register("top10_price")
+def q_top10_price(spark, sf):
+    """The 10 largest values (tie-broken)."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return rounded(aggs.top_n(o, "o_totalprice", 10, ["o_orderkey"]))
+
+
+@register("distinct_values")
+def q_distinct_values(spark, sf):
+    """A10: distinct values."""
+    return aggs.sorted_distinct(tbl(spark, sf, "orders"), "o_orderpriority")
+
+
+@register("corr_matrix")
+def q_corr_matrix(spark, sf):
+    """Pairwise-complete correlation matrix (long form)."""
+    l = tbl(spark, sf, "lineitem")
+    return rounded(aggs.correlation_matrix(l, ["l_quantity", "l_extendedprice",
+                                              "l_discount", "l_tax"]))
+
+
+@register("key_of_max")
+def q_key_of_max(spark, sf):
+    """Customer with the highest balance per segment."""
+    c = tbl(spark, sf, "customer")
+    return rounded(aggs.key_of_max(c, "c_custkey", "c_acctbal", ["c_mktsegment"]))
+
+
+@register("price_histogram")
+def q_price_histogram(spark, sf):
+    """10 fixed-width bins over [min, max] per status."""
+    o = tbl(spark, sf, "orders")
+    return rounded(aggs.histogram(o, "o_totalprice", 10, ["o_orderstatus"]))
+
+
+@register("group_share")
+def q_group_share(spark, sf):
+    """Value / rows in its group."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return rounded(aggs.group_share(o, ["o_orderpriority"], "o_totalprice", "share"))
+
+
+@register("min_max")
+def q_min_max(spark, sf):
+    """Global min/max of a covariate."""
+    return rounded(aggs.min_max(tbl(spark, sf, "customer"), "c_acctbal"))
+
+
+@register("box_stats")
+def q_box_stats(spark, sf):
+    """Quartiles and whiskers per level."""
+    l = tbl(spark, sf, "lineitem")
+    return rounded(aggs.box_stats(l, "l_returnflag", "l_quantity"))
+
+
+# ---------------------------------------------------------------- windows
+
+@register("next_age_value")
+def q_next_age_value(spark, sf):
+    """Value of the next age group within a location (shift(-1))."""
+    a = _asfr_like(spark, sf).where(F.col("year_id") == 1996)
+    return rounded(windows.shift(a, ["location_id"], ["age_group_id"], "asfr", -1,
+                                 "asfr_next"))
+
+
+@register("dedupe_first")
+def q_dedupe_first(spark, sf):
+    """Latest order per customer, tie-broken by order key."""
+    o = tbl(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    out = windows.dedupe_first(o, ["o_custkey"], [F.col("o_orderdate").desc(),
+                                                  F.col("o_orderkey").asc()])
+    return rounded(out.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")))
+
+
+@register("repeated_rows")
+def q_repeated_rows(spark, sf):
+    """Rows repeating a key (all but the first)."""
+    e = tbl(spark, sf, "events").select("event_id", "user_id", "event_type",
+                                        F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return windows.repeated_rows(e, ["user_id", "event_type", "day"], ["event_id"])
+
+
+# ---------------------------------------------------------------- reshape
+
+@register("bind_missing_columns")
+def q_bind_missing_columns(spark, sf):
+    """Row-bind with missing columns filled with null."""
+    a = _asfr_like(spark, sf).where(F.col("year_id") < 1996)
+    b = (_asfr_like(spark, sf).where(F.col("year_id") >= 1996)
+         .withColumn("forecast", F.lit(True)).drop("asfr")
+         .withColumn("asfr_mean", F.lit(0.5)))
+    return rounded(reshape.bind_rows(a, b))
+
+
+@register("pivot_event_types")
+def q_pivot_event_types(spark, sf):
+    """Long -> wide mean value per event type, names cleaned."""
+    e = tbl(spark, sf, "events").select("user_id", "event_type", "value")
+    return rounded(reshape.long_to_wide(e, ["user_id"], "event_type", "value",
+                                        values=["view", "click", "error", "signup", "purchase"],
+                                        prefix="v_"))
+
+
+@register("unpivot_draws")
+def q_unpivot_draws(spark, sf):
+    """Wide draw columns -> long (draw number parsed from the name)."""
+    sev = views.sev_by_risk(spark, sf)
+    wide = reshape.long_to_wide(sev, ["risk", "location_id", "year_id"], "draw", "sev",
+                                values=list(range(1, 8)), prefix="draw_")
+    return rounded(reshape.wide_to_long(wide, ["risk", "location_id", "year_id"], "draw_",
+                                        "draw", "sev").where(F.col("sev").isNotNull()))
+
+
+@register("nested_to_long")
+def q_nested_to_long(spark, sf):
+    """Nested array (8 x 8 blocks of an embedding) -> labelled rows."""
+    e = tbl(spark, sf, "embeddings")
+    nested = e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)),
+                      lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("blocks"))
+    out = reshape.nested_to_long(nested, ["vec_id"], "blocks", [("block", 0), ("pos", 1)])
+    return rounded(out.withColumn("value", F.col("value").cast("double")))
+
+
+@register("array_product")
+def q_array_product(spark, sf):
+    """Element-wise product of two draw vectors (zip_with), summed."""
+    e = tbl(spark, sf, "embeddings")
+    a = F.transform("embedding", lambda x: x.cast("double"))
+    prod = F.zip_with(a, F.reverse(a), lambda x, y: x * y)
+    return rounded(e.select("vec_id", F.aggregate(prod, F.lit(0.0), lambda s, x: s + x)
+                            .alias("dot"), prod[0].alias("first")))
+
+
+@register("ratio_filter")
+def q_ratio_filter(spark, sf):
+    """Ratio num * 1.0 / den kept in [0.18, 181]."""
+    l = tbl(spark, sf, "lineitem").select("l_orderkey", "l_linenumber",
+                                          numeric.ratio("l_tax", "l_discount").alias("ratio"))
+    return rounded(l.where(F.col("ratio").between(0.18, 181)))
+
+
+@register("poisson_mass")
+def q_poisson_mass(spark, sf):
+    """Poisson mass for k = 1..20 at each event type's rate per user."""
+    e = tbl(spark, sf, "events")
+    lam = e.groupBy("event_type").agg(
+        (F.count("*") / F.count_distinct("user_id")).alias("lam"))
+    k = lam.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    return rounded(k.withColumn("pmf", numeric.poisson_pmf("lam", "k")))
+
+
+@register("props_json")
+def q_props_json(spark, sf):
+    """JSON text column parsed with a schema; counted per key value."""
+    from ..sources.readers import parse_json_column
+    e = tbl(spark, sf, "events").select("props")
+    p = parse_json_column(e, "props", T.StructType([T.StructField("k", T.IntegerType())]))
+    return p.groupBy("k").agg(F.count("*").alias("n"))

@@ -263,3 +263,156 @@ SQL["parameter_grid"] = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
 FROM events CROSS JOIN (VALUES (0.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE), (30.0::DOUBLE),
   (40.0::DOUBLE), (50.0::DOUBLE)) g(cutoff)
 WHERE value > g.cutoff GROUP BY 1, 2"""
+
+MEAN_AGE = """n AS (SELECT CAST(c.c_nationkey AS INTEGER) AS location_id,
+    CAST(year(o.o_orderdate) AS INTEGER) AS year_id, count(*) AS n_orders
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY ALL)"""
+
+SQL["inner_multi_key"] = f"""WITH {ASFR}, {MEAN_AGE}
+SELECT a.location_id, a.year_id, a.age_group_id, {r6('a.asfr')} AS asfr, n.n_orders
+FROM asfr a JOIN n ON a.location_id = n.location_id AND a.year_id = n.year_id"""
+
+
+def daily(kind):
+    return f"""SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS value FROM events
+  WHERE event_type = '{kind}' GROUP BY ALL"""
+
+
+SQL["join_renamed_keys"] = f"""WITH v AS ({daily('view')}), p AS ({daily('purchase')})
+SELECT v.user_id, strftime(v.day, '%Y-%m-%d') AS view_day, {r6('v.value')} AS view_value,
+  {r6('p.value')} AS value
+FROM v JOIN p ON v.user_id = p.user_id AND v.day = p.day"""
+
+SQL["self_join_suffix"] = f"""WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type,
+    avg(value) AS value FROM events GROUP BY ALL),
+a AS (SELECT * FROM d WHERE event_type = 'view'), b AS (SELECT * FROM d WHERE event_type = 'click')
+SELECT a.user_id, a.day, a.event_type AS event_type_x, {r6('a.value')} AS value_x,
+  b.event_type AS event_type_y, {r6('b.value')} AS value_y
+FROM a JOIN b ON a.user_id = b.user_id AND a.day = b.day"""
+
+SQL["region_lookup"] = """SELECT r.r_name, CAST(sum(c.n) AS BIGINT) AS n_customers
+FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name"""
+
+SQL["anti_pairs"] = f"""WITH {ld(True)},
+pairs AS (SELECT DISTINCT acause, risk FROM ld),
+d AS (SELECT DISTINCT p_type AS acause, '1-URGENT' AS risk FROM part WHERE p_type LIKE 'E%')
+SELECT acause, risk FROM pairs ANTI JOIN d USING (acause, risk)"""
+
+SQL["semi_by_list"] = """SELECT o_orderpriority, count(*) AS n FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+GROUP BY 1"""
+
+ADDR = """addr AS (SELECT c_custkey, c_name AS address FROM customer),
+gaz AS (SELECT DISTINCT ON (address) c_name AS address, c_acctbal / 125.0 AS lat,
+          CAST(c_custkey % 360 - 180 AS DOUBLE) AS lng FROM customer WHERE c_acctbal > 0),
+g AS (SELECT addr.address, addr.c_custkey, gaz.lat, gaz.lng FROM addr LEFT JOIN gaz USING (address))"""
+
+SQL["geocode_distance"] = f"""WITH {ADDR},
+r AS (SELECT *, radians(lat) AS p1, radians(38.8976763) AS p2, radians(38.8976763 - lat) AS dp,
+        radians(-77.0387185 - lng) AS dl FROM g)
+SELECT address, c_custkey, {r6('lat')} AS lat, {r6('lng')} AS lng,
+  {r6('2 * 6371.0088 * asin(sqrt(least(pow(sin(dp / 2), 2) + cos(p1) * cos(p2) * pow(sin(dl / 2), 2), 1.0)))')} AS distance_km
+FROM r"""
+
+SQL["word_frequency"] = """SELECT w AS word, count(*) AS n
+FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY w"""
+
+SQL["group_sums"] = f"""SELECT l_returnflag, l_linestatus, {r6('sum(l_quantity)')} AS l_quantity,
+  {r6('sum(l_extendedprice)')} AS l_extendedprice, {r6('sum(l_discount)')} AS l_discount
+FROM lineitem GROUP BY ALL"""
+
+SQL["quantity_quantiles"] = f"""SELECT {r6('quantile_cont(l_quantity, 0.5)')} AS median,
+  {r6('quantile_cont(l_quantity, 0.9)')} AS p90 FROM lineitem"""
+
+SQL["top10_price"] = f"""SELECT o_orderkey, {r6('o_totalprice')} AS o_totalprice FROM orders
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"""
+
+SQL["distinct_values"] = "SELECT DISTINCT o_orderpriority FROM orders"
+
+_CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SQL["corr_matrix"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, {r6(f'corr({a}, {b})')} AS corr FROM lineitem"
+    for a in _CORR_COLS for b in _CORR_COLS)
+
+SQL["key_of_max"] = f"""SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS c_custkey,
+  {r6('max(c_acctbal)')} AS c_acctbal FROM customer GROUP BY 1"""
+
+SQL["price_histogram"] = f"""WITH r AS (SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi
+  FROM orders GROUP BY 1),
+b AS (SELECT o.o_orderstatus, r.lo, r.hi,
+    CAST(CASE WHEN (r.hi - r.lo) / 10.0 = 0 THEN 0
+         ELSE least(floor((o.o_totalprice - r.lo) / ((r.hi - r.lo) / 10.0)), 9) END AS INTEGER) AS bin
+  FROM orders o JOIN r USING (o_orderstatus) WHERE o.o_totalprice IS NOT NULL)
+SELECT o_orderstatus, bin, count(*) AS n, {r6('lo + bin * (hi - lo) / 10.0')} AS bin_lo
+FROM b GROUP BY o_orderstatus, bin, lo, hi"""
+
+SQL["group_share"] = f"""SELECT o_orderpriority, o_orderkey, {r6('o_totalprice')} AS o_totalprice,
+  {r6('o_totalprice / count(*) OVER (PARTITION BY o_orderpriority)')} AS share FROM orders"""
+
+SQL["min_max"] = f"""SELECT {r6('min(c_acctbal)')} AS min_c_acctbal, {r6('max(c_acctbal)')} AS max_c_acctbal
+FROM customer"""
+
+SQL["box_stats"] = f"""WITH q AS (SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS q1,
+    quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3
+  FROM lineitem GROUP BY 1),
+w AS (SELECT l.l_returnflag, min(l.l_quantity) AS whisker_lo, max(l.l_quantity) AS whisker_hi
+  FROM lineitem l JOIN q USING (l_returnflag)
+  WHERE l.l_quantity >= q.q1 - 1.5 * (q.q3 - q.q1) AND l.l_quantity <= q.q3 + 1.5 * (q.q3 - q.q1)
+  GROUP BY 1)
+SELECT q.l_returnflag, {r6('q1')} AS q1, {r6('median')} AS median, {r6('q3')} AS q3,
+  {r6('whisker_lo')} AS whisker_lo, {r6('whisker_hi')} AS whisker_hi FROM q LEFT JOIN w USING (l_returnflag)"""
+
+SQL["next_age_value"] = f"""WITH {ASFR}
+SELECT location_id, year_id, age_group_id, {r6('asfr')} AS asfr,
+  {r6('lead(asfr) OVER (PARTITION BY location_id ORDER BY age_group_id)')} AS asfr_next
+FROM asfr WHERE year_id = 1996"""
+
+SQL["dedupe_first"] = f"""SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+  {r6('o_totalprice')} AS o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1"""
+
+SQL["repeated_rows"] = """SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type, strftime(ts, '%Y-%m-%d')
+                           ORDER BY event_id) > 1"""
+
+SQL["bind_missing_columns"] = f"""WITH {ASFR}
+SELECT location_id, year_id, age_group_id, {r6('asfr')} AS asfr, NULL::BOOLEAN AS forecast,
+  NULL::DOUBLE AS asfr_mean FROM asfr WHERE year_id < 1996
+UNION ALL
+SELECT location_id, year_id, age_group_id, NULL::DOUBLE, TRUE, 0.5::DOUBLE FROM asfr WHERE year_id >= 1996"""
+
+SQL["pivot_event_types"] = f"""SELECT user_id,
+  {r6("avg(value) FILTER (WHERE event_type = 'view')")} AS v_view,
+  {r6("avg(value) FILTER (WHERE event_type = 'click')")} AS v_click,
+  {r6("avg(value) FILTER (WHERE event_type = 'error')")} AS v_error,
+  {r6("avg(value) FILTER (WHERE event_type = 'signup')")} AS v_signup,
+  {r6("avg(value) FILTER (WHERE event_type = 'purchase')")} AS v_purchase
+FROM events WHERE event_type IS NOT NULL GROUP BY user_id"""
+
+SQL["unpivot_draws"] = f"""WITH {ld(True)}, {SEV_BY_RISK}
+SELECT risk, location_id, year_id, draw, {r6('sev')} AS sev FROM sev
+WHERE draw BETWEEN 1 AND 7 AND sev IS NOT NULL"""
+
+SQL["nested_to_long"] = f"""SELECT vec_id, CAST(b AS INTEGER) AS block, CAST(p + 1 AS INTEGER) AS pos,
+  {r6('CAST(embedding[b * 8 + p + 1] AS DOUBLE)')} AS value
+FROM embeddings, range(0, 8) t1(b), range(0, 8) t2(p)
+WHERE embedding IS NOT NULL AND b * 8 + p < len(embedding)"""
+
+SQL["array_product"] = f"""SELECT vec_id,
+  {r6('list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(embedding[len(embedding) + 1 - i] AS DOUBLE)))')} AS dot,
+  {r6('CAST(embedding[1] AS DOUBLE) * CAST(embedding[len(embedding)] AS DOUBLE)')} AS first
+FROM embeddings"""
+
+SQL["ratio_filter"] = f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_tax / NULLIF(l_discount, 0) AS ratio FROM lineitem)
+SELECT l_orderkey, l_linenumber, {r6('ratio')} AS ratio FROM r WHERE ratio BETWEEN 0.18 AND 181"""
+
+SQL["poisson_mass"] = f"""WITH l AS (SELECT event_type, count(*) / count(DISTINCT user_id) AS lam
+  FROM events GROUP BY 1)
+SELECT event_type, {r6('lam')} AS lam, CAST(k AS INTEGER) AS k,
+  {r6('exp(k * ln(lam) - lam - lgamma(k + 1))')} AS pmf
+FROM l, range(1, 21) t(k)"""
+
+SQL["props_json"] = """SELECT TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n
+FROM events GROUP BY 1"""
