@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric, paf as pafx, randoms, text
-from ..operators import aggs, clean, joins, reshape, windows
+from ..operators import aggs, clean, joins, reshape, stats, windows
 from ..sources import views
 from ..sources.readers import read_table
 from . import scalars
@@ -631,3 +631,228 @@ def q_props_json(spark, sf):
     e = tbl(spark, sf, "events").select("props")
     p = parse_json_column(e, "props", T.StructType([T.StructField("k", T.IntegerType())]))
     return p.groupBy("k").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- population
+
+def _under_one_inputs(spark, sf):
+    o = tbl(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    c = tbl(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    rows = (o.join(c, o.o_custkey == c.c_custkey)
+             .select(F.col("c_nationkey").cast("int").alias("location_id"),
+                     F.year("o_orderdate").cast("int").alias("year_id"),
+                     (F.col("o_orderkey") % 2 + 1).cast("int").alias("sex_id"),
+                     (F.col("o_custkey") % 5).cast("int").alias("draw"),
+                     (F.col("o_totalprice") / 100000.0).alias("births")))
+    keys = ["location_id", "year_id", "sex_id", "draw"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    band = F.inline(F.array(*[F.struct(F.lit(a).alias("age"), F.lit(g).alias("age_group_id"),
+                                       F.lit(hi - lo + 1).alias("weeks"))
+                              for a, g, lo, hi in joins.WEEK_BANDS]))
+    pop = (counts.select("*", band)
+           .withColumn("pop", F.col("n") * F.col("weeks"))
+           .select(*keys, "age", "age_group_id", "pop"))
+    q = F.lit(0.0005) + F.lit(0.002) * randoms.hash_uniform(
+        "location_id", "year_id", "sex_id", "age_group_id", "draw", seed=7)
+    nqx = pop.select(*keys, "age", "age_group_id").withColumn("q", q).drop("age_group_id")
+    return pop, nqx, rows.select(*keys, "births")
+
+
+@register("under_one_population")
+def q_under_one_population(spark, sf):
+    """T10 (J11, A17, W2, A3): under-one population one year ahead for every
+    location, year, sex and draw at once."""
+    from . import population
+    pop, nqx, births = _under_one_inputs(spark, sf)
+    return rounded(population.under_one_step(pop, nqx, births))
+
+
+@register("replicate_weeks")
+def q_replicate_weeks(spark, sf):
+    """Rows replicated per band week (enn 1, lnn 3, pnn 48), counted."""
+    pop, _nqx, _b = _under_one_inputs(spark, sf)
+    r = joins.replicate_by_band(pop, joins.week_bands(spark).drop("age_group_id"))
+    return r.groupBy("age").agg(F.count("*").alias("n_rows"),
+                                F.max("age_wks").alias("last_week"))
+
+
+@register("births_by_sex_draw")
+def q_births_by_sex_draw(spark, sf):
+    """Column sum per (sex, draw) over all rows."""
+    _p, _q, births = _under_one_inputs(spark, sf)
+    return rounded(aggs.group_sums(births, ["sex_id", "draw"], ["births"]))
+
+
+# ---------------------------------------------------------------- exposure
+
+def _exposure_rows(spark, sf):
+    l = tbl(spark, sf, "lineitem")
+    return l.select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("draw"),
+                    F.col("l_quantity").alias("exp_mean"),
+                    (F.col("l_quantity") * 0.3 + 1.0).alias("exp_sd"),
+                    (F.lit(1.01) + F.col("l_tax")).alias("rr_mean"),
+                    (F.lit(1.5) + F.col("l_discount") * 10).alias("rr_max"),
+                    F.lit(20.0).alias("tmrel"), F.lit(0.0).alias("integ_min"),
+                    F.lit(100.0).alias("integ_max"),
+                    (F.col("l_linenumber") % 2).cast("int").alias("flag"))
+
+
+@register("sev_integral")
+def q_sev_integral(spark, sf):
+    """T6 + X8: SEV and PAF by a 256-cell midpoint integral of RR x density."""
+    from . import exposure
+    out = exposure.sev_integral(_exposure_rows(spark, sf), cells=256)
+    return rounded(out.select("row_id", "draw", "integral", "sev", "paf"))
+
+
+@register("exposure_density")
+def q_exposure_density(spark, sf):
+    """Lognormal density and capped RR curve at the exposure mean."""
+    e = _exposure_rows(spark, sf)
+    x = F.col("exp_mean") * 0.8
+    return rounded(e.select("row_id", "draw",
+                            numeric.lognormal_pdf(x, "exp_mean", "exp_sd").alias("density"),
+                            numeric.relative_risk(x, "rr_mean", "rr_max", "tmrel",
+                                                  F.col("flag") == 1).alias("rr")))
+
+
+# ---------------------------------------------------------------- fertility
+
+@register("cohort_lag")
+def q_cohort_lag(spark, sf):
+    """Cohort lag (age a, year t) <- (a-1, t-5), both present."""
+    from . import fertility
+    return rounded(fertility.cohort_lag(_asfr_like(spark, sf), "asfr"))
+
+
+@register("arc_forecast")
+def q_arc_forecast(spark, sf):
+    """Weighted annual-rate-of-change forecast, past + 5 years."""
+    from . import fertility
+    a = _asfr_like(spark, sf)
+    return rounded(fertility.arc_forecast(a, ["location_id", "age_group_id"], "asfr",
+                                          1995, 2000, 5))
+
+
+# ---------------------------------------------------------------- labs / SQL view
+
+@register("lab_ratio_pipeline")
+def q_lab_ratio_pipeline(spark, sf):
+    """Two test kinds per (subject, day), duplicates averaged (O6),
+    self-join (J6), ratio (X3) kept in [0.18, 181], elevated flag (M24)."""
+    from . import labs
+    e = tbl(spark, sf, "events")
+    return rounded(labs.ratio_table(e))
+
+
+@register("sql_over_view")
+def q_sql_over_view(spark, sf):
+    """Temp view + SQL over it."""
+    l = tbl(spark, sf, "lineitem")
+    mean_price = aggs.group_mean(l, ["l_returnflag", "l_linestatus"], "l_extendedprice",
+                                 "mean_price", plus=2.0, plus_col="price_limit")
+    name = "mean_price_view"
+    mean_price.createOrReplaceTempView(name)
+    return rounded(spark.sql(f"SELECT * FROM {name} WHERE price_limit > 0"))
+
+
+# ---------------------------------------------------------------- statistics
+
+@register("ols_by_panel")
+def q_ols_by_panel(spark, sf):
+    """M1: slope, intercept, R^2 of price on quantity per return flag."""
+    l = tbl(spark, sf, "lineitem")
+    return rounded(stats.ols_simple(l, "l_extendedprice", "l_quantity", ["l_returnflag"]))
+
+
+@register("grouped_ols")
+def q_grouped_ols(spark, sf):
+    """M3: OLS with two predictors per group (sufficient statistics +
+    per-group solve), coefficients only."""
+    l = tbl(spark, sf, "lineitem")
+    c = stats.ols_grouped(l, "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"])
+    return rounded(c.select("l_returnflag", "term", "estimate"), 4)
+
+
+@register("grouped_ols_predict")
+def q_grouped_ols_predict(spark, sf):
+    """M3: predictions and residuals for all rows from the group fits."""
+    l = tbl(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
+                                          "l_extendedprice", "l_quantity", "l_discount")
+    xs = ["l_quantity", "l_discount"]
+    c = stats.ols_grouped(l, "l_extendedprice", xs, ["l_returnflag"])
+    p = stats.predict(l, c, "l_extendedprice", xs, ["l_returnflag"])
+    return rounded(p.select("l_orderkey", "l_linenumber", "pred", "resid"), 3)
+
+
+@register("t_statistic")
+def q_t_statistic(spark, sf):
+    """M4: pooled two-sample t statistic of event value, view vs purchase."""
+    e = tbl(spark, sf, "events")
+    return rounded(stats.two_sample_stats(e, "value", "event_type", "view", "purchase"))
+
+
+@register("t_test")
+def q_t_test(spark, sf):
+    """M4: the same test with its two-sided p-value."""
+    e = tbl(spark, sf, "events")
+    return rounded(stats.t_test(e, "value", "event_type", "view", "purchase"))
+
+
+@register("residual_autocorr")
+def q_residual_autocorr(spark, sf):
+    """OLS of daily mean price on daily count, then the lag-1 fit of the
+    residuals (ordered by day)."""
+    o = tbl(spark, sf, "orders")
+    d = o.groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.avg("o_totalprice").alias("y"), F.count("*").cast("double").alias("x"))
+    fit = stats.ols_simple(d, "y", "x").first()
+    r = d.withColumn("resid", F.col("y") - (F.lit(fit["intercept"]) + F.lit(fit["slope"]) * F.col("x")))
+    pairs = windows.lag_pairs(r, "day", "resid")
+    return rounded(stats.ols_simple(pairs, "next_resid", "resid"), 4)
+
+
+@register("standardized_ols")
+def q_standardized_ols(spark, sf):
+    """OLS on population-sd z-scores (slope = correlation)."""
+    l = tbl(spark, sf, "lineitem")
+    z = stats.standardize(l, ["l_quantity", "l_extendedprice"])
+    return rounded(stats.ols_simple(z, "z_l_extendedprice", "z_l_quantity"))
+
+
+@register("bernoulli_draws")
+def q_bernoulli_draws(spark, sf):
+    """M8: 100 Bernoulli draws per row from p = 10 x discount (hash
+    uniforms), counted per row without exploding the draws."""
+    from ..operators import draws
+    l = tbl(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                          (F.col("l_discount") * 10).alias("p"))
+    row_key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    out = draws.bernoulli_counts(l, "p", row_key, 100, seed=3)
+    return rounded(out.drop("l_partkey", "l_suppkey"))
+
+
+@register("bootstrap_power")
+def q_bootstrap_power(spark, sf):
+    """M5: parametric bootstrap power of the t-test with the observed group
+    sizes, means and pooled sd of view vs purchase values."""
+    e = tbl(spark, sf, "events")
+    s = stats.two_sample_stats(e, "value", "event_type", "view", "purchase")
+    pooled = e.where(F.col("event_type").isin("view", "purchase")).agg(
+        F.stddev_samp("value").alias("sd")).first()["sd"]
+    r = s.first()
+    return rounded(stats.bootstrap_power(int(r["n1"]), int(r["n2"]), r["mean1"], r["mean2"],
+                                         pooled, spark, n_boot=200, alpha=0.5, seed=11))
+
+
+@register("poisson_sample_means")
+def q_poisson_sample_means(spark, sf):
+    """M6: sampling distribution of Poisson means (n = 10, 100; 1000 reps)
+    at each event type's daily rate per user, summarised per (type, n)."""
+    e = tbl(spark, sf, "events")
+    lam = e.groupBy("event_type").agg(
+        (F.count("*") / (F.count_distinct("user_id") * 30.0)).alias("lam"))
+    m = stats.poisson_means(spark, lam, "lam", [10, 100], reps=1000, seed=5, by=["event_type"])
+    return rounded(m.groupBy("event_type", "lam", "n").agg(
+        F.avg("mean").alias("mean_of_means"), F.var_samp("mean").alias("var_of_means"),
+        F.count("*").alias("reps")), 4)

@@ -7,6 +7,8 @@ Doubles are rounded to 6 places; ``+ 0.0`` turns a rounded -0.0 into 0.0.
 
 from __future__ import annotations
 
+import math
+
 from ..functions.randoms import sql_normal, sql_uniform  # noqa: F401
 
 
@@ -416,3 +418,146 @@ FROM l, range(1, 21) t(k)"""
 
 SQL["props_json"] = """SELECT TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n
 FROM events GROUP BY 1"""
+
+
+UNDER_ONE = f"""base AS (SELECT CAST(c.c_nationkey AS INTEGER) AS location_id,
+    CAST(year(o.o_orderdate) AS INTEGER) AS year_id, CAST(o.o_orderkey % 2 + 1 AS INTEGER) AS sex_id,
+    CAST(o.o_custkey % 5 AS INTEGER) AS draw, o.o_totalprice / 100000.0 AS births
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+nb AS (SELECT location_id, year_id, sex_id, draw, sum(births) AS new_borns, count(*) AS n
+  FROM base GROUP BY ALL),
+bands(age, age_group_id, wk_from, wk_to) AS (VALUES ('enn', 2, 1, 1), ('lnn', 3, 2, 4), ('pnn', 4, 5, 52)),
+x AS (SELECT nb.*, bands.age, bands.age_group_id,
+    0.0005 + 0.002 * {sql_uniform('location_id', 'year_id', 'sex_id', 'bands.age_group_id', 'draw', seed=7)} AS q,
+    unnest(range(wk_from, wk_to + 1)) AS age_wks FROM nb CROSS JOIN bands)"""
+
+SQL["under_one_population"] = f"""WITH {UNDER_ONE},
+w AS (SELECT *, new_borns * (1 - first_value(q) OVER (PARTITION BY location_id, year_id, sex_id, draw
+        ORDER BY age_wks)) * coalesce(product(1 - q) OVER (PARTITION BY location_id, year_id, sex_id, draw
+        ORDER BY age_wks ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS pop FROM x)
+SELECT location_id, year_id, sex_id, age_group_id, age, draw, {r6('sum(pop)')} AS pop
+FROM w GROUP BY ALL"""
+
+SQL["replicate_weeks"] = f"""WITH {UNDER_ONE}
+SELECT age, count(*) AS n_rows, CAST(max(age_wks) AS INTEGER) AS last_week FROM x GROUP BY age"""
+
+SQL["births_by_sex_draw"] = f"""WITH {UNDER_ONE}
+SELECT sex_id, draw, {r6('sum(births)')} AS births FROM base GROUP BY ALL"""
+
+EXPO = """e AS (SELECT row_number() OVER () AS rid, l_orderkey AS row_id, l_linenumber AS draw, l_quantity AS m,
+    l_quantity * 0.3 + 1.0 AS s, 1.01 + l_tax AS rm, 1.5 + l_discount * 10 AS cap, 20.0::DOUBLE AS t,
+    0.0::DOUBLE AS lo, 100.0::DOUBLE AS hi, CAST(l_linenumber % 2 AS INTEGER) AS flag FROM lineitem),
+p AS (SELECT *, ln(m / sqrt(1.0 + pow(s, 2) / pow(m, 2))) AS mu,
+    sqrt(ln(1.0 + pow(s, 2) / pow(m, 2))) AS sigma, (hi - lo) / 256.0 AS h FROM e)"""
+
+SQL["sev_integral"] = f"""WITH {EXPO},
+c AS (SELECT p.*, lo + (CAST(i AS DOUBLE) + 0.5) * h AS x FROM p, range(0, 256) r(i)),
+v AS (SELECT rid, row_id, draw, cap, h, rm,
+    0.3989422804014327 / (x * sigma) * exp(-pow(ln(x) - mu, 2) / (2 * pow(sigma, 2))) AS px,
+    CASE WHEN flag = 1 THEN t - x ELSE x - t END AS dist FROM c),
+r AS (SELECT rid, row_id, draw, cap, h, px * CASE WHEN dist > 0 THEN
+    (CASE WHEN pow(rm, dist) < cap THEN pow(rm, dist) ELSE cap END) ELSE 1.0 END AS y FROM v),
+g AS (SELECT row_id, draw, cap, sum(y) * any_value(h) AS integral FROM r GROUP BY rid, row_id, draw, cap),
+z AS (SELECT *, (integral - 1.0) / NULLIF(cap - 1.0, 0) AS sev FROM g)
+SELECT row_id, draw, {r6('integral')} AS integral, {r6('sev')} AS sev,
+  {r6('1.0 - 1.0 / NULLIF(sev * (cap - 1.0) + 1, 0)')} AS paf FROM z"""
+
+SQL["exposure_density"] = f"""WITH {EXPO},
+c AS (SELECT *, m * 0.8 AS x FROM p),
+v AS (SELECT *, CASE WHEN flag = 1 THEN t - x ELSE x - t END AS dist FROM c)
+SELECT row_id, draw,
+  {r6('1.0 / (x * sigma * ' + repr(math.sqrt(2 * math.pi)) + ') * exp(-pow(ln(x) - mu, 2) / (2 * pow(sigma, 2)))')} AS density,
+  {r6('CASE WHEN dist > 0 THEN (CASE WHEN pow(rm, dist) < cap THEN pow(rm, dist) ELSE cap END) ELSE 1.0 END')} AS rr
+FROM v"""
+
+SQL["cohort_lag"] = f"""WITH {ASFR}
+SELECT a.location_id, a.age_group_id, a.year_id, {r6('a.asfr')} AS asfr, {r6('p.asfr')} AS lag_asfr
+FROM asfr a JOIN asfr p ON a.location_id = p.location_id AND a.age_group_id = p.age_group_id + 1
+  AND a.year_id = p.year_id + 5
+WHERE a.asfr IS NOT NULL AND p.asfr IS NOT NULL"""
+
+SQL["arc_forecast"] = f"""WITH {ASFR},
+hist AS (SELECT * FROM asfr WHERE year_id >= 1995 AND year_id <= 2000),
+r AS (SELECT *, CASE WHEN lag(year_id) OVER w = year_id - 1
+          THEN ln(asfr / NULLIF(lag(asfr) OVER w, 0)) END AS r,
+        pow(year_id - 1995 + 1, 0.4) AS wt
+      FROM hist WINDOW w AS (PARTITION BY location_id, age_group_id ORDER BY year_id)),
+agg AS (SELECT location_id, age_group_id, sum(wt * r) / sum(wt) AS arc FROM r
+        WHERE r IS NOT NULL GROUP BY ALL),
+last AS (SELECT location_id, age_group_id, asfr AS lastv FROM hist WHERE year_id = 2000)
+SELECT location_id, age_group_id, year_id, {r6('asfr')} AS asfr, FALSE AS forecast FROM hist
+UNION ALL
+SELECT a.location_id, a.age_group_id, CAST(2000 + h AS INTEGER), {r6('l.lastv * exp(a.arc * h)')}, TRUE
+FROM agg a JOIN last l ON a.location_id = l.location_id AND a.age_group_id = l.age_group_id,
+  range(1, 6) t(h)"""
+
+SQL["lab_ratio_pipeline"] = f"""WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, value
+  FROM events WHERE value IS NOT NULL AND event_type IN ('purchase', 'view')),
+w AS (SELECT user_id, day, avg(value) FILTER (WHERE event_type = 'purchase') AS purchase,
+        avg(value) FILTER (WHERE event_type = 'view') AS view FROM e GROUP BY ALL),
+r AS (SELECT *, purchase / NULLIF(view, 0) AS ratio FROM w WHERE purchase IS NOT NULL AND view IS NOT NULL)
+SELECT user_id, day, {r6('purchase')} AS purchase, {r6('view')} AS view, {r6('ratio')} AS ratio,
+  ratio >= 30 AS elevated FROM r WHERE ratio BETWEEN 0.18 AND 181"""
+
+SQL["sql_over_view"] = f"""SELECT * FROM ({SQL["group_mean_plus"]}) WHERE price_limit > 0"""
+
+SQL["ols_by_panel"] = f"""SELECT l_returnflag, {r6('regr_slope(l_extendedprice, l_quantity)')} AS slope,
+  {r6('regr_intercept(l_extendedprice, l_quantity)')} AS intercept,
+  {r6('regr_r2(l_extendedprice, l_quantity)')} AS r2,
+  CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1"""
+
+OLS2 = """s AS (SELECT l_returnflag, covar_pop(l_quantity, l_extendedprice) AS c1y,
+    covar_pop(l_discount, l_extendedprice) AS c2y, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2,
+    covar_pop(l_quantity, l_discount) AS c12, avg(l_extendedprice) AS my, avg(l_quantity) AS m1,
+    avg(l_discount) AS m2 FROM lineitem
+  WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1),
+b AS (SELECT *, (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12) AS b1,
+        (c2y * v1 - c1y * c12) / (v1 * v2 - c12 * c12) AS b2 FROM s),
+coef AS (SELECT l_returnflag, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM b)"""
+
+SQL["grouped_ols"] = f"""WITH {OLS2}
+SELECT l_returnflag, 'intercept' AS term, round(b0, 4) + 0.0 AS estimate FROM coef
+UNION ALL SELECT l_returnflag, 'l_quantity', round(b1, 4) + 0.0 FROM coef
+UNION ALL SELECT l_returnflag, 'l_discount', round(b2, 4) + 0.0 FROM coef"""
+
+SQL["grouped_ols_predict"] = f"""WITH {OLS2},
+p AS (SELECT l.l_orderkey, l.l_linenumber, c.b0 + c.b1 * l.l_quantity + c.b2 * l.l_discount AS pred,
+        l.l_extendedprice FROM lineitem l JOIN coef c ON l.l_returnflag = c.l_returnflag)
+SELECT l_orderkey, l_linenumber, round(pred, 3) + 0.0 AS pred,
+  round(l_extendedprice - pred, 3) + 0.0 AS resid FROM p"""
+
+SQL["t_statistic"] = f"""WITH g AS (SELECT
+    count(value) FILTER (WHERE event_type = 'view') AS n1,
+    count(value) FILTER (WHERE event_type = 'purchase') AS n2,
+    avg(value) FILTER (WHERE event_type = 'view') AS mean1,
+    avg(value) FILTER (WHERE event_type = 'purchase') AS mean2,
+    var_samp(value) FILTER (WHERE event_type = 'view') AS var1,
+    var_samp(value) FILTER (WHERE event_type = 'purchase') AS var2
+  FROM events WHERE value IS NOT NULL),
+t AS (SELECT *, ((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2) AS sp2 FROM g)
+SELECT n1, n2, {r6('mean1')} AS mean1, {r6('mean2')} AS mean2,
+  {r6('(mean1 - mean2) / sqrt(sp2 * (1.0 / n1 + 1.0 / n2))')} AS t,
+  CAST(n1 + n2 - 2 AS BIGINT) AS df FROM t"""
+
+SQL["residual_autocorr"] = """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS y,
+    CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY 1),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d),
+r AS (SELECT d.day, d.y - (f.a + f.b * d.x) AS resid FROM d, f),
+p AS (SELECT resid, lead(resid) OVER (ORDER BY day) AS next_resid FROM r)
+SELECT round(regr_slope(next_resid, resid), 4) + 0.0 AS slope,
+  round(regr_intercept(next_resid, resid), 4) + 0.0 AS intercept,
+  round(regr_r2(next_resid, resid), 4) + 0.0 AS r2,
+  CAST(regr_count(next_resid, resid) AS BIGINT) AS n FROM p WHERE next_resid IS NOT NULL"""
+
+SQL["standardized_ols"] = f"""WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq,
+    avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp FROM lineitem),
+z AS (SELECT (l_quantity - mq) / sq AS zq, (l_extendedprice - mp) / sp AS zp FROM lineitem, s)
+SELECT {r6('regr_slope(zp, zq)')} AS slope, {r6('regr_intercept(zp, zq)')} AS intercept,
+  {r6('regr_r2(zp, zq)')} AS r2, CAST(regr_count(zp, zq) AS BIGINT) AS n FROM z"""
+
+SQL["bernoulli_draws"] = f"""WITH l AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    l_discount * 10 AS p FROM lineitem)
+SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber,
+  {r6('any_value(p)')} AS p,
+  count_if({sql_uniform('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'd', seed=3)} < p) AS n_events
+FROM l, range(0, 100) t(d) GROUP BY rid"""
