@@ -22,8 +22,10 @@ def signif(x, digits: int = 5) -> Column:
     """Round to ``digits`` significant digits (R ``signif``); 0 -> 0."""
     c = _c(x)
     e = F.floor(F.log10(F.abs(c))) - F.lit(digits - 1)
-    scaled = F.round(c / F.pow(F.lit(10.0), e)) * F.pow(F.lit(10.0), e)
-    return F.when(c == 0, F.lit(0.0)).otherwise(scaled)
+    # divide by an exact power of ten on both branches (10^-k is inexact)
+    up = F.round(c * F.pow(F.lit(10.0), -e)) / F.pow(F.lit(10.0), -e)
+    down = F.round(c / F.pow(F.lit(10.0), e)) * F.pow(F.lit(10.0), e)
+    return F.when(c == 0, F.lit(0.0)).when(e < 0, up).otherwise(down)
 
 
 def decade(year) -> Column:

@@ -856,3 +856,175 @@ def q_poisson_sample_means(spark, sf):
     return rounded(m.groupBy("event_type", "lam", "n").agg(
         F.avg("mean").alias("mean_of_means"), F.var_samp("mean").alias("var_of_means"),
         F.count("*").alias("reps")), 4)
+
+
+# ---------------------------------------------------------------- models
+
+def _asfr_covariates(spark, sf):
+    a, n = _asfr_mean_age(spark, sf)
+    o = tbl(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    c = tbl(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    cov = (o.join(c, o.o_custkey == c.c_custkey)
+            .groupBy(F.col("c_nationkey").cast("int").alias("location_id"),
+                     F.year("o_orderdate").cast("int").alias("year_id"))
+            .agg((F.avg("o_totalprice") / 100000.0).alias("ldi"),
+                 F.log(F.count("*").cast("double")).alias("edu")))
+    return (a.join(cov, ["location_id", "year_id"], "inner")
+             .withColumn("log_asfr", numeric.safe_ln("asfr")))
+
+
+@register("mixed_model_asfr")
+def q_mixed_model_asfr(spark, sf):
+    """M9: log ASFR ~ ldi + edu + (1 | location), one REML model per age
+    group, trained on years before the 1999 holdout."""
+    from ..operators import mixed
+    d = _asfr_covariates(spark, sf).where(F.col("year_id") < 1999)
+    fit = mixed.mixed_model(d, "log_asfr", ["ldi", "edu"], ["location_id"], ["age_group_id"])
+    return rounded(fit.where(F.col("kind") != "blup").drop("vcov", "level"), 4)
+
+
+@register("crossed_mixed_model")
+def q_crossed_mixed_model(spark, sf):
+    """Two crossed random intercepts (age group, region), ML fit."""
+    from ..operators import mixed
+    d = views.demography(spark, sf, with_cause=False)
+    n = tbl(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("location_id"),
+                                        F.col("n_regionkey").alias("region_id"))
+    d = (d.join(F.broadcast(n), "location_id")
+          .select("age_group_id", "region_id", F.col("sev").alias("sdi"),
+                  F.log(F.col("l_extendedprice") / 1000.0).alias("log_rate")))
+    fit = mixed.mixed_model(d, "log_rate", ["sdi"], ["age_group_id", "region_id"], reml=False)
+    return rounded(fit.drop("vcov"), 4)
+
+
+@register("asfr_forecast_draws")
+def q_asfr_forecast_draws(spark, sf):
+    """T11 (M9, M11, M12, M13): 100 draws of log ASFR for the forecast years,
+    summarised per (location, year, age) as mean and 95% interval (A7)."""
+    from . import forecast
+    d = _asfr_covariates(spark, sf)
+    train = d.where(F.col("year_id") < 1999)
+    future = d.where(F.col("year_id") >= 1999).select("location_id", "year_id",
+                                                      "age_group_id", "ldi", "edu")
+    pred = forecast.forecast_draws(train, future, "log_asfr", ["ldi", "edu"], "location_id",
+                                   ["age_group_id"], n_draws=100, seed=17)
+    return rounded(aggs.draw_summary(pred, ["location_id", "year_id", "age_group_id"], "pred"), 4)
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    """M2 + P18: three fits (lin-lin, log-lin, log-log) with slope,
+    intercept, R^2 and p-values, 5 significant digits."""
+    l = tbl(spark, sf, "lineitem").select(
+        "l_extendedprice", "l_quantity",
+        numeric.safe_ln("l_extendedprice").alias("log_y"),
+        numeric.safe_ln("l_quantity").alias("log_x"))
+    specs = [("lm1", "l_extendedprice", "l_quantity"), ("lm2", "log_y", "l_quantity"),
+             ("lm3", "log_y", "log_x")]
+    parts = []
+    for name, y, x in specs:
+        c = stats.ols_grouped(l, y, [x])
+        r2 = stats.ols_simple(l, y, x).select("r2")
+        w = (c.groupBy().pivot("term", ["intercept", x])
+              .agg(F.first("estimate").alias("est"), F.first("p_value").alias("p")))
+        parts.append(w.crossJoin(r2).select(
+            F.lit(name).alias("model"), F.col(f"{x}_est").alias("slope"),
+            F.col("intercept_est").alias("intercept"), F.col("r2").alias("r_sq"),
+            F.col(f"{x}_p").alias("p_slope"), F.col("intercept_p").alias("p_intercept")))
+    out = reshape.bind_rows(*parts)
+    return clean.signif_columns(out, ["slope", "intercept", "r_sq", "p_slope", "p_intercept"])
+
+
+def _embedding_frame(spark, sf):
+    from ..operators import learn
+    e = tbl(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    return learn.array_features(e, "embedding")
+
+
+@register("logistic_formula")
+def q_logistic_formula(spark, sf):
+    """M7 + M8: logistic model with categorical terms, then 100 Bernoulli
+    draws per row from its probability, summarised per category."""
+    from ..operators import draws, learn
+    l = tbl(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus",
+        F.year("l_shipdate").cast("string").alias("ship_year"), "l_discount", "l_tax",
+        (F.col("l_returnflag") == "R").cast("double").alias("label"))
+    _m, pred = learn.logistic_formula(l, "label ~ l_linestatus + ship_year + l_discount + l_tax")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    dr = draws.bernoulli_counts(pred, "p", keys, 100, seed=23)
+    return rounded(dr.groupBy("l_linestatus", "ship_year").agg(
+        F.avg("p").alias("mean_p"), F.avg(F.col("n_events") / 100.0).alias("draw_rate"),
+        F.avg("label").alias("observed")), 4)
+
+
+@register("lasso_fit")
+def q_lasso_fit(spark, sf):
+    """Lasso (alpha 0.1) of the label on 64 embedding features; the
+    non-zero coefficients."""
+    from ..operators import learn
+    e = _embedding_frame(spark, sf).withColumn("y", F.col("label").cast("double"))
+    m = learn.lasso(e, "y", alpha=0.1)
+    coefs = [(i, float(v)) for i, v in enumerate(m.coefficients.toArray()) if v != 0.0]
+    out = spark.createDataFrame(coefs + [(-1, float(m.intercept))], "feature int, coef double")
+    return rounded(out, 4)
+
+
+@register("classifier_accuracy")
+def q_classifier_accuracy(spark, sf):
+    """M17 + M18 + M23: binary subset (labels 0/1), hash 70/30 split,
+    logistic / random forest / linear SVM accuracies."""
+    from ..operators import learn
+    e = learn.binary_subset(_embedding_frame(spark, sf), "label")
+    train, test = learn.hash_split(e, ["id"], 0.7, seed=1)
+    preds = learn.classifiers(train, test, seed=1)
+    return rounded(preds.groupBy("model").agg(
+        F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
+        F.count("*").alias("n")), 4)
+
+
+@register("ensemble_vote")
+def q_ensemble_vote(spark, sf):
+    """Hard vote of the three classifiers (ties -> smallest label),
+    accuracy of the vote."""
+    from ..operators import learn
+    e = learn.binary_subset(_embedding_frame(spark, sf), "label")
+    train, test = learn.hash_split(e, ["id"], 0.7, seed=1)
+    vote = learn.hard_vote(learn.classifiers(train, test, seed=1))
+    return rounded(learn.accuracy(vote), 4)
+
+
+@register("tree_grid_search")
+def q_tree_grid_search(spark, sf):
+    """3-fold cross-validated depth of a decision tree on all labels."""
+    from ..operators import learn
+    cv = learn.grid_search_tree(_embedding_frame(spark, sf), depths=(1, 2, 3), seed=2)
+    rows = [(int(pm[list(pm)[0]]), float(m)) for pm, m in
+            zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
+    return rounded(spark.createDataFrame(rows, "max_depth int, cv_accuracy double"), 4)
+
+
+@register("bagged_trees")
+def q_bagged_trees(spark, sf):
+    """M21 + M19: 100 depth-2 trees on 100-row subsets; mean single-tree
+    accuracy and the accuracy of their majority vote."""
+    from ..operators import learn
+    e = learn.binary_subset(_embedding_frame(spark, sf), "label")
+    train, test = learn.hash_split(e, ["id"], 0.7, seed=4)
+    preds = learn.bagged_trees(train, test, 100, 100, seed=4)
+    single = (preds.groupBy("tree").agg(F.avg((F.col("label") == F.col("prediction"))
+                                              .cast("double")).alias("acc"))
+              .agg(F.avg("acc").alias("mean_single_accuracy")))
+    vote = learn.accuracy(learn.hard_vote(preds)).select(F.col("accuracy").alias("vote_accuracy"))
+    return rounded(single.crossJoin(vote), 4)
+
+
+@register("precision_recall")
+def q_precision_recall(spark, sf):
+    """Logistic classifier at threshold 0.5: precision and recall."""
+    from pyspark.ml.classification import LogisticRegression
+    from ..operators import learn
+    e = learn.binary_subset(_embedding_frame(spark, sf), "label")
+    train, test = learn.hash_split(e, ["id"], 0.8, seed=5)
+    m = LogisticRegression(threshold=0.5).fit(train)
+    return rounded(learn.precision_recall(m.transform(test)), 4)

@@ -252,7 +252,8 @@ SELECT location_id, year_id, age_group_id, {r6('asfr')} AS asfr,
 
 SQL["signif_digits"] = """WITH v AS (SELECT o_orderkey, o_totalprice / 7.0 AS v FROM orders),
 e AS (SELECT *, floor(log10(abs(v))) - 4 AS e FROM v)
-SELECT o_orderkey, CASE WHEN v = 0 THEN 0.0 ELSE round(v / pow(10.0, e)) * pow(10.0, e) END AS v
+SELECT o_orderkey, CASE WHEN v = 0 THEN 0.0 WHEN e < 0 THEN round(v * pow(10.0, -e)) / pow(10.0, -e)
+  ELSE round(v / pow(10.0, e)) * pow(10.0, e) END AS v
 FROM e"""
 
 SQL["message_outbox"] = """SELECT c_name AS name, c_name || '@example.com' AS recipient,
