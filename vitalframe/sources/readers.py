@@ -23,10 +23,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """
     cols = []
     for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")  # names may hold dots (R-style 'whole.2')
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name))
+            cols.append(F.when(~F.isnan(c), c).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(c)
     return df.select(*cols)
 
 
