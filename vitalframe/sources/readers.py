@@ -85,16 +85,17 @@ def read_keyed_files(spark: SparkSession, glob: str, name_pattern: str,
                      **opts) -> DataFrame:
     """Many files whose names carry a key.
 
-    Keeps files whose name contains ``name_pattern`` and sets ``key_col`` to
-    the digits of the file name (``_metadata.file_name`` is the file-source
-    hidden column; nothing is listed on the driver beyond the glob).
+    Keeps files whose path contains ``name_pattern`` and sets ``key_col`` to
+    the digits that follow it (``_metadata.file_path`` is the file-source
+    hidden column, so nothing is listed on the driver beyond the glob and
+    the key is attached on the executors).
     """
+    import re
     df = getattr(spark.read.options(**opts), reader)(glob)
-    name = F.col("_metadata.file_name")
-    df = df.select("*", name.alias("__fname"))
-    df = df.where(F.col("__fname").contains(name_pattern))
-    digits = F.regexp_replace(F.col("__fname"), r"[^0-9]", "")
-    return df.withColumn(key_col, digits.try_cast("long")).drop("__fname")
+    path = F.col("_metadata.file_path")
+    df = df.select("*", path.alias("__path")).where(F.col("__path").contains(name_pattern))
+    digits = F.regexp_extract(F.col("__path"), re.escape(name_pattern) + r"([0-9]+)", 1)
+    return df.withColumn(key_col, digits.try_cast("long")).drop("__path")
 
 
 def read_partitioned(spark: SparkSession, root: str, **equals) -> DataFrame:
