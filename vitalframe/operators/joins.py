@@ -35,9 +35,13 @@ def shared_keys(keys, right: DataFrame):
     return [k for k in keys if k in right.columns]
 
 
-def outer_on_available(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    """J4 + J3: outer join on the keys present on the right side."""
-    return outer(left, right, shared_keys(keys, right))
+def outer_on_available(left: DataFrame, right: DataFrame, keys, always=()) -> DataFrame:
+    """J4 + J3: outer join on ``always`` plus those of ``keys`` the right
+    side has.  An empty key list is refused (it would be a cross join)."""
+    on = list(always) + shared_keys(keys, right)
+    if not on:
+        raise ValueError("no join keys in common")
+    return outer(left, right, on)
 
 
 def on_pairs(left: DataFrame, right: DataFrame, pairs, how: str = "inner") -> DataFrame:

@@ -1040,3 +1040,79 @@ def q_precision_recall(spark, sf):
     train, test = learn.hash_split(e, ["id"], 0.8, seed=5)
     m = LogisticRegression(threshold=0.5).fit(train)
     return rounded(learn.precision_recall(m.transform(test)), 4)
+
+
+# ---------------------------------------------------------------- more clean-up / reshape
+
+@register("prefix_columns")
+def q_prefix_columns(spark, sf):
+    """Keys plus the columns named draw_<n> of a wide draw table."""
+    sev = views.sev_by_risk(spark, sf)
+    wide = reshape.long_to_wide(sev, ["risk", "location_id", "year_id"], "draw", "sev",
+                                values=list(range(1, 8)), prefix="draw_")
+    wide = wide.withColumn("n_cells", F.lit(7))
+    return rounded(clean.columns_by_prefix(wide, "draw_", ["risk", "location_id", "year_id"]))
+
+
+@register("drop_incomplete")
+def q_drop_incomplete(spark, sf):
+    """P5: rows with any null dropped (addresses without coordinates)."""
+    addr, gaz = _addresses(spark, sf)
+    return rounded(clean.drop_incomplete(joins.geocode(addr, gaz)))
+
+
+@register("outer_fill")
+def q_outer_fill(spark, sf):
+    """J3 + J4 + P6: outer join on risk, draw and the demography keys the RR
+    side has; missing SEV -> 0 and missing RR -> 1."""
+    sev = views.sev_by_risk(spark, sf)
+    rr = scalars.load_rrmax(views.rr_by_cause(spark, sf))
+    j = joins.outer_on_available(sev, rr, ["location_id", "year_id"], always=["risk", "draw"])
+    return rounded(clean.fill_groups(j, {0.0: ["sev"], 1.0: ["rr"]}))
+
+
+@register("normalize_names")
+def q_normalize_names(spark, sf):
+    """P10: lower-cased, regex-edited column names and a regex value edit."""
+    p = tbl(spark, sf, "part").toDF("P_PartKey", "P_Name", "P_Brand", "P_Type", "P_Size",
+                                    "P_RetailPrice")
+    p = clean.normalize_names(p, r"^p_", "")
+    return rounded(clean.replace_values(p, "brand", r"Brand#", "B-"))
+
+
+@register("drop_position")
+def q_drop_position(spark, sf):
+    """Drop the 3rd row of an explicit order within each nation."""
+    c = tbl(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return rounded(clean.drop_position(c, 3, [F.col("c_acctbal").desc(), F.col("c_custkey")],
+                                       ["c_nationkey"]))
+
+
+@register("sort_nulls_last")
+def q_sort_nulls_last(spark, sf):
+    """O2: multi-key sort (priority ascending, price descending, nulls last)."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return rounded(reshape.sort_nulls_last(o, "o_orderpriority", "o_totalprice", "o_orderkey",
+                                           descending=("o_totalprice",)))
+
+
+@register("modelling_table")
+def q_modelling_table(spark, sf):
+    """ASFR x education x met demand, scaled logit, decade, region
+    lookup and the education spline in one table."""
+    from . import fertility
+    asfr = _asfr_like(spark, sf)
+    o = tbl(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    c = tbl(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    j = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("c_nationkey").cast("int").alias("location_id"),
+        F.year("o_orderdate").cast("int").alias("year_id"),
+        (F.col("o_custkey") % 7 + 8).cast("int").alias("age_group_id"), "c_acctbal", "o_totalprice")
+    keys = ["location_id", "year_id", "age_group_id"]
+    edu = j.groupBy(*keys).agg((F.avg("c_acctbal") / 500.0).alias("asmedu"))
+    met = j.groupBy(*keys).agg((F.avg("o_totalprice") / 600000.0).alias("met_demand"))
+    locs = tbl(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("int").alias("location_id"),
+        F.col("n_regionkey").alias("region_id"),
+        F.floor(F.col("n_regionkey") / 2).cast("int").alias("super_region_id"))
+    return rounded(fertility.modelling_table(asfr, edu, met, locs))

@@ -562,3 +562,57 @@ SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenum
   {r6('any_value(p)')} AS p,
   count_if({sql_uniform('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'd', seed=3)} < p) AS n_events
 FROM l, range(0, 100) t(d) GROUP BY rid"""
+
+SQL["prefix_columns"] = f"""WITH {ld(True)}, {SEV_BY_RISK}
+SELECT risk, location_id, year_id,
+""" + ",\n".join(f"  {r6(f'avg(sev) FILTER (WHERE draw = {d})')} AS draw_{d}" for d in range(1, 8)) + """
+FROM sev GROUP BY risk, location_id, year_id"""
+
+SQL["drop_incomplete"] = f"""WITH {ADDR}
+SELECT address, c_custkey, {r6('lat')} AS lat, {r6('lng')} AS lng FROM g
+WHERE address IS NOT NULL AND c_custkey IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL"""
+
+SQL["outer_fill"] = f"""WITH {ld(True)}, {SEV_BY_RISK}, {RR_BY_CAUSE}
+SELECT coalesce(s.risk, r.risk) AS risk, coalesce(s.draw, r.draw) AS draw, s.location_id, s.year_id,
+  r.acause, {r6('coalesce(s.sev, 0.0)')} AS sev, {r6('coalesce(r.rr, 1.0)')} AS rr
+FROM sev s FULL OUTER JOIN rr r ON s.risk = r.risk AND s.draw = r.draw"""
+
+SQL["normalize_names"] = f"""SELECT p_partkey AS partkey, p_name AS name,
+  regexp_replace(p_brand, 'Brand#', 'B-', 'g') AS brand, p_type AS type, p_size AS size,
+  {r6('p_retailprice')} AS retailprice FROM part"""
+
+SQL["drop_position"] = f"""SELECT c_custkey, c_nationkey, {r6('c_acctbal')} AS c_acctbal FROM customer
+QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <> 3"""
+
+SQL["sort_nulls_last"] = f"""SELECT o_orderkey, o_orderpriority, {r6('o_totalprice')} AS o_totalprice FROM orders
+ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey"""
+
+SQL["modelling_table"] = f"""WITH {ASFR},
+j AS (SELECT CAST(c.c_nationkey AS INTEGER) AS location_id, CAST(year(o.o_orderdate) AS INTEGER) AS year_id,
+        CAST(o.o_custkey % 7 + 8 AS INTEGER) AS age_group_id, c.c_acctbal, o.o_totalprice
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+edu AS (SELECT location_id, year_id, age_group_id, avg(c_acctbal) / 500.0 AS asmedu FROM j GROUP BY ALL),
+met AS (SELECT location_id, year_id, age_group_id, avg(o_totalprice) / 600000.0 AS met_demand FROM j GROUP BY ALL),
+b(age_group_id, lb, ub) AS (VALUES (8, 0.0005::DOUBLE, 0.22::DOUBLE), (9, 0.01, 0.35),
+   (10, 0.01, 0.4), (11, 0.02, 0.35), (12, 0.007, 0.3), (13, 0.0005, 0.18), (14, 0.00001, 0.10)),
+locs AS (SELECT CAST(n_nationkey AS INTEGER) AS location_id, n_regionkey AS region_id,
+          CAST(floor(n_regionkey / 2) AS INTEGER) AS super_region_id FROM nation),
+d AS (SELECT a.location_id, a.year_id, a.age_group_id, a.asfr, e.asmedu, m.met_demand,
+        (a.asfr - b.lb) / NULLIF(b.ub - b.lb, 0) AS sc,
+        CASE WHEN CAST(floor(a.year_id / 10) * 10 AS INTEGER) BETWEEN 1950 AND 2010
+             THEN CAST(floor(a.year_id / 10) * 10 AS INTEGER) END AS decade,
+        l.region_id, l.super_region_id
+      FROM asfr a JOIN edu e USING (location_id, year_id, age_group_id)
+      JOIN met m USING (location_id, year_id, age_group_id)
+      LEFT JOIN b ON a.age_group_id = b.age_group_id
+      JOIN locs l ON a.location_id = l.location_id),
+s AS (SELECT *, CASE WHEN sc < 0.001 THEN 0.001 WHEN sc > 0.999 THEN 0.999 ELSE sc END AS scaled_asfr FROM d),
+k AS (SELECT min(asmedu) AS lo, max(asmedu) AS hi FROM s)
+SELECT location_id, year_id, age_group_id, {r6('asfr')} AS asfr, {r6('asmedu')} AS asmedu,
+  {r6('met_demand')} AS met_demand, {r6('scaled_asfr')} AS scaled_asfr,
+  {r6('ln(scaled_asfr / (1 - scaled_asfr))')} AS logit_asfr, decade, region_id, super_region_id,
+  {r6('coalesce(CASE WHEN asmedu >= lo AND asmedu < 6 THEN asmedu - lo WHEN asmedu >= 6 THEN 6 - lo END, 0)')} AS asmedu_below_6,
+  {r6('coalesce(CASE WHEN asmedu >= 6 AND asmedu < 10 THEN asmedu - 6 WHEN asmedu >= 10 THEN 4.0 END, 0)')} AS asmedu_between_6_10,
+  {r6('coalesce(CASE WHEN asmedu >= 10 AND asmedu < 14 THEN asmedu - 10 WHEN asmedu >= 14 THEN 4.0 END, 0)')} AS asmedu_between_10_14,
+  {r6('coalesce(CASE WHEN asmedu >= 14 AND asmedu < hi THEN asmedu - 14 WHEN asmedu >= hi THEN hi - 14 END, 0)')} AS asmedu_above_14
+FROM s, k"""
