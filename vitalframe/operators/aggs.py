@@ -58,24 +58,29 @@ def attach_product(df: DataFrame, products: DataFrame, keys,
 
 def combine_risks(paf: DataFrame, group_keys, cell_keys, risk: str = "risk",
                   value: str = "paf", weight: str | None = "mediation",
-                  out: str = "paf") -> DataFrame:
+                  out: str = "paf", materialize: bool = False) -> DataFrame:
     """A5: ``1 - prod_r (1 - paf_r * m_r)`` per cell, over all usable risks.
 
     ``group_keys`` (e.g. acause, version) define which risks are usable: a
-    cell is kept only if it has a row for *every* risk present in its group
-    (the successive inner merges of the original).  The product is taken per
-    (group, cell, draw) before anything is joined back, so the large side is
-    aggregated first; the usable-risk count is a tiny aggregate.
+    cell is kept only if it has a row for *every* risk present anywhere in
+    its group (the successive inner merges of the original).  One pass over
+    the PAF rows: per (group, cell) the product and the set of risks seen
+    (bounded by the number of risks); the group's usable set is the union of
+    its cells' sets, computed on the already-aggregated cell table.
+    ``materialize`` checkpoints the cell table, which has two consumers.
     """
     group_keys, cell_keys = list(group_keys), list(cell_keys)
     term = F.lit(1.0) - F.col(value) * (F.col(weight) if weight else F.lit(1.0))
-    n_usable = (paf.select(*group_keys, risk).distinct()
-                   .groupBy(*group_keys).agg(F.count("*").alias("__n_usable")))
     cells = (paf.groupBy(*group_keys, *cell_keys)
                 .agg(F.product(term).alias("__prod"),
-                     F.count_distinct(F.col(risk)).alias("__n")))
-    return (cells.join(n_usable, group_keys, "inner")
-                 .where(F.col("__n") == F.col("__n_usable"))
+                     F.collect_set(F.col(risk)).alias("__risks")))
+    if materialize:
+        from ..session import cut_lineage
+        cells = cut_lineage(cells)
+    usable = (cells.select(*group_keys, F.explode("__risks").alias("__r")).distinct()
+                   .groupBy(*group_keys).agg(F.count("*").alias("__n_usable")))
+    return (cells.join(usable, group_keys, "inner")
+                 .where(F.size("__risks") == F.col("__n_usable"))
                  .select(*group_keys, *cell_keys,
                          (F.lit(1.0) - F.col("__prod")).alias(out)))
 

@@ -64,6 +64,7 @@ def _solve_rows(pdf: pd.DataFrame, by, xs) -> pd.DataFrame:
         b0 = r["m_y"] - slope @ mx
         beta = np.concatenate([[b0], slope])
         rss = max(n * (r["v_y"] - slope @ sxy), 0.0)
+        r2 = 1.0 - rss / (n * r["v_y"]) if r["v_y"] > 0 else np.nan
         dof = n - p
         sigma2 = rss / dof if dof > 0 else np.nan
         # (X'X)^-1 with the intercept, from the centred blocks
@@ -80,7 +81,8 @@ def _solve_rows(pdf: pd.DataFrame, by, xs) -> pd.DataFrame:
             row = {b: r[b] for b in by}
             row.update(term=term, estimate=float(beta[t_i]), std_error=float(se[t_i]),
                        t_value=float(tval[t_i]), p_value=float(pval[t_i]),
-                       vcov=[float(v) for v in vcov[t_i]], n=int(n), sigma2=float(sigma2))
+                       vcov=[float(v) for v in vcov[t_i]], n=int(n), sigma2=float(sigma2),
+                       r2=float(r2))
             out.append(row)
     return pd.DataFrame(out)
 
@@ -89,7 +91,7 @@ def ols_grouped(df: DataFrame, y: str, xs, by=()) -> DataFrame:
     """M3: OLS with several predictors per group.
 
     Returns one row per (group, term): estimate, std_error, t, p, the
-    covariance row, n and sigma^2.  The rows are reduced to sufficient
+    covariance row, n, sigma^2 and the fit's R^2.  The rows are reduced to sufficient
     statistics on the executors; each group's p x p solve runs in
     ``applyInPandas`` on its one statistics row.
     """
@@ -102,7 +104,8 @@ def ols_grouped(df: DataFrame, y: str, xs, by=()) -> DataFrame:
         T.StructField("std_error", T.DoubleType()), T.StructField("t_value", T.DoubleType()),
         T.StructField("p_value", T.DoubleType()),
         T.StructField("vcov", T.ArrayType(T.DoubleType())),
-        T.StructField("n", T.LongType()), T.StructField("sigma2", T.DoubleType())])
+        T.StructField("n", T.LongType()), T.StructField("sigma2", T.DoubleType()),
+        T.StructField("r2", T.DoubleType())])
     if not by:
         stats = stats.withColumn("__g", F.lit(0))
         schema_g = T.StructType([T.StructField("__g", T.IntegerType())] + schema.fields)

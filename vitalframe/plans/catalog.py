@@ -93,16 +93,15 @@ def q_sev_complete_index(spark, sf):
 @register("risk_cause_paf")
 def q_risk_cause_paf(spark, sf):
     """T4: PAF for all (cause, risk) pairs in one job."""
-    sev = views.sev_by_risk(spark, sf)
-    rr = scalars.load_rrmax(views.rr_by_cause(spark, sf))
-    paf = scalars.risk_cause_paf(sev, rr, ["location_id", "year_id"],
+    sev, rr, _med = views.paf_inputs(spark, sf)
+    paf = scalars.risk_cause_paf(sev, scalars.load_rrmax(rr), ["location_id", "year_id"],
                                  skip_risks=["4-NOT SPECIFIED"])
     return rounded(paf)
 
 
-def _paf_long(spark, sf):
-    sev = views.sev_by_risk(spark, sf)
-    rr = scalars.load_rrmax(views.rr_by_cause(spark, sf))
+def _paf_long(spark, sf, inputs=None):
+    sev, rr, _med = inputs if inputs is not None else views.paf_inputs(spark, sf)
+    rr = scalars.load_rrmax(rr)
     paf = scalars.risk_cause_paf(sev, rr, ["location_id", "year_id"])
     return paf.withColumn("version", F.when(F.col("year_id") < 1999, F.lit("past"))
                           .otherwise(F.lit("forecast")))
@@ -111,20 +110,23 @@ def _paf_long(spark, sf):
 @register("mediation_product")
 def q_mediation_product(spark, sf):
     """A4: prod(1 - mean) per (cause, mediator), risks limited to the cause's."""
-    med = views.mediation(spark, sf)
-    pairs = views.demography(spark, sf, with_risk=True).select("acause", "risk").distinct()
-    return rounded(scalars.mediation_products(med, pairs))
+    d = views.demography(spark, sf, with_risk=True)
+    pairs = d.select("acause", "risk").distinct()
+    return rounded(scalars.mediation_products(views.mediation(spark, sf, d), pairs))
 
 
 @register("cause_scalar")
 def q_cause_scalar(spark, sf):
     """T5: all-risks combine with mediation, cap, rescale, scalar."""
-    paf = _paf_long(spark, sf)
+    inputs = views.paf_inputs(spark, sf)
+    paf = _paf_long(spark, sf, inputs)
     set_one = (tbl(spark, sf, "part").select(F.col("p_type").alias("acause"))
                .where(F.col("acause") == "PROMO").distinct()
                .withColumn("risk", F.lit("2-HIGH")))
-    out = scalars.cause_scalar(paf, views.mediation(spark, sf), set_one,
-                               ["acause", "version"], ["location_id", "year_id", "draw"])
+    pairs = inputs[1].select("acause", "risk").distinct()
+    out = scalars.cause_scalar(paf, inputs[2], set_one,
+                               ["acause", "version"], ["location_id", "year_id", "draw"],
+                               cause_risks=pairs)
     return rounded(out)
 
 
@@ -936,12 +938,12 @@ def q_model_comparison(spark, sf):
     parts = []
     for name, y, x in specs:
         c = stats.ols_grouped(l, y, [x])
-        r2 = stats.ols_simple(l, y, x).select("r2")
         w = (c.groupBy().pivot("term", ["intercept", x])
-              .agg(F.first("estimate").alias("est"), F.first("p_value").alias("p")))
-        parts.append(w.crossJoin(r2).select(
+              .agg(F.first("estimate").alias("est"), F.first("p_value").alias("p"),
+                   F.first("r2").alias("r2")))
+        parts.append(w.select(
             F.lit(name).alias("model"), F.col(f"{x}_est").alias("slope"),
-            F.col("intercept_est").alias("intercept"), F.col("r2").alias("r_sq"),
+            F.col("intercept_est").alias("intercept"), F.col(f"{x}_r2").alias("r_sq"),
             F.col(f"{x}_p").alias("p_slope"), F.col("intercept_p").alias("p_intercept")))
     out = reshape.bind_rows(*parts)
     return clean.signif_columns(out, ["slope", "intercept", "r_sq", "p_slope", "p_intercept"])
@@ -1026,9 +1028,10 @@ def q_bagged_trees(spark, sf):
     preds = learn.bagged_trees(train, test, 100, 100, seed=4)
     single = (preds.groupBy("tree").agg(F.avg((F.col("label") == F.col("prediction"))
                                               .cast("double")).alias("acc"))
-              .agg(F.avg("acc").alias("mean_single_accuracy")))
-    vote = learn.accuracy(learn.hard_vote(preds)).select(F.col("accuracy").alias("vote_accuracy"))
-    return rounded(single.crossJoin(vote), 4)
+              .agg(F.avg("acc").alias("value")).withColumn("metric", F.lit("mean_single_accuracy")))
+    vote = (learn.accuracy(learn.hard_vote(preds)).select(F.col("accuracy").alias("value"))
+            .withColumn("metric", F.lit("vote_accuracy")))
+    return rounded(single.unionByName(vote), 4)
 
 
 @register("precision_recall")
@@ -1065,8 +1068,8 @@ def q_drop_incomplete(spark, sf):
 def q_outer_fill(spark, sf):
     """J3 + J4 + P6: outer join on risk, draw and the demography keys the RR
     side has; missing SEV -> 0 and missing RR -> 1."""
-    sev = views.sev_by_risk(spark, sf)
-    rr = scalars.load_rrmax(views.rr_by_cause(spark, sf))
+    sev, rr, _med = views.paf_inputs(spark, sf)
+    rr = scalars.load_rrmax(rr)
     j = joins.outer_on_available(sev, rr, ["location_id", "year_id"], always=["risk", "draw"])
     return rounded(clean.fill_groups(j, {0.0: ["sev"], 1.0: ["rr"]}))
 

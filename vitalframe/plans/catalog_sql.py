@@ -105,7 +105,7 @@ SQL["cause_scalar"] = f"""WITH {PAF_VERSIONED}, {MEDIATION},
 set_one AS (SELECT DISTINCT p_type AS acause, '2-HIGH' AS risk FROM part WHERE p_type = 'PROMO'),
 p AS (SELECT * FROM pv WHERE paf IS NOT NULL AND NOT EXISTS
         (SELECT 1 FROM set_one o WHERE o.acause = pv.acause AND o.risk = pv.risk)),
-cr AS (SELECT DISTINCT acause, risk FROM p),
+cr AS (SELECT DISTINCT acause, risk FROM rr),
 prods AS (SELECT m.acause, m.mediator AS risk, product(1 - m.mean) AS mediation
           FROM med m SEMI JOIN cr ON m.acause = cr.acause AND m.risk = cr.risk
           GROUP BY m.acause, m.mediator),

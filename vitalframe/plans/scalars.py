@@ -90,23 +90,36 @@ def mediation_products(mediation: DataFrame, cause_risks: DataFrame,
 
 def cause_scalar(paf: DataFrame, mediation: DataFrame | None, set_one: DataFrame | None,
                  group_keys, cell_keys, cause: str = "acause", risk: str = "risk",
-                 cap: float = 0.9999, threshold: float = 0.95) -> DataFrame:
+                 cap: float = 0.9999, threshold: float = 0.95,
+                 cause_risks: DataFrame | None = None,
+                 materialize: bool = True) -> DataFrame:
     """T5: aggregate PAF over risks and turn it into a cause scalar.
 
     ``group_keys`` must start with the cause column (e.g. acause, version
     or acause, cluster, version); ``cell_keys`` are the demography keys
     plus draw.  A group with no usable risk yields no rows.
+    ``cause_risks`` is the (cause, risk) list that limits the mediation
+    rows: all risks of the cause, including pairs later set aside as
+    paf-set-one (as the original passed its full list); a small dimension
+    table, e.g. the distinct pairs of the RR input;
+    without it the pairs are taken from ``paf`` at the cost of one more
+    pass over it.  With it, the PAF rows are read once.
+    ``materialize`` checkpoints the per-cell aggregate (at most PAF rows /
+    number of risks) before its two consumers (usable-risk set, group max),
+    so the PAF lineage is evaluated once even on retries.
     """
     p = paf.where(F.col("paf").isNotNull())
     if set_one is not None:
         p = joins.anti(p, set_one, [cause, risk])
     if mediation is not None:
-        cause_risks = p.select(cause, risk).distinct()
+        if cause_risks is None:
+            cause_risks = p.select(cause, risk).distinct()
         prods = mediation_products(mediation, cause_risks, cause, risk)
         p = aggs.attach_product(p, prods, [cause, risk], "mediation")
     else:
         p = p.withColumn("mediation", F.lit(1.0))
-    comb = aggs.combine_risks(p, group_keys, cell_keys, risk, "paf", "mediation", "paf")
+    comb = aggs.combine_risks(p, group_keys, cell_keys, risk, "paf", "mediation", "paf",
+                              materialize=materialize)
     comb = comb.withColumn("paf", pafx.cap_above("paf", cap))
     comb = aggs.rescale_by_group_max(comb, group_keys, "paf", threshold)
     return comb.withColumn("scalar", pafx.scalar_from_paf("paf"))

@@ -50,22 +50,30 @@ def demography(spark: SparkSession, sf_dir: str, with_risk: bool = False,
     return df.select(*cols)
 
 
-def sev_by_risk(spark, sf_dir) -> DataFrame:
-    """SEV draws per (risk, location, year, draw): mean of 10 * discount."""
-    d = demography(spark, sf_dir, with_risk=True, with_cause=False)
+def _base(spark, sf_dir, d):
+    return d if d is not None else demography(spark, sf_dir, with_risk=True)
+
+
+def sev_by_risk(spark, sf_dir, d: DataFrame | None = None) -> DataFrame:
+    """SEV draws per (risk, location, year, draw): mean of 10 * discount.
+
+    Pass the same ``d`` (from :func:`demography` with risks) to every view
+    of one query so the join is planned once and its exchanges are reused.
+    """
+    d = _base(spark, sf_dir, d)
     return d.groupBy("risk", "location_id", "year_id", "draw").agg(F.avg("sev").alias("sev"))
 
 
-def rr_by_cause(spark, sf_dir) -> DataFrame:
+def rr_by_cause(spark, sf_dir, d: DataFrame | None = None) -> DataFrame:
     """RR draws per (cause, risk, draw): max of 0.5 + 50 * tax (no location
     or year key, so the PAF join uses the keys RR has)."""
-    d = demography(spark, sf_dir, with_risk=True)
+    d = _base(spark, sf_dir, d)
     return d.groupBy("acause", "risk", "draw").agg(F.max("rr").alias("rr"))
 
 
-def mediation(spark, sf_dir) -> DataFrame:
+def mediation(spark, sf_dir, d: DataFrame | None = None) -> DataFrame:
     """Mediation rows (acause, risk, mediator, mean)."""
-    d = demography(spark, sf_dir, with_risk=True)
+    d = _base(spark, sf_dir, d)
     med = (F.when(F.col("l_returnflag") == "A", F.lit("1-URGENT"))
             .when(F.col("l_returnflag") == "N", F.lit("3-MEDIUM"))
             .otherwise(F.lit("5-LOW")))
@@ -98,3 +106,43 @@ def cause_risk_pairs(spark, sf_dir) -> DataFrame:
     return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
              .select(F.col("c_mktsegment").alias("acause"), F.col("n_name").alias("risk"))
              .distinct())
+
+
+def _grouping_id(all_cols, subset):
+    """Spark's grouping_id for ``subset`` of ``all_cols`` (bit set = absent,
+    first column most significant)."""
+    gid = 0
+    for c in all_cols:
+        gid = (gid << 1) | (0 if c in subset else 1)
+    return gid
+
+
+def paf_inputs(spark, sf_dir, materialize: bool = True):
+    """SEV, RR and mediation tables from ONE pass over the demography join.
+
+    The three inputs group the same rows by different keys; GROUPING SETS
+    computes them in a single scan (Expand + one partial/final aggregate)
+    instead of three scans of the four-way join.  The aggregate is small
+    (bounded by its key space) and is checkpointed to the shared checkpoint
+    folder, so every later consumer reads it instead of re-running the join.
+    """
+    from ..session import cut_lineage
+    d = demography(spark, sf_dir, with_risk=True)
+    med = (F.when(F.col("l_returnflag") == "A", F.lit("1-URGENT"))
+            .when(F.col("l_returnflag") == "N", F.lit("3-MEDIUM"))
+            .otherwise(F.lit("5-LOW")))
+    d = d.withColumn("mediator", med)
+    cols = ["risk", "location_id", "year_id", "draw", "acause", "mediator"]
+    sets = [["risk", "location_id", "year_id", "draw"], ["acause", "risk", "draw"],
+            ["acause", "risk", "mediator"]]
+    agg = (d.groupingSets(sets, *cols)
+             .agg(F.avg("sev").alias("sev"), F.max("rr").alias("rr"),
+                  F.grouping_id().alias("__gid")))
+    if materialize:
+        agg = cut_lineage(agg)
+    gid = [_grouping_id(cols, s_) for s_ in sets]
+    sev = agg.where(F.col("__gid") == gid[0]).select(*sets[0], "sev")
+    rr = agg.where(F.col("__gid") == gid[1]).select(*sets[1], "rr")
+    mediation_ = agg.where(F.col("__gid") == gid[2]).select(
+        *sets[2], (F.col("sev") / 10).alias("mean"))
+    return sev, rr, mediation_
