@@ -108,3 +108,18 @@ def test_special_functions():
     assert special.t_two_sided_p(2.0, 10) == pytest.approx(0.07338803477074, rel=1e-9)
     assert special.t_critical(0.05, 10) == pytest.approx(2.228138851986, rel=1e-9)
     assert special.betainc(2.0, 3.0, 0.4) == pytest.approx(0.5248, rel=1e-9)
+
+
+def test_counter_uniforms_and_bernoulli_forms(spark):
+    import numpy as np
+    from vitalframe.operators import draws
+    u = randoms.counter_uniforms(np.arange(2000, dtype=np.int64), np.arange(100))
+    assert u.shape == (2000, 100) and 0 <= u.min() and u.max() < 1
+    assert abs(u.mean() - 0.5) < 0.002 and abs(u.var() - 1 / 12) < 0.001
+    assert abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.05
+    df = spark.range(3000).select("id", (F.col("id") % 10 / 10.0).alias("p"))
+    c = draws.bernoulli_counts(df, "p", ["id"], 40, seed=1)
+    lf = draws.bernoulli_draws(df, "p", ["id"], 40, seed=1).groupBy("id").agg(
+        F.sum("event").alias("m"))
+    assert c.join(lf, "id").where(F.col("n_events") != F.col("m")).count() == 0
+    assert c.agg(F.sum("n_events")).first()[0] == pytest.approx(3000 * 0.45 * 40, rel=0.02)

@@ -77,6 +77,33 @@ def hash_poisson(lam: Column | float, *cols, seed: int = 0,
     return F.when(res["k"] < 0, F.lit(kmax)).otherwise(res["k"])
 
 
+# --- counter-based draws from one row seed (vectorised) -------------------
+# The splitmix64 increment and multipliers.
+_GOLDEN = 0x9E3779B97F4A7C15
+_MIX1 = 0xBF58476D1CE4E5B9
+_MIX2 = 0x94D049BB133111EB
+
+
+def row_seed(*cols, seed: int = 0) -> Column:
+    """One 64-bit seed per row: ``xxhash64(keys..., seed)`` (JVM, codegen)."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.xxhash64(*parts, F.lit(int(seed)))
+
+
+def counter_uniforms(seeds, draws):
+    """U[0,1) for (row seed, draw index) pairs by splitmix64 (numpy, wraps
+    in uint64).  ``seeds`` shape (n,) int64, ``draws`` shape (m,) or (n, m)."""
+    import numpy as np
+    with np.errstate(over="ignore"):
+        x = np.asarray(seeds).astype(np.uint64)[:, None]
+        d = np.asarray(draws).astype(np.uint64)
+        z = x + np.uint64(_GOLDEN) * (d + np.uint64(1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(_MIX1)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(_MIX2)
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)).astype(np.float64) / TWO53
+
+
 # --- SQL text of the same formulas, for independent engines (oracles) ----
 
 def sql_uniform(*cols: str, seed: int = 0, stream: int | None = None) -> str:

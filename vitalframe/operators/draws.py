@@ -3,11 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import randoms
 
+_ROWS = 4096  # rows per numpy block (bounds the rows x draws temporaries)
+
+
+def _count_udf(n_draws: int):
+    @F.pandas_udf(T.LongType())
+    def count(seed: pd.Series, p: pd.Series) -> pd.Series:
+        s = seed.to_numpy(dtype=np.int64)
+        pr = p.to_numpy(dtype=float, na_value=np.nan)
+        out = np.zeros(len(s), dtype=np.int64)
+        d = np.arange(n_draws)
+        for a in range(0, len(s), _ROWS):
+            u = randoms.counter_uniforms(s[a:a + _ROWS], d)
+            out[a:a + _ROWS] = (u < pr[a:a + _ROWS, None]).sum(axis=1)
+        return pd.Series(out)
+    return count
+
+
+@F.pandas_udf(T.DoubleType())
+def _draw_uniform(seed: pd.Series, draw: pd.Series) -> pd.Series:
+    u = randoms.counter_uniforms(seed.to_numpy(dtype=np.int64),
+                                 draw.to_numpy(dtype=np.int64)[:, None])
+    return pd.Series(u[:, 0])
+
 
 def _key_expr(keys, extra):
     return F.concat_ws("|", *[F.col(k).cast("string") for k in keys], extra)
@@ -15,19 +40,32 @@ def _key_expr(keys, extra):
 
 def bernoulli_draws(df: DataFrame, p: str, keys, n_draws: int, seed: int = 0,
                     draw: str = "draw", out: str = "event", portable: bool = False) -> DataFrame:
-    """M8 (long form): one row per (row, draw) with ``u(keys, draw) < p``."""
+    """M8 (long form): one row per (row, draw) with ``u(row, draw) < p``;
+    the same uniforms as :func:`bernoulli_counts`."""
     d = df.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    u = randoms.hash_uniform(*keys, draw, seed=seed, portable=portable)
+    if portable:
+        u = randoms.hash_uniform(*keys, draw, seed=seed, portable=True)
+    else:
+        u = _draw_uniform(randoms.row_seed(*keys, seed=seed), F.col(draw).cast("long"))
     return d.withColumn(out, (u < F.col(p)).cast("int"))
 
 
 def bernoulli_counts(df: DataFrame, p: str, keys, n_draws: int, seed: int = 0,
                      out: str = "n_events", portable: bool = False) -> DataFrame:
-    """M8 (summed): number of successes over ``n_draws`` per row, computed
-    by ``aggregate`` over the draw indices inside one expression — the same
-    uniforms as :func:`bernoulli_draws`, without the n_draws-fold rows and
-    without a shuffle (an explode + group-by-row would shuffle one row per
-    input row: a full-table exchange at scale)."""
+    """M8 (summed): number of successes over ``n_draws`` per row, without
+    the n_draws-fold rows and without a shuffle (an explode + group-by-row
+    would shuffle one row per input row: a full-table exchange at scale).
+
+    Default: the row key is hashed once in the JVM (``xxhash64``) and the
+    draws are splitmix64 counters from that seed, evaluated as a rows x
+    draws numpy block in an Arrow-batched UDF (sf0.1, 100 draws: ~2 s, vs
+    ~15 s for a per-draw ``aggregate`` lambda, which Spark interprets).
+    ``portable=True``: md5 uniforms per draw, reproducible in SQL.
+    """
+    if not portable:
+        cnt = _count_udf(n_draws)(randoms.row_seed(*keys, seed=seed), F.col(p).cast("double"))
+        return df.withColumn(out, cnt)
+
     def step(acc, d):
         u = randoms.hash_uniform(*keys, d, seed=seed, portable=portable)
         return acc + F.when(u < F.col(p), F.lit(1)).otherwise(F.lit(0))

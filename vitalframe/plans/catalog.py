@@ -874,17 +874,29 @@ def q_poisson_sample_means(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-def _asfr_covariates(spark, sf):
-    a, n = _asfr_mean_age(spark, sf)
+def _asfr_covariates(spark, sf, materialize: bool = True):
+    """Model table (location, year, age): ASFR, log ASFR, ldi, edu.
+
+    One pass over orders x customer aggregated to (location, year, age);
+    the (location, year) covariates are a second aggregate of that small
+    table.  The result has several consumers (train, future, levels), so it
+    is checkpointed to the shared checkpoint folder.
+    """
+    from ..session import cut_lineage
     o = tbl(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     c = tbl(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    cov = (o.join(c, o.o_custkey == c.c_custkey)
-            .groupBy(F.col("c_nationkey").cast("int").alias("location_id"),
-                     F.year("o_orderdate").cast("int").alias("year_id"))
-            .agg((F.avg("o_totalprice") / 100000.0).alias("ldi"),
-                 F.log(F.count("*").cast("double")).alias("edu")))
-    return (a.join(cov, ["location_id", "year_id"], "inner")
-             .withColumn("log_asfr", numeric.safe_ln("asfr")))
+    cell = (o.join(c, o.o_custkey == c.c_custkey)
+             .groupBy(F.col("c_nationkey").cast("int").alias("location_id"),
+                      F.year("o_orderdate").cast("int").alias("year_id"),
+                      (F.col("o_custkey") % 7 + 8).cast("int").alias("age_group_id"))
+             .agg((F.avg("o_totalprice") / 2000000.0).alias("asfr"),
+                  F.count("*").alias("__n"), F.sum("o_totalprice").alias("__s")))
+    cov = (cell.groupBy("location_id", "year_id")
+               .agg((F.sum("__s") / F.sum("__n") / 100000.0).alias("ldi"),
+                    F.log(F.sum("__n").cast("double")).alias("edu")))
+    out = (cell.drop("__n", "__s").join(cov, ["location_id", "year_id"], "inner")
+               .withColumn("log_asfr", numeric.safe_ln("asfr")))
+    return cut_lineage(out) if materialize else out
 
 
 @register("mixed_model_asfr")

@@ -82,7 +82,8 @@ def forecast_draws(train: DataFrame, future: DataFrame, y: str, xs, group: str,
     future row (M13, draws paired by index)."""
     by = list(by)
     fit = mixed.mixed_model(train, y, xs, [group], by, reml)
-    fit = fit.cache()  # small (one row per term / level); read by both draw tables
+    from ..session import cut_lineage
+    fit = cut_lineage(fit)  # tiny (rows per term / level); read by both draw tables
     coefs = coefficient_draws(fit, by, ["intercept"] + list(xs), n_draws, seed)
     res = random_effect_draws(fit, future, by, group, n_draws, seed + 1)
     fut = future.withColumn(group, F.col(group).cast("string"))
