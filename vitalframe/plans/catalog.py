@@ -1131,3 +1131,17 @@ def q_modelling_table(spark, sf):
         F.col("n_regionkey").alias("region_id"),
         F.floor(F.col("n_regionkey") / 2).cast("int").alias("super_region_id"))
     return rounded(fertility.modelling_table(asfr, edu, met, locs))
+
+
+@register("sequential_lag_forecast")
+def q_sequential_lag_forecast(spark, sf):
+    """Section 3.3: age/period-lag OLS forecast of log ASFR, year blocks for
+    the first age then age by age (1-year steps on the 1995-2001 data)."""
+    from . import fertility
+    d = _asfr_covariates(spark, sf)
+    out = fertility.sequential_lag_forecast(d.select("location_id", "year_id", "age_group_id",
+                                                     "log_asfr", "ldi", "edu"),
+                                            "log_asfr", ["ldi", "edu"], 1999, 2001, step=1,
+                                            ages=list(range(8, 15)))
+    return rounded(out.select("location_id", "year_id", "age_group_id", "log_asfr",
+                              "forecast"), 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,68 @@ def modelling_table(asfr: DataFrame, edu: DataFrame, met: DataFrame, locations:
         f = joins.lookup(f, locations, ["location_id"], "inner")
         d = d.unionByName(f, allowMissingColumns=True)
     return d
+
+
+def sequential_lag_forecast(df: DataFrame, value: str, xs, first_year: int, last_year: int,
+                            step: int = 5, location: str = "location_id",
+                            age: str = "age_group_id", year: str = "year_id",
+                            ages=None) -> DataFrame:
+    """Age/period-lag forecast (section 3.3 of the build plan; M3 + T7).
+
+    Model per age group: ``value ~ lag + xs`` by OLS, where the lag of the
+    first age is the period lag (same age, year - step) and of every later
+    age the cohort lag (age - 1, year - step).  Fitted on observed years
+    (< first_year) in one grouped job.  Forecasting is sequential by
+    construction: the first age goes in year blocks of ``step`` (a block's
+    lag is the previous block's forecast), then each later age uses the
+    forecast of the age below.  That is a driver loop over
+    (blocks + ages - 1) rounds; each round is one distributed join +
+    prediction whose output is checkpointed (reliable checkpoint, lineage
+    cut) so later rounds and retries read it instead of recomputing.
+    Returns observed rows plus forecast rows (``forecast`` flag, ``pred``).
+    """
+    from ..operators import stats
+    from ..session import cut_lineage
+    xs = list(xs)
+    ages = sorted(ages) if ages is not None else sorted(
+        r[0] for r in df.select(age).distinct().collect())  # a handful of age groups
+    a0 = ages[0]
+    obs = df.where(F.col(year) < first_year)
+
+    def with_lag(rows, source):
+        src = source.select(location, F.col(age).alias("__src_age"),
+                            (F.col(year) + step).alias(year), F.col(value).alias("lag"))
+        want = rows.withColumn("__src_age", F.when(F.col(age) == a0, F.col(age))
+                               .otherwise(F.col(age) - 1))
+        return (want.join(src, [location, "__src_age", year], "inner").drop("__src_age"))
+
+    train = with_lag(obs, obs).where(F.col(value).isNotNull())
+    coefs = cut_lineage(stats.ols_grouped(train, value, ["lag"] + xs, [age]))
+    future = df.where((F.col(year) >= first_year) & (F.col(year) <= last_year)).drop(value)
+
+    def predict(rows, source):
+        p = stats.predict(with_lag(rows, source).withColumn(value, F.lit(None).cast("double")),
+                          coefs, value, ["lag"] + xs, [age])
+        return p.drop("resid", value, "lag").withColumnRenamed("pred", value)
+
+    pieces = []
+    prev = obs.select(location, age, year, value)
+    for start in range(first_year, last_year + 1, step):
+        rows = future.where((F.col(age) == a0) & (F.col(year) >= start) &
+                            (F.col(year) < start + step))
+        out = cut_lineage(predict(rows, prev.where(F.col(age) == a0)))
+        pieces.append(out)
+        prev = prev.unionByName(out.select(location, age, year, value))
+    prev_age = reduce(DataFrame.unionByName,
+                      [obs.where(F.col(age) == a0).select(location, age, year, value)] +
+                      [p.select(location, age, year, value) for p in pieces])
+    for a in ages[1:]:
+        rows = future.where(F.col(age) == a)
+        src = prev_age.unionByName(obs.where(F.col(age) == a - 1)
+                                   .select(location, age, year, value)).distinct()
+        out = cut_lineage(predict(rows, src))
+        pieces.append(out)
+        prev_age = out.select(location, age, year, value)
+    fc = reduce(DataFrame.unionByName, pieces).withColumn("forecast", F.lit(True))
+    base = obs.withColumn("forecast", F.lit(False))
+    return base.unionByName(fc, allowMissingColumns=True)
