@@ -93,3 +93,8 @@ def test_streaming_day_batches(spark, tmp):
     q.awaitTermination(120)
     got = spark.read.parquet(out).collect()
     assert [(str(r.day), r.city) for r in got] == [("20240101", "a")]  # day read back as int
+
+
+def test_to_driver_is_bounded(spark):
+    pdf = sinks.to_driver(spark.range(1000), 5)
+    assert len(pdf) == 5

@@ -48,9 +48,16 @@ def tbl(spark, sf, name):
 def q_paf_from_sev_rrmax(spark, sf):
     """Minimum slice: SEV table outer-joined with RRmax on (age, sex), scalar
     and PAF (X1), incomplete rows dropped (P5), de-duplicated (O3)."""
+    from ..session import cut_lineage
     d = views.demography(spark, sf, with_cause=False)
-    sev = d.groupBy("location_id", "age_group_id", "sex_id").agg(F.avg("sev").alias("sev"))
-    rrmax = d.groupBy("age_group_id", "sex_id").agg(F.max("rr").alias("rrmax"))
+    # both inputs in one pass (GROUPING SETS), checkpointed: two consumers
+    agg = cut_lineage(d.groupingSets([["location_id", "age_group_id", "sex_id"],
+                                      ["age_group_id", "sex_id"]],
+                                     "location_id", "age_group_id", "sex_id")
+                      .agg(F.avg("sev").alias("sev"), F.max("rr").alias("rrmax"),
+                           F.grouping_id().alias("__gid")))
+    sev = agg.where(F.col("__gid") == 0).select("location_id", "age_group_id", "sex_id", "sev")
+    rrmax = agg.where(F.col("__gid") == 4).select("age_group_id", "sex_id", "rrmax")
     j = joins.outer(sev, rrmax, ["age_group_id", "sex_id"])
     j = j.withColumn("scalar", pafx.scalar_from_sev("sev", "rrmax"))
     j = j.withColumn("paf", pafx.paf_from_scalar("scalar"))
@@ -638,27 +645,31 @@ def q_props_json(spark, sf):
 # ---------------------------------------------------------------- population
 
 def _under_one_inputs(spark, sf):
+    """Population, weekly nqx and births for every (location, year, sex,
+    draw) from one aggregate of orders x customer (checkpointed: it feeds
+    all three inputs)."""
+    from ..session import cut_lineage
     o = tbl(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     c = tbl(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    rows = (o.join(c, o.o_custkey == c.c_custkey)
-             .select(F.col("c_nationkey").cast("int").alias("location_id"),
-                     F.year("o_orderdate").cast("int").alias("year_id"),
-                     (F.col("o_orderkey") % 2 + 1).cast("int").alias("sex_id"),
-                     (F.col("o_custkey") % 5).cast("int").alias("draw"),
-                     (F.col("o_totalprice") / 100000.0).alias("births")))
     keys = ["location_id", "year_id", "sex_id", "draw"]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    base = cut_lineage(
+        o.join(c, o.o_custkey == c.c_custkey)
+         .groupBy(F.col("c_nationkey").cast("int").alias("location_id"),
+                  F.year("o_orderdate").cast("int").alias("year_id"),
+                  (F.col("o_orderkey") % 2 + 1).cast("int").alias("sex_id"),
+                  (F.col("o_custkey") % 5).cast("int").alias("draw"))
+         .agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice") / 100000.0).alias("births")))
     band = F.inline(F.array(*[F.struct(F.lit(a).alias("age"), F.lit(g).alias("age_group_id"),
                                        F.lit(hi - lo + 1).alias("weeks"))
                               for a, g, lo, hi in joins.WEEK_BANDS]))
-    pop = (counts.select("*", band)
+    pop = (base.select("*", band)
            .withColumn("pop", F.col("n") * F.col("weeks"))
            .select(*keys, "age", "age_group_id", "pop"))
     # weekly death probability of the band, from the cohort's own data
     q = (F.lit(0.0005) + F.lit(0.0001) * F.col("age_group_id") +
          F.lit(0.00001) * (F.col("pop") % 10))
     nqx = pop.withColumn("q", q).select(*keys, "age", "q")
-    return pop, nqx, rows.select(*keys, "births")
+    return pop, nqx, base.select(*keys, "births")
 
 
 @register("under_one_population")
@@ -1145,3 +1156,17 @@ def q_sequential_lag_forecast(spark, sf):
                                             ages=list(range(8, 15)))
     return rounded(out.select("location_id", "year_id", "age_group_id", "log_asfr",
                               "forecast"), 4)
+
+
+@register("elevated_subset_fit")
+def q_elevated_subset_fit(spark, sf):
+    """M24 (+ M1, A13): within the elevated subset of the lab ratio table
+    (ratio >= 1.5), per sex group: OLS of the numerator on the denominator
+    test and their correlation."""
+    from . import labs
+    t = labs.ratio_table(tbl(spark, sf, "events"))
+    t = t.withColumn("gender", F.when(F.col("user_id") % 2 == 0, F.lit("F")).otherwise(F.lit("M")))
+    sub = t.where(F.col("ratio") >= 1.5)
+    fit = stats.ols_simple(sub, "purchase", "view", ["gender"])
+    corr = sub.groupBy("gender").agg(F.corr("purchase", "view").alias("corr"))
+    return rounded(fit.join(corr, "gender"))

@@ -616,3 +616,14 @@ SELECT location_id, year_id, age_group_id, {r6('asfr')} AS asfr, {r6('asmedu')}
   {r6('coalesce(CASE WHEN asmedu >= 10 AND asmedu < 14 THEN asmedu - 10 WHEN asmedu >= 14 THEN 4.0 END, 0)')} AS asmedu_between_10_14,
   {r6('coalesce(CASE WHEN asmedu >= 14 AND asmedu < hi THEN asmedu - 14 WHEN asmedu >= hi THEN hi - 14 END, 0)')} AS asmedu_above_14
 FROM s, k"""
+
+SQL["elevated_subset_fit"] = f"""WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, value
+  FROM events WHERE value IS NOT NULL AND event_type IN ('purchase', 'view')),
+w AS (SELECT user_id, day, avg(value) FILTER (WHERE event_type = 'purchase') AS purchase,
+        avg(value) FILTER (WHERE event_type = 'view') AS view FROM e GROUP BY ALL),
+r AS (SELECT *, purchase / NULLIF(view, 0) AS ratio FROM w WHERE purchase IS NOT NULL AND view IS NOT NULL),
+s AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'F' ELSE 'M' END AS gender FROM r
+      WHERE ratio BETWEEN 0.18 AND 181 AND ratio >= 1.5)
+SELECT gender, {r6('regr_slope(purchase, view)')} AS slope, {r6('regr_intercept(purchase, view)')} AS intercept,
+  {r6('regr_r2(purchase, view)')} AS r2, CAST(regr_count(purchase, view) AS BIGINT) AS n,
+  {r6('corr(purchase, view)')} AS corr FROM s GROUP BY gender"""
