@@ -181,3 +181,30 @@ def test_lasso_matches_coordinate_descent(spark):
             rho = X[:, j] @ r / 200
             w[j] = np.sign(rho) * max(abs(rho) - 0.1, 0) / (X[:, j] @ X[:, j] / 200)
     assert np.allclose(m.coefficients.toArray(), w, atol=2e-3)
+
+
+def test_single_factor_closed_form_equals_dense(spark):
+    rng = np.random.default_rng(11)
+    rows = [(g, float(x), float(2 + 0.5 * x + u + rng.normal(0, 0.3)))
+            for g, u in enumerate(rng.normal(0, 1, 30)) for x in rng.normal(size=int(rng.integers(2, 12)))]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    pdf = mixed.cell_stats(df, "y", ["x"], ["g"]).toPandas()
+    for reml in (True, False):
+        a = mixed.fit_cells(pdf, 2, ["g"], reml)
+        b = mixed.fit_cells(pdf, 2, ["g"], reml, dense=True)
+        assert np.allclose(a[0], b[0], rtol=1e-5)
+        assert a[2] == pytest.approx(b[2], rel=1e-4)
+        assert a[3]["g"] == pytest.approx(b[3]["g"], rel=1e-3)
+        ga, gb = a[4]["g"], b[4]["g"]
+        assert all(ga[k] == pytest.approx(gb[k], abs=1e-4) for k in ga)
+
+
+def test_dedupe_first_hot_key(spark):
+    from vitalframe.operators import windows
+    rows = [(1, i, i % 97) for i in range(30000)] + [(2, 5, 3), (2, 6, 1), (3, None, 0)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    got = {r.k: (r.t, r.v) for r in windows.dedupe_first(df, ["k"], [("v", True), "t"]).collect()}
+    assert got == {1: (96, 96), 2: (5, 3), 3: (None, 0)}
+    plan = windows.dedupe_first(df, ["k"], [("v", True), "t"])._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "Window" not in plan and "partial_min_by" in plan

@@ -254,15 +254,20 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
                   F.max(column).alias(f"max_{column}"))
 
 
-def box_stats(df: DataFrame, level: str, value: str) -> DataFrame:
+def box_stats(df: DataFrame, level: str, value: str, exact: bool = True,
+              accuracy: int = 100000) -> DataFrame:
     """Quartiles and whiskers (extreme values within 1.5 IQR) per level.
 
-    Exact quartiles: the buffer is per level a map of distinct values, fine
-    for draw values of bounded count per level.
+    ``exact=True``: Spark's exact percentile, whose buffer per level is a
+    map of *distinct* values (right for draws or bounded domains);
+    ``exact=False``: ``percentile_approx`` with bounded memory for a
+    continuous column whose level may hold a large share of the rows.
     """
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    qexpr = (F.percentile(value, probs) if exact
+             else F.percentile_approx(value, probs, accuracy))
     q = (df.groupBy(level)
-           .agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                .alias("__q"))
+           .agg(qexpr.alias("__q"))
            .select(level, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                    F.col("__q")[2].alias("q3")))
     iqr = F.col("q3") - F.col("q1")

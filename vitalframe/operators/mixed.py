@@ -93,11 +93,63 @@ def _golden(f, lo=-20.0, hi=12.0, iters=120):
     return x, f(x)
 
 
-def fit_cells(pdf: pd.DataFrame, p: int, groups, reml: bool = True):
+def _fit_single(pdf: pd.DataFrame, p: int, group: str, reml: bool):
+    """One random intercept: closed forms per level (Woodbury), O(q p^2)
+    time and O(q) memory for q levels — no (p + q)^2 matrix."""
+    pdf = pdf.groupby(group, sort=True).sum(numeric_only=True).reset_index() \
+        if pdf[group].duplicated().any() else pdf.sort_values(group)
+    n = pdf["n"].to_numpy(float)
+    N = n.sum()
+    sx = np.stack([pdf[f"sx_{i}"].to_numpy(float) for i in range(p)], axis=1)
+    sxy = np.stack([pdf[f"sxy_{i}"].to_numpy(float) for i in range(p)], axis=1)
+    sy = pdf["sy"].to_numpy(float)
+    syy = pdf["syy"].to_numpy(float).sum()
+    sxx = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            sxx[i, j] = sxx[j, i] = pdf[f"sxx_{i}_{j}"].sum()
+    xy = sxy.sum(axis=0)
+
+    def parts(theta):
+        lam = math.exp(theta[0])
+        c = lam / (1.0 + n * lam)
+        A = sxx - (sx * c[:, None]).T @ sx
+        b = xy - (sx * (c * sy)[:, None]).sum(axis=0)
+        yvy = syy - (c * sy * sy).sum()
+        try:
+            beta = np.linalg.solve(A, b)
+        except np.linalg.LinAlgError:
+            return None
+        rss = yvy - b @ beta
+        return lam, c, A, beta, rss, np.log1p(n * lam).sum()
+
+    def crit(theta):
+        r = parts(theta)
+        if r is None or r[4] <= 0:
+            return 1e300
+        _lam, _c, A, _beta, rss, logdet_v = r
+        if reml:
+            return ((N - p) * math.log(rss / (N - p)) + logdet_v + np.linalg.slogdet(A)[1])
+        return N * math.log(rss / N) + logdet_v
+
+    theta, val = _golden(crit)
+    lam, c, A, beta, rss, _ld = parts(theta)
+    s2e = rss / ((N - p) if reml else N)
+    vcov = s2e * np.linalg.inv(A)
+    blup = c * (sy - sx @ beta)
+    blups = {group: dict(zip(pdf[group].tolist(), blup))}
+    return beta, vcov, s2e, {group: s2e * lam}, blups, val
+
+
+def fit_cells(pdf: pd.DataFrame, p: int, groups, reml: bool = True, dense: bool = False):
     """Fit one model from its cell statistics (pandas, one model key).
 
     Returns (beta, vcov_beta, sigma_e2, sigma2 per group, blups dict, crit).
+    One grouping factor uses the O(q) closed form; crossed factors solve
+    Henderson's equations, whose size is p + (levels of all factors).
     """
+    if len(groups) == 1 and not dense:
+        return _fit_single(pdf, p, groups[0], reml)
     n = pdf["n"].to_numpy(float)
     N = n.sum()
     sx = np.stack([pdf[f"sx_{i}"].to_numpy(float) for i in range(p)], axis=1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shift(df: DataFrame, partition_by, order_by, column: str, offset: int = -1,
@@ -41,25 +42,91 @@ def cohort_survivors(df: DataFrame, cohort_keys, week: str = "age_wks",
 
 
 def lag_pairs(df: DataFrame, order_by: str, value: str, partition_by=()) -> DataFrame:
-    """(value_i, value_{i+1}) pairs for a lag-1 autocorrelation fit."""
+    """(value_i, value_{i+1}) pairs for a lag-1 autocorrelation fit.
+
+    Without ``partition_by`` the window is one ordered series in a single
+    task: use it on bounded series (a daily series of a few thousand days);
+    give ``partition_by`` (e.g. a series id) for many series."""
     w = Window.partitionBy(*partition_by).orderBy(order_by)
     return (df.withColumn("next_" + value, F.lead(value, 1).over(w))
               .where(F.col("next_" + value).isNotNull()))
 
 
+_ORDERABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+              T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _sort_key(df: DataFrame, order_by):
+    """An ascending-comparable struct equivalent to ``order_by`` (column
+    names, or ``F.col(c).desc()``-style given as (name, descending)), or
+    None when a column cannot be negated (strings sorted descending)."""
+    parts = []
+    for i, spec in enumerate(order_by):
+        name, desc = spec if isinstance(spec, tuple) else (spec, False)
+        dt = df.schema[name].dataType
+        c = F.col(name)
+        if desc:
+            if not isinstance(dt, _ORDERABLE):
+                return None
+            if isinstance(dt, (T.DateType,)):
+                c = F.unix_date(c)
+            elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+                c = F.unix_micros(c.cast("timestamp"))
+            c = -c
+        # nulls sort first ascending in Spark; keep that order for ties
+        parts.append(c.alias(f"k{i}"))
+    return F.struct(*parts)
+
+
 def dedupe_first(df: DataFrame, keys, order_by) -> DataFrame:
     """One row per key, the first after sorting by ``order_by``.
 
-    Pass a full tie-break in ``order_by`` for a deterministic pick
-    (``dropDuplicates`` keeps an arbitrary row).
+    ``order_by`` items are column names or ``(name, descending)`` pairs;
+    pass a full tie-break for a deterministic pick (``dropDuplicates`` keeps
+    an arbitrary row).  When every descending column is numeric or temporal
+    this is a ``min_by`` aggregate: map-side partial aggregation keeps one
+    candidate per key per task, so a key holding a third of the rows never
+    lands whole in one task.  Otherwise a ``row_number`` window is used.
+    Nulls in an order column sort first, as in an ascending Spark sort.
     """
-    w = Window.partitionBy(*keys).orderBy(*order_by)
+    keys = list(keys)
+    order_by = [o if isinstance(o, (str, tuple)) else o for o in order_by]
+    if all(isinstance(o, (str, tuple)) for o in order_by):
+        key = _sort_key(df, order_by)
+        if key is not None:
+            rest = [c for c in df.columns if c not in keys]
+            row = F.struct(*[F.col(c) for c in rest])
+            agg = df.groupBy(*keys).agg(F.min_by(row, key).alias("__row"))
+            return agg.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]) \
+                      .select(*df.columns)
+    specs = [(F.col(o[0]).desc() if o[1] else F.col(o[0])) if isinstance(o, tuple)
+             else (F.col(o) if isinstance(o, str) else o) for o in order_by]
+    w = Window.partitionBy(*keys).orderBy(*specs)
     return (df.withColumn("__rn", F.row_number().over(w))
               .where(F.col("__rn") == 1).drop("__rn"))
 
 
 def repeated_rows(df: DataFrame, keys, order_by) -> DataFrame:
-    """Rows that repeat a key (all but the first in ``order_by``)."""
-    w = Window.partitionBy(*keys).orderBy(*order_by)
+    """Rows that repeat a key (all but the first in ``order_by``).
+
+    ``order_by`` must be a full tie-break within a key (it identifies the
+    first row).  The first row per key comes from :func:`dedupe_first`'s
+    aggregate path and is removed by a null-safe anti-join, so a hot key is
+    never sorted inside one task; strings sorted descending fall back to a
+    ``row_number`` window.
+    """
+    keys = list(keys)
+    names = [o[0] if isinstance(o, tuple) else o for o in order_by]
+    if all(isinstance(o, (str, tuple)) for o in order_by) and _sort_key(df, order_by) is not None:
+        first = dedupe_first(df.select(*keys, *names), keys, order_by)
+        first = first.select(*[F.col(c).alias(f"__f_{c}") for c in keys + names])
+        cond = None
+        for c in keys + names:
+            e = df[c].eqNullSafe(first[f"__f_{c}"])
+            cond = e if cond is None else cond & e
+        return df.join(first, cond, "left_anti")
+    specs = [(F.col(o[0]).desc() if o[1] else F.col(o[0])) if isinstance(o, tuple)
+             else (F.col(o) if isinstance(o, str) else o) for o in order_by]
+    w = Window.partitionBy(*keys).orderBy(*specs)
     return (df.withColumn("__rn", F.row_number().over(w))
               .where(F.col("__rn") > 1).drop("__rn"))

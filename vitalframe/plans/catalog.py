@@ -551,8 +551,7 @@ def q_next_age_value(spark, sf):
 def q_dedupe_first(spark, sf):
     """Latest order per customer, tie-broken by order key."""
     o = tbl(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    out = windows.dedupe_first(o, ["o_custkey"], [F.col("o_orderdate").desc(),
-                                                  F.col("o_orderkey").asc()])
+    out = windows.dedupe_first(o, ["o_custkey"], [("o_orderdate", True), "o_orderkey"])
     return rounded(out.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")))
 
 

@@ -68,8 +68,9 @@ def risk_cause_paf(sev: DataFrame, rr: DataFrame, keys, draw: str = "draw",
     j = j.withColumn("paf", pafx.paf_from_scalar(scalar))
     out_keys = [cause, risk] + list(keys) + [draw]
     j = j.where(F.col(cause).isNotNull())
-    return windows.dedupe_first(j.select(*out_keys, "paf"), out_keys,
-                                [F.col("paf").asc_nulls_last(), *tie_break])
+    j = j.select(*out_keys, "paf").withColumn("__paf_null", F.col("paf").isNull())
+    return windows.dedupe_first(j, out_keys, ["__paf_null", "paf", *tie_break]) \
+                  .drop("__paf_null")
 
 
 def models_missing(sev: DataFrame, pairs: DataFrame, risk: str = "risk") -> DataFrame:
