@@ -53,7 +53,8 @@ def risk_cause_paf(sev: DataFrame, rr: DataFrame, keys, draw: str = "draw",
     """T4: PAF for every (cause, risk) pair in one job.
 
     The join keys are the demography keys the RR side actually has (J4),
-    plus risk and draw; missing SEV -> 0, missing RR -> 1 (P6); then
+    plus risk and draw (J3: outer join semantics); missing SEV -> 0, missing
+    RR -> 1 (P6); then
     ``scalar = sev (rr - 1) + 1`` and ``paf = 1 - 1/scalar`` (X1); rows are
     de-duplicated per (cause, risk, keys, draw) (W4).  Risks listed in
     ``skip_risks`` (vaccines in the original) are left out.
@@ -62,7 +63,14 @@ def risk_cause_paf(sev: DataFrame, rr: DataFrame, keys, draw: str = "draw",
         sev = sev.where(~F.col(risk).isin(list(skip_risks)))
         rr = rr.where(~F.col(risk).isin(list(skip_risks)))
     on = [risk, draw] + joins.shared_keys(keys, rr)
-    j = joins.outer(sev, rr, on)
+    # The full outer join of the original, minus its SEV-only rows (they have
+    # no cause and are dropped): matched rows by an inner join, RR-only rows
+    # by an anti-join against the distinct SEV keys.  Unlike FULL OUTER, both
+    # can be broadcast when one side is small and split by AQE when a join
+    # key is hot (few risks x draws is a low-cardinality key).
+    both = sev.join(rr, on, "inner")
+    rr_only = rr.join(sev.select(*on).distinct(), on, "left_anti")
+    j = both.unionByName(rr_only, allowMissingColumns=True)
     j = j.fillna({sev_col: 0.0, rr_col: 1.0})
     scalar = pafx.scalar_from_sev(sev_col, rr_col)
     j = j.withColumn("paf", pafx.paf_from_scalar(scalar))
