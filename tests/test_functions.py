@@ -123,3 +123,11 @@ def test_counter_uniforms_and_bernoulli_forms(spark):
         F.sum("event").alias("m"))
     assert c.join(lf, "id").where(F.col("n_events") != F.col("m")).count() == 0
     assert c.agg(F.sum("n_events")).first()[0] == pytest.approx(3000 * 0.45 * 40, rel=0.02)
+
+
+def test_cluster_conf_scales_with_input():
+    from vitalframe.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    small = cluster_conf(1024 ** 3, executors=2, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24

@@ -94,9 +94,15 @@ def semi(df: DataFrame, allowed: DataFrame, keys) -> DataFrame:
     return df.join(allowed, list(keys), "left_semi")
 
 
-def geocode(df: DataFrame, gazetteer: DataFrame, address: str = "address") -> DataFrame:
-    """Address -> (lat, lng); null when the address is unknown."""
-    g = gazetteer.dropDuplicates([address])
+def geocode(df: DataFrame, gazetteer: DataFrame, address: str = "address",
+            lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Address -> (lat, lng); null when the address is unknown.
+
+    A gazetteer with several entries for one address keeps the smallest
+    (lat, lng) — a deterministic pick (``dropDuplicates`` keeps any row).
+    """
+    from .windows import dedupe_first
+    g = dedupe_first(gazetteer.select(address, lat, lng), [address], [lat, lng])
     return df.join(g, address, "left")
 
 

@@ -24,6 +24,43 @@ _BASE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int,
+                 executor_memory_gb: float = 16.0, target_partition_mb: int = 256) -> dict:
+    """Spark settings sized from the input volume (e.g. 100 TB on 1000
+    executors).
+
+    * file splits of ``target_partition_mb`` (each scan task reads that much);
+    * an initial shuffle width of ~input / target so the largest stage's
+      partitions fit executor memory per core, AQE coalescing small ones at
+      run time and splitting skewed ones (a key holding a third of the rows
+      is cut into advisory-size pieces on the large side of a join);
+    * broadcast only below a size AQE measures (no size guessed up front).
+    """
+    cores = max(1, executors * cores_per_executor)
+    target = target_partition_mb * 1024 * 1024
+    per_core_mem = executor_memory_gb * 1024 ** 3 / max(1, cores_per_executor)
+    # keep a shuffle partition well under the memory of one core (spill-aware)
+    part_bytes = min(target, per_core_mem / 4)
+    shuffle_parts = int(max(cores * 3, input_bytes / part_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(int(target)),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(part_bytes)),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(int(part_bytes)),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.speculation": "true",
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+    }
+
+
 def build_session(master: str | None = None, app: str = "vitalframe",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
