@@ -50,9 +50,8 @@ def on_pairs(left: DataFrame, right: DataFrame, pairs, how: str = "inner") -> Da
     cond = reduce(lambda a, b: a & b,
                   [left[lc] == right[rc] for lc, rc in pairs])
     out = left.join(right, cond, how)
-    for lc, rc in pairs:
-        if lc != rc:
-            out = out.drop(right[rc])
+    for _lc, rc in pairs:
+        out = out.drop(right[rc])
     return out
 
 
