@@ -1169,3 +1169,13 @@ def q_elevated_subset_fit(spark, sf):
     fit = stats.ols_simple(sub, "purchase", "view", ["gender"])
     corr = sub.groupBy("gender").agg(F.corr("purchase", "view").alias("corr"))
     return rounded(fit.join(corr, "gender"))
+
+
+@register("arc_scenarios")
+def q_arc_scenarios(spark, sf):
+    """T9 scenarios: forecasts at the 15th/85th percentile rates across
+    locations (per age) next to each location's own rate."""
+    from . import fertility
+    a = _asfr_like(spark, sf)
+    return rounded(fertility.arc_scenarios(a, ["location_id", "age_group_id"], "location_id",
+                                           "asfr", 1995, 2000, 5))

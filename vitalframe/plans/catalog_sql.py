@@ -627,3 +627,23 @@ s AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'F' ELSE 'M' END AS gender FROM r
 SELECT gender, {r6('regr_slope(purchase, view)')} AS slope, {r6('regr_intercept(purchase, view)')} AS intercept,
   {r6('regr_r2(purchase, view)')} AS r2, CAST(regr_count(purchase, view) AS BIGINT) AS n,
   {r6('corr(purchase, view)')} AS corr FROM s GROUP BY gender"""
+
+SQL["arc_scenarios"] = f"""WITH {ASFR},
+hist AS (SELECT * FROM asfr WHERE year_id >= 1995 AND year_id <= 2000),
+r AS (SELECT *, CASE WHEN lag(year_id) OVER w = year_id - 1
+          THEN ln(asfr / NULLIF(lag(asfr) OVER w, 0)) END AS r,
+        pow(year_id - 1995 + 1, 0.4) AS wt
+      FROM hist WINDOW w AS (PARTITION BY location_id, age_group_id ORDER BY year_id)),
+agg AS (SELECT location_id, age_group_id, sum(wt * r) / sum(wt) AS arc FROM r
+        WHERE r IS NOT NULL GROUP BY ALL),
+q AS (SELECT age_group_id, quantile_cont(arc, 0.15) AS lo, quantile_cont(arc, 0.85) AS hi
+      FROM agg GROUP BY age_group_id),
+last AS (SELECT location_id, age_group_id, asfr AS lastv FROM asfr WHERE year_id = 2000),
+b AS (SELECT a.location_id, a.age_group_id, a.arc, q.lo, q.hi, l.lastv FROM agg a
+      JOIN q ON a.age_group_id = q.age_group_id
+      JOIN last l ON a.location_id = l.location_id AND a.age_group_id = l.age_group_id),
+s AS (SELECT location_id, age_group_id, -1 AS scenario, lo AS rate, lastv FROM b
+      UNION ALL SELECT location_id, age_group_id, 0, arc, lastv FROM b
+      UNION ALL SELECT location_id, age_group_id, 1, hi, lastv FROM b)
+SELECT location_id, age_group_id, scenario, CAST(2000 + h AS INTEGER) AS year_id,
+  {r6('lastv * exp(rate * h)')} AS asfr FROM s, range(1, 6) t(h)"""

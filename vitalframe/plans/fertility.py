@@ -27,6 +27,46 @@ def cohort_lag(df: DataFrame, value: str, location: str = "location_id",
     return j.where(F.col(value).isNotNull() & F.col(out).isNotNull())
 
 
+def arc_rates(df: DataFrame, keys, value: str, start_year: int, last_year: int,
+              weight_exp: float = 0.4, year: str = "year_id") -> DataFrame:
+    """The weighted annual rate of change per key (see arc_forecast)."""
+    keys = list(keys)
+    hist = df.where((F.col(year) >= start_year) & (F.col(year) <= last_year))
+    w = Window.partitionBy(*keys).orderBy(year)
+    prev_year = F.lag(year).over(w)
+    r = F.log(F.try_divide(F.col(value), F.lag(value).over(w)))
+    rates = (hist.withColumn("__r", F.when(prev_year == F.col(year) - 1, r))
+                 .withColumn("__w", F.pow(F.col(year) - start_year + 1, F.lit(weight_exp))))
+    return (rates.where(F.col("__r").isNotNull())
+                 .groupBy(*keys)
+                 .agg((F.sum(F.col("__w") * F.col("__r")) / F.sum("__w")).alias("arc")))
+
+
+def arc_scenarios(df: DataFrame, keys, across: str, value: str, start_year: int,
+                  last_year: int, horizon: int, quantiles=(0.15, 0.85),
+                  weight_exp: float = 0.4, year: str = "year_id") -> DataFrame:
+    """T9 scenarios (our definition of the unknown quantile step): per key,
+    scenario 0 uses the key's own rate; scenarios -1 and +1 use the
+    ``quantiles`` of the rates across ``across`` (e.g. locations) within the
+    rest of the key (e.g. age).  Forecast rows only, one per scenario."""
+    keys = list(keys)
+    rest = [k for k in keys if k != across]
+    rates = arc_rates(df, keys, value, start_year, last_year, weight_exp, year)
+    q = (rates.groupBy(*rest)
+              .agg(F.percentile("arc", F.array(*[F.lit(float(x)) for x in quantiles]))
+                   .alias("__q")))
+    last = df.where(F.col(year) == last_year).select(*keys, F.col(value).alias("__last"))
+    base = rates.join(q, rest, "inner").join(last, keys, "inner")
+    sc = F.inline(F.array(
+        F.struct(F.lit(-1).alias("scenario"), F.col("__q")[0].alias("__rate")),
+        F.struct(F.lit(0).alias("scenario"), F.col("arc").alias("__rate")),
+        F.struct(F.lit(1).alias("scenario"), F.col("__q")[1].alias("__rate"))))
+    out = (base.select(*keys, "__last", sc)
+               .withColumn("__h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))))
+    return out.select(*keys, "scenario", (F.lit(last_year) + F.col("__h")).cast("int").alias(year),
+                      (F.col("__last") * F.exp(F.col("__rate") * F.col("__h"))).alias(value))
+
+
 def arc_forecast(df: DataFrame, keys, value: str, start_year: int, last_year: int,
                  horizon: int, weight_exp: float = 0.4, year: str = "year_id") -> DataFrame:
     """Weighted annual-rate-of-change forecast (our definition).
@@ -40,14 +80,7 @@ def arc_forecast(df: DataFrame, keys, value: str, start_year: int, last_year: in
     """
     keys = list(keys)
     hist = df.where((F.col(year) >= start_year) & (F.col(year) <= last_year))
-    w = Window.partitionBy(*keys).orderBy(year)
-    prev_year = F.lag(year).over(w)
-    r = F.log(F.try_divide(F.col(value), F.lag(value).over(w)))
-    rates = (hist.withColumn("__r", F.when(prev_year == F.col(year) - 1, r))
-                 .withColumn("__w", F.pow(F.col(year) - start_year + 1, F.lit(weight_exp))))
-    agg = (rates.where(F.col("__r").isNotNull())
-                .groupBy(*keys)
-                .agg((F.sum(F.col("__w") * F.col("__r")) / F.sum("__w")).alias("arc")))
+    agg = arc_rates(df, keys, value, start_year, last_year, weight_exp, year)
     last = hist.where(F.col(year) == last_year).select(*keys, F.col(value).alias("__last"))
     fc = (agg.join(last, keys, "inner")
              .withColumn("__h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
