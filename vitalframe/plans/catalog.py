@@ -1179,3 +1179,17 @@ def q_arc_scenarios(spark, sf):
     a = _asfr_like(spark, sf)
     return rounded(fertility.arc_scenarios(a, ["location_id", "age_group_id"], "location_id",
                                            "asfr", 1995, 2000, 5))
+
+
+@register("cluster_scalar")
+def q_cluster_scalar(spark, sf):
+    """T5 per risk cluster: A11 clusters of each cause's risks (levels 1-2 of
+    the priority tree), then combine / cap / rescale per (cause, cluster,
+    version)."""
+    inputs = views.paf_inputs(spark, sf)
+    paf = _paf_long(spark, sf, inputs)
+    pairs = inputs[1].select("acause", "risk").distinct()
+    clusters = aggs.hierarchy_clusters(pairs, views.priority_hierarchy(spark, sf), levels=(1, 2))
+    out = scalars.cluster_scalar(paf, clusters, inputs[2], None,
+                                 ["location_id", "year_id", "draw"], cause_risks=pairs)
+    return rounded(out)

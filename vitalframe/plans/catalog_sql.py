@@ -647,3 +647,43 @@ s AS (SELECT location_id, age_group_id, -1 AS scenario, lo AS rate, lastv FROM b
       UNION ALL SELECT location_id, age_group_id, 1, hi, lastv FROM b)
 SELECT location_id, age_group_id, scenario, CAST(2000 + h AS INTEGER) AS year_id,
   {r6('lastv * exp(rate * h)')} AS asfr FROM s, range(1, 6) t(h)"""
+
+PRIORITY_TREE = """h AS (SELECT 1 AS rei_id, 'urgent' AS rei, '0,1' AS path, 1 AS level
+      UNION ALL SELECT 2, 'routine', '0,2', 1
+      UNION ALL SELECT DISTINCT CAST(substring(o_orderpriority, 1, 1) AS INTEGER) + 10, o_orderpriority,
+        '0,' || CASE WHEN CAST(substring(o_orderpriority, 1, 1) AS INTEGER) <= 2 THEN '1' ELSE '2' END
+        || ',' || CAST(CAST(substring(o_orderpriority, 1, 1) AS INTEGER) + 10 AS VARCHAR), 2
+      FROM orders)"""
+
+SQL["cluster_scalar"] = f"""WITH {PAF_VERSIONED}, {MEDIATION}, {PRIORITY_TREE},
+rrp AS (SELECT DISTINCT acause, risk FROM rr),
+pos AS (SELECT p.acause, p.risk, TRY_CAST(trim(split_part(h.path, ',', lv + 1)) AS INTEGER) AS anc
+        FROM rrp p JOIN h ON h.rei = p.risk CROSS JOIN (VALUES (1), (2)) v(lv)
+        WHERE lv < len(string_split(h.path, ','))),
+cl0 AS (SELECT DISTINCT pos.acause, pos.risk, h.rei AS cluster FROM pos
+        JOIN h ON h.rei_id = pos.anc AND h.level IN (1, 2)),
+sz AS (SELECT acause, cluster, count(*) AS n, max(risk = cluster) AS self FROM cl0 GROUP BY ALL),
+cl AS (SELECT cl0.* FROM cl0 JOIN sz ON cl0.acause = sz.acause AND cl0.cluster = sz.cluster
+       WHERE NOT (sz.n = 1 AND sz.self)),
+p AS (SELECT pv.*, cl.cluster FROM pv JOIN cl ON pv.acause = cl.acause AND pv.risk = cl.risk
+      WHERE pv.paf IS NOT NULL),
+prods AS (SELECT m.acause, m.mediator AS risk, product(1 - m.mean) AS mediation
+          FROM med m SEMI JOIN rrp ON m.acause = rrp.acause AND m.risk = rrp.risk
+          GROUP BY m.acause, m.mediator),
+pm AS (SELECT p.*, coalesce(prods.mediation, 1.0) AS mediation FROM p
+       LEFT JOIN prods ON p.acause = prods.acause AND p.risk = prods.risk),
+nu AS (SELECT acause, cluster, version, count(DISTINCT risk) AS n_usable FROM pm GROUP BY ALL),
+cells AS (SELECT acause, cluster, version, location_id, year_id, draw,
+                 product(1 - paf * mediation) AS pr, count(DISTINCT risk) AS n
+          FROM pm GROUP BY acause, cluster, version, location_id, year_id, draw),
+comb AS (SELECT c.acause, c.cluster, c.version, c.location_id, c.year_id, c.draw,
+                CASE WHEN 1 - c.pr > 0.9999 THEN 0.9999 ELSE 1 - c.pr END AS paf
+         FROM cells c JOIN nu ON c.acause = nu.acause AND c.cluster = nu.cluster
+           AND c.version = nu.version WHERE c.n = nu.n_usable),
+mx AS (SELECT acause, cluster, version, max(paf) AS mx FROM comb GROUP BY ALL),
+sc AS (SELECT c.acause, c.cluster, c.version, c.location_id, c.year_id, c.draw,
+              c.paf * CASE WHEN mx.mx > 0.95 THEN 0.95 / mx.mx ELSE 1.0 END AS paf
+       FROM comb c JOIN mx ON c.acause = mx.acause AND c.cluster = mx.cluster
+         AND c.version = mx.version)
+SELECT acause, cluster, version, location_id, year_id, draw, {r6('paf')} AS paf,
+       {r6('1.0 / NULLIF(1 - paf, 0)')} AS scalar FROM sc"""

@@ -132,3 +132,17 @@ def cause_scalar(paf: DataFrame, mediation: DataFrame | None, set_one: DataFrame
     comb = comb.withColumn("paf", pafx.cap_above("paf", cap))
     comb = aggs.rescale_by_group_max(comb, group_keys, "paf", threshold)
     return comb.withColumn("scalar", pafx.scalar_from_paf("paf"))
+
+
+def cluster_scalar(paf: DataFrame, clusters: DataFrame, mediation: DataFrame | None,
+                   set_one: DataFrame | None, cell_keys, cause: str = "acause",
+                   risk: str = "risk", version: str = "version",
+                   cause_risks: DataFrame | None = None) -> DataFrame:
+    """T5 per risk cluster (steps 9-11 of the scalar lifecycle): each PAF row
+    joins the clusters (A11) that contain its risk, then the same combine /
+    cap / rescale runs per (cause, cluster, version).  ``clusters`` has
+    (cause, cluster, risk) rows, one per membership; it is a small table
+    (bounded by causes x risks x levels)."""
+    p = paf.join(clusters.select(cause, "cluster", risk), [cause, risk], "inner")
+    return cause_scalar(p, mediation, set_one, [cause, "cluster", version], cell_keys,
+                        cause, risk, cause_risks=cause_risks)

@@ -146,3 +146,19 @@ def paf_inputs(spark, sf_dir, materialize: bool = True):
     mediation_ = agg.where(F.col("__gid") == gid[2]).select(
         *sets[2], (F.col("sev") / 10).alias("mean"))
     return sev, rr, mediation_
+
+
+def priority_hierarchy(spark, sf_dir) -> DataFrame:
+    """Risk tree over order priorities: root 0; level-1 groups 'urgent'
+    (id 1: priorities 1-2) and 'routine' (id 2: 3-5); each priority p is a
+    level-2 risk with id 10 + p and path '0,<group>,<id>'."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("rei")).distinct()
+    digit = F.substring("rei", 1, 1).cast("int")
+    grp = F.when(digit <= 2, F.lit(1)).otherwise(F.lit(2))
+    leaves = o.select((digit + 10).alias("rei_id"), "rei",
+                      F.concat_ws(",", F.lit("0"), grp.cast("string"),
+                                  (digit + 10).cast("string")).alias("path_to_top_parent"),
+                      F.lit(2).alias("level"))
+    groups = spark.createDataFrame([(1, "urgent", "0,1", 1), (2, "routine", "0,2", 1)],
+                                   "rei_id int, rei string, path_to_top_parent string, level int")
+    return groups.unionByName(leaves)
