@@ -95,3 +95,24 @@ def test_hierarchy_clusters(spark):
     # 'solo' is its own only member -> skipped; 'gone' is not in the table
     assert got == [("leaf", "deep"), ("leaf", "leaf"), ("mid", "deep"), ("mid", "leaf"),
                    ("top", "deep"), ("top", "leaf")]
+
+
+def test_scalars_job_with_files(spark, tmp_path):
+    sev = spark.createDataFrame(
+        [(r, loc, y, 0, 0.1 * (i + 1)) for i, r in enumerate(["r1", "r2"])
+         for loc in (1, 2) for y in (2000, 2020)],
+        "risk string, location_id int, year_id int, draw int, sev double")
+    rr = spark.createDataFrame([("c", "r1", 0, 2.0), ("c", "r2", 0, 3.0)],
+                               "acause string, risk string, draw int, rr double")
+    ver = F.when(F.col("year_id") < 2017, F.lit("past")).otherwise(F.lit("forecast"))
+    paths = scalars.scalars_job(sev, rr, None, None, str(tmp_path), ["location_id", "year_id"], ver)
+    out = spark.read.parquet(paths["scalar"])
+    assert out.count() == 4 and set(r.version for r in out.collect()) == {"past", "forecast"}
+    p1, p2 = 1 - 1 / (0.1 * 1 + 1), 1 - 1 / (0.2 * 2 + 1)
+    exp = 1 - (1 - p1) * (1 - p2)
+    assert all(r.paf == pytest.approx(exp) for r in out.collect())
+    # a second run without update_past keeps the stored PAF partitions as they are
+    sev2 = sev.withColumn("sev", F.col("sev") * 2)
+    scalars.scalars_job(sev2, rr, None, None, str(tmp_path), ["location_id", "year_id"], ver)
+    again = spark.read.parquet(paths["scalar"]).collect()
+    assert all(r.paf == pytest.approx(exp) for r in again)

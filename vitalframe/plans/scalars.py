@@ -146,3 +146,32 @@ def cluster_scalar(paf: DataFrame, clusters: DataFrame, mediation: DataFrame | N
     p = paf.join(clusters.select(cause, "cluster", risk), [cause, risk], "inner")
     return cause_scalar(p, mediation, set_one, [cause, "cluster", version], cell_keys,
                         cause, risk, cause_risks=cause_risks)
+
+
+def scalars_job(sev: DataFrame, rr: DataFrame, mediation: DataFrame | None,
+                set_one: DataFrame | None, out_root: str, keys, version_of,
+                update_past: bool = False) -> dict:
+    """The two original scripts as one Spark job with files between stages.
+
+    1. T4 PAF for all (cause, risk) pairs, tagged with ``version_of(year)``
+       (a column expression), written keyed by (version, acause, risk) under
+       ``out_root/paf`` (K2).  Only partitions not yet written are added
+       unless ``update_past`` (K4 / K5 dynamic overwrite).
+    2. The PAF dataset is read back (S7) — the written table also cuts the
+       lineage — and T5 runs per (acause, version); scalars are written keyed
+       by (version, acause) under ``out_root/scalar``.
+    Returns the two output paths.
+    """
+    import os
+    from ..sources import readers, sinks
+    spark = sev.sparkSession
+    paf_path, sc_path = os.path.join(out_root, "paf"), os.path.join(out_root, "scalar")
+    keys = list(keys)
+    paf = risk_cause_paf(sev, load_rrmax(rr), keys).withColumn("version", version_of)
+    sinks.write_incremental(paf, paf_path, ["version", "acause", "risk"], overwrite=update_past)
+    stored = readers.read_partitioned(spark, paf_path, schema=paf.schema)
+    pairs = rr.select("acause", "risk").distinct()
+    out = cause_scalar(stored, mediation, set_one, ["acause", "version"], keys + ["draw"],
+                       cause_risks=pairs)
+    sinks.write_incremental(out, sc_path, ["version", "acause"], overwrite=True)
+    return {"paf": paf_path, "scalar": sc_path}

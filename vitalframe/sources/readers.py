@@ -98,10 +98,16 @@ def read_keyed_files(spark: SparkSession, glob: str, name_pattern: str,
     return df.withColumn(key_col, digits.try_cast("long")).drop("__path")
 
 
-def read_partitioned(spark: SparkSession, root: str, **equals) -> DataFrame:
+def read_partitioned(spark: SparkSession, root: str, schema: T.StructType | None = None,
+                     **equals) -> DataFrame:
     """One partitioned dataset (``root/version=.../acause=.../risk=...``);
-    the equality filters prune directories; a missing item is absent rows."""
-    df = spark.read.option("basePath", root).parquet(root)
+    the equality filters prune directories; a missing item is absent rows.
+    Give ``schema`` to keep partition values typed as written (otherwise a
+    cause named '123' would be read back as a number)."""
+    reader = spark.read.option("basePath", root)
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.parquet(root)
     for k, v in equals.items():
         df = df.where(F.col(k) == F.lit(v))
     return df
