@@ -844,8 +844,8 @@ def _bernoulli(spark, sf, portable):
 
 @register("bernoulli_draws")
 def q_bernoulli_draws(spark, sf):
-    """M8: 100 Bernoulli draws per row from p = 10 x discount (xxhash64
-    uniforms), counted per row without exploding the draws."""
+    """M8: 100 Bernoulli draws per row from p = 10 x discount (row seed from
+    xxhash64, splitmix64 draws), counted per row without exploding them."""
     return _bernoulli(spark, sf, portable=False)
 
 
