@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import numeric, paf as pafx, randoms, text
+from ..functions import numeric, paf as pafx
 from ..operators import aggs, clean, joins, reshape, stats, windows
 from ..sources import views
 from ..sources.readers import read_table

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from ..functions.randoms import sql_normal, sql_uniform  # noqa: F401
+from ..functions.randoms import sql_uniform
 
 
 def ld(with_risk: bool = False) -> str:

@@ -11,7 +11,6 @@ computed per key in ``applyInPandas``); predictions are joins on
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

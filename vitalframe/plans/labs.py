@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import joins, reshape
+from ..operators import reshape
 
 
 def ratio_table(events: DataFrame, numerator: str = "purchase", denominator: str = "view",
