@@ -73,12 +73,13 @@ def self_join(a: DataFrame, b: DataFrame, keys, suffixes=("_x", "_y"),
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys, how: str = "left",
-           bounded: bool = True) -> DataFrame:
+           bounded: bool = False) -> DataFrame:
     """Lookup join against a dimension.
 
-    ``bounded=True`` asserts the dimension has a fixed, small cardinality
-    (ages, sexes, nations, regions) and broadcasts it; otherwise the
-    strategy is left to AQE's size check.
+    ``bounded=True`` is the caller's statement that the dimension has a
+    fixed, small cardinality (ages, sexes, nations, regions); it is then
+    broadcast.  By default the strategy is left to AQE, which broadcasts
+    only after measuring the side small.
     """
     return df.join(F.broadcast(dim) if bounded else dim, list(keys), how)
 

@@ -16,7 +16,10 @@ from pyspark.sql import types as T
 def shift(df: DataFrame, partition_by, order_by, column: str, offset: int = -1,
           out: str | None = None) -> DataFrame:
     """Pandas ``shift(offset)`` within groups: -1 = next row (lead),
-    +1 = previous row (lag)."""
+    +1 = previous row (lag).  Partition by every key except the ordered one
+    (e.g. location, year, draw when ordering by age) so each window group
+    stays bounded; for consecutive integer orders a self-join on
+    ``order + 1`` (as in ``fertility.cohort_lag``) avoids the sort."""
     w = Window.partitionBy(*partition_by).orderBy(*order_by)
     e = F.lead(column, -offset).over(w) if offset < 0 else F.lag(column, offset).over(w)
     return df.withColumn(out or f"{column}_shift{offset}", e)

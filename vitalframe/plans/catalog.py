@@ -401,7 +401,9 @@ def q_region_lookup(spark, sf):
     c = tbl(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     n = tbl(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
     r = tbl(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
-    j = joins.lookup(joins.lookup(c, n, ["c_nationkey"]), r, ["n_regionkey"])
+    # nation (25 rows) and region (5 rows) are fixed-size dimensions
+    j = joins.lookup(joins.lookup(c, n, ["c_nationkey"], bounded=True), r, ["n_regionkey"],
+                     bounded=True)
     return j.groupBy("r_name").agg(F.sum("n").alias("n_customers"))
 
 
