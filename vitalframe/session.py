@@ -99,6 +99,11 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    if "vitalframe" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(app)  # already given with --py-files
+        return
+    # The zip is a driver-side file; Spark's file server copies it to every
+    # executor (nothing is read from a shared or executor-local folder).
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
