@@ -138,7 +138,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss), never localCheckpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "t"):
+    """Materialise ``df`` as a Parquet table under ``spark.checkpoint.dir``
+    and return a DataFrame reading it.
+
+    The table is computed once, survives executor loss (it is in the shared
+    folder, never executor-local as ``localCheckpoint`` would be), is
+    columnar and compressed, and later filters and projections push down
+    into it.  Used at fan-out points: a table with several consumers.
+    """
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/vitalframe-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
