@@ -210,3 +210,48 @@ def test_dedupe_first_hot_key(spark):
     plan = windows.dedupe_first(df, ["k"], [("v", True), "t"])._jdf.queryExecution() \
         .executedPlan().toString()
     assert "Window" not in plan and "partial_min_by" in plan
+
+
+def test_poisson_sample_means_clt(spark):
+    lam = spark.createDataFrame([("a", 5.0), ("b", 0.1)], "g string, lam double")
+    m = stats.poisson_means(spark, lam, "lam", [10, 100], reps=1000, seed=3, by=["g"])
+    got = {(r.g, r.n): (r.m, r.v) for r in m.groupBy("g", "n").agg(
+        F.avg("mean").alias("m"), F.var_samp("mean").alias("v")).collect()}
+    for (g, n), (mean, var) in got.items():
+        l = 5.0 if g == "a" else 0.1
+        assert abs(mean - l) < 4 * math.sqrt(l / n / 1000)
+        assert var == pytest.approx(l / n, rel=0.15)
+
+
+def test_random_effect_draws_moments(spark):
+    from vitalframe.plans import forecast
+    fit = spark.createDataFrame(
+        [(8, "blup", "loc", "1", 0.5), (8, "sigma2", "loc", None, 0.04)],
+        "age int, kind string, term string, level string, estimate double")
+    levels = spark.createDataFrame([(8, 1), (8, 2)], "age int, loc int")
+    d = forecast.random_effect_draws(fit, levels, ["age"], "loc", 4000, seed=2)
+    got = {r.loc: (r.m, r.s) for r in d.groupBy("loc").agg(
+        F.avg("re").alias("m"), F.stddev("re").alias("s")).collect()}
+    assert got["1"][0] == pytest.approx(0.5, abs=0.01) and got["1"][1] == pytest.approx(0.2, rel=0.05)
+    assert got["2"][0] == pytest.approx(0.0, abs=0.01)     # unseen level: prior mean 0
+
+
+def test_sev_integral_converges(spark):
+    from vitalframe.plans import exposure
+    rows = [(20.0, 6.0, 1.05, 4.0, 15.0, 0.0, 100.0, 0),   # harmful above tmrel, capped
+            (20.0, 6.0, 1.05, 4.0, 25.0, 0.0, 100.0, 1),   # protective below tmrel
+            (20.0, 6.0, 1.05, 4.0, 500.0, 0.0, 100.0, 0)]  # tmrel beyond range: RR = 1
+    df = spark.createDataFrame(rows, "exp_mean double, exp_sd double, rr_mean double, "
+                               "rr_max double, tmrel double, integ_min double, "
+                               "integ_max double, flag int")
+    got = [r.integral for r in exposure.sev_integral(df, cells=2048).collect()]
+    x = np.linspace(1e-9, 100.0, 2_000_001)
+    v = 1 + 36.0 / 400.0
+    mu, sig = math.log(20.0 / math.sqrt(v)), math.sqrt(math.log(v))
+    p = np.exp(-(np.log(x) - mu) ** 2 / (2 * sig ** 2)) / (x * sig * math.sqrt(2 * math.pi))
+    for (m, s, rm, cap, t, lo, hi, flag), g in zip(rows, got):
+        dist = (t - x) if flag == 1 else (x - t)
+        rr = np.where(dist > 0, np.minimum(rm ** dist, cap), 1.0)
+        exact = np.trapezoid(rr * p, x)
+        assert g == pytest.approx(exact, rel=1e-5)
+    assert got[2] == pytest.approx(1.0, abs=1e-6)
