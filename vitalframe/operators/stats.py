@@ -196,13 +196,17 @@ def poisson_means(spark, lam_df: DataFrame, lam: str, sizes, reps: int = 1000,
                   seed: int = 0, by=()) -> DataFrame:
     """M6: sampling distribution of the mean of n Poisson(lam) draws.
 
-    One row per (group, n, rep) with the sample mean.  Draws are hash
+    ``sizes`` are ints or names of columns of ``lam_df`` holding a per-group
+    sample size.  One row per (group, n, rep) with the sample mean.  Draws are hash
     Poisson (inverse CDF), generated per row of ``lam_df`` with ``range``
     and ``explode`` (distributed, no driver data).
     """
     by = list(by)
-    base = lam_df.select(*by, F.col(lam).alias("lam"))
-    base = base.withColumn("n", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
+    size_cols = [s for s in sizes if isinstance(s, str)]
+    base = lam_df.select(*by, F.col(lam).alias("lam"), *size_cols)
+    base = base.withColumn("n", F.explode(F.array(
+        *[F.col(s).cast("int") if isinstance(s, str) else F.lit(int(s)) for s in sizes])))
+    base = base.drop(*size_cols)
     base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     base = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     draw = randoms.hash_poisson(F.col("lam"), *by, "n", "rep", "i", seed=seed)

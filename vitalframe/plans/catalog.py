@@ -873,12 +873,15 @@ def q_bootstrap_power(spark, sf):
 
 @register("poisson_sample_means")
 def q_poisson_sample_means(spark, sf):
-    """M6: sampling distribution of Poisson means (n = 10, 100; 1000 reps)
-    at each event type's daily rate per user, summarised per (type, n)."""
+    """M6: sampling distribution of Poisson means (1000 reps) at each event
+    type's daily rate per user, for n = 10, 100 and n = the type's number of
+    users (so the work grows with the data), summarised per (type, n)."""
     e = tbl(spark, sf, "events")
     lam = e.groupBy("event_type").agg(
-        (F.count("*") / (F.count_distinct("user_id") * 30.0)).alias("lam"))
-    m = stats.poisson_means(spark, lam, "lam", [10, 100], reps=1000, seed=5, by=["event_type"])
+        (F.count("*") / (F.count_distinct("user_id") * 30.0)).alias("lam"),
+        F.count_distinct("user_id").alias("n_users"))
+    m = stats.poisson_means(spark, lam, "lam", [10, 100, "n_users"], reps=1000, seed=5,
+                            by=["event_type"])
     return rounded(m.groupBy("event_type", "lam", "n").agg(
         F.avg("mean").alias("mean_of_means"), F.var_samp("mean").alias("var_of_means"),
         F.count("*").alias("reps")), 4)
