@@ -61,6 +61,16 @@ def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int,
     }
 
 
+def _default_heap() -> str:
+    """Local-mode heap: 60% of physical memory, at most 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gb = max(1, min(16, int(total * 0.6 / 1024 ** 3)))
+    return f"{gb}g"
+
+
 def build_session(master: str | None = None, app: str = "vitalframe",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -76,7 +86,7 @@ def build_session(master: str | None = None, app: str = "vitalframe",
     builder = builder.master(master)
     conf = dict(_BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = os.environ.get("VF_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("VF_DRIVER_MEMORY", _default_heap())
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
