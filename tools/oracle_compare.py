@@ -30,15 +30,26 @@ def _rows(records, cols):
     return sorted(tuple(_norm(r[c]) for c in cols) for r in records)
 
 
-def compare(df, con, sql):
+_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+          "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "ShortType()": "SMALLINT",
+          "FloatType()": "FLOAT"}
+
+
+def compare(df, con, sql, check_types=True):
     """Return None when equal, else a short description of the difference."""
     srows = [r.asDict() for r in df.collect()]
     scols = df.columns
-    cur = con.execute(sql)
-    dcols = [d[0] for d in cur.description]
-    drows = [dict(zip(dcols, r)) for r in cur.fetchall()]
+    rel = con.sql(sql)
+    dcols = list(rel.columns)
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
     if sorted(scols) != sorted(dcols):
         return f"columns {sorted(scols)} vs {sorted(dcols)}"
+    if check_types:
+        for f in df.schema.fields:
+            st = _TYPES.get(repr(f.dataType), repr(f.dataType))
+            if st != dtypes[f.name]:
+                return f"type of {f.name}: {st} vs {dtypes[f.name]}"
     cols = sorted(scols)
     a, b = _rows(srows, cols), _rows(drows, cols)
     if len(a) != len(b):

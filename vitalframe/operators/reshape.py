@@ -115,7 +115,10 @@ def complete_index(dims: dict, spark=None, version: str | None = None,
         if isinstance(vals, DataFrame):
             parts.append(vals.select(name).distinct())
         else:
-            parts.append(spark.createDataFrame([(v,) for v in vals], [name]))
+            vals = list(vals)
+            small_int = all(isinstance(v, int) and -2 ** 31 <= v < 2 ** 31 for v in vals)
+            ddl = f"{name} int" if small_int else None
+            parts.append(spark.createDataFrame([(v,) for v in vals], ddl or [name]))
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))

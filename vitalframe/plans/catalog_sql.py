@@ -560,7 +560,8 @@ SQL["bernoulli_draws_portable"] = f"""WITH l AS (SELECT row_number() OVER () AS
     l_discount * 10 AS p FROM lineitem)
 SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber,
   {r6('any_value(p)')} AS p,
-  count_if({sql_uniform('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'd', seed=3)} < p) AS n_events
+  CAST(count_if({sql_uniform('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'd', seed=3)} < p) AS BIGINT)
+    AS n_events
 FROM l, range(0, 100) t(d) GROUP BY rid"""
 
 SQL["prefix_columns"] = f"""WITH {ld(True)}, {SEV_BY_RISK}
