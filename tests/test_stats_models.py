@@ -255,3 +255,10 @@ def test_sev_integral_converges(spark):
         exact = np.trapezoid(rr * p, x)
         assert g == pytest.approx(exact, rel=1e-5)
     assert got[2] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_predict_without_groups(spark):
+    df = spark.createDataFrame([(float(x), 2.0 + 3.0 * x) for x in range(10)], "x double, y double")
+    fit = stats.ols_grouped(df, "y", ["x"])
+    p = stats.predict(df, fit, "y", ["x"])
+    assert all(abs(r.resid) < 1e-9 for r in p.collect())

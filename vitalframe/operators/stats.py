@@ -120,9 +120,14 @@ def predict(df: DataFrame, coefs: DataFrame, y: str, xs, by=(),
     """M3: predictions and residuals for all rows (null response -> null
     residual) by joining the per-group coefficients back."""
     by = list(by)
-    wide = coefs.groupBy(*by).pivot("term", ["intercept"] + list(xs)).agg(F.first("estimate"))
-    wide = wide.withColumnsRenamed({t: f"__b_{t}" for t in ["intercept"] + list(xs)})
-    j = df.join(wide, by, "inner") if by else df.crossJoin(wide)
+    terms = ["intercept"] + list(xs)
+    if not by:  # one fit: its p coefficients become literals (no join)
+        est = {r["term"]: r["estimate"] for r in coefs.select("term", "estimate").collect()}
+        j = df.withColumns({f"__b_{t}": F.lit(float(est[t])) for t in terms})
+    else:
+        wide = coefs.groupBy(*by).pivot("term", terms).agg(F.first("estimate"))
+        wide = wide.withColumnsRenamed({t: f"__b_{t}" for t in terms})
+        j = df.join(wide, by, "inner")
     p = F.col("__b_intercept")
     for x in xs:
         p = p + F.col(f"__b_{x}") * F.col(x)
