@@ -3,6 +3,7 @@
 import json
 import os
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ def test_streaming_day_batches(spark, tmp):
     spark.createDataFrame([("20240101", "a", 1.0), ("20240102", "b", 2.0)], schema) \
         .write.parquet(os.path.join(src, "f1"))
     stream = day_batches.day_stream(spark, os.path.join(src, "*"), schema)
-    q = day_batches.write_days(stream, out, "day", "t1",
+    q = day_batches.write_days(stream, out, "day", f"t1-{uuid.uuid4().hex}",
                                delete_predicate=F.col("city") == "b")
     q.awaitTermination(120)
     got = spark.read.parquet(out).collect()
@@ -98,3 +99,21 @@ def test_streaming_day_batches(spark, tmp):
 def test_to_driver_is_bounded(spark):
     pdf = sinks.to_driver(spark.range(1000), 5)
     assert len(pdf) == 5
+
+
+def test_streaming_replaces_a_day(spark, tmp):
+    name = f"t2-{uuid.uuid4().hex}"
+    src, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    schema = T.StructType([T.StructField("day", T.StringType()),
+                           T.StructField("city", T.StringType()),
+                           T.StructField("v", T.DoubleType())])
+    spark.createDataFrame([("20240101", "a", 1.0), ("20240102", "a", 2.0)], schema) \
+        .write.parquet(os.path.join(src, "f1"))
+    day_batches.write_days(day_batches.day_stream(spark, os.path.join(src, "*"), schema),
+                           out, "day", name).awaitTermination(120)
+    # a corrected file for one day arrives: that day is replaced, the other kept
+    spark.createDataFrame([("20240102", "a", 9.0)], schema).write.parquet(os.path.join(src, "f2"))
+    day_batches.write_days(day_batches.day_stream(spark, os.path.join(src, "*"), schema),
+                           out, "day", name).awaitTermination(120)
+    got = {str(r.day): r.v for r in spark.read.parquet(out).collect()}
+    assert got == {"20240101": 1.0, "20240102": 9.0}

@@ -262,3 +262,24 @@ def test_predict_without_groups(spark):
     fit = stats.ols_grouped(df, "y", ["x"])
     p = stats.predict(df, fit, "y", ["x"])
     assert all(abs(r.resid) < 1e-9 for r in p.collect())
+
+
+def test_logistic_formula_matches_newton(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    cat = rng.integers(0, 3, n)
+    x = rng.normal(size=n)
+    eta = -0.5 + np.array([0.0, 0.8, -0.6])[cat] + 1.2 * x
+    y = (rng.uniform(size=n) < 1 / (1 + np.exp(-eta))).astype(float)
+    df = spark.createDataFrame([(f"c{c}", float(a), float(b)) for c, a, b in zip(cat, x, y)],
+                               "g string, x double, label double")
+    _m, pred = learn.logistic_formula(df, "label ~ g + x")
+    got = np.array([r.p for r in pred.orderBy("x").collect()])
+    X = np.column_stack([np.ones(n), cat == 1, cat == 2, x]).astype(float)
+    w = np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-X @ w))
+        w += np.linalg.solve(X.T @ (X * (p * (1 - p))[:, None]), X.T @ (y - p))
+    order = np.argsort(x)
+    exp = (1 / (1 + np.exp(-X @ w)))[order]
+    assert np.allclose(got, exp, atol=1e-4)
