@@ -4,13 +4,14 @@ Cartesian products of data, partial aggregation, top-k without a full sort."""
 import pytest
 
 import __spark_entry__ as E
+from oracle_compare import physical_plan
 
 SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
     df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "1000")
-    return df._jdf.queryExecution().executedPlan().toString()
+    return physical_plan(df)
 
 
 def test_filter_and_projection_reach_the_scan(spark):

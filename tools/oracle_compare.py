@@ -62,3 +62,13 @@ def compare(df, con, sql, check_types=True):
             elif x != y:
                 return f"value {ra} vs {rb}"
     return None
+
+
+def physical_plan(df) -> str:
+    """The physical plan text from the public ``explain()`` output."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
