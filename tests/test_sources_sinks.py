@@ -117,3 +117,15 @@ def test_streaming_replaces_a_day(spark, tmp):
                            out, "day", name).awaitTermination(120)
     got = {str(r.day): r.v for r in spark.read.parquet(out).collect()}
     assert got == {"20240101": 1.0, "20240102": 9.0}
+
+
+def test_save_csv_and_split_by_day(spark, tmp):
+    df = spark.createDataFrame([("20240101", 1), ("20240102", 2), ("20240102", 3)],
+                               "day string, v int")
+    sinks.save_csv(df, os.path.join(tmp, "csv"))
+    back = readers.read_csv(spark, os.path.join(tmp, "csv"))
+    assert back.count() == 3
+    sinks.split_by_day(df, os.path.join(tmp, "days"))
+    assert sorted(os.listdir(os.path.join(tmp, "days")))[:2] == ["_SUCCESS", "day=20240101"]
+    sinks.save(df, os.path.join(tmp, "pq"))
+    assert spark.read.parquet(os.path.join(tmp, "pq")).count() == 3

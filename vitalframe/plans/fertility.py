@@ -49,9 +49,12 @@ def arc_scenarios(df: DataFrame, keys, across: str, value: str, start_year: int,
     scenario 0 uses the key's own rate; scenarios -1 and +1 use the
     ``quantiles`` of the rates across ``across`` (e.g. locations) within the
     rest of the key (e.g. age).  Forecast rows only, one per scenario."""
+    from ..session import cut_lineage
     keys = list(keys)
     rest = [k for k in keys if k != across]
-    rates = arc_rates(df, keys, value, start_year, last_year, weight_exp, year)
+    # one row per key, read by the quantile step and the projection: written once
+    rates = cut_lineage(arc_rates(df, keys, value, start_year, last_year, weight_exp, year),
+                        "arc_rates")
     q = (rates.groupBy(*rest)
               .agg(F.percentile("arc", F.array(*[F.lit(float(x)) for x in quantiles]))
                    .alias("__q")))
