@@ -283,3 +283,16 @@ def test_logistic_formula_matches_newton(spark):
     order = np.argsort(x)
     exp = (1 / (1 + np.exp(-X @ w)))[order]
     assert np.allclose(got, exp, atol=1e-4)
+
+
+def test_bootstrap_moments_matches_literal(spark):
+    lit = stats.bootstrap_power(30, 40, 0.0, 0.5, 1.0, spark, n_boot=2000, alpha=0.05,
+                                method="literal").first().power
+    mom = stats.bootstrap_power(30, 40, 0.0, 0.5, 1.0, spark, n_boot=20000, alpha=0.05,
+                                method="moments").first().power
+    # both estimate the same power (~0.46): within sampling error of 2000 replicates
+    assert abs(lit - mom) < 4 * (0.25 / 2000) ** 0.5
+    # n = 10^9 per group: only the moments form is feasible; effect 1e-4 is
+    # 2.236 standard errors, so power = Phi(2.236 - 1.96) + Phi(-2.236 - 1.96) ~ 0.609
+    big = stats.bootstrap_power(10 ** 9, 10 ** 9, 0.0, 1e-4, 1.0, spark, n_boot=2000).first()
+    assert big.n_boot == 2000 and abs(big.power - 0.609) < 4 * (0.24 / 2000) ** 0.5

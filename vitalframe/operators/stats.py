@@ -167,16 +167,25 @@ def t_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 def bootstrap_power(n1: int, n2: int, mean1: float, mean2: float, sd: float,
                     spark, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0,
-                    boot_source: DataFrame | None = None) -> DataFrame:
+                    method: str = "auto", literal_limit: int = 5_000_000) -> DataFrame:
     """M5: parametric bootstrap power of the pooled t-test.
 
     ``n_boot`` samples of two normal groups (sizes n1, n2, common sd); the
     share of samples with p < alpha.  Normals come from hashes of
-    (boot, group, i), so the result does not depend on partitioning.  Work:
-    n_boot x (n1 + n2) rows generated with ``range`` (distributed), one
-    grouped aggregate per boot, then a global mean.
+    (boot, group, i), so the result does not depend on partitioning.
+
+    ``method='literal'``: n_boot x (n1 + n2) rows generated with ``range``
+    and ``explode`` (distributed), one grouped aggregate per boot.
+    ``method='moments'``: per replicate, each group's sample mean is drawn
+    exactly as Normal(mu, sd^2 / n) and its sample variance as
+    sd^2 chi2(n-1) / (n-1), chi2 by the Wilson-Hilferty transform of a
+    normal: O(n_boot) work whatever n is.  ``'auto'`` uses the literal form
+    up to ``literal_limit`` generated values, moments beyond (group sizes
+    taken from a 100 TB table would otherwise mean 10^12 rows per replicate).
     """
     tcrit = special.t_critical(alpha, n1 + n2 - 2)
+    if method == "moments" or (method == "auto" and n_boot * (n1 + n2) > literal_limit):
+        return _bootstrap_moments(n1, n2, mean1, mean2, sd, spark, n_boot, tcrit, seed)
     n_max = max(n1, n2)
     rows = (spark.range(n_boot).withColumnRenamed("id", "boot")
                  .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))))
@@ -197,6 +206,26 @@ def bootstrap_power(n1: int, n2: int, mean1: float, mean2: float, sd: float,
                    F.count("*").alias("n_boot"))
 
 
+def _chi2_wh(k: float, z):
+    """chi-square(k) from a standard normal by Wilson-Hilferty."""
+    c = 2.0 / (9.0 * k)
+    return F.lit(k) * F.pow(F.greatest(F.lit(1.0) - F.lit(c) + z * F.lit(c ** 0.5), F.lit(0.0)),
+                            F.lit(3.0))
+
+
+def _bootstrap_moments(n1, n2, mean1, mean2, sd, spark, n_boot, tcrit, seed):
+    b = spark.range(n_boot).withColumnRenamed("id", "boot")
+    z = [randoms.hash_normal("boot", seed=seed, stream=k) for k in range(4)]
+    m1 = F.lit(mean1) + F.lit(sd / n1 ** 0.5) * z[0]
+    m2 = F.lit(mean2) + F.lit(sd / n2 ** 0.5) * z[1]
+    v1 = F.lit(sd * sd / (n1 - 1)) * _chi2_wh(n1 - 1, z[2])
+    v2 = F.lit(sd * sd / (n2 - 1)) * _chi2_wh(n2 - 1, z[3])
+    sp2 = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
+    t = (m1 - m2) / F.sqrt(sp2 * (1.0 / n1 + 1.0 / n2))
+    return b.agg(F.avg((F.abs(t) > tcrit).cast("double")).alias("power"),
+                 F.count("*").alias("n_boot"))
+
+
 def poisson_means(spark, lam_df: DataFrame, lam: str, sizes, reps: int = 1000,
                   seed: int = 0, by=()) -> DataFrame:
     """M6: sampling distribution of the mean of n Poisson(lam) draws.
