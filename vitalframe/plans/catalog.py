@@ -170,7 +170,7 @@ def q_scenario_compare(spark, sf):
 def q_past_plus_forecast(spark, sf):
     """O4 + O9: past years [1995, 1999) of one table and forecast [1999, 2001]
     of another, concatenated by name."""
-    sev = views.sev_by_risk(spark, sf)
+    sev = views.paf_inputs(spark, sf)[0]   # two consumers: materialised input
     fc = sev.withColumn("sev", F.col("sev") * 1.1)
     return rounded(reshape.past_plus_forecast(sev, fc, 1995, 1999, 2001))
 
