@@ -7,7 +7,8 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["bernoulli_draws", "under_one_population", "bootstrap_power", "dedupe_first",
-         "cause_scalar", "asfr_forecast_draws"]
+         "cause_scalar", "asfr_forecast_draws", "sequential_lag_forecast", "arc_scenarios",
+         "repeated_rows"]
 
 
 @pytest.mark.parametrize("name", NAMES)
