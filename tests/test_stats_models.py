@@ -311,3 +311,44 @@ def test_poisson_means_large_n_path(spark):
     assert a[1] == pytest.approx(0.3 / 2000, rel=0.2) and b[1] == pytest.approx(0.3 / 2000, rel=0.1)
     huge = stats.poisson_means(spark, lam, "lam", [10 ** 9], reps=200, seed=2, by=["g"]).first()
     assert huge.mean == pytest.approx(0.3, rel=1e-3)
+
+
+def test_precision_recall_counts(spark):
+    p = spark.createDataFrame([(1, 1.0), (1, 0.0), (0, 1.0), (0, 0.0), (1, 1.0)],
+                              "label int, prediction double")
+    r = learn.precision_recall(p).first()
+    assert (r.tp, r.fp, r.fn) == (2, 1, 1)
+    assert r.precision == pytest.approx(2 / 3) and r.recall == pytest.approx(2 / 3)
+
+
+def test_binary_subset_and_grid_search(spark):
+    m = learn.two_moons(spark, 1500, noise=0.2, seed=5)
+    f = learn.assemble(m.withColumn("x2", F.col("x0") * 0.0), ["x0", "x1", "x2"])
+    f3 = f.withColumn("label", F.when(F.col("id") % 7 == 0, F.lit(2)).otherwise(F.col("label")))
+    sub = learn.binary_subset(f3, "label", (0, 1), indices=(0, 1))
+    assert sorted(r.label for r in sub.select("label").distinct().collect()) == [0, 1]
+    assert sub.first().features2.size == 2
+    cv = learn.grid_search_tree(f.withColumn("label", F.col("label").cast("double")),
+                                depths=(1, 3))
+    acc = dict(zip([pm[list(pm)[0]] for pm in cv.getEstimatorParamMaps()], cv.avgMetrics))
+    assert acc[3] >= acc[1] and acc[3] > 0.8
+
+
+def test_ols_r2_matches_regr_r2(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=300)
+    df = spark.createDataFrame([(float(a), float(2 * a + rng.normal())) for a in x], "x double, y double")
+    r2 = stats.ols_grouped(df, "y", ["x"]).first().r2
+    assert r2 == pytest.approx(stats.ols_simple(df, "y", "x").first().r2, rel=1e-9)
+
+
+def test_coefficient_draws_moments(spark):
+    from vitalframe.plans import forecast
+    V = [[0.04, 0.01], [0.01, 0.09]]
+    fit = spark.createDataFrame([(8, "fixed", "intercept", None, 1.0, V[0]),
+                                 (8, "fixed", "x", None, -2.0, V[1])],
+                                "age int, kind string, term string, level string, "
+                                "estimate double, vcov array<double>")
+    d = forecast.coefficient_draws(fit, ["age"], ["intercept", "x"], 20000, seed=6).toPandas()
+    assert np.allclose(d[["b_intercept", "b_x"]].mean(), [1.0, -2.0], atol=0.01)
+    assert np.allclose(np.cov(d.b_intercept, d.b_x), V, atol=0.004)
