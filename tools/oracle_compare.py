@@ -35,7 +35,7 @@ _TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "D
           "FloatType()": "FLOAT"}
 
 
-def compare(df, con, sql, check_types=True):
+def compare(df, con, sql, check_types=True, exact=False):
     """Return None when equal, else a short description of the difference."""
     srows = [r.asDict() for r in df.collect()]
     scols = df.columns
@@ -51,6 +51,13 @@ def compare(df, con, sql, check_types=True):
             if st != dtypes[f.name]:
                 return f"type of {f.name}: {st} vs {dtypes[f.name]}"
     cols = sorted(scols)
+    if exact:  # values exactly as returned (no tolerance): count differing rows
+        ka = sorted(repr(tuple(r[c] for c in cols)) for r in srows)
+        kb = sorted(repr(tuple(r[c] for c in cols)) for r in drows)
+        if len(ka) != len(kb):
+            return f"rows {len(ka)} vs {len(kb)}"
+        diff = len(set(ka) ^ set(kb))
+        return f"{diff} rows differ exactly" if diff else None
     a, b = _rows(srows, cols), _rows(drows, cols)
     if len(a) != len(b):
         return f"rows {len(a)} vs {len(b)}"

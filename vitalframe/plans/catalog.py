@@ -29,10 +29,20 @@ def register(name):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every floating column to ``digits`` places for comparison.
+
+    Values that are exact decimals one digit longer (x.xxxxxx5) are ties;
+    engines break them differently (decimal HALF_UP vs scaled binary), so
+    the value is first nudged away from zero by 10^-(digits+3), a thousandth
+    of the last kept unit: ties then round away from zero everywhere, other
+    values are unaffected.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            c = F.col(f.name).cast("double")
+            nudged = c + F.signum(c) * F.lit(10.0 ** -(digits + 3))
+            cols.append(F.round(nudged, digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -29,8 +29,15 @@ def ld(with_risk: bool = False) -> str:
        JOIN supplier s ON l.l_suppkey = s.s_suppkey{join})"""
 
 
+def rn(x: str, digits: int) -> str:
+    """Round like ``catalog.rounded``: nudge ties away from zero, then round;
+    ``+ 0.0`` turns a rounded -0.0 into 0.0."""
+    eps = repr(10.0 ** -(digits + 3))
+    return f"(round(({x}) + sign({x}) * {eps}, {digits}) + 0.0)"
+
+
 def r6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    return rn(x, 6)
 
 
 SEV_BY_RISK = """sev AS (SELECT risk, location_id, year_id, draw, avg(sev) AS sev
@@ -517,15 +524,15 @@ b AS (SELECT *, (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12) AS b1,
 coef AS (SELECT l_returnflag, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM b)"""
 
 SQL["grouped_ols"] = f"""WITH {OLS2}
-SELECT l_returnflag, 'intercept' AS term, round(b0, 4) + 0.0 AS estimate FROM coef
-UNION ALL SELECT l_returnflag, 'l_quantity', round(b1, 4) + 0.0 FROM coef
-UNION ALL SELECT l_returnflag, 'l_discount', round(b2, 4) + 0.0 FROM coef"""
+SELECT l_returnflag, 'intercept' AS term, {rn('b0', 4)} AS estimate FROM coef
+UNION ALL SELECT l_returnflag, 'l_quantity', {rn('b1', 4)} FROM coef
+UNION ALL SELECT l_returnflag, 'l_discount', {rn('b2', 4)} FROM coef"""
 
 SQL["grouped_ols_predict"] = f"""WITH {OLS2},
 p AS (SELECT l.l_orderkey, l.l_linenumber, c.b0 + c.b1 * l.l_quantity + c.b2 * l.l_discount AS pred,
         l.l_extendedprice FROM lineitem l JOIN coef c ON l.l_returnflag = c.l_returnflag)
-SELECT l_orderkey, l_linenumber, round(pred, 3) + 0.0 AS pred,
-  round(l_extendedprice - pred, 3) + 0.0 AS resid FROM p"""
+SELECT l_orderkey, l_linenumber, {rn('pred', 3)} AS pred,
+  {rn('l_extendedprice - pred', 3)} AS resid FROM p"""
 
 SQL["t_statistic"] = f"""WITH g AS (SELECT
     count(value) FILTER (WHERE event_type = 'view') AS n1,
@@ -540,14 +547,14 @@ SELECT n1, n2, {r6('mean1')} AS mean1, {r6('mean2')} AS mean2,
   {r6('(mean1 - mean2) / sqrt(sp2 * (1.0 / n1 + 1.0 / n2))')} AS t,
   CAST(n1 + n2 - 2 AS BIGINT) AS df FROM t"""
 
-SQL["residual_autocorr"] = """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS y,
+SQL["residual_autocorr"] = f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS y,
     CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY 1),
 f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d),
 r AS (SELECT d.day, d.y - (f.a + f.b * d.x) AS resid FROM d, f),
 p AS (SELECT resid, lead(resid) OVER (ORDER BY day) AS next_resid FROM r)
-SELECT round(regr_slope(next_resid, resid), 4) + 0.0 AS slope,
-  round(regr_intercept(next_resid, resid), 4) + 0.0 AS intercept,
-  round(regr_r2(next_resid, resid), 4) + 0.0 AS r2,
+SELECT {rn('regr_slope(next_resid, resid)', 4)} AS slope,
+  {rn('regr_intercept(next_resid, resid)', 4)} AS intercept,
+  {rn('regr_r2(next_resid, resid)', 4)} AS r2,
   CAST(regr_count(next_resid, resid) AS BIGINT) AS n FROM p WHERE next_resid IS NOT NULL"""
 
 SQL["standardized_ols"] = f"""WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq,
