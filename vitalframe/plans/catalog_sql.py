@@ -695,3 +695,45 @@ sc AS (SELECT c.acause, c.cluster, c.version, c.location_id, c.year_id, c.draw,
          AND c.version = mx.version)
 SELECT acause, cluster, version, location_id, year_id, draw, {r6('paf')} AS paf,
        {r6('1.0 / NULLIF(1 - paf, 0)')} AS scalar FROM sc"""
+
+
+def _vincenty_sql() -> str:
+    """X7 precise mode in SQL: the same fixed 100 Vincenty iterations as
+    ``numeric.add_vincenty_km``, as a recursive CTE."""
+    a, f, b, r = 6378.137, 0.0033528106647474805, 6356.752314245179, 0.017453292519943295
+    return f"""WITH RECURSIVE {ADDR},
+base AS (SELECT address, c_custkey, lat, lng,
+    atan((1 - {f!r}) * tan(lat * {r!r})) AS U1, atan((1 - {f!r}) * tan(38.8976763 * {r!r})) AS U2,
+    (-77.0387185 - lng) * {r!r} AS L FROM g WHERE lat IS NOT NULL),
+b2 AS (SELECT address, c_custkey, lat, lng, sin(U1) AS sU1, cos(U1) AS cU1, sin(U2) AS sU2,
+    cos(U2) AS cU2, L FROM base),
+it(address, c_custkey, lat, lng, sU1, cU1, sU2, cU2, L, lam, i) AS (
+  SELECT address, c_custkey, lat, lng, sU1, cU1, sU2, cU2, L, L, 0 FROM b2
+  UNION ALL
+  SELECT address, c_custkey, lat, lng, sU1, cU1, sU2, cU2, L,
+    L + (1 - C) * {f!r} * sa * (sig + C * sin_sig * (c2m + C * cos_sig * (-1 + 2 * c2m * c2m))), i + 1
+  FROM (SELECT *, {f / 16!r} * c2a * (4 + {f!r} * (4 - 3 * c2a)) AS C FROM (
+    SELECT *, CASE WHEN c2a = 0 THEN 0.0 ELSE cos_sig - 2 * sU1 * sU2 / c2a END AS c2m FROM (
+      SELECT *, 1.0 - sa * sa AS c2a FROM (
+        SELECT *, atan2(sin_sig, cos_sig) AS sig,
+          CASE WHEN sin_sig = 0 THEN 0.0 ELSE cU1 * cU2 * sin(lam) / sin_sig END AS sa FROM (
+          SELECT *, sqrt(pow(cU2 * sin(lam), 2) + pow(cU1 * sU2 - sU1 * cU2 * cos(lam), 2)) AS sin_sig,
+            sU1 * sU2 + cU1 * cU2 * cos(lam) AS cos_sig FROM it WHERE i < 100) t1) t2) t3) t4) t5),
+fin AS (SELECT address, c_custkey, lat, lng,
+    sqrt(pow(cU2 * sin(lam), 2) + pow(cU1 * sU2 - sU1 * cU2 * cos(lam), 2)) AS ss,
+    sU1 * sU2 + cU1 * cU2 * cos(lam) AS cs, sU1, sU2, cU1, cU2, lam FROM it WHERE i = 100),
+fin2 AS (SELECT *, atan2(ss, cs) AS sg,
+    CASE WHEN ss = 0 THEN 0.0 ELSE cU1 * cU2 * sin(lam) / ss END AS sa FROM fin),
+fin3 AS (SELECT *, 1.0 - sa * sa AS c2a FROM fin2),
+fin4 AS (SELECT *, CASE WHEN c2a = 0 THEN 0.0 ELSE cs - 2 * sU1 * sU2 / c2a END AS c2m,
+    c2a * ({a!r} * {a!r} - {b!r} * {b!r}) / ({b!r} * {b!r}) AS u2 FROM fin3),
+fin5 AS (SELECT *, 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))) AS AA,
+    u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) AS BB FROM fin4),
+fin6 AS (SELECT *, BB * ss * (c2m + BB / 4 * (cs * (-1 + 2 * c2m * c2m) -
+    BB / 6 * c2m * (-3 + 4 * ss * ss) * (-3 + 4 * c2m * c2m))) AS dsig FROM fin5)
+SELECT address, c_custkey, {r6('lat')} AS lat, {r6('lng')} AS lng,
+  {r6('CASE WHEN ss = 0 THEN 0.0 ELSE ' + repr(b) + ' * AA * (sg - dsig) END')} AS distance_km
+FROM fin6"""
+
+
+SQL["vincenty_distance"] = _vincenty_sql()
