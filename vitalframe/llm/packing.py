@@ -13,7 +13,7 @@ powers of two, so no sequence is padded.
 
 Tokens of a white-space-free chunk do not depend on its neighbours with the given
 tokenizer (its pre-tokenizer never joins across white space), so chunks are
-tokenised once and kept in a bounded table per task.
+tokenised once and kept in a bounded table per worker.
 
 Defined cases: a null or empty text has the end id only; repeated rows are packed
 as often as they occur; texts of any length are cut, never truncated; an empty
@@ -23,9 +23,11 @@ step numbers contain the partition number, so they are unique without coordinati
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 END_ID = 2
 BUFFER = 2048        # waiting pieces per task between packings
-MEMO = 700_000       # chunks kept per task
+MEMO = 700_000       # chunks kept per Python worker
 _MARKS = b".,;:!?#*$%&)("  # none of these starts a contraction or a special string
 
 
@@ -130,6 +132,13 @@ def _closed(head: bytes) -> bool:
     return c.isalpha() and c.lower() == c
 
 
+@lru_cache(maxsize=1)
+def _worker_tokens(tokenizer_path: str) -> Tokens:
+    """One table per Python worker, so that its later tasks find the chunks of earlier ones."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
+    return Tokens(tokenizer_path)
+
+
 class Packer:
     """Packs pieces (doc, start, ids, doc_tokens) into windows of the tiers' sizes."""
 
@@ -233,7 +242,7 @@ def pack(documents: DataFrame, tokenizer_path: str, tiers: tuple = TIERS, end_id
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer_path)
+        tokens = _worker_tokens(tokenizer_path)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 33)
 
         def out():
