@@ -42,7 +42,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 END_ID = 2
 BUFFER = 2048        # waiting pieces per task between packings
-MEMO = 700_000       # chunks kept per Python worker
+MEMO = 1_000_000      # chunks kept per Python worker
 _MARKS = b".,;:!?#*$%&)("  # none of these starts a contraction or a special string
 
 
@@ -62,11 +62,16 @@ class Tokens:
     def _raw(self, chunks: list) -> list:
         """Ids of each chunk.  Chunks of lower-case letters are one pre-token each, whose last
         id alone is a word end, so they are tokenised as one text and told apart by these."""
-        names = [c.decode("utf-8") for c in chunks]
-        plain = [k for k, c in enumerate(names) if c.isalpha() and c.lower() == c]
+        plain, rest = [], []
+        for k, c in enumerate(chunks):
+            if c.isalpha() or (not c.isascii() and _lower_letters(c.decode("utf-8"))):
+                plain.append(k)
+            else:
+                rest.append(k)
         out: list = [b""] * len(chunks)
         if plain:
-            enc = self.tok.encode_batch_fast([" ".join([names[k] for k in plain])], add_special_tokens=False)
+            text = b" ".join([chunks[k] for k in plain]).decode("utf-8")
+            enc = self.tok.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(enc[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain):
@@ -75,9 +80,8 @@ class Tokens:
                     out[k] = raw[at:stop]
                     at = stop
             else:  # a letter that the tokenizer's normaliser splits: one by one
-                plain = []
-        rest = sorted(set(range(len(chunks))).difference(plain))
-        enc = self.tok.encode_batch_fast([names[k] for k in rest], add_special_tokens=False)
+                rest = range(len(chunks))
+        enc = self.tok.encode_batch_fast([chunks[k].decode("utf-8") for k in rest], add_special_tokens=False)
         for k, e in zip(rest, enc, strict=True):
             out[k] = np.array(e.ids, "<u4").tobytes()
         return out
@@ -88,10 +92,12 @@ class Tokens:
             memo.clear()
         bare, parts = set(), {}
         for c in missing:
-            head = c.rstrip(_MARKS)
-            if len(head) < len(c) and head and _closed(head):
-                parts[c] = head, c[len(head):]
-                bare.update(parts[c])
+            head = c if c.isalpha() else c.rstrip(_MARKS)
+            if head and len(head) < len(c) and _closed(head):
+                tail = c[len(head):]
+                parts[c] = head, tail
+                bare.add(head)
+                bare.add(tail)
             else:
                 bare.add(c)
         new = [c for c in bare if c not in memo]
@@ -123,13 +129,16 @@ class Tokens:
         return [b"".join(x) for x in found]
 
 
+def _lower_letters(c: str) -> bool:
+    return c.isalpha() and c.lower() == c
+
+
 def _closed(head: bytes) -> bool:
     """Whether a letter or digit ends ``head``, so that following marks are tokens of their own."""
     last = head[-1]
     if last < 128:
         return 48 <= last <= 57 or 97 <= last <= 122 or 65 <= last <= 90
-    c = head.decode("utf-8")[-1]
-    return c.isalpha() and c.lower() == c
+    return _lower_letters(head.decode("utf-8")[-1])
 
 
 @lru_cache(maxsize=1)
