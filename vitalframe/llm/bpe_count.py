@@ -8,7 +8,7 @@ and merged in a doubly linked list until none is left: count = initial symbols -
 merges.  A merge can only cross two neighbouring characters that stand side by side
 in some vocabulary piece, so a text is cut, exactly, before every run of blanks and
 wherever no piece has the two neighbours; counts of parts are kept in a bounded
-table per task.
+table per worker.
 
 Defined cases: null and empty texts have 0 tokens; texts of any length are counted
 whole; repeated rows get equal counts; extra columns are kept, except that
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import with_text_columns
 
 LIMIT = 4096
-MEMO = 400_000          # parts kept per task; the table is emptied when full
+MEMO = 400_000          # chunks, and parts, kept per Python worker; a full table is emptied
 _BLANK = "▁"
 
 
@@ -132,6 +133,12 @@ class Counter:
         return sum(self.chunk(c.replace(" ", _BLANK)) for c in chunks)
 
 
+@lru_cache(maxsize=1)
+def _worker_counter(model_path: str) -> Counter:
+    """One table per Python worker, so that its later tasks find the parts of earlier ones."""
+    return Counter(model_path)
+
+
 _RUN = re.compile(" +[^ ]*")
 
 
@@ -145,7 +152,7 @@ def count_tokens(documents: DataFrame, model_path: str, text_col: str = "text",
               T.StructField("over_limit", T.BooleanType())]
 
     def make():
-        counter = Counter(model_path)
+        counter = _worker_counter(model_path)
 
         def work(texts):
             n = [counter.count(t.decode("utf-8")) if t else 0 for t in texts]
