@@ -23,6 +23,7 @@ step numbers contain the partition number, so they are unique without coordinati
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right, insort
@@ -54,36 +55,48 @@ class Tokens:
         self.tok = Tokenizer.from_file(tokenizer_path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        # The same merges behind a plain split at blanks, for words of lower-case ASCII letters.
+        plan = json.loads(self.tok.to_str())
+        plan |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(plan))
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for name, i in self.tok.get_vocab().items() if name.endswith("</w>")]] = True
         self.memo: dict = {}
         self.most = memo
 
-    def _raw(self, chunks: list) -> list:
-        """Ids of each chunk.  Chunks of lower-case letters are one pre-token each, whose last
-        id alone is a word end, so they are tokenised as one text and told apart by these."""
-        plain, rest = [], []
-        for k, c in enumerate(chunks):
-            if c.isalpha() or (not c.isascii() and _lower_letters(c.decode("utf-8"))):
-                plain.append(k)
+    def _one_text(self, tok, chunks: list) -> list:
+        """Ids of chunks that are one pre-token each: tokenised as one text, told apart by word ends."""
+        ids = np.array(tok.encode_batch_fast([b" ".join(chunks).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(chunks):
+            return self._each(chunks)  # a letter that the tokenizer's normaliser splits
+        raw, at, out = ids.tobytes(), 0, []
+        for stop in (4 * stops).tolist():
+            out.append(raw[at:stop])
+            at = stop
+        return out
+
+    def _each(self, chunks: list) -> list:
+        enc = self.tok.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in enc]
+
+    def _raw(self, chunks: list) -> dict:
+        """Chunk -> ids.  Lower-case ASCII words need neither normaliser nor pre-tokenizer."""
+        lower, letters, rest = [], [], []
+        for c in chunks:
+            if c.isalpha() and c.islower():  # bytes: ASCII only
+                lower.append(c)
+            elif not c.isascii() and _lower_letters(c.decode("utf-8")):
+                letters.append(c)
             else:
-                rest.append(k)
-        out: list = [b""] * len(chunks)
-        if plain:
-            text = b" ".join([chunks[k] for k in plain]).decode("utf-8")
-            enc = self.tok.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(enc[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(plain):
-                raw, at = ids.tobytes(), 0
-                for k, stop in zip(plain, (4 * stops).tolist(), strict=True):
-                    out[k] = raw[at:stop]
-                    at = stop
-            else:  # a letter that the tokenizer's normaliser splits: one by one
-                rest = range(len(chunks))
-        enc = self.tok.encode_batch_fast([chunks[k].decode("utf-8") for k in rest], add_special_tokens=False)
-        for k, e in zip(rest, enc, strict=True):
-            out[k] = np.array(e.ids, "<u4").tobytes()
+                rest.append(c)
+        out: dict = {}
+        if lower:
+            out.update(zip(lower, self._one_text(self.bare, lower), strict=True))
+        if letters:
+            out.update(zip(letters, self._one_text(self.tok, letters), strict=True))
+        if rest:
+            out.update(zip(rest, self._each(rest), strict=True))
         return out
 
     def _learn(self, missing: set) -> None:
@@ -101,7 +114,7 @@ class Tokens:
             else:
                 bare.add(c)
         new = [c for c in bare if c not in memo]
-        memo.update(zip(new, self._raw(new), strict=True))
+        memo.update(self._raw(new))
         memo.update([(c, memo[a] + memo[b]) for c, (a, b) in parts.items()])
 
     def ids(self, texts: list) -> list:
@@ -115,17 +128,20 @@ class Tokens:
             else:
                 split.append(t.lower().split())
         get = self.memo.get
-        found = [list(map(get, words)) for words in split]
-        open_ = [k for k, x in enumerate(found) if None in x]
-        if open_:
-            missing = {c for k in open_ for c, x in zip(split[k], found[k], strict=True) if x is None}
+        found, holes, missing = [], [], set()
+        for words in split:
+            got = list(map(get, words))
+            if None in got:
+                hole = [k for k, x in enumerate(got) if x is None]
+                missing.update([words[k] for k in hole])
+                holes.append((words, got, hole))
+            found.append(got)
+        if missing:
             self._learn(missing)
-            for k in open_:
-                got = list(map(get, split[k]))
-                if None in got:  # the table was emptied meanwhile
-                    self._learn({c for c, x in zip(split[k], got, strict=True) if x is None})
-                    got = list(map(get, split[k]))
-                found[k] = got
+            memo = self.memo
+            for words, got, hole in holes:
+                for k in hole:
+                    got[k] = memo[words[k]]
         return [b"".join(x) for x in found]
 
 
