@@ -43,7 +43,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 END_ID = 2
 BUFFER = 2048        # waiting pieces per task between packings
-MEMO = 1_000_000      # chunks kept per Python worker
+MEMO = 500_000       # chunks kept per Python worker
 _MARKS = b".,;:!?#*$%&)("  # none of these starts a contraction or a special string
 
 
