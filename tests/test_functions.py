@@ -131,3 +131,11 @@ def test_cluster_conf_scales_with_input():
     assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 1024 ** 4 // (256 * 1024 ** 2)
     small = cluster_conf(1024 ** 3, executors=2, cores_per_executor=4)
     assert int(small["spark.sql.shuffle.partitions"]) == 24
+
+
+@pytest.mark.parametrize("lam", [1.0, 60.0, 100.0, 1000.0])
+def test_hash_poisson_any_mean(spark, lam):
+    r = spark.range(4000).select(randoms.hash_poisson(lam, "id", seed=2).alias("k")).agg(
+        F.avg("k").alias("m"), F.var_samp("k").alias("v")).first()
+    assert abs(r.m - lam) < 4 * (lam / 4000) ** 0.5
+    assert r.v == pytest.approx(lam, rel=0.12)

@@ -134,3 +134,25 @@ def test_outbox(spark):
     r = clean.outbox(df, "Hi ${PERSON_NAME},", {"PERSON_NAME": "name"}, "name", "x.org", "time",
                      run_date=F.lit("2024-05-06").cast("date")).first()
     assert (r.recipient, r.body, str(r.send_at)) == ("ann@x.org", "Hi ann,", "2024-05-06 09:30:00")
+
+
+def test_dedupe_puts_nulls_last_for_every_type(spark):
+    for kind, vals in (("int", (None, 5, 3)), ("string", (None, "5", "3"))):
+        df = spark.createDataFrame([("k", v) for v in vals], f"k string, v {kind}")
+        for desc, want in ((True, 5), (False, 3)):
+            assert int(windows.dedupe_first(df, ["k"], [("v", desc)]).first().v) == want
+
+
+def test_key_of_max_tie_ignores_row_order(spark):
+    rows = [(1, 2, 9.0), (1, 1, 9.0), (1, 3, 4.0)]
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame(r, "g int, k int, v double").coalesce(1)
+        assert aggs.key_of_max(df, "k", "v", ["g"]).first().k == 2
+
+
+def test_session_keeps_the_given_master(spark):
+    import inspect
+
+    from vitalframe import session
+    assert session.build_session().sparkContext.master == spark.sparkContext.master
+    assert "local[" not in inspect.getsource(session.build_session).split("if master is not None")[0].split('"""')[2]

@@ -110,11 +110,11 @@ def test_streaming_replaces_a_day(spark, tmp):
     spark.createDataFrame([("20240101", "a", 1.0), ("20240102", "a", 2.0)], schema) \
         .write.parquet(os.path.join(src, "f1"))
     day_batches.write_days(day_batches.day_stream(spark, os.path.join(src, "*"), schema),
-                           out, "day", name).awaitTermination(120)
+                           out, "day", name, mode="replace").awaitTermination(120)
     # a corrected file for one day arrives: that day is replaced, the other kept
     spark.createDataFrame([("20240102", "a", 9.0)], schema).write.parquet(os.path.join(src, "f2"))
     day_batches.write_days(day_batches.day_stream(spark, os.path.join(src, "*"), schema),
-                           out, "day", name).awaitTermination(120)
+                           out, "day", name, mode="replace").awaitTermination(120)
     got = {str(r.day): r.v for r in spark.read.parquet(out).collect()}
     assert got == {"20240101": 1.0, "20240102": 9.0}
 
@@ -130,3 +130,41 @@ def test_save_csv_and_split_by_day(spark, tmp):
         ["day=20240101", "day=20240102"]
     sinks.save(df, os.path.join(tmp, "pq"))
     assert spark.read.parquet(os.path.join(tmp, "pq")).count() == 3
+
+
+@pytest.mark.parametrize("trigger", [None, 1, 2])
+@pytest.mark.parametrize("mode", ["add", "replace"])
+def test_stream_result_does_not_depend_on_the_trigger(spark, tmp, trigger, mode):
+    src, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    schema = "day string, v int"
+    for k in range(4):  # four files of one day, two of another
+        rows = [("01", k)] + ([("1", 10 + k)] if k < 2 else [])
+        f = os.path.join(src, f"f{k}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f)
+        for name in os.listdir(f):
+            os.utime(os.path.join(f, name), (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = day_batches.day_stream(spark, os.path.join(src, "*"), schema, max_files_per_trigger=trigger)
+    day_batches.write_days(stream, out, "day", f"t3-{uuid.uuid4().hex}", mode=mode).awaitTermination(300)
+    got = sorted((r.day, r.v) for r in spark.read.schema(schema).parquet(out).collect())
+    if mode == "add":
+        assert got == [("01", 0), ("01", 1), ("01", 2), ("01", 3), ("1", 10), ("1", 11)]
+    else:
+        assert got == [("01", 3), ("1", 11)]
+
+
+def test_incremental_keys_keep_their_type(spark, tmp):
+    out = os.path.join(tmp, "keys")
+    df = lambda *rows: spark.createDataFrame(list(rows), "acause string, v int")
+    sinks.write_incremental(df(("1", 1)), out, ["acause"])
+    sinks.write_incremental(df(("01", 2), ("copd", 3), ("1", 9)), out, ["acause"])
+    got = {(r.acause, r.v) for r in spark.read.schema("acause string, v int").parquet(out).collect()}
+    assert got == {("1", 1), ("01", 2), ("copd", 3)}
+
+
+def test_incremental_errors_rise(spark, tmp):
+    out = os.path.join(tmp, "bad")
+    os.makedirs(out)
+    with open(os.path.join(out, "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.write_incremental(spark.createDataFrame([("a", 1)], "k string, v int"), out, ["k"])

@@ -294,22 +294,24 @@ def test_bootstrap_moments_matches_literal(spark):
     assert abs(lit - mom) < 4 * (0.25 / 2000) ** 0.5
     # n = 10^9 per group: only the moments form is feasible; effect 1e-4 is
     # 2.236 standard errors, so power = Phi(2.236 - 1.96) + Phi(-2.236 - 1.96) ~ 0.609
-    big = stats.bootstrap_power(10 ** 9, 10 ** 9, 0.0, 1e-4, 1.0, spark, n_boot=2000).first()
+    big = stats.bootstrap_power(10 ** 9, 10 ** 9, 0.0, 1e-4, 1.0, spark, n_boot=2000,
+                                method="moments").first()
     assert big.n_boot == 2000 and abs(big.power - 0.609) < 4 * (0.24 / 2000) ** 0.5
 
 
 def test_poisson_means_large_n_path(spark):
     lam = spark.createDataFrame([("a", 0.3)], "g string, lam double")
     lit = stats.poisson_means(spark, lam, "lam", [2000], reps=400, seed=1, by=["g"],
-                              literal_limit=10 ** 6)
+                              method="literal")
     tot = stats.poisson_means(spark, lam, "lam", [2000], reps=4000, seed=1, by=["g"],
-                              literal_limit=100)
+                              method="totals")
     a = lit.agg(F.avg("mean"), F.var_samp("mean")).first()
     b = tot.agg(F.avg("mean"), F.var_samp("mean")).first()
     se = (0.3 / 2000 / 400) ** 0.5
     assert abs(a[0] - 0.3) < 4 * se and abs(b[0] - 0.3) < 4 * se
     assert a[1] == pytest.approx(0.3 / 2000, rel=0.2) and b[1] == pytest.approx(0.3 / 2000, rel=0.1)
-    huge = stats.poisson_means(spark, lam, "lam", [10 ** 9], reps=200, seed=2, by=["g"]).first()
+    huge = stats.poisson_means(spark, lam, "lam", [10 ** 9], reps=200, seed=2, by=["g"],
+                               method="totals").first()
     assert huge.mean == pytest.approx(0.3, rel=1e-3)
 
 

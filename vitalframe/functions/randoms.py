@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TWO32 = 4294967296.0
 _EPS = 2.0 ** -33
@@ -54,27 +57,57 @@ def hash_normal(*cols, seed: int = 0, stream: int = 0, portable: bool = False) -
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def hash_poisson(lam: Column | float, *cols, seed: int = 0,
-                 kmax: int = 60) -> Column:
-    """Poisson draw by inverse CDF: smallest k with F(k) >= u.
+# Mean of one inverse-CDF piece: exp(-mean) stays far above underflow.
+_POISSON_PIECE = 256.0
+
 
-    Built as ``aggregate`` over ``sequence(0, kmax)`` so it stays a codegen
-    expression; kmax=60 covers lambda up to ~25 to below 1e-12 tail mass.
+def hash_poisson(lam: Column | float, *cols, seed: int = 0) -> Column:
+    """Poisson draw by inverse CDF: smallest k with F(k) >= u, for any lambda.
+
+    A mean above ``_POISSON_PIECE`` is split into equal pieces, whose independent
+    draws are added (a sum of Poisson variables is Poisson).  Each piece walks up to
+    its mean + 12 sd + 40, beyond which the tail is below the uniforms' 2^-53 steps.
+    The work grows with lambda: for totals of many draws use ``exact_poisson``.
     """
     lam = F.lit(float(lam)) if not isinstance(lam, Column) else lam
-    u = hash_uniform(*cols, seed=seed)
-    # state: (k_found, cdf, pmf); pmf_k = pmf_{k-1} * lam / k
-    init = F.struct(F.lit(-1).alias("k"), F.exp(-lam).alias("cdf"),
-                    F.exp(-lam).alias("pmf"))
+    pieces = F.greatest(F.ceil(lam / F.lit(_POISSON_PIECE)).cast("int"), F.lit(1))
+    mean = lam / pieces
+    last = F.ceil(mean + F.lit(12.0) * F.sqrt(mean) + F.lit(40.0)).cast("int")
+
+    def one(u):
+        # state: (k_found, cdf, pmf); pmf_k = pmf_{k-1} * mean / k
+        init = F.struct(F.lit(-1).alias("k"), F.exp(-mean).alias("cdf"), F.exp(-mean).alias("pmf"))
 
-    def step(acc, k):
-        pmf = F.when(k == 0, acc["pmf"]).otherwise(acc["pmf"] * lam / k)
-        cdf = F.when(k == 0, acc["cdf"]).otherwise(acc["cdf"] + pmf)
-        found = F.when((acc["k"] < 0) & (cdf >= u), k).otherwise(acc["k"])
-        return F.struct(found.alias("k"), cdf.alias("cdf"), pmf.alias("pmf"))
+        def step(acc, k):
+            pmf = F.when(k == 0, acc["pmf"]).otherwise(acc["pmf"] * mean / k)
+            cdf = F.when(k == 0, acc["cdf"]).otherwise(acc["cdf"] + pmf)
+            found = F.when((acc["k"] < 0) & (cdf >= u), k).otherwise(acc["k"])
+            return F.struct(found.alias("k"), cdf.alias("cdf"), pmf.alias("pmf"))
 
-    res = F.aggregate(F.sequence(F.lit(0), F.lit(kmax)), init, step)
-    return F.when(res["k"] < 0, F.lit(kmax)).otherwise(res["k"])
+        res = F.aggregate(F.sequence(F.lit(0), last), init, step)
+        return F.when(res["k"] < 0, last).otherwise(res["k"])
+
+    return F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0),
+                       lambda acc, j: acc + one(hash_uniform(*cols, j, seed=seed)))
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_poisson(row_seed: pd.Series, lam: pd.Series) -> pd.Series:
+    """One Poisson draw per row of any mean (transformed rejection), from a generator that the
+    row's seed starts; the same at every size and partitioning."""
+    import numpy as np
+    seeds = row_seed.to_numpy(np.int64).view(np.uint64)
+    return pd.Series([float(np.random.Generator(np.random.Philox(key=int(s))).poisson(m))
+                      for s, m in zip(seeds, lam.to_numpy(float), strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_chi2(row_seed: pd.Series, dof: pd.Series) -> pd.Series:
+    """One chi-square draw per row, from a generator that the row's seed starts."""
+    import numpy as np
+    seeds = row_seed.to_numpy(np.int64).view(np.uint64)
+    return pd.Series([float(np.random.Generator(np.random.Philox(key=int(s))).chisquare(k))
+                      for s, k in zip(seeds, dof.to_numpy(float), strict=True)], dtype="float64")
 
 
 # --- counter-based draws from one row seed (vectorised) -------------------
@@ -112,10 +145,3 @@ def sql_uniform(*cols: str, seed: int = 0, stream: int | None = None) -> str:
         parts.append(f"'{stream}'")
     key = "concat_ws('|', " + ", ".join(parts) + ")"
     return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0)"
-
-
-def sql_normal(*cols: str, seed: int = 0, stream: int = 0) -> str:
-    u1 = sql_uniform(*cols, seed=seed, stream=2 * stream + 1)
-    u2 = sql_uniform(*cols, seed=seed, stream=2 * stream + 2)
-    return (f"(sqrt(-2.0 * ln({u1} + {_EPS!r})) * "
-            f"cos({2.0 * math.pi!r} * {u2}))")

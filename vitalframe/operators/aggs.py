@@ -208,8 +208,9 @@ def correlation_matrix(df: DataFrame, columns) -> DataFrame:
 
 
 def key_of_max(df: DataFrame, key: str, value: str, by=()) -> DataFrame:
-    """Key with the highest value (``max_by``), per group if ``by``."""
-    return df.groupBy(*by).agg(F.max_by(key, value).alias(key),
+    """Key with the highest value (``max_by``), per group if ``by``; a tie
+    goes to the largest key, whatever the row order."""
+    return df.groupBy(*by).agg(F.max_by(key, F.struct(value, key)).alias(key),
                                F.max(value).alias(value))
 
 

@@ -118,7 +118,8 @@ def ols_grouped(df: DataFrame, y: str, xs, by=()) -> DataFrame:
 def predict(df: DataFrame, coefs: DataFrame, y: str, xs, by=(),
             pred: str = "pred", resid: str = "resid") -> DataFrame:
     """M3: predictions and residuals for all rows (null response -> null
-    residual) by joining the per-group coefficients back."""
+    residual; rows of a group without a fit stay, with null predictions) by
+    joining the per-group coefficients back."""
     by = list(by)
     terms = ["intercept"] + list(xs)
     if not by:  # one fit: its p coefficients become literals (no join)
@@ -127,7 +128,7 @@ def predict(df: DataFrame, coefs: DataFrame, y: str, xs, by=(),
     else:
         wide = coefs.groupBy(*by).pivot("term", terms).agg(F.first("estimate"))
         wide = wide.withColumnsRenamed({t: f"__b_{t}" for t in terms})
-        j = df.join(wide, by, "inner")
+        j = df.join(wide, by, "left")
     p = F.col("__b_intercept")
     for x in xs:
         p = p + F.col(f"__b_{x}") * F.col(x)
@@ -138,6 +139,11 @@ def predict(df: DataFrame, coefs: DataFrame, y: str, xs, by=(),
 def two_sample_stats(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """M4: pooled two-sample t statistic (nulls dropped): one row with
     n1, n2, mean1, mean2, t, df."""
+    return _two_sample(df, value, group, a, b).drop("pooled_sd")
+
+
+def _two_sample(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
+    """The same with the standard deviation pooled within the groups."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isin([a, b]))
     g = d.groupBy().agg(
         F.count(F.when(F.col(group) == a, 1)).alias("n1"),
@@ -150,7 +156,7 @@ def two_sample_stats(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
            (F.col("n1") + F.col("n2") - 2))
     t = (F.col("mean1") - F.col("mean2")) / F.sqrt(sp2 * (1.0 / F.col("n1") + 1.0 / F.col("n2")))
     return g.select("n1", "n2", "mean1", "mean2", t.alias("t"),
-                    (F.col("n1") + F.col("n2") - 2).alias("df"))
+                    (F.col("n1") + F.col("n2") - 2).alias("df"), F.sqrt(sp2).alias("pooled_sd"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -167,7 +173,7 @@ def t_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 def bootstrap_power(n1: int, n2: int, mean1: float, mean2: float, sd: float,
                     spark, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0,
-                    method: str = "auto", literal_limit: int = 5_000_000) -> DataFrame:
+                    method: str = "literal") -> DataFrame:
     """M5: parametric bootstrap power of the pooled t-test.
 
     ``n_boot`` samples of two normal groups (sizes n1, n2, common sd); the
@@ -176,16 +182,17 @@ def bootstrap_power(n1: int, n2: int, mean1: float, mean2: float, sd: float,
 
     ``method='literal'``: n_boot x (n1 + n2) rows generated with ``range``
     and ``explode`` (distributed), one grouped aggregate per boot.
-    ``method='moments'``: per replicate, each group's sample mean is drawn
-    exactly as Normal(mu, sd^2 / n) and its sample variance as
-    sd^2 chi2(n-1) / (n-1), chi2 by the Wilson-Hilferty transform of a
-    normal: O(n_boot) work whatever n is.  ``'auto'`` uses the literal form
-    up to ``literal_limit`` generated values, moments beyond (group sizes
-    taken from a 100 TB table would otherwise mean 10^12 rows per replicate).
+    ``method='moments'``: per replicate, each group's sample mean is drawn as
+    Normal(mu, sd^2 / n) and its sample variance as sd^2 chi2(n-1) / (n-1), which
+    are their exact distributions: O(n_boot) work whatever n is (group sizes taken
+    from a 100 TB table would otherwise mean 10^12 rows per replicate).  The
+    method is the caller's choice and never depends on the size.
     """
     tcrit = special.t_critical(alpha, n1 + n2 - 2)
-    if method == "moments" or (method == "auto" and n_boot * (n1 + n2) > literal_limit):
+    if method == "moments":
         return _bootstrap_moments(n1, n2, mean1, mean2, sd, spark, n_boot, tcrit, seed)
+    if method != "literal":
+        raise ValueError(f"method must be 'literal' or 'moments', got {method!r}")
     n_max = max(n1, n2)
     rows = (spark.range(n_boot).withColumnRenamed("id", "boot")
                  .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))))
@@ -206,20 +213,15 @@ def bootstrap_power(n1: int, n2: int, mean1: float, mean2: float, sd: float,
                    F.count("*").alias("n_boot"))
 
 
-def _chi2_wh(k: float, z):
-    """chi-square(k) from a standard normal by Wilson-Hilferty."""
-    c = 2.0 / (9.0 * k)
-    return F.lit(k) * F.pow(F.greatest(F.lit(1.0) - F.lit(c) + z * F.lit(c ** 0.5), F.lit(0.0)),
-                            F.lit(3.0))
-
-
 def _bootstrap_moments(n1, n2, mean1, mean2, sd, spark, n_boot, tcrit, seed):
     b = spark.range(n_boot).withColumnRenamed("id", "boot")
-    z = [randoms.hash_normal("boot", seed=seed, stream=k) for k in range(4)]
+    z = [randoms.hash_normal("boot", seed=seed, stream=k) for k in range(2)]
+    chi = [randoms.exact_chi2(randoms.row_seed("boot", F.lit(g), seed=seed), F.lit(float(n - 1)))
+           for g, n in ((1, n1), (2, n2))]
     m1 = F.lit(mean1) + F.lit(sd / n1 ** 0.5) * z[0]
     m2 = F.lit(mean2) + F.lit(sd / n2 ** 0.5) * z[1]
-    v1 = F.lit(sd * sd / (n1 - 1)) * _chi2_wh(n1 - 1, z[2])
-    v2 = F.lit(sd * sd / (n2 - 1)) * _chi2_wh(n2 - 1, z[3])
+    v1 = F.lit(sd * sd / (n1 - 1)) * chi[0]
+    v2 = F.lit(sd * sd / (n2 - 1)) * chi[1]
     sp2 = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
     t = (m1 - m2) / F.sqrt(sp2 * (1.0 / n1 + 1.0 / n2))
     return b.agg(F.avg((F.abs(t) > tcrit).cast("double")).alias("power"),
@@ -227,17 +229,18 @@ def _bootstrap_moments(n1, n2, mean1, mean2, sd, spark, n_boot, tcrit, seed):
 
 
 def poisson_means(spark, lam_df: DataFrame, lam: str, sizes, reps: int = 1000,
-                  seed: int = 0, by=(), literal_limit: int = 10_000) -> DataFrame:
+                  seed: int = 0, by=(), method: str = "literal") -> DataFrame:
     """M6: sampling distribution of the mean of n Poisson(lam) draws.
 
     ``sizes`` are ints or names of columns of ``lam_df`` holding a per-group
     sample size.  One row per (group, n, rep) with the sample mean.
-    Up to ``literal_limit`` draws per sample the n draws are generated
-    (hash Poisson by inverse CDF, ``range``/``explode`` on the executors) and
-    averaged; above it the sample total is drawn directly — the sum of n
-    Poisson(lam) is exactly Poisson(n lam) (inverse CDF up to a mean of 50,
-    a rounded normal beyond) — so the work is O(reps) whatever n is.
+    ``method='literal'`` generates the n draws (hash Poisson by inverse CDF) and
+    averages them; ``method='totals'`` draws the sample's total, which is exactly
+    Poisson(n lam), in O(reps) work whatever n is.  The method is the caller's
+    choice and never depends on the size.
     """
+    if method not in ("literal", "totals"):
+        raise ValueError(f"method must be 'literal' or 'totals', got {method!r}")
     by = list(by)
     size_cols = [s for s in sizes if isinstance(s, str)]
     base = lam_df.select(*by, F.col(lam).alias("lam"), *size_cols)
@@ -245,18 +248,12 @@ def poisson_means(spark, lam_df: DataFrame, lam: str, sizes, reps: int = 1000,
         *[F.col(s).cast("int") if isinstance(s, str) else F.lit(int(s)) for s in sizes])))
     base = base.drop(*size_cols)
     base = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    small = base.where(F.col("n") <= literal_limit)
-    small = small.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    if method == "totals":
+        total = randoms.exact_poisson(randoms.row_seed(*by, "n", "rep", seed=seed), F.col("n") * F.col("lam"))
+        return base.select(*by, "lam", "n", "rep", (total / F.col("n")).alias("mean"))
+    each = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     draw = randoms.hash_poisson(F.col("lam"), *by, "n", "rep", "i", seed=seed)
-    small = (small.withColumn("x", draw)
-                  .groupBy(*by, "lam", "n", "rep").agg(F.avg("x").alias("mean")))
-    large = base.where(F.col("n") > literal_limit).withColumn("mu", F.col("n") * F.col("lam"))
-    exact = randoms.hash_poisson(F.col("mu"), *by, "n", "rep", seed=seed, kmax=200)
-    normal = F.greatest(F.lit(0.0), F.round(F.col("mu") + F.sqrt("mu") *
-                                            randoms.hash_normal(*by, "n", "rep", seed=seed)))
-    total = F.when(F.col("mu") <= 50, exact.cast("double")).otherwise(normal)
-    large = large.select(*by, "lam", "n", "rep", (total / F.col("n")).alias("mean"))
-    return small.unionByName(large)
+    return each.withColumn("x", draw).groupBy(*by, "lam", "n", "rep").agg(F.avg("x").alias("mean"))
 
 
 def standardize(df: DataFrame, columns) -> DataFrame:

@@ -76,11 +76,20 @@ def _sort_key(df: DataFrame, order_by):
             elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
                 c = F.unix_micros(c.cast("timestamp"))
             c = -c
-        # nulls sort first ascending in Spark; keep that order for ties
-        parts.append(c.alias(f"k{i}"))
+        parts += [F.col(name).isNull().alias(f"n{i}"), c.alias(f"k{i}")]  # nulls last
     return F.struct(*parts)
 
 
+def _specs(order_by) -> list:
+    """Sort columns with nulls last; a given Column keeps its own order."""
+    out = []
+    for o in order_by:
+        name, desc = o if isinstance(o, tuple) else (o, False)
+        out.append((F.col(name).desc_nulls_last() if desc else F.col(name).asc_nulls_last())
+                   if isinstance(name, str) else name)
+    return out
+
+
 def dedupe_first(df: DataFrame, keys, order_by) -> DataFrame:
     """One row per key, the first after sorting by ``order_by``.
 
@@ -90,7 +99,7 @@ def dedupe_first(df: DataFrame, keys, order_by) -> DataFrame:
     this is a ``min_by`` aggregate: map-side partial aggregation keeps one
     candidate per key per task, so a key holding a third of the rows never
     lands whole in one task.  Otherwise a ``row_number`` window is used.
-    Nulls in an order column sort first, as in an ascending Spark sort.
+    Nulls in an order column sort last in either direction and on either path.
     """
     keys = list(keys)
     order_by = [o if isinstance(o, (str, tuple)) else o for o in order_by]
@@ -102,8 +111,7 @@ def dedupe_first(df: DataFrame, keys, order_by) -> DataFrame:
             agg = df.groupBy(*keys).agg(F.min_by(row, key).alias("__row"))
             return agg.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]) \
                       .select(*df.columns)
-    specs = [(F.col(o[0]).desc() if o[1] else F.col(o[0])) if isinstance(o, tuple)
-             else (F.col(o) if isinstance(o, str) else o) for o in order_by]
+    specs = _specs(order_by)
     w = Window.partitionBy(*keys).orderBy(*specs)
     return (df.withColumn("__rn", F.row_number().over(w))
               .where(F.col("__rn") == 1).drop("__rn"))
@@ -128,8 +136,7 @@ def repeated_rows(df: DataFrame, keys, order_by) -> DataFrame:
             e = df[c].eqNullSafe(first[f"__f_{c}"])
             cond = e if cond is None else cond & e
         return df.join(first, cond, "left_anti")
-    specs = [(F.col(o[0]).desc() if o[1] else F.col(o[0])) if isinstance(o, tuple)
-             else (F.col(o) if isinstance(o, str) else o) for o in order_by]
+    specs = _specs(order_by)
     w = Window.partitionBy(*keys).orderBy(*specs)
     return (df.withColumn("__rn", F.row_number().over(w))
               .where(F.col("__rn") > 1).drop("__rn"))

@@ -72,7 +72,7 @@ def q_paf_from_sev_rrmax(spark, sf):
     j = j.withColumn("scalar", pafx.scalar_from_sev("sev", "rrmax"))
     j = j.withColumn("paf", pafx.paf_from_scalar("scalar"))
     j = clean.drop_incomplete(j).drop("sev", "rrmax")
-    return rounded(reshape.distinct_sorted(j))
+    return rounded(reshape.distinct_sorted(j, "location_id", "age_group_id", "sex_id"))
 
 
 @register("sev_threshold_flag")
@@ -553,9 +553,9 @@ def q_box_stats(spark, sf):
 
 @register("next_age_value")
 def q_next_age_value(spark, sf):
-    """Value of the next age group within a location (shift(-1))."""
-    a = _asfr_like(spark, sf).where(F.col("year_id") == 1996)
-    return rounded(windows.shift(a, ["location_id"], ["age_group_id"], "asfr", -1,
+    """Value of the next age group within a location and year (shift(-1))."""
+    a = _asfr_like(spark, sf)
+    return rounded(windows.shift(a, ["location_id", "year_id"], ["age_group_id"], "asfr", -1,
                                  "asfr_next"))
 
 
@@ -873,12 +873,10 @@ def q_bootstrap_power(spark, sf):
     """M5: parametric bootstrap power of the t-test with the observed group
     sizes, means and pooled sd of view vs purchase values."""
     e = tbl(spark, sf, "events")
-    s = stats.two_sample_stats(e, "value", "event_type", "view", "purchase")
-    pooled = e.where(F.col("event_type").isin("view", "purchase")).agg(
-        F.stddev_samp("value").alias("sd")).first()["sd"]
-    r = s.first()
+    r = stats._two_sample(e, "value", "event_type", "view", "purchase").first()
     return rounded(stats.bootstrap_power(int(r["n1"]), int(r["n2"]), r["mean1"], r["mean2"],
-                                         pooled, spark, n_boot=200, alpha=0.5, seed=11))
+                                         r["pooled_sd"], spark, n_boot=1000, alpha=0.5, seed=11,
+                                         method="moments"))
 
 
 @register("poisson_sample_means")
@@ -891,7 +889,7 @@ def q_poisson_sample_means(spark, sf):
         (F.count("*") / (F.count_distinct("user_id") * 30.0)).alias("lam"),
         F.count_distinct("user_id").alias("n_users"))
     m = stats.poisson_means(spark, lam, "lam", [10, 100, "n_users"], reps=1000, seed=5,
-                            by=["event_type"])
+                            by=["event_type"], method="totals")
     return rounded(m.groupBy("event_type", "lam", "n").agg(
         F.avg("mean").alias("mean_of_means"), F.var_samp("mean").alias("var_of_means"),
         F.count("*").alias("reps")), 4)

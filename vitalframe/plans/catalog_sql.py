@@ -346,7 +346,7 @@ SQL["corr_matrix"] = " UNION ALL ".join(
     f"SELECT '{a}' AS x, '{b}' AS y, {r6(f'corr({a}, {b})')} AS corr FROM lineitem"
     for a in _CORR_COLS for b in _CORR_COLS)
 
-SQL["key_of_max"] = f"""SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS c_custkey,
+SQL["key_of_max"] = f"""SELECT c_mktsegment, arg_max(c_custkey, (c_acctbal, c_custkey)) AS c_custkey,
   {r6('max(c_acctbal)')} AS c_acctbal FROM customer GROUP BY 1"""
 
 SQL["price_histogram"] = f"""WITH r AS (SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi
@@ -376,8 +376,8 @@ SELECT q.l_returnflag, {r6('q1')} AS q1, {r6('median')} AS median, {r6('q3')} AS
 
 SQL["next_age_value"] = f"""WITH {ASFR}
 SELECT location_id, year_id, age_group_id, {r6('asfr')} AS asfr,
-  {r6('lead(asfr) OVER (PARTITION BY location_id ORDER BY age_group_id)')} AS asfr_next
-FROM asfr WHERE year_id = 1996"""
+  {r6('lead(asfr) OVER (PARTITION BY location_id, year_id ORDER BY age_group_id)')} AS asfr_next
+FROM asfr"""
 
 SQL["dedupe_first"] = f"""SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
   {r6('o_totalprice')} AS o_totalprice FROM orders

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import clean, joins
+from ..operators import clean, joins, windows
 
 
 def cohort_lag(df: DataFrame, value: str, location: str = "location_id",
@@ -101,7 +101,8 @@ def modelling_table(asfr: DataFrame, edu: DataFrame, met: DataFrame, locations:
     """ASFR x education x met demand, scaled logit (P14), decade (P15),
     region lookup (J7), education spline (P16), forecast rows bound (O5)."""
     keys = list(keys)
-    met = met.dropDuplicates(keys)
+    rest = [c for c in met.columns if c not in keys]
+    met = windows.dedupe_first(met, keys, rest)
     d = asfr.join(edu, keys, "inner").join(met, keys, "inner")
     d = clean.scale_logit(d, "asfr")
     d = clean.add_decade(d, "year_id", "decade", 1950, 2010)
@@ -147,9 +148,10 @@ def sequential_lag_forecast(df: DataFrame, value: str, xs, first_year: int, last
                             (F.col(year) + step).alias(year), F.col(value).alias("lag"))
         want = rows.withColumn("__src_age", F.when(F.col(age) == a0, F.col(age))
                                .otherwise(F.col(age) - 1))
-        return (want.join(src, [location, "__src_age", year], "inner").drop("__src_age"))
+        # a row whose lag is missing stays, with a null lag (and so a null forecast)
+        return (want.join(src, [location, "__src_age", year], "left").drop("__src_age"))
 
-    train = with_lag(obs, obs).where(F.col(value).isNotNull())
+    train = with_lag(obs, obs).where(F.col(value).isNotNull() & F.col("lag").isNotNull())
     coefs = cut_lineage(stats.ols_grouped(train, value, ["lag"] + xs, [age]))
     future = df.where((F.col(year) >= first_year) & (F.col(year) <= last_year)).drop(value)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -73,20 +74,24 @@ def _default_heap() -> str:
 
 def build_session(master: str | None = None, app: str = "vitalframe",
                   shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
+                  extra: dict | None = None, input_bytes: float | None = None,
+                  executors: int | None = None, cores_per_executor: int | None = None) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or 8]``; on a cluster pass
-    ``master=None`` through ``spark-submit`` and leave partitions to AQE.
+    Master, driver memory and shuffle width are set only when asked for, so what
+    ``spark-submit`` or the deployment gives stays in force.  With ``input_bytes``,
+    ``executors`` and ``cores_per_executor`` the sizes come from ``cluster_conf``.
     """
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
     builder = SparkSession.builder.appName(app)
-    if master is None:
-        master = f"local[{cpus}]"
-    builder = builder.master(master)
     conf = dict(_BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = os.environ.get("VF_DRIVER_MEMORY", _default_heap())
+    if input_bytes and executors and cores_per_executor:
+        conf.update(cluster_conf(input_bytes, executors, cores_per_executor))
+    if master is not None:
+        builder = builder.master(master)
+        if master.startswith("local["):
+            conf["spark.driver.memory"] = os.environ.get("VF_DRIVER_MEMORY", _default_heap())
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -132,16 +137,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared folder set by the deployment.  Only a
-    local-mode session that has none gets a private temporary folder (tests).
+    local-mode session that has none (tests) gets a folder below its warehouse.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError(
                 "spark.checkpoint.dir is unset; set it to a shared folder")
-        path = tempfile.mkdtemp(prefix="vf-ckpt-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/vitalframe-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

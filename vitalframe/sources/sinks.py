@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet",
@@ -16,13 +18,14 @@ def save_keyed(df: DataFrame, path: str, partition_cols, sort_cols=None,
                mode: str = "overwrite") -> None:
     """K2: keyed table, one folder per partition value, zstd Parquet.
 
-    Rows are clustered by the partition columns and sorted inside each file
+    Rows are clustered by the partition columns (a rebalance, so a value that
+    holds a large share of the rows is split over several tasks and files) and sorted inside each file
     by ``sort_cols`` so row-group min/max statistics make the demography
     keys searchable (what HDF ``data_columns`` gave the reference).
     Dynamic partition overwrite only replaces the partitions present.
     """
     partition_cols = list(partition_cols)
-    out = df.repartition(*partition_cols)
+    out = df.hint("rebalance", *[F.col(c) for c in partition_cols])
     if sort_cols:
         out = out.sortWithinPartitions(*partition_cols, *sort_cols)
     (out.write.mode(mode).option("compression", "zstd")
@@ -34,6 +37,17 @@ def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """What is stored under ``path``, read with the caller's schema (so keys like
+    ``01`` and ``1`` stay apart), or None when nothing is there.  Any other error rises."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def missing_keys(spark: SparkSession, wanted: DataFrame, path: str,
                  keys) -> DataFrame:
     """K4: the wanted keys whose output is absent from ``path``.
@@ -41,11 +55,10 @@ def missing_keys(spark: SparkSession, wanted: DataFrame, path: str,
     Compute-only-if-absent as an anti-join against what is already written
     (no driver-side listing of files).
     """
-    try:
-        have = spark.read.parquet(path).select(*keys).distinct()
-    except Exception:  # nothing written yet
+    have = stored(spark, path, wanted.select(*keys).schema)
+    if have is None:
         return wanted
-    return wanted.join(have, list(keys), "left_anti")
+    return wanted.join(have.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def write_incremental(df: DataFrame, path: str, partition_cols,
@@ -57,8 +70,8 @@ def write_incremental(df: DataFrame, path: str, partition_cols,
     if not overwrite:
         df = df.join(missing_keys(spark, df.select(*partition_cols).distinct(),
                                   path, partition_cols), partition_cols, "left_semi")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (df.write.mode("overwrite" if overwrite else "append")
+       .option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols).parquet(path))
 
 

@@ -3,10 +3,17 @@
 The original split a log into one file per day and replaced a day's output
 by deleting and rewriting it, from shell loops.  Here new input files are
 picked up by a file-source stream; each micro-batch is transformed and
-written with dynamic partition overwrite by day, so re-running a batch
-(after a failure, or when a day's input is replaced) rewrites exactly the
-days it touches: the sink is idempotent per batch.  Progress lives in a
-checkpoint under ``spark.checkpoint.dir`` (a shared folder on a cluster).
+written by day.  The caller says what a further file of a day means, so the
+trigger size never decides it:
+
+* ``mode="add"``: every file's rows stay.  A batch writes a folder of its own
+  below the day (``day=.../batch=<id>``), so a repeated batch rewrites only
+  what it wrote itself.
+* ``mode="replace"``: the newest file that holds a day (by modification time,
+  then path) is that day's whole content, however files fall into batches.
+
+Progress lives in a checkpoint under ``spark.checkpoint.dir`` (a shared folder
+on a cluster).
 """
 
 from __future__ import annotations
@@ -20,35 +27,50 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 
+BATCH = "batch"      # partition column that tells the batches of mode "add" apart
+VERSION = "__file"   # (modification time, path) of the input file
+
 
 def day_stream(spark: SparkSession, source_dir: str, schema, fmt: str = "parquet",
                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of a folder that receives day files."""
+    """Streaming read of a folder that receives day files, with each row's file version."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(source_dir)
+    version = F.struct("_metadata.file_modification_time", "_metadata.file_path")
+    return r.load(source_dir).select("*", version.alias(VERSION))
 
 
 def write_days(stream: DataFrame, out_dir: str, day_col: str, name: str,
                transform: Callable[[DataFrame], DataFrame] | None = None,
-               delete_predicate=None, once: bool = True):
-    """Start the query: per micro-batch apply ``transform`` and the K6
-    null-safe delete, then overwrite the batch's days under ``out_dir``."""
+               delete_predicate=None, once: bool = True, mode: str = "add"):
+    """Start the query: per micro-batch apply ``transform`` (which keeps the
+    file version) and the K6 null-safe delete, then write the batch's days."""
+    if mode not in ("add", "replace"):
+        raise ValueError(f"mode must be 'add' or 'replace', got {mode!r}")
     spark = stream.sparkSession
     ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
-    def batch(df: DataFrame, _epoch: int) -> None:
+    def batch(df: DataFrame, epoch: int) -> None:
         out = transform(df) if transform else df
         if delete_predicate is not None:
             out = sinks.delete_where(out, delete_predicate)
-        sinks.write_incremental(out, out_dir, [day_col], overwrite=True)
+        if mode == "add":
+            sinks.write_incremental(out.drop(VERSION).withColumn(BATCH, F.lit(epoch)), out_dir,
+                                    [day_col, BATCH], overwrite=True)
+            return
+        # The newest file of each day in this batch, unless a stored one is newer.
+        newest = df.groupBy(F.col(day_col).alias("__day")).agg(F.max(VERSION).alias("__newest"))
+        stored = sinks.stored(spark, out_dir, out.schema)
+        if stored is not None:
+            have = stored.groupBy(F.col(day_col).alias("__had")).agg(F.max(VERSION).alias("__have"))
+            newest = (newest.join(have, F.col("__day").eqNullSafe(F.col("__had")), "left")
+                      .where(F.col("__have").isNull() | (F.col("__newest") > F.col("__have")))
+                      .select("__day", "__newest"))
+        kept = out.join(newest, out[day_col].eqNullSafe(F.col("__day")) &
+                        (out[VERSION] == F.col("__newest"))).select(*out.columns)
+        sinks.write_incremental(kept, out_dir, [day_col], overwrite=True)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")
     return w.start()
-
-
-def daily_counts(df: DataFrame, day_col: str, keys=()) -> DataFrame:
-    """Per-day aggregate used by the day jobs: rows and value sum per key."""
-    return df.groupBy(day_col, *keys).agg(F.count("*").alias("n"))
