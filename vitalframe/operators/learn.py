@@ -73,6 +73,7 @@ def classifiers(train: DataFrame, test: DataFrame, features: str = "features",
                 row_key: str = "id") -> DataFrame:
     """Logistic, random forest, linear SVM; predictions of each on the
     test rows, tagged by model (label must be 0/1 for the SVM)."""
+    train, test = train.persist(), test.persist()  # read by the count and by each of three fits
     n = train.count()
     models = {
         "logistic": LogisticRegression(featuresCol=features, labelCol=label),
@@ -99,14 +100,17 @@ def hard_vote(preds: DataFrame, row_key: str = "id", prediction: str = "predicti
 
 
 def grid_search_tree(df: DataFrame, depths=(1, 2, 3), features: str = "features",
-                     label: str = "label", folds: int = 3, seed: int = 0):
+                     label: str = "label", folds: int = 3, seed: int = 0, row_key: str = "id"):
     """Cross-validated depth search of a decision tree (MLlib trees are
     limited by depth, not leaf count)."""
+    # folds by a hash of the row, so that they don't depend on partitioning
+    u = randoms.hash_uniform(row_key, seed=seed)
+    df = df.withColumn("__fold", F.floor(u * folds).cast("int")).persist()
     dt = DecisionTreeClassifier(featuresCol=features, labelCol=label, seed=seed)
     grid = ParamGridBuilder().addGrid(dt.maxDepth, list(depths)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cv = CrossValidator(estimator=dt, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        seed=seed, parallelism=len(depths))
+                        seed=seed, parallelism=len(depths), foldCol="__fold")
     return cv.fit(df)
 
 

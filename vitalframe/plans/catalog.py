@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import numeric, paf as pafx
+from ..functions import numeric, paf as pafx, randoms
 from ..operators import aggs, clean, joins, reshape, stats, windows
 from ..sources import views
 from ..sources.readers import read_table
@@ -724,9 +724,9 @@ def _exposure_rows(spark, sf):
 
 @register("sev_integral")
 def q_sev_integral(spark, sf):
-    """T6 + X8: SEV and PAF by a 256-cell midpoint integral of RR x density."""
+    """T6 + X8: SEV and PAF by an integral of RR x density in normal scores."""
     from . import exposure
-    out = exposure.sev_integral(_exposure_rows(spark, sf), cells=256)
+    out = exposure.sev_integral(_exposure_rows(spark, sf))
     return rounded(out.select("row_id", "draw", "integral", "sev", "paf"))
 
 
@@ -850,13 +850,13 @@ def _bernoulli(spark, sf, portable):
     l = tbl(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                           (F.col("l_discount") * 10).alias("p"))
     row_key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    out = draws.bernoulli_counts(l, "p", row_key, 100, seed=3, portable=portable)
+    out = draws.bernoulli_counts(l, "p", row_key, 100 if portable else 1000, seed=3, portable=portable)
     return rounded(out.drop("l_partkey", "l_suppkey"))
 
 
 @register("bernoulli_draws")
 def q_bernoulli_draws(spark, sf):
-    """M8: 100 Bernoulli draws per row from p = 10 x discount (row seed from
+    """M8: 1000 Bernoulli draws per row from p = 10 x discount (row seed from
     xxhash64, splitmix64 draws), counted per row without exploding them."""
     return _bernoulli(spark, sf, portable=False)
 
@@ -948,18 +948,38 @@ def q_crossed_mixed_model(spark, sf):
 
 @register("asfr_forecast_draws")
 def q_asfr_forecast_draws(spark, sf):
-    """T11 (M9, M11, M12, M13): 100 draws of log ASFR for the forecast years,
-    summarised per (location, year, age) as mean and 95% interval (A7)."""
+    """T11 (M9, M11, M13): 1000 draws of log ASFR for the forecast years with
+    covariate draws paired by draw, summarised per (location, year, age) as mean
+    and 95% interval (A7)."""
     from . import forecast
     d = _asfr_covariates(spark, sf)
     train = d.where(F.col("year_id") < 1999)
     future = d.where(F.col("year_id") >= 1999).select("location_id", "year_id",
                                                       "age_group_id", "ldi", "edu")
+    # covariate draws: 5 % noise around each location-year's value, the same for all its ages
+    future = future.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    for k, x in enumerate(("ldi", "edu")):
+        z = randoms.hash_normal("location_id", "year_id", "draw", seed=29, stream=k)
+        future = future.withColumn(x, F.col(x) * (1 + 0.05 * z))
     pred = forecast.forecast_draws(train, future, "log_asfr", ["ldi", "edu"], "location_id",
-                                   ["age_group_id"], n_draws=100, seed=17)
+                                   ["age_group_id"], n_draws=1000, seed=17)
     return rounded(aggs.draw_summary(pred, ["location_id", "year_id", "age_group_id"], "pred"), 4)
 
 
+@register("random_effect_draws")
+def q_random_effect_draws(spark, sf):
+    """1000 Normal(BLUP, sigma_u) draws per location and age model,
+    summarised as mean and 95% interval (A7)."""
+    from . import forecast
+    from ..operators import mixed
+    d = _asfr_covariates(spark, sf)
+    fit = mixed.mixed_model(d.where(F.col("year_id") < 1999), "log_asfr", ["ldi", "edu"], ["location_id"],
+                            ["age_group_id"])
+    levels = d.select("age_group_id", "location_id").distinct()
+    re = forecast.random_effect_draws(fit, levels, ["age_group_id"], "location_id", 1000, seed=18)
+    return rounded(aggs.draw_summary(re, ["age_group_id", "location_id"], "re"), 4)
+
+
 @register("model_comparison")
 def q_model_comparison(spark, sf):
     """M2 + P18: three fits (lin-lin, log-lin, log-log) with slope,
@@ -990,9 +1010,14 @@ def _embedding_frame(spark, sf):
     return learn.array_features(e, "embedding")
 
 
+def _two_class_frame(spark, sf):
+    """All labels as two classes: odd or even."""
+    return _embedding_frame(spark, sf).withColumn("label", F.col("label") % 2)
+
+
 @register("logistic_formula")
 def q_logistic_formula(spark, sf):
-    """M7 + M8: logistic model with categorical terms, then 100 Bernoulli
+    """M7 + M8: logistic model with categorical terms, then 1000 Bernoulli
     draws per row from its probability, summarised per category."""
     from ..operators import draws, learn
     l = tbl(spark, sf, "lineitem").select(
@@ -1001,32 +1026,32 @@ def q_logistic_formula(spark, sf):
         (F.col("l_returnflag") == "R").cast("double").alias("label"))
     _m, pred = learn.logistic_formula(l, "label ~ l_linestatus + ship_year + l_discount + l_tax")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    dr = draws.bernoulli_counts(pred, "p", keys, 100, seed=23)
+    dr = draws.bernoulli_counts(pred, "p", keys, 1000, seed=23)
     return rounded(dr.groupBy("l_linestatus", "ship_year").agg(
-        F.avg("p").alias("mean_p"), F.avg(F.col("n_events") / 100.0).alias("draw_rate"),
+        F.avg("p").alias("mean_p"), F.avg(F.col("n_events") / 1000.0).alias("draw_rate"),
         F.avg("label").alias("observed")), 4)
 
 
 @register("lasso_fit")
 def q_lasso_fit(spark, sf):
-    """Lasso (alpha 0.1) of the label on 64 embedding features; the
-    non-zero coefficients."""
+    """Lasso (alpha 0.1) of the price on four line features; every
+    coefficient (0 for those it leaves out) and the intercept."""
     from ..operators import learn
-    e = _embedding_frame(spark, sf).withColumn("y", F.col("label").cast("double"))
-    m = learn.lasso(e, "y", alpha=0.1)
-    coefs = [(i, float(v)) for i, v in enumerate(m.coefficients.toArray()) if v != 0.0]
-    out = spark.createDataFrame(coefs + [(-1, float(m.intercept))], "feature int, coef double")
-    return rounded(out, 4)
+    xs = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    l = tbl(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1000.0).alias("y"), *xs)
+    m = learn.lasso(learn.assemble(l, xs), "y", alpha=0.1)
+    coefs = list(zip([*xs, "intercept"], [*map(float, m.coefficients.toArray()), float(m.intercept)]))
+    return rounded(spark.createDataFrame(coefs, "feature string, coef double"), 4)
 
 
 @register("classifier_accuracy")
 def q_classifier_accuracy(spark, sf):
-    """M17 + M18 + M23: binary subset (labels 0/1), hash 70/30 split,
-    logistic / random forest / linear SVM accuracies."""
+    """M17 + M18 + M23: binary subset (labels 0/1) and its two feature columns,
+    hash 70/30 split, logistic / random forest / linear SVM accuracies."""
     from ..operators import learn
     e = learn.binary_subset(_embedding_frame(spark, sf), "label")
     train, test = learn.hash_split(e, ["id"], 0.7, seed=1)
-    preds = learn.classifiers(train, test, seed=1)
+    preds = learn.classifiers(train, test, features="features2", seed=1)
     return rounded(preds.groupBy("model").agg(
         F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
         F.count("*").alias("n")), 4)
@@ -1034,10 +1059,10 @@ def q_classifier_accuracy(spark, sf):
 
 @register("ensemble_vote")
 def q_ensemble_vote(spark, sf):
-    """Hard vote of the three classifiers (ties -> smallest label),
-    accuracy of the vote."""
+    """Hard vote of the three classifiers (ties -> smallest label) on all
+    labels recoded to two classes, accuracy of the vote."""
     from ..operators import learn
-    e = learn.binary_subset(_embedding_frame(spark, sf), "label")
+    e = _two_class_frame(spark, sf)
     train, test = learn.hash_split(e, ["id"], 0.7, seed=1)
     vote = learn.hard_vote(learn.classifiers(train, test, seed=1))
     return rounded(learn.accuracy(vote), 4)
@@ -1056,9 +1081,10 @@ def q_tree_grid_search(spark, sf):
 @register("bagged_trees")
 def q_bagged_trees(spark, sf):
     """M21 + M19: 100 depth-2 trees on 100-row subsets; mean single-tree
-    accuracy and the accuracy of their majority vote."""
+    accuracy and the accuracy of their majority vote, on all labels recoded to two
+    classes."""
     from ..operators import learn
-    e = learn.binary_subset(_embedding_frame(spark, sf), "label")
+    e = _two_class_frame(spark, sf)
     train, test = learn.hash_split(e, ["id"], 0.7, seed=4)
     preds = learn.bagged_trees(train, test, 100, 100, seed=4)
     single = (preds.groupBy("tree").agg(F.avg((F.col("label") == F.col("prediction"))
@@ -1071,10 +1097,11 @@ def q_bagged_trees(spark, sf):
 
 @register("precision_recall")
 def q_precision_recall(spark, sf):
-    """Logistic classifier at threshold 0.5: precision and recall."""
+    """Logistic classifier at threshold 0.5, all labels recoded to two
+    classes: precision and recall."""
     from pyspark.ml.classification import LogisticRegression
     from ..operators import learn
-    e = learn.binary_subset(_embedding_frame(spark, sf), "label")
+    e = _two_class_frame(spark, sf)
     train, test = learn.hash_split(e, ["id"], 0.8, seed=5)
     m = LogisticRegression(threshold=0.5).fit(train)
     return rounded(learn.precision_recall(m.transform(test)), 4)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from ..functions.randoms import sql_uniform
 
 
@@ -458,17 +460,29 @@ EXPO = """e AS (SELECT row_number() OVER () AS rid, l_orderkey AS row_id, l_line
 p AS (SELECT *, ln(m / sqrt(1.0 + pow(s, 2) / pow(m, 2))) AS mu,
     sqrt(ln(1.0 + pow(s, 2) / pow(m, 2))) AS sigma, (hi - lo) / 256.0 AS h FROM e)"""
 
+# A rule of other order and panels than the Spark side's, over all three parts.
+_NODES = ", ".join(f"({x!r}, {w!r})" for x, w in zip(*(v.tolist() for v in np.polynomial.legendre.leggauss(20))))
+_SCORE = "CASE WHEN {x} <= 0 THEN -12.0 ELSE greatest(-12.0, least(12.0, (ln({x}) - mu) / sigma)) END"
+
 SQL["sev_integral"] = f"""WITH {EXPO},
-c AS (SELECT p.*, lo + (CAST(i AS DOUBLE) + 0.5) * h AS x FROM p, range(0, 256) r(i)),
-v AS (SELECT rid, row_id, draw, cap, h, rm,
-    0.3989422804014327 / (x * sigma) * exp(-pow(ln(x) - mu, 2) / (2 * pow(sigma, 2))) AS px,
-    CASE WHEN flag = 1 THEN t - x ELSE x - t END AS dist FROM c),
-r AS (SELECT rid, row_id, draw, cap, h, px * CASE WHEN dist > 0 THEN
-    (CASE WHEN pow(rm, dist) < cap THEN pow(rm, dist) ELSE cap END) ELSE 1.0 END AS y FROM v),
-g AS (SELECT row_id, draw, cap, sum(y) * any_value(h) AS integral FROM r GROUP BY rid, row_id, draw, cap),
-z AS (SELECT *, (integral - 1.0) / NULLIF(cap - 1.0, 0) AS sev FROM g)
+k AS (SELECT *, CASE WHEN flag = 1 THEN t - ln(cap) / ln(rm) ELSE t + ln(cap) / ln(rm) END AS kink FROM p),
+s AS (
+  SELECT *, CASE WHEN flag = 1 THEN greatest(lo, t) ELSE lo END AS a, CASE WHEN flag = 1 THEN hi ELSE least(hi, t) END AS b FROM k
+  UNION ALL SELECT *, CASE WHEN flag = 1 THEN greatest(lo, kink) ELSE greatest(lo, t) END,
+                      CASE WHEN flag = 1 THEN least(hi, t) ELSE least(hi, kink) END FROM k
+  UNION ALL SELECT *, CASE WHEN flag = 1 THEN lo ELSE greatest(lo, kink) END,
+                      CASE WHEN flag = 1 THEN least(hi, kink) ELSE hi END FROM k),
+zz AS (SELECT *, {_SCORE.format(x='a')} AS za, {_SCORE.format(x='b')} AS zb FROM s WHERE b > a),
+q(node, weight) AS (VALUES {_NODES}),
+v AS (SELECT rid, row_id, draw, cap, rm, t, flag, mu, sigma, weight * (zb - za) / 20.0 AS w,
+    za + (zb - za) * (CAST(i AS DOUBLE) + (node + 1.0) / 2.0) / 10.0 AS z FROM zz, q, range(0, 10) r(i)),
+d AS (SELECT *, CASE WHEN flag = 1 THEN t - exp(mu + sigma * z) ELSE exp(mu + sigma * z) - t END AS dist FROM v),
+g AS (SELECT row_id, draw, cap, sum(w * 0.3989422804014327 * exp(-z * z / 2.0) *
+    CASE WHEN dist > 0 THEN least(pow(rm, least(dist, 1e4)), cap) ELSE 1.0 END) AS integral
+  FROM d GROUP BY rid, row_id, draw, cap),
+y AS (SELECT *, (integral - 1.0) / NULLIF(cap - 1.0, 0) AS sev FROM g)
 SELECT row_id, draw, {r6('integral')} AS integral, {r6('sev')} AS sev,
-  {r6('1.0 - 1.0 / NULLIF(sev * (cap - 1.0) + 1, 0)')} AS paf FROM z"""
+  {r6('1.0 - 1.0 / NULLIF(sev * (cap - 1.0) + 1, 0)')} AS paf FROM y"""
 
 SQL["exposure_density"] = f"""WITH {EXPO},
 c AS (SELECT *, m * 0.8 AS x FROM p),

@@ -3,14 +3,15 @@
 ``sev = (integral(RR(x) p(x) dx) - 1) / (rr_max - 1)`` and
 ``paf = 1 - 1 / (sev (rr_max - 1) + 1)`` per (row, draw).  The original
 called an adaptive quadrature per draw through ctypes.  Here the integral is
-a midpoint rule on ``cells`` cells, evaluated as a rows x cells numpy block
-inside an Arrow-batched pandas UDF: rows never leave their partition (no
-explode, no shuffle), and the kernel is vectorised.  Measured at sf0.1
-(600k rows x 256 cells): 6.5 s, against 26 s for explode + partial
-aggregation and 74 s for an ``aggregate(sequence(...))`` lambda, which
-Spark evaluates without code generation.  The integrand itself is the X8
-curve also available as column expressions in ``functions.numeric``; the
-midpoint rule never evaluates x = integ_min, so ln(0) is never reached.
+taken in z = (ln x - mu) / sigma, where the density is the standard normal one
+and nothing is singular at x = 0.  It is broken where the curve has a kink: at
+``tmrel``, below (above) which RR is 1 and the integral is a difference of normal
+distribution functions, and where the curve meets its cap.  Each smooth part is a
+Gauss-Legendre rule of ``PANELS`` x ``NODES`` points, evaluated as a rows x nodes
+numpy block inside an Arrow-batched pandas UDF: rows never leave their partition
+(no explode, no shuffle).  The error is far below the original's 1.49e-06.  The
+integrand itself is the X8 curve also available as column expressions in
+``functions.numeric``.
 """
 
 from __future__ import annotations
@@ -23,50 +24,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# cells per Arrow batch row block, to bound the rows x cells temporaries
-_BLOCK = 2048
+_BLOCK = 2048            # rows per numpy block, to bound the rows x nodes temporaries
+PANELS, NODES = 8, 16    # per smooth part
+_Z = 12.0                # beyond this many sd the density is below 1e-32
+_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def midpoint_integral(m, s, rm, cap, t, lo, hi, protective, cells: int,
-                      pi_value: float = math.pi) -> np.ndarray:
+def _normal_cdf(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(-z / math.sqrt(2.0))
+
+
+def curve_integral(m, s, rm, cap, t, lo, hi, protective, pi_value: float = math.pi) -> np.ndarray:
     """Vectorised integral of RR(x) * lognormal(x; m, s) over [lo, hi]."""
+    node, weight = np.polynomial.legendre.leggauss(NODES)
+    x01 = ((np.arange(PANELS)[:, None] + (node + 1) / 2) / PANELS).ravel()
+    w01 = np.tile(weight / 2 / PANELS, PANELS)
     out = np.empty(len(m))
     for a in range(0, len(m), _BLOCK):
         b = slice(a, a + _BLOCK)
-        mm, ss, r, c, tt, l, hh = (v[b, None] for v in (m, s, rm, cap, t, lo, hi))
-        prot = protective[b, None]
-        v = 1.0 + ss ** 2 / mm ** 2
-        mu, sig = np.log(mm / np.sqrt(v)), np.sqrt(np.log(v))
-        h = (hh - l) / cells
-        x = l + (np.arange(cells)[None, :] + 0.5) * h
-        dist = np.where(prot, tt - x, x - tt)
-        # RR = min(r^dist, cap) on the harmful side, folded into the exponent
-        # of the density: one exp per cell instead of exp + power
+        mm, ss, r, c, tt, l, h, prot = (v[b] for v in (m, s, rm, cap, t, lo, hi, protective))
         with np.errstate(divide="ignore", invalid="ignore"):
-            log_rr = np.where(dist > 0, np.minimum(dist * np.log(r), np.log(c)), 0.0)
-        expo = log_rr - (np.log(x) - mu) ** 2 / (2 * sig ** 2)
-        y = np.exp(expo) / (x * sig * math.sqrt(2 * pi_value))
-        out[b] = y.sum(axis=1) * h[:, 0]
+            v = 1.0 + ss ** 2 / mm ** 2
+            mu, sig = np.log(mm / np.sqrt(v)), np.sqrt(np.log(v))
+
+            def z(x):
+                return np.where(x > 0, np.clip((np.log(np.where(x > 0, x, 1.0)) - mu) / sig, -_Z, _Z), -_Z)
+
+            # distance from tmrel at which the curve and its cap cross (none: at infinity)
+            reach = np.log(c) / np.log(r)
+        reach = np.where(np.isfinite(reach) & (reach > 0), reach, np.inf)
+        kink = np.where(prot, tt - reach, tt + reach)
+        one = np.where(prot, _normal_cdf(z(h)) - _normal_cdf(z(np.minimum(np.maximum(l, tt), h))),
+                       _normal_cdf(z(np.maximum(np.minimum(h, tt), l))) - _normal_cdf(z(l)))
+        total = one
+        near = (np.where(prot, np.maximum(l, kink), np.maximum(l, tt)), np.where(prot, np.minimum(h, tt), np.minimum(h, kink)))
+        far = (np.where(prot, l, np.maximum(l, kink)), np.where(prot, np.minimum(h, kink), h))
+        for x0, x1 in (near, far):
+            z0, z1 = z(np.minimum(x0, x1)), z(x1)
+            zz = z0[:, None] + (z1 - z0)[:, None] * x01
+            x = np.exp(mu[:, None] + sig[:, None] * zz)
+            dist = np.where(prot[:, None], tt[:, None] - x, x - tt[:, None])
+            log_rr = np.minimum(dist * np.log(r)[:, None], np.log(c)[:, None])
+            y = np.exp(log_rr - zz ** 2 / 2) @ w01
+            total = total + np.where(x1 > x0, y * (z1 - z0) / math.sqrt(2 * math.pi), 0.0)
+        out[b] = total * math.sqrt(math.pi / pi_value)
     return out
 
 
-def _integral_udf(cells: int, pi_value: float):
+def _integral_udf(pi_value: float):
     @F.pandas_udf(T.DoubleType())
     def integral(m: pd.Series, s: pd.Series, rm: pd.Series, cap: pd.Series, t: pd.Series,
                  lo: pd.Series, hi: pd.Series, flag: pd.Series) -> pd.Series:
         arr = [v.to_numpy(dtype=float, na_value=np.nan) for v in (m, s, rm, cap, t, lo, hi)]
         prot = flag.to_numpy(dtype=float, na_value=0.0) == 1
-        return pd.Series(midpoint_integral(*arr, prot, cells, pi_value))
+        return pd.Series(curve_integral(*arr, prot, pi_value))
     return integral
 
 
-def sev_integral(df: DataFrame, cells: int = 512, pi_value: float = math.pi,
+def sev_integral(df: DataFrame, pi_value: float = math.pi,
                  exp_mean: str = "exp_mean", exp_sd: str = "exp_sd",
                  rr_mean: str = "rr_mean", rr_max: str = "rr_max", tmrel: str = "tmrel",
                  lo: str = "integ_min", hi: str = "integ_max",
                  flag: str = "flag") -> DataFrame:
     """Add ``integral``, ``sev`` and ``paf`` columns (flag 1 = protective)."""
-    f = _integral_udf(cells, pi_value)
+    f = _integral_udf(pi_value)
     df = df.withColumn("integral", f(*[F.col(c).cast("double") for c in
                                        (exp_mean, exp_sd, rr_mean, rr_max, tmrel, lo, hi)],
                                      F.col(flag)))

@@ -1,8 +1,9 @@
 """ASFR forecast with uncertainty (T11: M9, M11, M12, M13).
 
 Fit one random-intercept model per age group on the training years, draw
-fixed effects from MVN(beta, vcov) and random intercepts from
-Normal(BLUP, sigma_u), and predict every forecast row for every draw.
+fixed effects from MVN(beta, vcov), and predict every forecast row for every
+draw with its level's BLUP.  Draws of the random intercept itself, Normal(BLUP,
+sigma_u), are M12, used where a model asks for them.
 Fixed-effect draws are one small table per model key (p x p Cholesky
 computed per key in ``applyInPandas``); predictions are joins on
 (model key, draw) and (model key, level, draw) — no row data on the driver.
@@ -77,19 +78,20 @@ def random_effect_draws(fit: DataFrame, levels: DataFrame, by, group: str, n_dra
 
 def forecast_draws(train: DataFrame, future: DataFrame, y: str, xs, group: str, by,
                    n_draws: int, seed: int = 0, reml: bool = True) -> DataFrame:
-    """Per-draw predictions ``b0 + sum b_x x + re_group`` for every
-    future row (M13, draws paired by index)."""
+    """Per-draw predictions ``b0 + sum b_x x + BLUP_group`` for every
+    future row (M13).  A ``draw`` column in ``future`` holds covariate draws:
+    draw i of the covariates meets draw i of the coefficients.  Without one each
+    row meets every coefficient draw.  A level not seen in training has BLUP 0."""
     by = list(by)
-    fit = mixed.mixed_model(train, y, xs, [group], by, reml)
     from ..session import cut_lineage
-    fit = cut_lineage(fit)  # tiny (rows per term / level); read by both draw tables
+    fit = cut_lineage(mixed.mixed_model(train, y, xs, [group], by, reml))  # tiny; read twice
     coefs = coefficient_draws(fit, by, ["intercept"] + list(xs), n_draws, seed)
-    res = random_effect_draws(fit, future, by, group, n_draws, seed + 1)
+    blup = (fit.where((F.col("kind") == "blup") & (F.col("term") == group))
+               .select(*by, F.col("level").alias(group), F.col("estimate").alias("re")))
     fut = future.withColumn(group, F.col(group).cast("string"))
-    j = (fut.join(coefs, by, "inner")
-            .join(res, by + [group, "draw"], "inner"))
-    pred = F.col("b_intercept")
+    keys = by + (["draw"] if "draw" in future.columns else [])
+    j = fut.join(coefs, keys, "inner").join(blup, by + [group], "left")
+    pred = F.col("b_intercept") + F.coalesce(F.col("re"), F.lit(0.0))
     for x in xs:
         pred = pred + F.col(f"b_{x}") * F.col(x)
-    return j.withColumn("pred", pred + F.col("re")).drop(*[c for c in j.columns
-                                                          if c.startswith("b_")], "re")
+    return j.withColumn("pred", pred).drop("b_intercept", *[f"b_{x}" for x in xs], "re")
