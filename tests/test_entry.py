@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.count() >= 0
+    assert df.count() > 0
     assert set(df.columns) >= {"acause", "version", "paf", "scalar"}
 
 
@@ -33,5 +33,10 @@ def test_oracle(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_no_oracle_queries_run(spark, name):
+    if name == "pipeline" or name.startswith("op"):
+        pytest.skip("held against brute force in tests/llm")
     df = E.queries()[name](spark, SF)
-    assert df.count() >= 0
+    rows = df.collect()
+    assert rows and len(rows[0]) == len(df.columns)
+    numbers = [v for r in rows for v in r if isinstance(v, float)]
+    assert all(v == v and abs(v) != float("inf") for v in numbers)

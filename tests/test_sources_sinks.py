@@ -168,3 +168,13 @@ def test_incremental_errors_rise(spark, tmp):
         f.write("not parquet")
     with pytest.raises(Exception):  # noqa: B017
         sinks.write_incremental(spark.createDataFrame([("a", 1)], "k string, v int"), out, ["k"])
+
+
+def test_drop_tables(spark):
+    from vitalframe.session import cut_lineage, drop_tables
+    df = cut_lineage(spark.range(5))
+    assert df.count() == 5
+    path = df.inputFiles()[0]
+    drop_tables(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()

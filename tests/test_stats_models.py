@@ -137,13 +137,6 @@ def test_correlation_pairwise_complete(spark):
         assert v == pytest.approx(exp.loc[x, y])
 
 
-def test_mvn_draws_covariance(spark):
-    V = np.array([[1.0, 0.6], [0.6, 2.0]])
-    d = draws.mvn_draws(spark, [1.0, -1.0], V, ["a", "b"], 20000, seed=4).toPandas()
-    assert np.allclose(d[["a", "b"]].mean(), [1.0, -1.0], atol=0.05)
-    assert np.allclose(np.cov(d.a, d.b), V, atol=0.08)
-
-
 def test_hard_vote_tie_goes_to_smallest(spark):
     p = spark.createDataFrame([(1, 1, 1.0), (1, 1, 0.0), (2, 0, 0.0), (2, 0, 0.0), (2, 0, 1.0)],
                               "id int, label int, prediction double")

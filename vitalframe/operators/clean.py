@@ -50,12 +50,6 @@ def recode(df: DataFrame, column: str, values, label, out: str | None = None) ->
                          F.when(c.isin(list(values)), F.lit(label)).otherwise(c))
 
 
-def keep_in(df: DataFrame, column: str, values, exclude: bool = False) -> DataFrame:
-    """Membership filter (literal list) or exclusion list."""
-    cond = F.col(column).isin(list(values))
-    return df.where(~cond if exclude else cond)
-
-
 def numeric_or_drop(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Text to double; rows that do not parse are dropped."""
     out = out or column
@@ -63,9 +57,10 @@ def numeric_or_drop(df: DataFrame, column: str, out: str | None = None) -> DataF
 
 
 def add_age(df: DataFrame, birth: str, order: str, out: str = "age",
-            max_age: int = 100) -> DataFrame:
-    """Age from two 'm/d/yy hh:mm' strings; keep age < ``max_age``."""
-    return (df.withColumn(out, text.age_from_two_digit_years(birth, order))
+            max_age: int = 100, pivot: int = 17) -> DataFrame:
+    """Age from two 'm/d/yy hh:mm' strings (order years below ``pivot`` are
+    in the next century); keep age < ``max_age``."""
+    return (df.withColumn(out, text.age_from_two_digit_years(birth, order, pivot))
               .where(F.col(out) < max_age))
 
 
@@ -129,13 +124,14 @@ def scale_logit(df: DataFrame, value: str = "asfr", group: str = "age_group_id",
                 hi: float = 0.999) -> DataFrame:
     """``(x - lb[g]) / (ub[g] - lb[g])``, clamp to [lo, hi], logit.
 
-    Groups outside the bounds table get null.  The bounds table has a fixed
-    7 rows, so it is broadcast (no shuffle of ``df``).
+    Groups outside the bounds table get null.  The default bounds table has a
+    fixed 7 rows, so it is broadcast (no shuffle of ``df``); a caller's table is
+    left to AQE.
     """
     if bounds is None:
-        bounds = asfr_bounds(df.sparkSession)
+        bounds = F.broadcast(asfr_bounds(df.sparkSession))
     b = bounds.withColumnRenamed(bounds.columns[0], group)
-    out = df.join(F.broadcast(b), group, "left")
+    out = df.join(b, group, "left")
     scaled = F.try_divide(F.col(value) - F.col("lb"), F.col("ub") - F.col("lb"))
     out = out.withColumn("scaled_" + value, pafx.clip(scaled, lo, hi))
     out = out.withColumn("logit_" + value, numeric.logit("scaled_" + value))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,27 +73,6 @@ def bernoulli_counts(df: DataFrame, p: str, keys, n_draws: int, seed: int = 0,
     return df.withColumn(out, cnt.cast("long"))
 
 
-def mvn_draws(spark, mean, vcov, terms, n_draws: int, seed: int = 0,
-              draw: str = "draw") -> DataFrame:
-    """Fixed-effect draws from MVN(mean, vcov).
-
-    The p x p Cholesky factor is computed once on the driver (p is the
-    number of model terms); draws are rows of ``range(n_draws)`` with hash
-    normals, so the table is built on the executors.
-    """
-    L = np.linalg.cholesky(np.asarray(vcov, float) + 1e-300 * np.eye(len(terms)))
-    d = spark.range(n_draws).withColumnRenamed("id", draw)
-    z = [randoms.hash_normal(draw, seed=seed, stream=k) for k in range(len(terms))]
-    cols = {}
-    for i, t in enumerate(terms):
-        e = F.lit(float(mean[i]))
-        for k in range(i + 1):
-            if L[i, k] != 0.0:
-                e = e + F.lit(float(L[i, k])) * z[k]
-        cols[t] = e
-    return d.withColumns(cols)
-
-
 def random_effect_draws(levels: DataFrame, level: str, blup: str, sd: float,
                         n_draws: int, seed: int = 0, draw: str = "draw",
                         out: str = "re") -> DataFrame:
@@ -102,3 +81,30 @@ def random_effect_draws(levels: DataFrame, level: str, blup: str, sd: float,
     d = levels.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     return d.withColumn(out, F.col(blup) + F.lit(sd) * randoms.hash_normal(level, draw,
                                                                          seed=seed))
+
+
+def truncate_draws(df: DataFrame, keys, value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
+    """Winsorise draws: every value is clamped to its key's exact ``lo`` and ``hi``
+    percentiles over the draws (one grouped aggregate, joined back)."""
+    keys = list(keys)
+    cut = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("__cut"))
+    return (df.join(cut, keys).withColumn(
+        value, F.greatest(F.least(F.col(value), F.col("__cut")[1]), F.col("__cut")[0])).drop("__cut"))
+
+
+def resample(df: DataFrame, keys, draw: str, n: int, seed: int = 0, portable: bool = False) -> DataFrame:
+    """Bring every key to ``n`` draws, numbered 0 to n - 1.
+
+    Fewer: the n draws that come first by a hash of (key, draw).  More: all draws
+    as often as they fit, and the rest from the first by that hash.  The window
+    holds the draws of one key.
+    """
+    keys = list(keys)
+    u = randoms.hash_uniform(*keys, draw, seed=seed, portable=portable)
+    by = Window.partitionBy(*keys)
+    ranked = df.withColumns({"__r": F.row_number().over(by.orderBy(u, draw)), "__c": F.count("*").over(by)})
+    copies = (F.floor(F.lit(n) / F.col("__c")) +
+              F.when(F.col("__r") <= F.lit(n) % F.col("__c"), 1).otherwise(0)).cast("int")
+    copies = F.when(F.col("__c") >= n, F.when(F.col("__r") <= n, 1).otherwise(0)).otherwise(copies)
+    out = ranked.where(copies > 0).withColumn("__k", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return out.withColumn(draw, (F.col("__k") * F.col("__c") + F.col("__r") - 1).cast("int")).drop("__r", "__c", "__k")

@@ -72,16 +72,13 @@ def self_join(a: DataFrame, b: DataFrame, keys, suffixes=("_x", "_y"),
     return a2.join(b2, cond, "inner").drop(*["__r_" + k for k in keys])
 
 
-def lookup(df: DataFrame, dim: DataFrame, keys, how: str = "left",
-           bounded: bool = False) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, keys, how: str = "left") -> DataFrame:
     """Lookup join against a dimension.
 
-    ``bounded=True`` is the caller's statement that the dimension has a
-    fixed, small cardinality (ages, sexes, nations, regions); it is then
-    broadcast.  By default the strategy is left to AQE, which broadcasts
-    only after measuring the side small.
+    The strategy is left to AQE, which broadcasts the dimension only after
+    measuring it small.
     """
-    return df.join(F.broadcast(dim) if bounded else dim, list(keys), how)
+    return df.join(dim, list(keys), how)
 
 
 def anti(df: DataFrame, pairs: DataFrame, keys) -> DataFrame:
@@ -120,9 +117,9 @@ def replicate_by_band(df: DataFrame, bands: DataFrame, band_col: str = "age",
     """One row per week of the row's band (enn 1, lnn 3, pnn 48).
 
     Keyed on the band value, so any number of locations/years/draws is
-    handled in one pass; the band table has 3 rows and is broadcast.
+    handled in one pass; AQE broadcasts the band table when it is small.
     """
     b = bands.select(band_col, "wk_from", "wk_to")
-    return (df.join(F.broadcast(b), band_col, "inner")
+    return (df.join(b, band_col, "inner")
               .withColumn(out, F.explode(F.sequence("wk_from", "wk_to")))
               .drop("wk_from", "wk_to"))

@@ -31,7 +31,7 @@ def array_features(df: DataFrame, array_col: str, out: str = "features") -> Data
 
 def assemble(df: DataFrame, columns, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=out,
-                           handleInvalid="skip").transform(df)
+                           handleInvalid="error").transform(df)
 
 
 def hash_split(df: DataFrame, keys, train_fraction: float = 0.7, seed: int = 0):
@@ -48,7 +48,7 @@ def logistic_formula(df: DataFrame, formula: str, reg: float = 0.0):
     as a string column; RFormula one-hot encodes it).  Returns (model,
     predictions with ``p`` = P(label = 1))."""
     rf = RFormula(formula=formula, featuresCol="features", labelCol="label",
-                  handleInvalid="skip")
+                  handleInvalid="error")  # drop incomplete rows first (P5): none goes in silence
     lr = LogisticRegression(regParam=reg, featuresCol="features", labelCol="label")
     model = Pipeline(stages=[rf, lr]).fit(df)
     pred = model.transform(df).withColumn("p", vector_to_array("probability")[1])

@@ -78,13 +78,6 @@ def wide_to_long(df: DataFrame, keys, prefix: str, var: str = "draw",
     return long.withColumn(var, num.cast("int")).drop("__name").select(*keys, var, value)
 
 
-def array_to_long(df: DataFrame, keys, array_col: str, index: str = "draw",
-                  value: str = "value", offset: int = 0) -> DataFrame:
-    """O7 (array form): keys + ``ARRAY<DOUBLE>`` -> (keys, index, value)."""
-    return (df.select(*keys, F.posexplode(array_col).alias(index, value))
-              .withColumn(index, F.col(index) + F.lit(offset)))
-
-
 def nested_to_long(df: DataFrame, keys, array_col: str, labels) -> DataFrame:
     """An N-level nested array -> one row per leaf with index labels.
 
@@ -100,20 +93,27 @@ def nested_to_long(df: DataFrame, keys, array_col: str, labels) -> DataFrame:
     return cur.withColumnRenamed(f"__a{len(labels)}", "value")
 
 
+MAX_DIMENSION = 100_000  # values of a factor of the dense index (all but the first are broadcast)
+
+
 def complete_index(dims: dict, spark=None, version: str | None = None,
                    y1: int | None = None, year: str = "year_id") -> DataFrame:
     """Cross product of all key values (the dense index).
 
     ``dims`` maps a key name to a DataFrame of its values or to a list.
-    Each factor is a dimension of fixed, small cardinality (locations, 20
-    ages, 2 sexes, years, 3 scenarios), so the cross join is a chain of
-    broadcast nested-loop joins; ``version`` keeps past (< y1) or
-    forecast (>= y1) years.
+    Each factor must be a dimension of small cardinality (locations, 20 ages, 2
+    sexes, years, 3 scenarios): a DataFrame's distinct values are counted up to
+    ``MAX_DIMENSION`` and more are refused, so the cross join is a chain of
+    broadcasts of checked size; ``version`` keeps past (< y1) or forecast
+    (>= y1) years.
     """
     parts = []
     for name, vals in dims.items():
         if isinstance(vals, DataFrame):
-            parts.append(vals.select(name).distinct())
+            part = vals.select(name).distinct()
+            if parts and part.limit(MAX_DIMENSION + 1).count() > MAX_DIMENSION:
+                raise ValueError(f"{name} has over {MAX_DIMENSION} values: not a dimension")
+            parts.append(part)
         else:
             vals = list(vals)
             small_int = all(isinstance(v, int) and -2 ** 31 <= v < 2 ** 31 for v in vals)

@@ -159,16 +159,14 @@ def _two_sample(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
                     (F.col("n1") + F.col("n2") - 2).alias("df"), F.sqrt(sp2).alias("pooled_sd"))
 
 
-@F.pandas_udf(T.DoubleType())
-def t_pvalue_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Two-sided Student-t p-value, vectorised (Arrow batches)."""
-    return pd.Series(special.t_two_sided_p(t.to_numpy(float), dof.to_numpy(float)))
-
-
 def t_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """M4: pooled two-sample t-test with its two-sided p-value."""
+    """M4: pooled two-sample t-test with its two-sided p-value (X9), a number
+    computed from the one aggregated row."""
     s = two_sample_stats(df, value, group, a, b)
-    return s.withColumn("p_value", t_pvalue_udf(F.col("t"), F.col("df").cast("double")))
+    r = s.first()
+    p = None if r["t"] is None else float(special.t_two_sided_p(r["t"], float(r["df"])))
+    return df.sparkSession.createDataFrame([(*r, p)], T.StructType([*s.schema.fields,
+                                                                    T.StructField("p_value", T.DoubleType())]))
 
 
 def bootstrap_power(n1: int, n2: int, mean1: float, mean2: float, sd: float,

@@ -192,7 +192,7 @@ FROM part WHERE p_type = 'ECONOMY' AND p_size > 20
 ORDER BY p_retailprice, p_partkey LIMIT 5"""
 
 SQL["customers_without_orders"] = """SELECT c.c_custkey, c.c_name, o.n_orders FROM customer c
-LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o
+LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1) o
   ON c.c_custkey = o.o_custkey WHERE o.n_orders IS NULL"""
 
 SQL["group_mean_plus"] = f"""SELECT l_returnflag, l_linestatus, {r6('avg(l_extendedprice)')} AS mean_price,

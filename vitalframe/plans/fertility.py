@@ -106,13 +106,13 @@ def modelling_table(asfr: DataFrame, edu: DataFrame, met: DataFrame, locations:
     d = asfr.join(edu, keys, "inner").join(met, keys, "inner")
     d = clean.scale_logit(d, "asfr")
     d = clean.add_decade(d, "year_id", "decade", 1950, 2010)
-    d = joins.lookup(d, locations, ["location_id"], "inner", bounded=True)  # location dimension
+    d = joins.lookup(d, locations, ["location_id"], "inner")  # location dimension
     names = ["asmedu_below_6", "asmedu_between_6_10", "asmedu_between_10_14", "asmedu_above_14"]
     bounds = clean.knot_bounds(d, "asmedu")
     d = clean.spline_basis(d, "asmedu", [6, 10, 14], names, bounds)
     if forecast_edu is not None:
         f = clean.spline_basis(forecast_edu, "asmedu", [6, 10, 14], names, bounds)
-        f = joins.lookup(f, locations, ["location_id"], "inner", bounded=True)
+        f = joins.lookup(f, locations, ["location_id"], "inner")
         d = d.unionByName(f, allowMissingColumns=True)
     return d
 

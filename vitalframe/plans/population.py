@@ -59,21 +59,3 @@ def under_one_step(pop: DataFrame, nqx: DataFrame, births: DataFrame,
     x = joins.inner(x, nb, keys + [draw])
     x = windows.cohort_survivors(x, keys + [draw], "age_wks", "q", "new_borns", "pop")
     return aggs.group_sums(x, keys + ["age_group_id", "age", draw], ["pop"])
-
-
-def literal_loop(rows, steps: int = 52):
-    """Reference implementation of the weekly recurrence on one cohort (plain
-    Python, for tests): ``rows`` is a list of (q, start_pop) by week."""
-    q = [r[0] for r in rows]
-    c = [r[1] for r in rows]
-
-    def run(newborns):
-        cur = list(c)
-        for _ in range(steps):
-            nxt = [None] * len(cur)
-            nxt[0] = (1 - q[0]) * newborns
-            for k in range(1, len(cur)):
-                nxt[k] = cur[k - 1] * (1 - q[k - 1])
-            cur = nxt
-        return cur
-    return run

@@ -81,11 +81,6 @@ def risk_cause_paf(sev: DataFrame, rr: DataFrame, keys, draw: str = "draw",
                   .drop("__paf_null")
 
 
-def models_missing(sev: DataFrame, pairs: DataFrame, risk: str = "risk") -> DataFrame:
-    """T4 report: (cause, risk) pairs asked for whose risk has no SEV rows."""
-    return pairs.join(sev.select(risk).distinct(), risk, "left_anti")
-
-
 def mediation_products(mediation: DataFrame, cause_risks: DataFrame,
                        cause: str = "acause", risk: str = "risk",
                        mediator: str = "mediator", value: str = "mean") -> DataFrame:

@@ -165,6 +165,15 @@ def cut_lineage(df, name: str = "t"):
     import uuid
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/vitalframe-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/vitalframe-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables that ``cut_lineage`` has written in this application, through
+    Spark's own file system; call it when no result is read any more."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/vitalframe-tables/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -103,7 +103,7 @@ def cause_risk_pairs(spark, sf_dir) -> DataFrame:
     """(acause, risk) = (market segment, nation name) of customers."""
     c = read_table(spark, sf_dir, "customer")
     n = read_table(spark, sf_dir, "nation")
-    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return (c.join(n, c.c_nationkey == n.n_nationkey)
              .select(F.col("c_mktsegment").alias("acause"), F.col("n_name").alias("risk"))
              .distinct())
 
