@@ -139,3 +139,10 @@ def test_hash_poisson_any_mean(spark, lam):
         F.avg("k").alias("m"), F.var_samp("k").alias("v")).first()
     assert abs(r.m - lam) < 4 * (lam / 4000) ** 0.5
     assert r.v == pytest.approx(lam, rel=0.12)
+
+
+def test_vincenty_marks_points_that_do_not_converge(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0.5, 179.7), (None, 0.0, 1.0, 1.0), (10.0, 0.0, 10.0, 1.0)],
+                               "a double, b double, c double, d double")
+    got = [r.v for r in numeric.add_vincenty_km(df, "a", "b", "c", "d", "v").collect()]
+    assert got[0] is None and got[1] is None and got[2] == pytest.approx(109.64, abs=0.05)

@@ -73,16 +73,6 @@ def bernoulli_counts(df: DataFrame, p: str, keys, n_draws: int, seed: int = 0,
     return df.withColumn(out, cnt.cast("long"))
 
 
-def random_effect_draws(levels: DataFrame, level: str, blup: str, sd: float,
-                        n_draws: int, seed: int = 0, draw: str = "draw",
-                        out: str = "re") -> DataFrame:
-    """Normal(BLUP, sd) draws per level (sd = the variance component's
-    sd, as in the original)."""
-    d = levels.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    return d.withColumn(out, F.col(blup) + F.lit(sd) * randoms.hash_normal(level, draw,
-                                                                         seed=seed))
-
-
 def truncate_draws(df: DataFrame, keys, value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Winsorise draws: every value is clamped to its key's exact ``lo`` and ``hi``
     percentiles over the draws (one grouped aggregate, joined back)."""
