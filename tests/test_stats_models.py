@@ -389,3 +389,17 @@ def test_grid_search_does_not_depend_on_partitioning(spark):
     df = spark.createDataFrame(rows, "id long, label int, a array<double>").withColumn("features", array_to_vector("a"))
     runs = [learn.grid_search_tree(df.repartition(n, "id"), seed=2).avgMetrics for n in (1, 2, 5)]
     assert runs[1] == pytest.approx(runs[0]) and runs[2] == pytest.approx(runs[0])
+
+
+def test_forest_votes_match_the_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from vitalframe.plans import catalog
+    e = catalog._embedding_frame(spark, "/root/testdata/sf0.001").select("id", "label", "features")
+    m = RandomForestClassifier(numTrees=7, maxDepth=3, seed=3).fit(e)
+    got = {r.id: (list(r.votes), r.w) for r in learn.forest_votes(m, e).withColumn("w", learn.vote_winner()).collect()}
+    want = {}
+    for t in m.trees:
+        for r in t.transform(e).select("id", "prediction").collect():
+            want.setdefault(r.id, [0] * m.numClasses)[int(r.prediction)] += 1
+    assert {i: v for i, (v, _) in got.items()} == want
+    assert all(w == v.index(max(v)) for v, w in got.values())

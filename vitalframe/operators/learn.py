@@ -8,8 +8,11 @@ so nothing is collected except the fitted model parameters.
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
                                        LogisticRegression, RandomForestClassifier)
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import randoms
+from ..session import ensure_checkpoint_dir
 
 
 def array_features(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -114,23 +118,63 @@ def grid_search_tree(df: DataFrame, depths=(1, 2, 3), features: str = "features"
     return cv.fit(df)
 
 
+def forest_votes(model, test: DataFrame, features: str = "features", out: str = "votes") -> DataFrame:
+    """Per row, how many of a forest's trees vote for each class (array by class).
+
+    The trees' nodes come from the model's saved form (``n_trees`` x at most
+    2^(depth + 1) rows, a size that the model's parameters bound); every row walks
+    all trees at once in numpy, in one pass over ``test`` without a shuffle.
+    """
+    spark = test.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vitalframe-models/{uuid.uuid4().hex}"
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+        F.col("nodeData.split.featureIndex").alias("feature"), F.col("nodeData.split.numCategories").alias("cats"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut")).collect()
+    if any(n["feature"] >= 0 and n["cats"] >= 0 for n in nodes):
+        raise ValueError("categorical splits are not supported")
+    trees, size = model.getNumTrees, 1 + max(n["id"] for n in nodes)
+    feature, left, right = (np.zeros((trees, size), np.int64) for _ in range(3))
+    cut, leaf = np.zeros((trees, size)), np.zeros((trees, size), np.int64)
+    for n in nodes:
+        t, i, inner = n["treeID"], n["id"], n["feature"] >= 0
+        leaf[t, i] = int(n["prediction"])
+        feature[t, i], cut[t, i] = (n["feature"], n["cut"]) if inner else (0, 0.0)
+        left[t, i], right[t, i] = (n["leftChild"], n["rightChild"]) if inner else (i, i)
+    classes, depth = model.numClasses, model.getMaxDepth()
+
+    @F.pandas_udf("array<int>")
+    def votes(x: pd.Series) -> pd.Series:
+        every, found = np.arange(trees), []
+        for at in range(0, len(x), 256):
+            m = np.stack(x.iloc[at:at + 256].to_list()).astype(float)
+            node = np.zeros((len(m), trees), np.int64)
+            for _ in range(depth):
+                goes = m[np.arange(len(m))[:, None], feature[every, node]] <= cut[every, node]
+                node = np.where(goes, left[every, node], right[every, node])
+            vote = leaf[every, node]
+            found += list(np.stack([(vote == c).sum(axis=1) for c in range(classes)], axis=1).astype(np.int32))
+        return pd.Series(found)
+
+    return test.withColumn(out, votes(vector_to_array(features)))
+
+
+def vote_winner(votes: str = "votes"):
+    """The class with the most votes; a tie goes to the smallest."""
+    return (F.array_position(votes, F.array_max(votes)) - 1).cast("double")
+
+
 def bagged_trees(train: DataFrame, test: DataFrame, n_trees: int, rows_per_tree: int,
-                 features: str = "features", label: str = "label", row_key: str = "id",
-                 seed: int = 0) -> DataFrame:
+                 features: str = "features", label: str = "label", seed: int = 0) -> DataFrame:
     """Many depth-2 trees on small row subsets (no replacement), all
-    features; returns one prediction per (row, tree) so single-tree scores
-    and the hard vote are plain aggregates."""
+    features; the test rows with ``votes`` (see :func:`forest_votes`), from which the
+    single trees' mean score and the hard vote are plain aggregates."""
     n = max(train.count(), 1)
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=n_trees,
                                 maxDepth=2, featureSubsetStrategy="all", bootstrap=False,
                                 subsamplingRate=min(1.0, rows_per_tree / n), seed=seed)
-    model = rf.fit(train)
-    preds = []
-    for i, tree in enumerate(model.trees):
-        p = tree.transform(test.select(row_key, label, features)).select(
-            row_key, label, "prediction")
-        preds.append(p.withColumn("tree", F.lit(i)))
-    return reduce(DataFrame.unionByName, preds)
+    return forest_votes(rf.fit(train), test, features)
 
 
 def precision_recall(pred: DataFrame, label: str = "label",
