@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.llm import langid, minhash, mixing, packing, quality_gbt
 from vitalframe.llm.common import table
+from vitalframe.operators import windows
 from vitalframe.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 
@@ -33,14 +34,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each group of near-duplicates stays.
 
-    Rows that repeat a kept id are reduced to one; rows without an id all stay.
+    Rows that repeat a kept id are reduced to the first of them in order of their
+    other columns; rows without an id all stay.
     """
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    kept = (minhash.near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull())
-            .select("doc_id"))
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    kept = minhash.near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    rows = docs.groupBy("doc_id").agg((F.count("*") > 1).alias("_vf_many"))
+    named = docs.join(kept.join(rows, "doc_id"), "doc_id")
+    other = [c for c in docs.columns if c != "doc_id"]
+    many = windows.dedupe_first(named.where("_vf_many").select(*docs.columns), ["doc_id"], other)
+    return (named.where("not _vf_many").select(*docs.columns).unionByName(many.select(*docs.columns))
+            .unionByName(docs.where(F.col("doc_id").isNull())))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

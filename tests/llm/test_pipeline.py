@@ -57,3 +57,12 @@ def test_registered():
     names = list(E.queries())
     assert "pipeline" in names and set(QUERIES) <= set(names)
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_dedup_keeps_one_row_of_a_repeated_id(spark):
+    rows = [(1, "a b c d e f g", "en", "x", 1), (1, "a b c d e f", "en", "x", 1), (2, "q r s", "en", "y", 1),
+            (None, "z", None, None, None), (None, "z", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (1, 3):
+        got = corpus_pipeline.near_dedup(spark, df.repartition(n), SF).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "z"), (0, "z"), (1, "a b c d e f"), (2, "q r s")]
