@@ -1,14 +1,16 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates.
 
-A document's words (lower-case letters, digits and non-ASCII) are cut into blocks:
-lines, and long lines into overlapping windows.  A block matches a template if it
-holds at least ``THRESHOLD`` of the template's distinct words (containment).
-Template words are ordered by how many documents hold them, rarest first, over the
-whole corpus; a template's prefix are its |t| - ceil(threshold |t|) + 1 rarest
-words, of which every matching block must hold one.  Blocks are found through
-these prefix words only, then pass the length filter (enough template words in
-the block) and the positional filter (enough still to come in the common order),
-and are verified.  Fixed phrases are looked for besides, exactly.
+A document's words are lower-case letters, digits and non-ASCII.  Its blocks for a
+template of n words are the windows of 2n words that start at every n-th word, so
+every run of up to n + 1 words lies within one, whatever lines it is wrapped to.  A
+block matches a template if it holds at least ``THRESHOLD`` of the template's
+distinct words (containment).  Template words are ordered by how many documents
+hold them, rarest first, over the whole corpus; a template's prefix are its
+|t| - ceil(threshold |t|) + 1 rarest words, of which every matching block must hold
+one.  Blocks are found through these prefix words only, then pass the length filter
+(enough template words in the block) and the positional filter (enough still to
+come in the common order), and are verified.  Fixed phrases are looked for
+besides, exactly.
 
 The templates are a parameter list of bounded size, so they go to the tasks whole.
 
@@ -43,12 +45,10 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 THRESHOLD = 0.9
-BLOCK = 48               # words of a window; at least twice the longest template
 MAX_TEMPLATE_WORDS = 10_000
 
 _WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32
                for c in range(256))
-_LINES = bytes(10 if c == 10 else _WORDS[c] for c in range(256))
 
 
 def words_of(text: bytes | None) -> list:
@@ -73,58 +73,52 @@ def phrase_places(text: bytes | None, phrases: dict) -> tuple:
 class Index:
     """Templates in the corpus's word order, with their prefix words."""
 
-    def __init__(self, templates: dict, frequency: dict, threshold: float = THRESHOLD, block: int = BLOCK):
-        sets = [(label, frozenset(words_of(x.encode()))) for label, xs in templates.items() for x in xs]
-        sets = [(label, s) for label, s in sets if s]
-        if sum(len(s) for _, s in sets) > MAX_TEMPLATE_WORDS:
+    def __init__(self, templates: dict, frequency: dict, threshold: float = THRESHOLD):
+        texts = [(label, words_of(x.encode())) for label, xs in templates.items() for x in xs]
+        texts = [(label, words) for label, words in texts if words]
+        if sum(len(words) for _, words in texts) > MAX_TEMPLATE_WORDS:
             raise ValueError("the templates are too many to give to every task")
-        self.block = max(block, 2 * max((len(s) for _, s in sets), default=1))
-        vocabulary = set().union(*(s for _, s in sets)) if sets else set()
+        vocabulary = {w for _, words in texts for w in words}
         order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(order)}
-        self.templates = []   # (label, size, needed, ranks ascending)
-        self.prefix: dict = {}  # rank -> [(template, position)]
-        for label, s in sets:
-            ranks = sorted(self.rank[w] for w in s)
+        self.templates = []   # (label, words, distinct words, needed, ranks ascending)
+        self.prefix: dict = {}  # word -> its templates
+        for label, words in texts:
+            ranks = sorted(self.rank[w] for w in set(words))
             needed = math.ceil(threshold * len(ranks) - 1e-9)
-            for position, r in enumerate(ranks[:len(ranks) - needed + 1]):
-                self.prefix.setdefault(r, []).append((len(self.templates), position))
-            self.templates.append((label, len(ranks), needed, ranks))
-        self.keys = {w for w in vocabulary if self.rank[w] in self.prefix}
-
-    def blocks(self, text: bytes):
-        """Sets of template ranks of the blocks that hold a prefix word."""
-        half = self.block // 2
-        for line in text.translate(_LINES).split(b"\n"):
-            words = line.split()
-            if self.keys.isdisjoint(words):
-                continue
-            for at in range(0, max(1, len(words) - half), half):
-                block = {self.rank[w] for w in words[at:at + self.block] if w in self.rank}
-                if block:
-                    yield block
+            for r in ranks[:len(ranks) - needed + 1]:
+                self.prefix.setdefault(order[r], []).append(len(self.templates))
+            self.templates.append((label, len(words), len(ranks), needed, ranks))
+
+    def candidates(self, words: list) -> set:
+        """(template, start) of the blocks that hold a word of the template's prefix."""
+        found = set()
+        for at, w in enumerate(words):
+            for t in self.prefix.get(w, ()):
+                step = self.templates[t][1]
+                last = max(0, -(-len(words) // step) - 2)  # the number of the last block
+                k = at // step
+                found.update((t, x * step) for x in {min(k, last), min(max(k - 1, 0), last)})
+        return found
 
     def match(self, text: bytes | None) -> dict:
         """Label -> largest containment over the text's blocks, of those at the threshold."""
         best: dict = {}
-        if not text or self.keys.isdisjoint(words_of(text)):
+        words = words_of(text)
+        if self.prefix.keys().isdisjoint(words):
             return best
-        for block in self.blocks(text):
-            ordered = sorted(block)
-            seen = set()
-            for place, r in enumerate(ordered):
-                for t, position in self.prefix.get(r, ()):
-                    if t in seen:
-                        continue
-                    seen.add(t)  # r is the first of t's words that the block holds in common order
-                    label, size, needed, ranks = self.templates[t]
-                    if len(ordered) < needed:  # length
-                        continue
-                    if min(size - position, len(ordered) - place) < needed:  # position
-                        continue
-                    common = len(block.intersection(ranks))
-                    if common >= needed:
-                        best[label] = max(best.get(label, 0.0), common / size)
+        for t, start in self.candidates(words):
+            label, step, size, needed, ranks = self.templates[t]
+            block = {self.rank[w] for w in words[start:start + 2 * step] if w in self.rank}
+            if len(block) < needed:  # length
+                continue
+            position = next(i for i, r in enumerate(ranks) if r in block)
+            left = sum(r >= ranks[position] for r in block)
+            if min(size - position, left) < needed:  # position
+                continue
+            common = len(block.intersection(ranks))
+            if common >= needed:
+                best[label] = max(best.get(label, 0.0), common / size)
         return best
 
 
