@@ -44,6 +44,7 @@ STEP_TOKENS = 65_536
 END_ID = 2
 BUFFER = 2048        # waiting pieces per task between packings
 MEMO = 700_000       # chunks kept per Python worker
+MEMO_BYTES = 64      # longest of them
 _MARKS = b".,;:!?#*$%&)("  # none of these starts a contraction or a special string
 
 
@@ -99,7 +100,8 @@ class Tokens:
             out.update(zip(rest, self._each(rest), strict=True))
         return out
 
-    def _learn(self, missing: set) -> None:
+    def _learn(self, missing: set) -> dict:
+        """Chunk -> ids of the missing chunks; the short ones are kept."""
         memo = self.memo
         if len(memo) > self.most:
             memo.clear()
@@ -113,9 +115,11 @@ class Tokens:
                 bare.add(tail)
             else:
                 bare.add(c)
-        new = [c for c in bare if c not in memo]
-        memo.update(self._raw(new))
-        memo.update([(c, memo[a] + memo[b]) for c, (a, b) in parts.items()])
+        got = self._raw([c for c in bare if c not in memo])
+        for c, (a, b) in parts.items():
+            got[c] = (got[a] if a in got else memo[a]) + (got[b] if b in got else memo[b])
+        memo.update([x for x in got.items() if len(x[0]) <= MEMO_BYTES])
+        return got
 
     def ids(self, texts: list) -> list:
         """Ids of each whole text, as bytes."""
@@ -137,11 +141,10 @@ class Tokens:
                 holes.append((words, got, hole))
             found.append(got)
         if missing:
-            self._learn(missing)
-            memo = self.memo
+            learnt = self._learn(missing)
             for words, got, hole in holes:
                 for k in hole:
-                    got[k] = memo[words[k]]
+                    got[k] = learnt[words[k]]
         return [b"".join(x) for x in found]
 
 
