@@ -983,23 +983,18 @@ def q_random_effect_draws(spark, sf):
 def q_model_comparison(spark, sf):
     """M2 + P18: three fits (lin-lin, log-lin, log-log) with slope,
     intercept, R^2 and p-values, 5 significant digits."""
-    l = tbl(spark, sf, "lineitem").select(
-        "l_extendedprice", "l_quantity",
-        numeric.safe_ln("l_extendedprice").alias("log_y"),
-        numeric.safe_ln("l_quantity").alias("log_x"))
-    specs = [("lm1", "l_extendedprice", "l_quantity"), ("lm2", "log_y", "l_quantity"),
-             ("lm3", "log_y", "log_x")]
-    parts = []
-    for name, y, x in specs:
-        c = stats.ols_grouped(l, y, [x])
-        w = (c.groupBy().pivot("term", ["intercept", x])
-              .agg(F.first("estimate").alias("est"), F.first("p_value").alias("p"),
-                   F.first("r2").alias("r2")))
-        parts.append(w.select(
-            F.lit(name).alias("model"), F.col(f"{x}_est").alias("slope"),
-            F.col("intercept_est").alias("intercept"), F.col(f"{x}_r2").alias("r_sq"),
-            F.col(f"{x}_p").alias("p_slope"), F.col("intercept_p").alias("p_intercept")))
-    out = reshape.bind_rows(*parts)
+    y, x = F.col("l_extendedprice"), F.col("l_quantity").cast("double")
+    log_y, log_x = numeric.safe_ln("l_extendedprice"), numeric.safe_ln("l_quantity")
+    specs = [("lm1", y, x), ("lm2", log_y, x), ("lm3", log_y, log_x)]
+    # one scan: every row gives its (model, y, x) triples, which the map side reduces
+    rows = (tbl(spark, sf, "lineitem")
+            .select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), v.alias("y"), u.alias("x"))
+                                        for m, v, u in specs])).alias("r")).select("r.*"))
+    w = (stats.ols_grouped(rows, "y", ["x"], by=["model"]).groupBy("model").pivot("term", ["intercept", "x"])
+         .agg(F.first("estimate").alias("est"), F.first("p_value").alias("p"), F.first("r2").alias("r2")))
+    out = w.select("model", F.col("x_est").alias("slope"), F.col("intercept_est").alias("intercept"),
+                   F.col("x_r2").alias("r_sq"), F.col("x_p").alias("p_slope"),
+                   F.col("intercept_p").alias("p_intercept"))
     return clean.signif_columns(out, ["slope", "intercept", "r_sq", "p_slope", "p_intercept"])
 
 

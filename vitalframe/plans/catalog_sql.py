@@ -561,6 +561,54 @@ SELECT n1, n2, {r6('mean1')} AS mean1, {r6('mean2')} AS mean2,
   {r6('(mean1 - mean2) / sqrt(sp2 * (1.0 / n1 + 1.0 / n2))')} AS t,
   CAST(n1 + n2 - 2 AS BIGINT) AS df FROM t"""
 
+
+
+def _t_pvalue(source: str, t: str, df: str, out: str, key: str = "0") -> str:
+    """CTE ``out`` (k, p): two-sided Student-t p-values of the rows of ``source``, by Simpson's rule
+    on the density.  Beyond |t| = 40 they are below any digit that is kept (df over 1000 here)."""
+    return f"""{out} AS (SELECT k, CASE WHEN abs(t) > 40 THEN 0.0 ELSE 1 - 2 * abs(t) / 6000
+    * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+      * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi())
+      * pow(1 + pow(abs(t) * i / 2000.0, 2) / df, -(df + 1) / 2.0)) END AS p
+  FROM (SELECT {key} AS k, CAST({t} AS DOUBLE) AS t, CAST({df} AS DOUBLE) AS df FROM {source}), range(2001) AS s(i)
+  GROUP BY k, t, df)"""
+
+
+SQL["t_test"] = f"""WITH g AS (SELECT
+    count(value) FILTER (WHERE event_type = 'view') AS n1,
+    count(value) FILTER (WHERE event_type = 'purchase') AS n2,
+    avg(value) FILTER (WHERE event_type = 'view') AS mean1,
+    avg(value) FILTER (WHERE event_type = 'purchase') AS mean2,
+    var_samp(value) FILTER (WHERE event_type = 'view') AS var1,
+    var_samp(value) FILTER (WHERE event_type = 'purchase') AS var2
+  FROM events WHERE value IS NOT NULL),
+t AS (SELECT *, (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)
+    * (1.0 / n1 + 1.0 / n2)) AS t, CAST(n1 + n2 - 2 AS BIGINT) AS df FROM g),
+{_t_pvalue("t", "t", "df", "pv")}
+SELECT n1, n2, {r6('mean1')} AS mean1, {r6('mean2')} AS mean2, {r6('t')} AS t, df, {r6('p')} AS p_value
+FROM t, pv"""
+
+
+def _signif(x: str, digits: int = 5) -> str:
+    e = f"(floor(log10(abs({x}))) - {digits - 1})"
+    return (f"CASE WHEN {x} = 0 THEN 0.0 WHEN {e} < 0 THEN round({x} * pow(10.0, -{e})) / pow(10.0, -{e}) "
+            f"ELSE round({x} / pow(10.0, {e})) * pow(10.0, {e}) END")
+
+
+SQL["model_comparison"] = f"""WITH l AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x,
+    CASE WHEN l_extendedprice > 0 THEN ln(l_extendedprice) END AS ly, CASE WHEN l_quantity > 0 THEN ln(l_quantity) END AS lx
+  FROM lineitem),
+r AS (SELECT 'lm1' AS model, y, x FROM l UNION ALL SELECT 'lm2', ly, x FROM l UNION ALL SELECT 'lm3', ly, lx FROM l),
+f AS (SELECT model, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, regr_count(y, x) AS n,
+    regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_avgx(y, x) AS mx FROM r GROUP BY model),
+v AS (SELECT *, n - 2 AS df, syy * (1 - r2) / (n - 2) AS s2 FROM f),
+t AS (SELECT *, b / sqrt(s2 / sxx) AS tb, a / sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS ta FROM v),
+{_t_pvalue("t", "tb", "df", "pb", "model")},
+{_t_pvalue("t", "ta", "df", "pa", "model")}
+SELECT model, {_signif('b')} AS slope, {_signif('a')} AS intercept, {_signif('r2')} AS r_sq,
+  {_signif('pb.p')} AS p_slope, {_signif('pa.p')} AS p_intercept
+FROM t JOIN pb ON pb.k = model JOIN pa ON pa.k = model"""
+
 SQL["residual_autocorr"] = f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS y,
     CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY 1),
 f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d),
