@@ -104,6 +104,34 @@ def test_need_is_safe():
         assert len(np.intersect1d(sa, sb)) >= max(minhash.need(len(sa)), minhash.need(len(sb)))
 
 
+@pytest.mark.parametrize("least, most", [(50, 70), (40, 64)])
+def test_links_just_above_the_threshold(least, most):
+    rng = np.random.default_rng(least)
+    lost = pairs = 0
+    while pairs < 3000:  # linked pairs: whole sets, one or both of them cut to 64
+        a, b = (int(x) for x in rng.integers(least, most + 1, 2))
+        common = -(-75 * (a + b) // 175) + int(rng.integers(0, 3))
+        union = a + b - common
+        if common > min(a, b) or not 75 * union <= 100 * common <= 80 * union:
+            continue
+        pairs += 1
+        h = rng.choice(2**62, union, replace=False).astype(np.uint64)
+        x, y = np.sort(h[:a]), np.sort(h[a - common:])
+        lost += not minhash._estimated([x[:64], y[:64]], np.array([a, b]), 64, 75)
+    assert lost == 0
+
+
+def test_two_edited_words_are_found(spark):
+    rows = []
+    for g in range(40):  # 63 shingles each, 54 of 72 in common: the threshold itself
+        words = [f"g{g}w{j}" for j in range(67)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:30] + ["e"] + words[31:34] + ["f"] + words[35:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == 80
+    check(df)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 180)] + [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(40)]

@@ -10,8 +10,9 @@ hashes, the first part of its sorted set.
     rarest first, two linked classes share one of the first s - need(s) + 1, so
     only these make lists.  Very common values (of a shared passage) come last and
     make lists only where little else is retained.
-3.  In each list, overlaps of the whole sketches are counted, and the similarity is
-    estimated from the sketch of the union.  A list hands on the connections among
+3.  In each list, overlaps of the whole sketches are counted.  Of two sets that their
+    sketches hold whole, that is the exact similarity; else it is estimated from the
+    sketch of the union, with slack.  A list hands on the connections among
     its classes as a spanning forest, never all its pairs.  Lists over ``BLOCK``
     classes are dealt to pairs of blocks.
 4.  Classes that such estimates connect are grouped; within a group, full sets are
@@ -19,9 +20,10 @@ hashes, the first part of its sorted set.
     and exact links are handed on as spanning forests.
 5.  The exact links' components are the result.
 
-``need`` is exact for whole sets and else allows five standard deviations of the
-sketch's estimate, so a link at the very threshold is missed with a probability
-below one in a million, a closer one with less.
+Two sets of up to ``K`` shingles are never missed.  Else ``need`` and the estimate
+allow five standard deviations, so a link at the very threshold is missed with a
+probability below 1.4 in a million (binomial, 30 or fewer of 64), a closer one with
+less.
 
 Defined cases: null or empty texts, or texts without a word, have an empty set and
 stand alone; a text with fewer words than a shingle is one shingle; rows that
@@ -160,22 +162,25 @@ def _linked(sets: list, test) -> list:
 
 
 def _estimated(sketches: list, sizes: np.ndarray, k: int, percent: int) -> list:
-    """Spanning forest of the classes whose similarity, estimated from the union's sketch, may reach the threshold."""
+    """Spanning forest of the classes whose similarity, exact for two whole sets and else estimated from the
+    union's sketch, may reach the threshold."""
     p = percent / 100
-    tops = np.array([s[-1] if len(s) >= k else np.uint64(2**64 - 1) for s in sketches], np.uint64)
+    whole = sizes <= k  # the sketch holds the set
+    tops = np.array([np.uint64(2**64 - 1) if w else s[-1] for s, w in zip(sketches, whole, strict=True)], np.uint64)
 
     def test(x, others, common):
         small, big = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
         near = (small * 100 >= big * percent) & (common >= need(min(k, int(sizes[x])), k, percent))
-        for i in np.flatnonzero(near):
+        exact = whole[others] & whole[x]
+        near &= ~exact | (100 * common >= percent * (sizes[x] + sizes[others] - common))
+        for i in np.flatnonzero(near & ~exact):
             y = others[i]
             union = np.union1d(sketches[x], sketches[y])
             # the union's sketch: up to k values, none beyond what both sketches cover
             union = union[union <= min(tops[x], tops[y])][:k]
             both = np.isin(union, sketches[x], assume_unique=True) & np.isin(union, sketches[y], assume_unique=True)
             u = len(union)
-            slack = SIGMAS * math.sqrt(u * p * (1 - p)) if u and (len(sketches[x]) >= k or len(sketches[y]) >= k) else 0.0
-            near[i] = both.sum() >= u * p - slack - 1e-9
+            near[i] = both.sum() >= u * p - SIGMAS * math.sqrt(u * p * (1 - p)) - 1e-9
         return near
 
     return _linked(sketches, test)
