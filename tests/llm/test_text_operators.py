@@ -111,6 +111,26 @@ def test_license_against_brute_force(spark, docs):
     assert got[5008]["labels"] == "apache-2.0" and got[5009]["labels"] == ""  # wrapped, scattered
 
 
+def test_license_notice_is_found_at_every_position(spark):
+    notice = "Licensed under the terms of the Apache License, Version 2.0"
+    rng = np.random.default_rng(6)
+    common = "licensed under the apache license version 2 0 terms of this work mit released gnu public x y z".split()
+    texts = ["w " * at + notice + " v" * 40 for at in range(40)]
+    texts += [" ".join(rng.choice(common, int(rng.integers(1, 90)))) for _ in range(300)]
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases={}))
+    templates = [(label, [w.decode() for w in license_scan.words_of(x.encode())]) for label, xs in license_scan.TEMPLATES.items() for x in xs]
+    for i, text in enumerate(texts):
+        words, found = [w.decode() for w in license_scan.words_of(text.encode())], {}
+        for label, t in templates:
+            for at in range(max(1, len(words) - 2 * len(t) + 1)):
+                share = len(set(words[at:at + 2 * len(t)]) & set(t)) / len(set(t))
+                if share >= license_scan.THRESHOLD - 1e-12:
+                    found[label] = max(found.get(label, 0.0), share)
+        assert got[i]["labels"] == ",".join(sorted(found)), (i, text)
+        assert got[i]["score"] == pytest.approx(max(found.values(), default=0.0))
+        assert i >= 40 or got[i]["labels"] == "apache-2.0"
+
+
 def test_license_empty(no_docs):
     assert license_scan.scan(no_docs).count() == 0
 

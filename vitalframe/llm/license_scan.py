@@ -1,16 +1,17 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates.
 
 A document's words are lower-case letters, digits and non-ASCII.  Its blocks for a
-template of n words are the windows of 2n words that start at every n-th word, so
-every run of up to n + 1 words lies within one, whatever lines it is wrapped to.  A
+template of n words are the windows of 2n words, one from every word on, so every
+run of up to 2n words lies within one, whatever lines it is wrapped to.  A
 block matches a template if it holds at least ``THRESHOLD`` of the template's
 distinct words (containment).  Template words are ordered by how many documents
 hold them, rarest first, over the whole corpus; a template's prefix are its
 |t| - ceil(threshold |t|) + 1 rarest words, of which every matching block must hold
-one.  Blocks are found through these prefix words only, then pass the length filter
-(enough template words in the block) and the positional filter (enough still to
-come in the common order), and are verified.  Fixed phrases are looked for
-besides, exactly.
+one.  Blocks are found through these prefix words only: the stretches of text whose
+blocks hold one pass the length filter (enough template words) and the positional
+filter (enough still to come in the common order), and a running count of distinct
+template words verifies every block in them.  Fixed phrases are looked for besides,
+exactly.
 
 The templates are a parameter list of bounded size, so they go to the tasks whole.
 
@@ -90,16 +91,17 @@ class Index:
                 self.prefix.setdefault(order[r], []).append(len(self.templates))
             self.templates.append((label, len(words), len(ranks), needed, ranks))
 
-    def candidates(self, words: list) -> set:
-        """(template, start) of the blocks that hold a word of the template's prefix."""
-        found = set()
+    def candidates(self, words: list) -> list:
+        """(template, start, end) of the stretches that the blocks with a word of the template's prefix cover."""
+        found: dict = {}
         for at, w in enumerate(words):
             for t in self.prefix.get(w, ()):
-                step = self.templates[t][1]
-                last = max(0, -(-len(words) // step) - 2)  # the number of the last block
-                k = at // step
-                found.update((t, x * step) for x in {min(k, last), min(max(k - 1, 0), last)})
-        return found
+                reach, stretches = 2 * self.templates[t][1] - 1, found.setdefault(t, [])
+                if stretches and at - reach <= stretches[-1][1]:
+                    stretches[-1][1] = at + reach + 1
+                else:
+                    stretches.append([max(0, at - reach), at + reach + 1])
+        return [(t, start, end) for t, stretches in found.items() for start, end in stretches]
 
     def match(self, text: bytes | None) -> dict:
         """Label -> largest containment over the text's blocks, of those at the threshold."""
@@ -107,21 +109,38 @@ class Index:
         words = words_of(text)
         if self.prefix.keys().isdisjoint(words):
             return best
-        for t, start in self.candidates(words):
-            label, step, size, needed, ranks = self.templates[t]
-            block = {self.rank[w] for w in words[start:start + 2 * step] if w in self.rank}
-            if len(block) < needed:  # length
+        for t, start, end in self.candidates(words):
+            label, n, size, needed, ranks = self.templates[t]
+            own = set(ranks)
+            places = [(at, r) for at, w in enumerate(words[start:end]) if (r := self.rank.get(w)) in own]
+            held = {r for _, r in places}
+            if len(held) < needed:  # length
                 continue
-            position = next(i for i, r in enumerate(ranks) if r in block)
-            left = sum(r >= ranks[position] for r in block)
-            if min(size - position, left) < needed:  # position
+            position = next(i for i, r in enumerate(ranks) if r in held)
+            if size - position < needed:  # position
                 continue
-            common = len(block.intersection(ranks))
+            common = most_distinct(places, 2 * n)
             if common >= needed:
                 best[label] = max(best.get(label, 0.0), common / size)
         return best
 
 
+def most_distinct(places: list, width: int) -> int:
+    """Largest number of distinct values in a window of ``width``, of (place, value) by ascending place."""
+    held: Counter = Counter()
+    most = first = 0
+    for at, value in places:
+        held[value] += 1
+        while places[first][0] <= at - width:
+            gone = places[first][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+        most = max(most, len(held))
+    return most
+
+
 def word_frequency(documents: DataFrame, templates: dict, text_col: str = "text") -> dict:
     """In how many documents each template word occurs, over all documents (a bounded dictionary)."""
     vocabulary = {w for xs in templates.values() for x in xs for w in words_of(x.encode())}
