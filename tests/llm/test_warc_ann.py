@@ -154,3 +154,13 @@ def test_search_edges(spark):
     for k in (1, 20, 500):
         check_near(df, k, block_rows=32, query_rows=4)
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("repeats", [3, 30])
+def test_repeated_query_ids_take_no_place(spark, repeats):
+    rng = np.random.default_rng(repeats)
+    v = [(i, rng.normal(size=8).tolist()) for i in range(1, 120)]
+    v += [(20, (10 * np.array(v[19][1])).tolist())] * (repeats - 1)  # the query's own rows score highest
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
+    for rows in (4096, 40):
+        check_near(df, 20, block_rows=rows, query_rows=4)

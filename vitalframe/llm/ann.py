@@ -114,13 +114,15 @@ class _Heaps:
             bound = (np.outer(self.query.norm[rows] + self.query.err[rows], data.err)
                      + np.outer(self.query.err[rows], data.norm))
             bound += 1e-12 * np.outer(self.query.norm[rows] + self.query.err[rows], data.norm + data.err)
-            lower = approx - bound
-            if lower.shape[1] > self.k + 1:
-                # k + 1: one of them may be the query itself
-                cut = np.partition(lower, lower.shape[1] - self.k - 1, axis=1)[:, lower.shape[1] - self.k - 1]
+            lower, upper = approx - bound, approx + bound
+            # rows with the query's own id, however many, are no candidates
+            own = self.query.ids[rows, None] == data.ids
+            lower[own] = upper[own] = -np.inf
+            if lower.shape[1] > self.k:
+                cut = np.partition(lower, lower.shape[1] - self.k, axis=1)[:, lower.shape[1] - self.k]
             else:
                 cut = np.full(lower.shape[0], -np.inf)
-            keep = approx + bound >= np.maximum(cut, self.floor[rows])[:, None]
+            keep = upper >= np.maximum(cut, self.floor[rows])[:, None]
             for j in range(keep.shape[0]):
                 self._merge(at + j, data, np.flatnonzero(keep[j]))
 
