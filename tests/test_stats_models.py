@@ -391,6 +391,32 @@ def test_grid_search_does_not_depend_on_partitioning(spark):
     assert runs[1] == pytest.approx(runs[0]) and runs[2] == pytest.approx(runs[0])
 
 
+def test_vote_grid_matches_members_voted_one_by_one(spark):
+    from itertools import product
+    from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+    from vitalframe.functions import randoms
+    d = learn.two_moons(spark, 300, seed=5).withColumn("label", F.col("label").cast("double"))
+    d = learn.assemble(d, ["x0", "x1"]).withColumn("fold", F.floor(randoms.hash_uniform("id", seed=7) * 2).cast("int")).coalesce(1).persist()
+    want = {g: [] for g in product((50, 100), (0.4, 0.5, 0.6), (0.5, 0.8, 1.0))}
+    for fold in (0, 1):
+        train, test = d.where(F.col("fold") != fold).persist(), d.where(F.col("fold") == fold)
+        n = train.count()
+        fits = {("f", t): RandomForestClassifier(numTrees=t, seed=7) for t in (50, 100)}
+        fits |= {("s", c): LinearSVC(regParam=1 / (c * n), standardization=False) for c in (0.4, 0.5, 0.6)}
+        fits |= {("l", c): LogisticRegression(regParam=1 / (c * n), standardization=False) for c in (0.5, 0.8, 1.0)}
+        got = {k: {r.id: (r.label, r.prediction) for r in e.fit(train).transform(test).select("id", "label", "prediction").collect()}
+               for k, e in fits.items()}
+        for t, s, c in want:
+            voted = [(label, p + got["s", s][i][1] + got["l", c][i][1] >= 2) for i, (label, p) in got["f", t].items()]
+            want[t, s, c].append(np.mean([label == v for label, v in voted]))
+    rows = learn.grid_search_vote(d, folds=2, seed=7).collect()
+    assert len(rows) == 18 and {(r.n_trees, r.svm_c, r.logistic_c) for r in rows} == set(want)
+    for r in rows:
+        assert r.cv_accuracy == pytest.approx(np.mean(want[r.n_trees, r.svm_c, r.logistic_c]), abs=1e-9)
+    order = sorted(rows, key=lambda r: (-r.cv_accuracy, r.logistic_c, r.n_trees, r.svm_c))
+    assert [r for r in rows if r.best] == order[:1]
+
+
 def test_forest_votes_match_the_trees(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from vitalframe.plans import catalog

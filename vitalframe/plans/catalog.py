@@ -1072,6 +1072,15 @@ def q_tree_grid_search(spark, sf):
     return rounded(spark.createDataFrame(rows, "max_depth int, cv_accuracy double"), 4)
 
 
+@register("vote_grid_search")
+def q_vote_grid_search(spark, sf):
+    """M20 + M19: 5-fold cross-validated accuracy of the hard vote for all 18 combinations of
+    2 forest sizes, 3 C of the SVM and 3 C of the logistic model, on all labels recoded to
+    two classes."""
+    from ..operators import learn
+    return rounded(learn.grid_search_vote(_two_class_frame(spark, sf), seed=2), 4)
+
+
 @register("bagged_trees")
 def q_bagged_trees(spark, sf):
     """M21 + M19: 1000 depth-2 trees on 100-row subsets; mean single-tree
