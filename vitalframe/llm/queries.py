@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_count, langid, license_scan, minhash, mixing, packing, quality_gbt, quality_rules, warc
+from . import (ann, bpe_count, langid, license_scan, minhash, mixing, packing, quality_gbt, quality_rules, sharding,
+               warc)
 from .common import held_out, table
 
 
@@ -68,10 +69,15 @@ def op10_heap_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op13_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, copies of a text together as far as the quotas allow."""
+    return sharding.balanced_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_gbt, op2_minhash_bottom_k, op3_hierarchical_packing, op4_license_set_join,
     op5_hash_threshold_mix, op6_warc_zstd, op7_adaptive_rules, op8_int8_block_join, op9_subword_langid,
-    op10_heap_bpe_count)}
+    op10_heap_bpe_count, op13_label_shards)}
 
 # The exact twin of the hash thresholds: the same 60 bits of md5, the boundary found by a running sum.
 _MIX = r"""
