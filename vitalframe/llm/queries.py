@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (ann, bpe_count, langid, license_scan, minhash, mixing, packing, quality_gbt, quality_rules, sharding,
-               warc)
+               spelling, warc, whitening)
 from .common import held_out, table
 
 
@@ -69,6 +69,16 @@ def op10_heap_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their dominant near word."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, copies of a text together as far as the quotas allow."""
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
@@ -77,7 +87,7 @@ def op13_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_gbt, op2_minhash_bottom_k, op3_hierarchical_packing, op4_license_set_join,
     op5_hash_threshold_mix, op6_warc_zstd, op7_adaptive_rules, op8_int8_block_join, op9_subword_langid,
-    op10_heap_bpe_count, op13_label_shards)}
+    op10_heap_bpe_count, op11_whitening, op12_spelling_variants, op13_label_shards)}
 
 # The exact twin of the hash thresholds: the same 60 bits of md5, the boundary found by a running sum.
 _MIX = r"""
