@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 
 
 def group_mean(df: DataFrame, keys, value: str, out: str = "mean",
@@ -100,12 +101,19 @@ def rescale_by_group_max(df: DataFrame, group_keys, value: str = "paf",
 
 
 def draw_summary(df: DataFrame, keys, value: str = "value",
-                 lower: float = 0.025, upper: float = 0.975) -> DataFrame:
+                 lower: float = 0.025, upper: float = 0.975, bounded: bool = True) -> DataFrame:
     """Mean and exact linear-interpolated percentiles over draws.
 
-    Exact percentile keeps a value->count map per group; groups here are the
-    draws of one cell (bounded by the draw count), so the map is small.
+    ``bounded`` groups are the draws of one cell, so the value->count map that an
+    exact percentile keeps per group is small; groups of any size take
+    ``bounded=False`` (:func:`~.quantiles.exact_quantiles`, NaN left out).
     """
+    if not bounded:
+        q = exact_quantiles(df, value, (lower, upper), keys, ["lower", "upper"]).drop("n")
+        q = q.select(*[F.col(k).alias(f"__{k}") for k in keys], "lower", "upper")
+        mean = df.where(~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(F.avg(value).alias("mean"))
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        return mean.join(q, on).select(*keys, "mean", "lower", "upper")
     q = F.percentile(F.col(value), F.array(F.lit(lower), F.lit(upper)))
     return (df.groupBy(*keys)
               .agg(F.avg(value).alias("mean"), q.alias("__q"))
@@ -120,20 +128,19 @@ def mean_over_draws(df: DataFrame, keys, value: str = "value",
 
 
 def column_quantiles(df: DataFrame, value: str, probs=(0.5,), exact: bool = True,
-                     accuracy: int = 100000, names=None) -> DataFrame:
-    """Median / percentiles of one column.
+                     accuracy: int = 100000, names=None, by=()) -> DataFrame:
+    """Median / percentiles of one column, per group if ``by``.
 
-    ``exact=True`` uses Spark's exact percentile, whose buffer is a map of
-    *distinct values* to counts: right for columns with a bounded domain
-    (quantities, ages, draws).  For continuous columns at scale pass
-    ``exact=False`` (``percentile_approx``, bounded memory).
+    ``exact=True`` narrows intervals of values by counting until they fit a task
+    (:func:`~.quantiles.exact_quantiles`), for any size and any column;
+    ``exact=False`` is ``percentile_approx`` with bounded memory in one pass.
     """
     names = names or [f"p{int(round(p * 1000)):03d}" for p in probs]
+    if exact:
+        return exact_quantiles(df, value, probs, by, names).drop("n")
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    agg = (F.percentile(F.col(value), arr) if exact
-           else F.percentile_approx(F.col(value), arr, accuracy))
-    return df.agg(agg.alias("__q")).select(
-        *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    return df.groupBy(*by).agg(F.percentile_approx(F.col(value), arr, accuracy).alias("__q")).select(
+        *by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def top_n(df: DataFrame, value: str, n: int = 10, tie_break=()) -> DataFrame:
@@ -258,18 +265,10 @@ def box_stats(df: DataFrame, level: str, value: str, exact: bool = True,
               accuracy: int = 100000) -> DataFrame:
     """Quartiles and whiskers (extreme values within 1.5 IQR) per level.
 
-    ``exact=True``: Spark's exact percentile, whose buffer per level is a
-    map of *distinct* values (right for draws or bounded domains);
-    ``exact=False``: ``percentile_approx`` with bounded memory for a
-    continuous column whose level may hold a large share of the rows.
+    Quartiles as in :func:`column_quantiles`: exact for a level of any size, or
+    approximate in one pass.
     """
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    qexpr = (F.percentile(value, probs) if exact
-             else F.percentile_approx(value, probs, accuracy))
-    q = (df.groupBy(level)
-           .agg(qexpr.alias("__q"))
-           .select(level, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                   F.col("__q")[2].alias("q3")))
+    q = column_quantiles(df, value, (0.25, 0.5, 0.75), exact, accuracy, ["q1", "median", "q3"], [level])
     iqr = F.col("q3") - F.col("q1")
     inside = (df.join(q, level, "inner")
                 .where((F.col(value) >= F.col("q1") - 1.5 * iqr) &

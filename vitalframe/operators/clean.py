@@ -79,10 +79,13 @@ def replace_values(df: DataFrame, column: str, pattern: str, repl: str) -> DataF
 def drop_position(df: DataFrame, position: int, order_by, partition_by=()) -> DataFrame:
     """Drop the row at 1-based ``position`` of an explicit order.
 
-    With ``partition_by`` the window is per group; a global position needs a
-    single ordered partition, so use it on bounded tables only.
+    With ``partition_by`` the window is per group (of bounded size); a global
+    position comes from range partitions and their prefix counts, for any size.
     """
     from pyspark.sql import Window
+    if not partition_by:
+        from .ordered import drop_global_position
+        return drop_global_position(df, position, order_by)
     w = Window.partitionBy(*partition_by).orderBy(*order_by)
     return (df.withColumn("__pos", F.row_number().over(w))
               .where(F.col("__pos") != position).drop("__pos"))

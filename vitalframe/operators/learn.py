@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import randoms
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
+from . import sgd
 
 
 def array_features(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -76,24 +77,40 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
 
 def classifiers(train: DataFrame, test: DataFrame, features: str = "features",
                 label: str = "label", C: float = 1.0, seed: int = 0,
-                row_key: str = "id") -> DataFrame:
-    """Logistic, random forest, linear SVM; predictions of each on the
-    test rows, tagged by model (label must be 0/1 for the SVM)."""
-    train, test = train.persist(), test.persist()  # read by the count and by each of three fits
+                row_key: str = "id", models=("logistic", "forest", "svm"), n_fourier: int = 512) -> DataFrame:
+    """Logistic, random forest, linear SVM and (``rbf_svm``) an SVM with a radial kernel; predictions of
+    each on the test rows, tagged by model (label must be 0/1 for the SVMs).
+
+    The kernel is the linear SVM on ``n_fourier`` random Fourier features (:mod:`.sgd`), with the usual width
+    1 / (dimensions x variance); both tables are written once, as every fit reads them.
+    """
+    train, test = cut_lineage(train, "train"), cut_lineage(test, "test")
     n = train.count()
-    models = {
-        "logistic": LogisticRegression(featuresCol=features, labelCol=label),
-        "forest": RandomForestClassifier(featuresCol=features, labelCol=label, seed=seed,
-                                         numTrees=50),
-        "svm": LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (C * max(n, 1))),
+    svm = {"labelCol": label, "regParam": 1.0 / (C * max(n, 1))}
+    kinds = {
+        "logistic": lambda: LogisticRegression(featuresCol=features, labelCol=label),
+        "forest": lambda: RandomForestClassifier(featuresCol=features, labelCol=label, seed=seed,
+                                                 numTrees=50),
+        "svm": lambda: LinearSVC(featuresCol=features, **svm),
+        "rbf_svm": lambda: LinearSVC(featuresCol="__rbf", standardization=False, **svm),
     }
     out = []
-    for name, est in models.items():
-        p = est.fit(train).transform(test).select(row_key, label, "prediction")
+    for name in models:
+        a, b = train, test
+        if name == "rbf_svm":
+            gamma = sgd.scale_gamma(train.select(vector_to_array(features).alias("__x")), "__x")
+            a, b = (radial(d, features, gamma, n_fourier, seed) for d in (train, test))
+        p = kinds[name]().fit(a).transform(b).select(row_key, label, "prediction")
         out.append(p.withColumn("model", F.lit(name)))
     return reduce(DataFrame.unionByName, out)
 
 
+def radial(df: DataFrame, features: str, gamma: float, n: int = 512, seed: int = 0, out: str = "__rbf") -> DataFrame:
+    """``df`` with a vector of random Fourier features, written once."""
+    d = sgd.fourier_features(df.withColumn("__x", vector_to_array(features)), "__x", gamma, n, seed, out)
+    return cut_lineage(d.withColumn(out, array_to_vector(out)).drop("__x"), "fourier")
+
+
 def hard_vote(preds: DataFrame, row_key: str = "id", prediction: str = "prediction",
               label: str = "label") -> DataFrame:
     """Majority label per row over models; a tie goes to the smallest
@@ -117,14 +134,16 @@ def grid_search_tree(df: DataFrame, depths=(1, 2, 3), features: str = "features"
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cv = CrossValidator(estimator=dt, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
                         seed=seed, parallelism=len(depths), foldCol="__fold")
-    return cv.fit(df)
+    found = cv.fit(df)
+    df.unpersist()
+    return found
 
 
 def grid_search_vote(df: DataFrame, n_trees=(50, 100), svm_c=(0.4, 0.5, 0.6), logistic_c=(0.5, 0.8, 1.0),
                      features: str = "features", label: str = "label", folds: int = 5, seed: int = 0,
-                     row_key: str = "id", parallelism: int = 8) -> DataFrame:
-    """Cross-validated accuracy of the hard vote of a logistic model, a forest and a
-    linear SVM (as in :func:`classifiers`, label 0/1) for every combination of the number of
+                     row_key: str = "id", parallelism: int = 8, kernel: str = "linear", n_fourier: int = 512) -> DataFrame:
+    """Cross-validated accuracy of the hard vote of a logistic model, a forest and an
+    SVM (``kernel`` linear or rbf, as in :func:`classifiers`, label 0/1) for every combination of the number of
     trees and the two C: n_trees, svm_c, logistic_c, cv_accuracy (mean over the folds), best.
 
     Each member is fitted once per hashed fold, and all members predict a fold's rows in one
@@ -132,7 +151,14 @@ def grid_search_vote(df: DataFrame, n_trees=(50, 100), svm_c=(0.4, 0.5, 0.6), lo
     first by logistic_c, n_trees, svm_c is the best.
     """
     u = randoms.hash_uniform(row_key, seed=seed)
-    d = df.select(label, features, F.floor(u * folds).cast("int").alias("__fold")).persist()
+    d = df.select(label, features, F.floor(u * folds).cast("int").alias("__fold"))
+    svm_features = features
+    if kernel == "rbf":  # the kernel's width doesn't see labels: one for all folds
+        gamma = sgd.scale_gamma(d.select(vector_to_array(features).alias("__x")), "__x")
+        d, svm_features = radial(d, features, gamma, n_fourier, seed), "__rbf"
+    elif kernel != "linear":
+        raise ValueError(f"kernel must be linear or rbf, got {kernel!r}")
+    d = d.persist()
     sizes = {r["__fold"]: r["count"] for r in d.groupBy("__fold").count().collect()}
     if len(sizes) < 2:
         raise ValueError("cross-validation needs rows in two folds at least")
@@ -147,7 +173,7 @@ def grid_search_vote(df: DataFrame, n_trees=(50, 100), svm_c=(0.4, 0.5, 0.6), lo
         if kind == "forest":
             est = RandomForestClassifier(numTrees=value, seed=seed, probabilityCol=f"{out}_p", **columns)
         elif kind == "svm":  # C weighs the sum of losses, regParam their mean
-            est = LinearSVC(regParam=1.0 / (value * n), standardization=False, **columns)
+            est = LinearSVC(regParam=1.0 / (value * n), standardization=False, **{**columns, "featuresCol": svm_features})
         else:
             est = LogisticRegression(regParam=1.0 / (value * n), standardization=False, probabilityCol=f"{out}_p", **columns)
         return est.fit(d.where(F.col("__fold") != fold))

@@ -47,9 +47,12 @@ def cohort_survivors(df: DataFrame, cohort_keys, week: str = "age_wks",
 def lag_pairs(df: DataFrame, order_by: str, value: str, partition_by=()) -> DataFrame:
     """(value_i, value_{i+1}) pairs for a lag-1 autocorrelation fit.
 
-    Without ``partition_by`` the window is one ordered series in a single
-    task: use it on bounded series (a daily series of a few thousand days);
-    give ``partition_by`` (e.g. a series id) for many series."""
+    Without ``partition_by`` the whole table is one series, in range partitions that
+    exchange only their edge rows; ``partition_by`` (e.g. a series id) is for many
+    series of bounded length."""
+    if not partition_by:
+        from .ordered import global_lag_pairs
+        return global_lag_pairs(df, [order_by] if isinstance(order_by, str) else list(order_by), value)
     w = Window.partitionBy(*partition_by).orderBy(order_by)
     return (df.withColumn("next_" + value, F.lead(value, 1).over(w))
               .where(F.col("next_" + value).isNotNull()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import randoms
 from ..operators import draws
 from ..session import ensure_checkpoint_dir
-from ..sources import readers, sinks
+from ..sources import filetable, readers, sinks
 from .catalog import register, rounded, tbl
 from .catalog_sql import SQL, r6
 
@@ -194,3 +194,60 @@ k AS (SELECT *, CASE WHEN c >= 4 THEN (CASE WHEN r <= 4 THEN 1 ELSE 0 END)
   ELSE 4 // c + CASE WHEN r <= 4 % c THEN 1 ELSE 0 END END AS copies FROM r),
 x AS (SELECT *, unnest(range(copies)) AS i FROM k WHERE copies > 0)
 SELECT l_orderkey, CAST(i * c + r - 1 AS INTEGER) AS draw, {r6('quantity')} AS quantity FROM x"""
+
+
+@register("clustered_lookup")
+def q_clustered_lookup(spark, sf):
+    """K2: orders in files clustered by three keys at once, looked up by each of them."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"),
+                                        "o_totalprice")
+    path = _folder(spark)
+    filetable.save_clustered(o, path, ["o_custkey", "o_orderdate", "o_totalprice"], 16)
+    found = {"customer": {"o_custkey": 10}, "order": {"o_orderkey": 33}}
+    parts = [filetable.lookup(spark, path, o.schema, **v).withColumn("by", F.lit(k)) for k, v in found.items()]
+    day = filetable.read(spark, path, o.schema).where(F.col("o_orderdate") == "1996-01-02").withColumn("by", F.lit("day"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(day))
+
+
+SQL["clustered_lookup"] = f"""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate,
+  {r6('o_totalprice')} AS o_totalprice FROM orders)
+SELECT *, 'customer' AS by FROM o WHERE o_custkey = 10 UNION ALL SELECT *, 'order' FROM o WHERE o_orderkey = 33
+UNION ALL SELECT *, 'day' FROM o WHERE o_orderdate = DATE '1996-01-02'"""
+
+
+@register("delete_in_place")
+def q_delete_in_place(spark, sf):
+    """K6: two deletes on a table of files, a range of dates of one status (null totals stay) and one customer's."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderstatus",
+                                        F.when(F.col("o_totalprice") > 5000, F.col("o_totalprice")).alias("total"))
+    path = _folder(spark)
+    filetable.save_clustered(o, path, ["o_orderdate"], 16)
+    filetable.delete(spark, path, o.schema, F.col("o_orderdate").between("1996-01-01", "1996-03-31") & (F.col("o_orderstatus") == "F")
+                     & (F.col("total") < 200000))
+    filetable.delete(spark, path, o.schema, F.col("o_custkey") == 10)
+    return rounded(filetable.read(spark, path, o.schema))
+
+
+SQL["delete_in_place"] = f"""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderstatus,
+    CASE WHEN o_totalprice > 5000 THEN o_totalprice END AS total FROM orders)
+SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, {r6('total')} AS total FROM o
+WHERE NOT coalesce(o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' AND o_orderstatus = 'F'
+  AND total < 200000, false) AND o_custkey <> 10"""
+
+
+@register("sev_integral_errors")
+def q_sev_integral_errors(spark, sf):
+    """Rows per flag whose integral met the original's tolerance by its own error estimate, also for spreads
+    a thousand times narrower and wider than the table's."""
+    from . import exposure
+    from .catalog import _exposure_rows
+    e = _exposure_rows(spark, sf)
+    wide = e.withColumn("spread", F.explode(F.array(*[F.lit(v) for v in (0.001, 1.0, 1000.0)]))).withColumn(
+        "exp_sd", F.col("exp_sd") * F.col("spread"))
+    out = exposure.sev_integral(wide)
+    good = F.col("converged") & (F.col("error") <= 1.49e-06 * F.greatest(F.lit(1.0), F.abs("integral")))
+    return out.groupBy("flag", "spread").agg(F.count("*").alias("n"), F.count_if(good).alias("n_converged"))
+
+
+SQL["sev_integral_errors"] = """SELECT CAST(l_linenumber % 2 AS INTEGER) AS flag, spread, count(*) AS n, count(*) AS n_converged
+FROM lineitem, (VALUES (CAST(0.001 AS DOUBLE)), (CAST(1.0 AS DOUBLE)), (CAST(1000.0 AS DOUBLE))) t(spread) GROUP BY 1, 2"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import clean, joins, reshape, windows
+from ..operators import clean, joins, quantiles, reshape, windows
 
 
 def ratio_table(events: DataFrame, numerator: str = "purchase", denominator: str = "view",
@@ -48,8 +48,8 @@ def lab_chain(tests: DataFrame, labs: DataFrame, kind: str = "event_type", numer
     sides = [t.where(F.col(kind) == k).select(*keys, value) for k in (numerator, denominator)]
     both = joins.self_join(*sides, keys, suffixes=("_num", "_den"))
     both = both.withColumn("ratio", numeric.ratio(f"{value}_num", f"{value}_den"))
-    cut = both.agg(F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.975))).alias("c")).first()["c"]
-    lo, hi = cut if cut is not None else (None, None)
+    cut = quantiles.exact_quantiles(both, "ratio", (0.025, 0.975), names=["lo", "hi"]).first()
+    lo, hi = cut["lo"], cut["hi"]
     both = both.where(F.col("ratio").between(F.lit(lo), F.lit(hi))).select(*keys, "ratio")
     found = clean.numeric_or_drop(labs, value)
     again = (windows.repeated_rows(found, ["lab_subject", "lab_day", kind], ["row_id"])
