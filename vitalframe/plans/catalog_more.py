@@ -203,16 +203,18 @@ def q_clustered_lookup(spark, sf):
                                         "o_totalprice")
     path = _folder(spark)
     filetable.save_clustered(o, path, ["o_custkey", "o_orderdate", "o_totalprice"], 16)
-    found = {"customer": {"o_custkey": 10}, "order": {"o_orderkey": 33}}
-    parts = [filetable.lookup(spark, path, o.schema, **v).withColumn("by", F.lit(k)) for k, v in found.items()]
+    keys = {"customer": {"o_custkey": 10}, "order": {"o_orderkey": 33}}
+    parts = [filetable.lookup(spark, path, o.schema, **v).withColumn("by", F.lit(k)) for k, v in keys.items()]
     day = filetable.read(spark, path, o.schema).where(F.col("o_orderdate") == "1996-01-02").withColumn("by", F.lit("day"))
-    return rounded(parts[0].unionByName(parts[1]).unionByName(day))
+    found = parts[0].unionByName(parts[1]).unionByName(day)
+    return rounded(found.withColumn("o_orderdate", F.col("o_orderdate").cast("string")))
 
 
 SQL["clustered_lookup"] = f"""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate,
   {r6('o_totalprice')} AS o_totalprice FROM orders)
-SELECT *, 'customer' AS by FROM o WHERE o_custkey = 10 UNION ALL SELECT *, 'order' FROM o WHERE o_orderkey = 33
-UNION ALL SELECT *, 'day' FROM o WHERE o_orderdate = DATE '1996-01-02'"""
+SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM (
+  SELECT *, 'customer' AS by FROM o WHERE o_custkey = 10 UNION ALL SELECT *, 'order' FROM o WHERE o_orderkey = 33
+  UNION ALL SELECT *, 'day' FROM o WHERE o_orderdate = DATE '1996-01-02')"""
 
 
 @register("delete_in_place")
@@ -225,12 +227,12 @@ def q_delete_in_place(spark, sf):
     filetable.delete(spark, path, o.schema, F.col("o_orderdate").between("1996-01-01", "1996-03-31") & (F.col("o_orderstatus") == "F")
                      & (F.col("total") < 200000))
     filetable.delete(spark, path, o.schema, F.col("o_custkey") == 10)
-    return rounded(filetable.read(spark, path, o.schema))
+    return rounded(filetable.read(spark, path, o.schema).withColumn("o_orderdate", F.col("o_orderdate").cast("string")))
 
 
 SQL["delete_in_place"] = f"""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderstatus,
     CASE WHEN o_totalprice > 5000 THEN o_totalprice END AS total FROM orders)
-SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, {r6('total')} AS total FROM o
+SELECT o_orderkey, o_custkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderstatus, {r6('total')} AS total FROM o
 WHERE NOT coalesce(o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' AND o_orderstatus = 'F'
   AND total < 200000, false) AND o_custkey <> 10"""
 
