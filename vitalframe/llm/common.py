@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh_name(columns: Sequence[str], name: str) -> str:
+    """``name``, or a longer one, that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Lower the session's Arrow batch size so that a batch of long texts fits a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -61,7 +69,7 @@ def with_text_columns(df: DataFrame, text: str, fields: Sequence[T.StructField],
     bound_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    body = df.select(F.col(f"`{text}`").alias("_vf_text"), *[F.col(f"`{c}`") for c in names])
+    body = df.select(F.col(f"`{text}`").alias(fresh_name(names, "_vf_text")), *[F.col(f"`{c}`") for c in names])
     schema = T.StructType([f for f in body.schema.fields[1:]] + list(fields))
     tail = to_arrow_schema(T.StructType(list(fields)))
 

@@ -28,8 +28,9 @@ less.
 Defined cases: null or empty texts, or texts without a word, have an empty set and
 stand alone; a text with fewer words than a shingle is one shingle; rows that
 repeat a doc_id are one document (the union isn't formed: the row with the largest
-set counts); a null doc_id stands alone and is kept; columns beside id and text
-are ignored.
+set counts, of equally large ones that with the largest fingerprint, in every step);
+a null doc_id stands alone and is kept; very long texts are hashed whole, a word and
+a shingle at a time in arrays; columns beside id and text are ignored.
 """
 
 from __future__ import annotations
@@ -84,6 +85,10 @@ def need(s: int, k: int = K, percent: int = PERCENT) -> int:
     return max(1, whole if s * 100 <= k * percent else min(some, whole))
 
 
+def fingerprint(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def sketch_table(documents: DataFrame, k: int = K, size: int = SHINGLE, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(_id, _n, _fp, _sk): set size, fingerprint and sketch of every whole text."""
@@ -95,7 +100,7 @@ def sketch_table(documents: DataFrame, k: int = K, size: int = SHINGLE, id_col:
         for t in texts:
             h = shingles(t, size)
             n.append(len(h))
-            fp.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+            fp.append(fingerprint(h))
             sk.append(h[:k].view(np.int64))
         return [n, fp, sk]
 
@@ -127,27 +132,35 @@ def _linked(sets: list, test) -> list:
 
     ``test(x, others, common)`` says which of ``others`` are linked to x, given the
     sizes of their intersections.  Every set is compared, through inverted lists,
-    with all that its component has not reached yet.
+    with all that its component has not reached yet; whenever half of those on the
+    lists are reached, the lists are cut to the rest.
     """
     if len(sets) < 2:
         return []
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(code, kind="stable")
-    holders = owner[order]
+    holders, listed = owner[order], code[order]
     at = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     fresh = np.ones(len(sets), bool)
+    left = on_lists = len(sets)  # sets not reached yet, and those when the lists were last cut
     out = []
     for start in range(len(sets)):
         if not fresh[start]:
             continue
         fresh[start] = False
+        left -= 1
         todo = [start]
-        while todo:
+        while todo and left:
             x = todo.pop()
+            if 2 * left <= on_lists:
+                keep = fresh[holders]
+                holders, listed = holders[keep], listed[keep]
+                at = np.concatenate([[0], np.cumsum(np.bincount(listed, minlength=len(values)))])
+                on_lists = left
             mine = code[ends[x]:ends[x + 1]]
-            mine = mine[at[mine + 1] - at[mine] > 1]
+            mine = mine[at[mine + 1] > at[mine]]
             if not len(mine):
                 continue
             met = np.concatenate([holders[at[c]:at[c + 1]] for c in mine])
@@ -156,6 +169,7 @@ def _linked(sets: list, test) -> list:
             if len(others):
                 hit = others[test(x, others, common[others])]
                 fresh[hit] = False
+                left -= len(hit)
                 out += [(x, int(y)) for y in hit]
                 todo += hit.tolist()
     return out
@@ -265,8 +279,10 @@ def exact_edges(documents: DataFrame, groups: DataFrame, percent: int, size: int
                 id_col: str, text_col: str) -> DataFrame:
     """Spanning-forest edges among classes whose full sets reach the threshold.
 
-    ``groups`` (_id, _n, _g): the classes to compare.  Sets are formed anew from
-    the texts, dealt to blocks by set size, so neither tables nor tasks hold all.
+    ``groups`` (_id, _n, _g, _fp, _many): the classes to compare, each with the
+    fingerprint of the row that stands for it and whether rows repeat its id.  Sets are
+    formed anew from those rows' texts, dealt to blocks by set size, so neither tables
+    nor tasks hold all.
     """
     band = F.floor(F.log(F.col("_n")) / F.lit(-math.log(percent / 100))).cast("long")
     rows = groups.withColumn("_band", band)
@@ -293,14 +309,20 @@ def exact_edges(documents: DataFrame, groups: DataFrame, percent: int, size: int
         partners, lambda x: F.concat_ws("-", F.least(x, mine), F.greatest(x, mine)))))
     dealt = dealt.select("_id", F.xxhash64("_g", "_pair").alias("_task"))
     texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    ids = groups.select("_id")
-    fields = [T.StructField("_set", T.BinaryType())]
-    sets = with_text_columns(texts.join(ids, "_id", "left_semi"), "_t", fields,
-                             lambda: lambda ts: [[shingles(t, size).tobytes() for t in ts]], keep=["_id"])
-    sets = sets.groupBy("_id").agg(F.max(F.struct(F.octet_length("_set").alias("n"), F.col("_set"))).alias("x"))
-    full = dealt.join(sets.select("_id", F.col("x._set").alias("_set")), "_id").select("_task", "_id", "_set")
+    fields = [T.StructField("_set", T.BinaryType()), T.StructField("_own", T.BinaryType())]
 
-    def work(rows):
+    def work(texts):
+        found = [shingles(t, size) for t in texts]
+        return [[h.tobytes() for h in found], [fingerprint(h) for h in found]]
+
+    named = texts.join(groups.select("_id", "_fp", "_many"), "_id")
+    sets = with_text_columns(named, "_t", fields, lambda: work, keep=["_id", "_fp", "_many"]).where("_own = _fp")
+    # rows that repeat an id and its set: one of them, picked before any set is shuffled whole
+    again = sets.where("_many").groupBy("_id").agg(F.first("_set").alias("_set"))
+    sets = sets.where("not _many").select("_id", "_set").unionByName(again)
+    full = dealt.join(sets, "_id").select("_task", "_id", "_set")
+
+    def compare(rows):
         found = [np.frombuffer(r[1], np.uint64) for r in rows]
         sizes = np.array([len(s) for s in found], np.int64)
 
@@ -309,33 +331,43 @@ def exact_edges(documents: DataFrame, groups: DataFrame, percent: int, size: int
 
         return [(rows[a][0], rows[b][0]) for a, b in _linked(found, test)]
 
-    return _by_key(full, work)
+    return _by_key(full, compare)
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, k: int = K, size: int = SHINGLE,
                     block: int = BLOCK, block_hashes: int = BLOCK_HASHES, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    return judged(documents, percent, k, size, block, block_hashes, id_col, text_col).drop("fingerprint", "repeated")
+
+
+def judged(documents: DataFrame, percent: int = PERCENT, k: int = K, size: int = SHINGLE, block: int = BLOCK,
+           block_hashes: int = BLOCK_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`near_duplicates` with the ``fingerprint`` of the row that was compared (null for an empty set) and
+    whether the id is ``repeated``."""
     every = cut_lineage(sketch_table(documents, k, size, id_col, text_col), "near-sketches")
-    # One row per document: of rows that repeat an id, the one with the largest set.
+    # One row per document: of rows that repeat an id, the one with the largest set and fingerprint.
     docs = every.where(F.col("_id").isNotNull()).groupBy("_id").agg(
-        F.max(F.struct("_n", "_fp")).alias("x")).select("_id", "x._n", "x._fp")
+        F.max(F.struct("_n", "_fp")).alias("x"), (F.count("*") > 1).alias("_many")).select("_id", "x._n", "x._fp", "_many")
     docs = cut_lineage(docs, "near-documents")
-    reps = docs.where(F.col("_n") > 0).groupBy("_fp").agg(F.min("_id").alias("_rep"))
-    sk = (every.join(reps.select(F.col("_fp"), F.col("_rep").alias("_id")), ["_id", "_fp"])
-          .dropDuplicates(["_id"]).select("_id", "_n", "_sk"))
+    reps = docs.where(F.col("_n") > 0).groupBy("_fp").agg(F.min(F.struct("_id", "_many")).alias("x")).select(
+        "_fp", F.col("x._id").alias("_rep"), F.col("x._many").alias("_many"))
+    sk = (every.join(reps.select(F.col("_fp"), F.col("_rep").alias("_id"), "_many"), ["_id", "_fp"])
+          .dropDuplicates(["_id"]).select("_id", "_n", "_sk", "_fp", "_many"))
     sk = cut_lineage(sk, "near-classes")
-    group = components(candidate_edges(sk, k, percent, block), name="near-groups")
+    group = components(candidate_edges(sk.select("_id", "_n", "_sk"), k, percent, block), name="near-groups")
     member = group.select(F.col("node").alias("_id"), F.col("root").alias("_g"))
     member = member.unionByName(member.select(F.col("_g").alias("_id"), "_g").distinct())
-    groups = cut_lineage(member.join(sk.select("_id", "_n"), "_id"), "near-members")
+    groups = cut_lineage(member.join(sk.select("_id", "_n", "_fp", "_many"), "_id"), "near-members")
     links = exact_edges(documents, groups, percent, size, block_hashes, id_col, text_col)
     found = components(links, name="near-links").select(F.col("node").alias("_rep"), "root")
     named = reps.join(found, "_rep", "left").select("_fp", F.coalesce("root", "_rep").alias("_root"))
     out = docs.join(named, "_fp", "left").select(
         F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"),
-        F.coalesce("_root", "_id").alias("component_id"))
+        F.coalesce("_root", "_id").alias("component_id"), F.col("_fp").alias("fingerprint"), F.col("_many").alias("repeated"))
     alone = every.where(F.col("_id").isNull()).select(
-        F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(alone).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"),
+        F.col("_fp").alias("fingerprint"), F.lit(False).alias("repeated"))
+    return out.unionByName(alone).select(
+        "doc_id", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "fingerprint", "repeated")
