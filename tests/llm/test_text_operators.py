@@ -100,7 +100,7 @@ def test_license_against_brute_force(spark, docs):
         assert g["base_labels"] == ",".join(sorted(base))
         found, best = set(), 0.0
         for label, t in templates:
-            for at in range(0, max(1, len(words) - len(t)), len(t)):
+            for at in range(max(1, len(words) - 2 * len(t) + 1)):
                 share = len(set(words[at:at + 2 * len(t)]) & set(t)) / len(set(t))
                 if share >= license_scan.THRESHOLD - 1e-12:
                     found.add(label)
@@ -131,6 +131,29 @@ def test_license_notice_is_found_at_every_position(spark):
         assert i >= 40 or got[i]["labels"] == "apache-2.0"
 
 
+def test_phrase_places_are_linear():
+    import time
+    start = time.perf_counter()
+    n, starts, labels = license_scan.phrase_places(b"cc by " * 500_000, license_scan.PHRASES)  # 3 MB
+    assert time.perf_counter() - start < 5 and n == 1_000_000
+    assert starts == list(range(0, 1_000_000, 2)) and labels == {"cc-by"}
+
+
+def test_whole_license_texts(spark):
+    from vitalframe.llm import license_texts
+    rng = np.random.default_rng(4)
+    noise = lambda n: " ".join(f"q{rng.integers(10**6)}" for _ in range(n))
+    texts = {"mit": license_texts.MIT, "isc": license_texts.ISC, "bsd-3": license_texts.BSD_3, "bsd-2": license_texts.BSD_2,
+             "apache-2.0": license_texts.APACHE_NOTICE, "gpl-3.0": license_texts.GPL_NOTICE,
+             "lgpl-2.1": license_texts.LGPL_NOTICE, "unlicense": license_texts.UNLICENSE}
+    rows = [(i, f"{noise(30)}\n{t}\n{noise(50)}") for i, t in enumerate(texts.values())]
+    rows += [(100 + i, " ".join(t.split()[:len(t.split()) // 2])) for i, t in enumerate(texts.values())]
+    got = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={}))
+    for i, label in enumerate(texts):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    assert "bsd-3" not in got[100 + 2]["labels"].split(",") and "isc" not in got[101]["labels"].split(",")
+
+
 def test_license_empty(no_docs):
     assert license_scan.scan(no_docs).count() == 0
 
@@ -171,16 +194,33 @@ def test_sketch_quantiles_are_near_exact_and_merge(spark):
                                      rng.integers(0, 30, n), rng.integers(0, 3, n), strict=True)]
     df = spark.createDataFrame(data, "doc_id long, lang string, source string, n_words long, word_chars long, "
                                      "n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    whole = quality_rules.fences(quality_rules.sketches(df), min_rows=10**9).collect()
+    whole = quality_rules.fences(quality_rules.sketches(df), prior=1e15).collect()
     length = np.array([r[4] / r[3] for r in data])
     lo, hi = np.quantile(length, [0.25, 0.75])
-    for r in whole:  # too few rows everywhere: the merged sketch of the corpus decides
+    for r in whole:  # next to such a prior no group has weight: the merged sketch of the corpus decides
         assert r["_max_word_length"] == pytest.approx(hi + 3 * max(hi - lo, 1.0), rel=0.03)
     parts = quality_rules.sketches(df.where("doc_id % 2 = 0")).unionByName(quality_rules.sketches(df.where("doc_id % 2 = 1")))
     key = lambda rs: sorted(map(tuple, rs))
     assert key(quality_rules.fences(parts).collect()) == key(quality_rules.fences(quality_rules.sketches(df)).collect())
 
 
+def test_no_number_of_rows_is_a_switch(spark):
+    """A second source of another kind grows row by row: its fence moves on without a jump."""
+    def fence(n):
+        rows = [("en", "a", 100, 500, 1, 0, 0, 10, 1000)] + [("en", "b", 100, 900, 30, 3, 0, 10, n)]
+        df = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, "
+                                         "n_dup_lines long, n_repeat_words long, n_lines long, k int")
+        df = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("k"))))
+        r = {r["_s"]: r for r in quality_rules.fences(quality_rules.sketches(df)).collect()}["b"]
+        return r["_max_word_length"], r["_max_symbol_rate"]
+
+    steps = [fence(n) for n in (150, 198, 199, 200, 201, 202, 250)]
+    whole = max(s[0] for s in steps) - min(s[0] for s in steps)
+    moves = [abs(b[0] - a[0]) for a, b in zip(steps[1:], steps[2:6], strict=False)]
+    assert 0 < max(moves) < 0.05 * whole + 0.02 and max(moves) < 2 * min(moves)
+    assert fence(2000)[0] > fence(200)[0] > fence(20)[0]  # the group's own kind gains weight
+
+
 def test_rules_edges(docs, no_docs):
     got = quality_rules.apply_rules(docs).collect()
     assert len(got) == docs.count()
@@ -203,8 +243,8 @@ def test_langid_is_one_average(spark):
              ("de", b"ein ding und zwei")] * 5
     rows = []
     for lang, t in texts:
-        idx, n = np.unique(langid.subwords(t), return_counts=True)
-        rows.append((lang, idx.astype(np.int64), n / n.sum()))
+        idx, share = langid.shares(t)
+        rows.append((lang, idx.astype(np.int64), share))
     m = langid.fit_rows(rows)
     for (lang, t), (_, idx, w) in zip(texts, rows, strict=True):
         z = w @ m.table[idx] + m.bias
@@ -214,6 +254,50 @@ def test_langid_is_one_average(spark):
         assert got[0] == lang == m.langs[int(p.argmax())] and got[1] == pytest.approx(p.max(), rel=1e-5)
 
 
+def test_langid_slices_are_the_whole_text(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(rng.choice(list("abcdé "), 7)) for _ in range(3000)).encode()
+    idx, share = langid.shares(text)
+    for size in (1, 2, 3, 5, 1000):
+        monkeypatch.setattr(langid, "SLICE", size)
+        got = langid.shares(text[:400] if size < 1000 else text)
+        want = (idx, share) if size == 1000 else None
+        if want is None:
+            monkeypatch.setattr(langid, "SLICE", 1 << 16)
+            want = langid.shares(text[:400])
+        assert (got[0] == want[0]).all() and np.allclose(got[1], want[1])
+
+
+def test_langid_long_text_in_bounded_memory():
+    import tracemalloc
+    m = langid.fit_rows([("en", *langid.shares(b"the cat and the dog")), ("de", *langid.shares(b"der hund und die katze"))] * 5)
+    text = b"the cat and the dog " * 2_500_000  # 50 MB
+    tracemalloc.start()
+    got = m.predict(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == "en" and peak < 220 << 20  # two copies of the text (cleaned, padded) and one slice's rows
+
+
+def test_langid_cut():
+    right = np.array([True] * 995 + [False] * 5)
+    p = np.r_[np.linspace(0.6, 1.0, 995), [0.3, 0.4, 0.5, 0.55, 0.95]]
+    cut = langid.best_cut(p, right)
+    assert 0.55 < cut < 0.6  # four wrong ones go, no right one
+    assert langid.best_cut(p, np.ones(1000, bool)) == 0.0 and langid.best_cut(np.array([0.2]), np.array([True])) == 0.0
+    assert langid.best_cut(np.array([0.5, 0.5, 0.9]), np.array([True, False, True])) == 0.0  # ties stay together
+    assert langid.best_cut(np.array([0.5]), np.array([False])) > 0.5
+
+
+def test_langid_calibrates_at_any_size(spark):
+    def model(n):
+        rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 3 + f"w{i}", "en" if i % 2 else "de")
+                for i in range(n)]
+        return langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = [model(n) for n in (30, 60, 61, 62, 64, 120)]
+    assert all(m.langs == ["de", "en"] and m.temperature != 1.0 for m in found)
+
+
 def test_langid_edges(docs, no_docs):
     got = langid.identify(docs, langid.fit(docs)).collect()
     assert len(got) == docs.count() and {"lang_pred", "rejected", "score", "text"} <= set(got[0].asDict())

@@ -29,20 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import license_texts
 from .common import with_text_columns
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label -> wordings (short notices as they stand in files).
+#: Label -> wordings: short notices as they stand in files, and whole texts.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0", license_texts.APACHE_NOTICE],
     "mit": ["Released under the MIT License",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+            license_texts.MIT],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3"],
+    "bsd-2": [license_texts.BSD_2],
+    "bsd-3": [license_texts.BSD_3],
+    "isc": [license_texts.ISC],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", license_texts.GPL_NOTICE],
+    "lgpl-2.1": [license_texts.LGPL_NOTICE],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0"],
     "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa-4.0": [license_texts.CC_BY_SA],
+    "cc0-1.0": [license_texts.CC0],
+    "unlicense": [license_texts.UNLICENSE],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 THRESHOLD = 0.9
@@ -64,8 +73,11 @@ def phrase_places(text: bytes | None, phrases: dict) -> tuple:
     for phrase, label in phrases.items():
         needle = b" " + phrase.encode() + b" "
         at = joined.find(needle)
+        counted = blanks = 0
         while at >= 0:
-            starts.append(joined.count(b" ", 0, at + 1) - 1)
+            blanks += joined.count(b" ", counted, at + 1)  # on from the last place: linear in the text
+            counted = at + 1
+            starts.append(blanks - 1)
             found.add(label)
             at = joined.find(needle, at + 1)
     return len(words), starts, found

@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 END_ID = 2
 BUFFER = 2048        # waiting pieces per task between packings
+HELD_TOKENS = 1 << 22   # ids in finished windows at which they are handed on
+TEXT_BYTES = 1 << 22    # texts tokenised at once
 MEMO = 700_000       # chunks kept per Python worker
 MEMO_BYTES = 64      # longest of them
 _MARKS = b".,;:!?#*$%&)("  # none of these starts a contraction or a special string
@@ -177,6 +180,7 @@ class Packer:
         self.piece: dict = {}     # number -> (doc, start, ids, doc_tokens)
         self.serial = 0
         self.done: dict = {t: [] for t in self.tiers}
+        self.full = 0             # ids in whole windows of long documents since the last flush
 
     def _add(self, doc, start: int, ids: bytes, total: int) -> None:
         self.serial += 1
@@ -186,6 +190,7 @@ class Packer:
     def add(self, doc, ids: bytes) -> None:
         top, total = self.tiers[-1], len(ids) // 4
         whole = total // top
+        self.full += whole * top
         for k in range(whole):
             self.done[top].append([(doc, k * top, ids[4 * k * top:4 * (k + 1) * top], total)])
         if total > whole * top:
@@ -253,9 +258,23 @@ class Packer:
                 self.next_sequence += 1
             self.next_step += groups
         self.done = {t: [] for t in self.tiers}
+        self.full = 0
         return rows
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, rows) of slices of at most 64 texts and, but for a single longer one, ``TEXT_BYTES``."""
+    sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+    first = held = 0
+    for at, size in enumerate(sizes):
+        if at > first and (at - first == 64 or held + size > TEXT_BYTES):
+            yield first, at - first
+            first, held = at, 0
+        held += size
+    if sizes:
+        yield first, len(sizes) - first
+
+
 def pack(documents: DataFrame, tokenizer_path: str, tiers: tuple = TIERS, end_id: int = END_ID,
          step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where its ids come from and where they lie in which sequence.
@@ -281,13 +300,15 @@ def pack(documents: DataFrame, tokenizer_path: str, tiers: tuple = TIERS, end_id
 
         for b in batches:
             docs = b.column(0).to_pylist()
-            for k in range(0, b.num_rows, 64):
-                texts = texts_of(b.column(1).slice(k, 64))
-                for doc, ids in zip(docs[k:k + 64], tokens.ids(texts), strict=True):
+            for k, n in _slices(b.column(1)):
+                texts = texts_of(b.column(1).slice(k, n))
+                for doc, ids in zip(docs[k:k + n], tokens.ids(texts), strict=True):
                     packer.add(doc, ids + end)
                 if len(packer.wait) >= BUFFER:
                     packer.pack()
                     yield from out()
+                elif packer.full >= HELD_TOKENS:
+                    yield from out()
         packer.pack(last=True)
         yield from out()
 

@@ -173,16 +173,17 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     rows = (documents.select(F.col(id_col).alias("_vf_id"), F.col(text_col).alias("_vf_t"))
             .join(F.broadcast(picked), "_vf_id"))
     got = with_text_columns(rows, "_vf_t", [_X], lambda: lambda ts: [list(statistics_matrix(ts))],
-                            keep=["_vf_id", "_vf_y"]).collect()
+                            keep=["_vf_id", "_vf_y"])
+    got = got.distinct().collect()  # rows that repeat an id and its text teach once: a hot id can't fill the sample
     got.sort(key=lambda r: (r["_vf_id"], r["_vf_x"]))  # the same trees however rows arrive
     x = np.array([r["_vf_x"] for r in got], np.float32).reshape(-1, len(STATS))
     return fit_trees(x, np.array([r["_vf_y"] for r in got], np.float64))
 
 
 def score(documents: DataFrame, model: Trees, text_col: str = "text", keep: list | None = None,
-          cut: float = CUT) -> DataFrame:
-    """Append ``score`` and ``predicted`` to every document; no shuffle."""
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+          cut: float = CUT, names: tuple = ("score", "predicted")) -> DataFrame:
+    """Append score and predicted, under ``names``, to every document; no shuffle."""
+    fields = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
 
     def make():
         def work(texts):

@@ -5,13 +5,15 @@ per language and source is a sketch of counts in buckets of relative width
 ``GAMMA``: buckets of equal index add up, so partial sketches merge in any order
 and grouping, and a language's or the corpus's sketch is the sum of its sources'.
 A rate's fence is its upper quartile plus ``SPREAD`` times the interquartile range
-(at least the rate's ``least`` spread), read from the sketch of the document's
-language and source; below ``MIN_ROWS`` rows from the language's, then the
-corpus's.  Fences are joined back to the documents as a small table.
+(at least the rate's ``least`` spread), read from a sketch.  The fence of a language
+and source is blended with its language's, and that with the corpus's: n rows weigh
+n / (n + ``PRIOR``), so a group's own fence gains weight with every row and no number
+of rows is a switch.  Fences are joined back to the documents as a small table.
 
 Defined cases: null or empty texts have all counts 0 and fail the base rule; null
 languages and sources are groups of their own; repeated rows get the same verdict;
-an empty table gives an empty result; columns beside the named ones are ignored.
+very long texts are counted whole; an empty table gives an empty result; columns
+beside the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import with_text_columns
 
 GAMMA = 1.02
 SPREAD = 3.0
-MIN_ROWS = 200
+PRIOR = 200.0   # rows at which a group's own fence weighs as much as the one above it
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 #: Rate -> (expression over the counts, least spread).
@@ -113,8 +115,8 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
             .agg(F.count("*").alias("_n")))
 
 
-def fences(sketch: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(_l, _s, one upper fence per rate) from the sketches, merged upwards for small groups."""
+def fences(sketch: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
+    """(_l, _s, one upper fence per rate) from the sketches, each blended with those of the levels above."""
     least = F.create_map(*[F.lit(x) for k, (_, s) in RATES.items() for x in (k, s)])
 
     def level(keys: list, name: str) -> DataFrame:
@@ -130,13 +132,15 @@ def fences(sketch: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS)
     lang = lang.withColumnsRenamed({"_l": "_l2", "rate": "_rate2"})
     both = (fine.join(lang, F.col("_l").eqNullSafe(F.col("_l2")) & (F.col("rate") == F.col("_rate2")))
             .drop("_l2", "_rate2").join(all_, "rate"))
-    top = (F.when(F.col("_rows_s") >= min_rows, F.col("_top_s"))
-           .when(F.col("_rows_l") >= min_rows, F.col("_top_l")).otherwise(F.col("_top_a")))
+    def blended(rows, own, above):
+        return (F.col(rows) * F.col(own) + F.lit(prior) * above) / (F.col(rows) + F.lit(prior))
+
+    top = blended("_rows_s", "_top_s", blended("_rows_l", "_top_l", F.col("_top_a")))
     return both.groupBy("_l", "_s").agg(
         *[F.max(F.when(F.col("rate") == k, top)).alias(f"_max_{k}") for k in RATES])
 
 
-def apply_rules(documents: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS,
+def apply_rules(documents: DataFrame, spread: float = SPREAD, prior: float = PRIOR,
                 id_col: str = "doc_id", text_col: str = "text", lang: str = "lang",
                 source: str = "source") -> DataFrame:
     """Per document: id, counts, ``base_failed``, ``failed`` (names of rates over their fence), ``kept``."""
@@ -144,7 +148,7 @@ def apply_rules(documents: DataFrame, spread: float = SPREAD, min_rows: int = MI
                              F.col(lang).alias("_l"), F.col(source).alias("_s"))
     # The texts are read once; what follows works on a few numbers per document.
     measured = cut_lineage(measure(plain, "_t", ["doc_id", "_l", "_s"]), "rule-counts")
-    limit = fences(sketches(measured, "_l", "_s"), spread, min_rows).withColumnsRenamed({"_l": "_l3", "_s": "_s3"})
+    limit = fences(sketches(measured, "_l", "_s"), spread, prior).withColumnsRenamed({"_l": "_l3", "_s": "_s3"})
     held = measured.join(limit, F.col("_l").eqNullSafe(F.col("_l3")) & F.col("_s").eqNullSafe(F.col("_s3")), "left")
     over = F.array_compact(F.array(*[F.when(F.expr(e) > F.col(f"_max_{k}"), F.lit(k)) for k, (e, _) in RATES.items()]))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
