@@ -164,3 +164,18 @@ def test_repeated_query_ids_take_no_place(spark, repeats):
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
     for rows in (4096, 40):
         check_near(df, 20, block_rows=rows, query_rows=4)
+
+
+def test_an_id_repeated_over_more_than_a_block(spark):
+    rng = np.random.default_rng(8)
+    v = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(21, rng.normal(size=8).tolist()) for _ in range(400)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
+    check_near(df, 20, block_rows=32, query_rows=2)
+    stored = ann.usable(df).withColumn("_row", F.monotonically_increasing_id())
+    sizes = [len(r["ids"]) // 8 for r in ann.blocks(stored, 32, 460).collect()]
+    assert max(sizes) < 64 and sum(sizes) == 460  # the hot id is spread
+
+
+def test_queries_in_several_bands(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BAND", 1)
+    check_near(spark.read.parquet(f"{SF}/embeddings.parquet"), 20, block_rows=50, query_rows=4)

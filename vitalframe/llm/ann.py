@@ -5,8 +5,15 @@ vector, and the originals.  A stated query set, packed alike, meets every block
 of data in one tile.  A tile's int8 products, times the scales, differ from the
 true inner products by at most a bound that follows from each vector's rounding
 error and norm; only pairs whose upper bound reaches the query's current k-th
-best lower bound are recomputed from the originals in double precision.  A strip
-of tiles shares one running heap per query, and the strips' heaps are merged.
+best lower bound are recomputed from the originals in double precision.
+
+The tiles are a grid of cells: bands of ``BAND`` query blocks by strips of data blocks.
+Blocks cross the shuffle singly, a query block once per strip and a data block once
+per band; a cell's task keeps its band's blocks and streams the data blocks past
+them, with one running heap per query.  The strips' heaps are merged.  So what is
+shuffled grows with the data times the number of bands, not of query blocks.
+Rows are dealt to blocks by their place in the stored table, so an id that is
+repeated often is spread like any other rows.
 
 Nearness is the largest inner product; ties go to the smaller id.  Defined cases:
 vectors that are null, empty, zero or hold null or non-finite components, and null
@@ -18,7 +25,6 @@ candidate has no row; columns beside id and vector are ignored.
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +36,10 @@ from ..session import cut_lineage
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-STRIPS = 8           # at most; each carries its own heaps, so a merge sees at most STRIPS x k rows a query
+BAND = 32            # query blocks that a task holds, with their heaps
+STRIPS = 16          # at most; each carries its own heaps, so a merge sees at most STRIPS x k rows a query
 K = 20
-TILE_BATCH = 8       # tiles per Arrow batch
+BLOCK_BATCH = 8      # blocks per Arrow batch
 
 
 def _kind(embeddings: DataFrame, vector_col: str) -> str:
@@ -63,9 +70,9 @@ _BLOCK = ("_dim int, _block long, ids binary, original binary, q binary, scale b
 
 
 def blocks(vectors: DataFrame, rows: int, total: int) -> DataFrame:
-    """Packed blocks of about ``rows`` of the ``total`` vectors, all of one length, by a hash of the id."""
+    """Packed blocks of about ``rows`` of the ``total`` vectors, all of one length, by a hash of their ``_row``."""
     placed = vectors.withColumn(
-        "_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-total // rows)))).cast("long"))
+        "_block", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-total // rows)))).cast("long"))
     kind = np.float32 if dict(vectors.dtypes)["_v"] == "array<float>" else np.float64
 
     def pack(key, pdf):
@@ -161,44 +168,53 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, block_rows: int
     ``is_query`` is a condition on the id column (named ``vec_id``).  A query id
     that occurs more than once is one query for its first vector.
     """
-    vectors = cut_lineage(usable(embeddings, id_col, vector_col), "ann-vectors")
+    vectors = cut_lineage(usable(embeddings, id_col, vector_col).withColumn("_row", F.monotonically_increasing_id()),
+                          "ann-vectors")
     first = vectors.where(is_query).groupBy("vec_id").agg(F.min(F.struct("_dim", "_v")).alias("x"))
-    queries = first.select("vec_id", "x._v", "x._dim")
+    queries = first.select("vec_id", "x._v", "x._dim", F.col("vec_id").alias("_row"))
     n_rows, n_queries = vectors.count(), queries.count()
     data = cut_lineage(blocks(vectors, block_rows, n_rows), "ann-blocks")
-    asked = blocks(queries, query_rows, n_queries)
-    n_blocks = data.count()
-    strips = max(1, min(STRIPS, math.isqrt(n_blocks)))
+    asked = cut_lineage(blocks(queries, query_rows, n_queries), "ann-queries")
+    strips = max(1, min(STRIPS, -(-n_rows // block_rows)))
+    bands = max(1, -(-n_queries // (query_rows * BAND)))
     names = ["ids", "original", "q", "scale", "norm", "err"]
-    # Each query block is dealt to every strip; a strip's tiles meet it one after the other.
-    left = asked.select(F.col("_dim").alias("_qd"), F.col("_block").alias("_qb"),
-                        *[F.col(n).alias(f"_q_{n}") for n in names],
-                        F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("_strip"))
-    right = data.withColumn("_strip2", F.pmod(F.xxhash64("_block"), F.lit(strips)).cast("int"))
-    tiles = left.join(right, (F.col("_qd") == F.col("_dim")) & (F.col("_strip") == F.col("_strip2")))
-    tiles = (tiles.repartition("_qd", "_qb", "_strip")
-             .sortWithinPartitions("_qd", "_qb", "_strip", "_block")
-             .select("_qd", "_qb", "_strip", "_block", *[f"_q_{n}" for n in names], *names))
+
+    def dealt(side: DataFrame, number: int, band, strip) -> DataFrame:
+        return side.select("_dim", band.alias("_band"), strip.alias("_strip"),
+                           F.lit(number).alias("_side"), "_block", *names)
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    cell = ["_dim", "_band", "_strip"]
+    cells = dealt(asked, 0, F.pmod("_block", F.lit(bands)).cast("int"), every(strips)).unionByName(
+        dealt(data, 1, every(bands), F.pmod("_block", F.lit(strips)).cast("int")))
+    cells = cells.repartition(*cell).sortWithinPartitions(*cell, "_side", "_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heaps = None, None
+        now, held = None, []
         for b in batches:
             for r in range(b.num_rows):
                 row = [c[r].as_py() for c in b.columns]
                 if now != row[:3]:
-                    if heaps is not None:
-                        yield heaps.rows()
-                    now, heaps = row[:3], _Heaps(_Block(row[0], *row[4:10]), k)
-                heaps.tile(_Block(row[0], *row[10:16]))
-        if heaps is not None:
-            yield heaps.rows()
-
-    # A row is a tile of some MB, so few go in a batch; the result is k rows a query and strip.
+                    for h in held:
+                        yield h.rows()
+                    now, held = row[:3], []
+                block = _Block(row[0], *row[5:])
+                if row[3] == 0:  # a cell's queries come first
+                    held.append(_Heaps(block, k))
+                else:
+                    for h in held:
+                        h.tile(block)
+        for h in held:
+            yield h.rows()
+
+    # A row is a block of some MB, so few go in a batch; the result is k rows a query and strip.
     spark, key = embeddings.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = spark.conf.get(key)
-    spark.conf.set(key, str(TILE_BATCH))
+    spark.conf.set(key, str(BLOCK_BATCH))
     try:
-        near = cut_lineage(tiles.mapInArrow(run, "query_id long, vec_id long, score double"), "ann-near")
+        near = cut_lineage(cells.mapInArrow(run, "query_id long, vec_id long, score double"), "ann-near")
     finally:
         spark.conf.set(key, usual)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
