@@ -56,7 +56,7 @@ def test_registered():
     import __spark_entry__ as E
     names = list(E.queries())
     assert "pipeline" in names and set(QUERIES) <= set(names)
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_dedup_keeps_one_row_of_a_repeated_id(spark):
@@ -65,4 +65,31 @@ def test_dedup_keeps_one_row_of_a_repeated_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for n in (1, 3):
         got = corpus_pipeline.near_dedup(spark, df.repartition(n), SF).collect()
-        assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "z"), (0, "z"), (1, "a b c d e f"), (2, "q r s")]
+        assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "z"), (0, "z"), (1, "a b c d e f g"), (2, "q r s")]
+
+
+def test_dedup_keeps_the_text_that_was_compared(spark):
+    a, b = (" ".join(f"{k}{j}" for j in range(60)) for k in "ab")
+    rows = [(1, a, "x"), (1, b, "a"), (1, b, "b"), (2, a + " more", "y"), (3, b + " more", "z"), (4, "", "e"), (4, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_dedup(spark, df.repartition(3), SF).collect()
+    judged = {r["doc_id"]: r for r in minhash.judged(df).collect()}
+    kept = {r["doc_id"]: r["text"] for r in got}
+    assert len(got) == len(kept) and set(kept) == {i for i, r in judged.items() if r["kept"]}
+    assert minhash.fingerprint(minhash.shingles(kept[1].encode())) == judged[1]["fingerprint"]
+    # whichever text stands for id 1, its near copy goes and the other one's stays
+    assert set(kept) == ({1, 3, 4} if kept[1] == a else {1, 2, 4})
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    from pyspark.sql import functions as F
+    extra = ["score", "predicted", "rejected", "lang_pred", "_whole", "_below", "_s", "_vf_s", "_vf_copy", "_vf_text",
+             "_vf_score", "_vf_rejected", "_vf_id", "kept", "fingerprint", "_t", "_id", "_n"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in extra}).cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in extra)
+    assert corpus_pipeline.pack(spark, docs, SF).count() > 0
