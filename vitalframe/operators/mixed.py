@@ -2,8 +2,9 @@
 
 Rows are reduced on the executors to per-cell sufficient statistics, a cell
 being one combination of the random-effect levels (one location for M9; one
-age x region pair for M10).  Per model key (e.g. one model per age group)
-the cells are few, so the variance components are optimised in
+age x region pair for M10).  One factor or two crossed ones are fitted as grouped
+sums over the level tables (:mod:`.mixed_levels`), for any number of levels.  Three
+or more crossed factors, of few levels, are fitted per model key in
 ``applyInPandas`` over the cell table using Henderson's mixed-model
 equations: every matrix there is (p + number of levels) square, never N.
 
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .mixed_levels import fit_levels
+
 
 def cell_stats(df: DataFrame, y: str, xs, groups, by=()) -> DataFrame:
     """n, sum x, sum xx', sum y, sum xy, sum y^2 per (model key, cell);
@@ -237,6 +240,8 @@ def mixed_model(df: DataFrame, y: str, xs, groups, by=(), reml: bool = True) ->
     by, groups = list(by), list(groups)
     p = len(xs) + 1
     stats = cell_stats(df, y, xs, groups, by)
+    if len(groups) <= 2:
+        return fit_levels(df, y, list(xs), groups, by, reml, stats)
     key_fields = [f for f in stats.schema.fields if f.name in by]
     schema = T.StructType(key_fields + [
         T.StructField("kind", T.StringType()), T.StructField("term", T.StringType()),
