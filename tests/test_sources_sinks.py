@@ -119,6 +119,42 @@ def test_streaming_replaces_a_day(spark, tmp):
     assert got == {"20240101": 1.0, "20240102": 9.0}
 
 
+def test_replace_mode_reads_notes_not_the_store(spark, tmp, monkeypatch):
+    """The store's files are never read by a batch; an output from before the notes is read for them once."""
+    src, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    schema = "day string, v int"
+    read = []
+    real = sinks.stored
+    monkeypatch.setattr(sinks, "stored", lambda s, path, sch: (read.append(path), real(s, path, sch))[1])
+
+    def arrive(k, rows):
+        f = os.path.join(src, f"f{k}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f)
+        for name in os.listdir(f):
+            os.utime(os.path.join(f, name), (1_700_000_000 + k, 1_700_000_000 + k))
+
+    def run(name):
+        stream = day_batches.day_stream(spark, os.path.join(src, "*"), schema, max_files_per_trigger=1)
+        day_batches.write_days(stream, out, "day", name, mode="replace").awaitTermination(300)
+
+    name = f"t5-{uuid.uuid4().hex}"
+    for k in range(4):
+        arrive(k, [(f"d{k % 2}", k), (f"e{k}", k)])
+    run(name)
+    assert read.count(out) == 1  # the first batch, when there are neither notes nor days
+    read.clear()
+    arrive(4, [("d0", 40)])
+    arrive(5, [("d1", 50), ("e0", 51)])
+    run(name)
+    assert out not in read and read
+    got = sorted((r.day, r.v) for r in spark.read.schema(schema).parquet(out).collect())
+    assert got == [("d0", 40), ("d1", 50), ("e0", 51), ("e1", 1), ("e2", 2), ("e3", 3)]
+    # an older version of a day that arrives late is left out
+    arrive(1_000_000 - 1_700_000_000, [("d0", -1)])
+    run(name)
+    assert {r.v for r in spark.read.schema(schema).parquet(out).where("day = 'd0'").collect()} == {40}
+
+
 def test_save_csv_and_split_by_day(spark, tmp):
     df = spark.createDataFrame([("20240101", 1), ("20240102", 2), ("20240102", 3)],
                                "day string, v int")

@@ -8,7 +8,6 @@ so nothing is collected except the fitted model parameters.
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import randoms
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, run_folder
 from . import sgd
 
 
@@ -209,7 +208,7 @@ def forest_votes(model, test: DataFrame, features: str = "features", out: str =
     all trees at once in numpy, in one pass over ``test`` without a shuffle.
     """
     spark = test.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vitalframe-models/{uuid.uuid4().hex}"
+    path = run_folder(spark, "model")
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",

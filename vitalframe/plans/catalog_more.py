@@ -5,20 +5,18 @@ sink (K) and read it back with a reader (S)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import randoms
-from ..operators import draws
-from ..session import ensure_checkpoint_dir
+from ..operators import draws, stats
+from ..session import run_folder
 from ..sources import filetable, readers, sinks
 from .catalog import register, rounded, tbl
 from .catalog_sql import SQL, r6
 
 
 def _folder(spark) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vitalframe-io/{uuid.uuid4().hex}"
+    return run_folder(spark, "io")
 
 
 @register("csv_round_trip")
@@ -253,3 +251,24 @@ def q_sev_integral_errors(spark, sf):
 
 SQL["sev_integral_errors"] = """SELECT CAST(l_linenumber % 2 AS INTEGER) AS flag, spread, count(*) AS n, count(*) AS n_converged
 FROM lineitem, (VALUES (CAST(0.001 AS DOUBLE)), (CAST(1.0 AS DOUBLE)), (CAST(1000.0 AS DOUBLE))) t(spread) GROUP BY 1, 2"""
+
+
+@register("bootstrap_power_literal")
+def q_bootstrap_power_literal(spark, sf):
+    """M5: bootstrap power with every sample drawn row by row: 1000 replicates of both groups at their observed
+    sizes, means and pooled sd."""
+    e = tbl(spark, sf, "events")
+    r = stats._two_sample(e, "value", "event_type", "view", "purchase").first()
+    return rounded(stats.bootstrap_power(int(r["n1"]), int(r["n2"]), r["mean1"], r["mean2"], r["pooled_sd"], spark,
+                                         n_boot=1000, alpha=0.5, seed=11, method="literal"))
+
+
+@register("poisson_sample_means_literal")
+def q_poisson_sample_means_literal(spark, sf):
+    """M6: 1000 samples of 10, 100 and as many Poisson draws as an event type has users, every draw made."""
+    e = tbl(spark, sf, "events")
+    lam = e.groupBy("event_type").agg((F.count("*") / (F.count_distinct("user_id") * 30.0)).alias("lam"),
+                                      F.count_distinct("user_id").alias("n_users"))
+    m = stats.poisson_means(spark, lam, "lam", [10, 100, "n_users"], reps=1000, seed=5, by=["event_type"], method="literal")
+    return rounded(m.groupBy("event_type", "lam", "n").agg(
+        F.avg("mean").alias("mean_of_means"), F.var_samp("mean").alias("var_of_means"), F.count("*").alias("reps")), 4)

@@ -153,7 +153,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df, name: str = "t"):
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new path below this application's folder in the shared checkpoint folder; ``drop_tables`` removes them all."""
+    import uuid
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/vitalframe-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df, name: str = "t", replaces=None):
     """Materialise ``df`` as a Parquet table under ``spark.checkpoint.dir``
     and return a DataFrame reading it.
 
@@ -161,19 +168,27 @@ def cut_lineage(df, name: str = "t"):
     folder, never executor-local as ``localCheckpoint`` would be), is
     columnar and compressed, and later filters and projections push down
     into it.  Used at fan-out points: a table with several consumers.
+    ``replaces`` is an earlier result of this function, of a round before, that nothing
+    reads once this one is written: it is removed.
     """
-    import uuid
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/vitalframe-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = run_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
+    out = spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
+    out._vf_path = path
+    if getattr(replaces, "_vf_path", None):
+        _remove(spark, replaces._vf_path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Remove the tables that ``cut_lineage`` has written in this application, through
+    """Remove what ``cut_lineage`` and ``run_folder``'s users have written in this application, through
     Spark's own file system; call it when no result is read any more."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/vitalframe-tables/{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{root}/vitalframe-tables/{spark.sparkContext.applicationId}")

@@ -70,7 +70,9 @@ def write_incremental(df: DataFrame, path: str, partition_cols,
     if not overwrite:
         df = df.join(missing_keys(spark, df.select(*partition_cols).distinct(),
                                   path, partition_cols), partition_cols, "left_semi")
-    (df.write.mode("overwrite" if overwrite else "append")
+    # a partition's rows in few tasks, a large one's in several: not one file per task and partition
+    (df.hint("rebalance", *[F.col(c) for c in partition_cols])
+       .write.mode("overwrite" if overwrite else "append")
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols).parquet(path))
 
