@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     Each round joins every node's larger neighbours to its smallest one, then every
     node's smaller neighbours to the smallest of them, until the edges no longer
     change: all are then (node, root).  Rounds are written as tables in the shared
-    checkpoint folder, nothing is collected but a count and a hash.
+    checkpoint folder, the last one in place of the one before; nothing is collected but
+    a count and a hash.
     """
     now = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
            .where(F.col("u") != F.col("v")).distinct())
@@ -28,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where(F.col("v") != F.col("m"))
                  .select("v", "m").toDF("u", "v").unionByName(low.toDF("u", "v")).distinct())
-        now = cut_lineage(small, name)
+        now = cut_lineage(small, name, replaces=now)
         last, mark = mark, _mark(now)
         if last == mark:
             break

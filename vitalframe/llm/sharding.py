@@ -121,7 +121,7 @@ def propagate(cells: DataFrame, quota: list, rounds: int = ROUNDS) -> DataFrame:
             F.struct(F.col("_s").alias("_s"), (-F.col("_m")).alias("_c")),
             F.struct(F.col("_t").alias("_s"), F.col("_m").alias("_c")))).alias("x")).select("_key", "x._s", "x._c")
         cells = cut_lineage(cells.unionByName(change).groupBy("_key", "_s").agg(F.sum("_c").alias("_c"))
-                            .where("_c > 0"), "shard-cells")
+                            .where("_c > 0"), "shard-cells", replaces=cells)
     return cells
 
 

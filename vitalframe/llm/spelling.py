@@ -263,13 +263,13 @@ def near_words(vocabulary: DataFrame, least_length: int = LEAST_LENGTH, block: i
 
 def follow(forms: DataFrame, name: str = "spelling-roots") -> DataFrame:
     """(word, root) for rows (word, form): forms followed to the last, in a logarithmic number of rounds."""
-    now = cut_lineage(forms.select("word", F.col("form").alias("root")), name)
+    far = cut_lineage(forms.select("word", F.col("form").alias("root"), F.lit(None).cast("string").alias("_next")), name)
     while True:
+        now = far.select("word", F.coalesce("_next", "root").alias("root"))
         step = now.select(F.col("word").alias("_at"), F.col("root").alias("_next"))
-        far = cut_lineage(now.join(step, F.col("root") == F.col("_at"), "left").select("word", "root", "_next"), name)
+        far = cut_lineage(now.join(step, F.col("root") == F.col("_at"), "left").select("word", "root", "_next"), name, replaces=far)
         if not far.where(F.col("_next").isNotNull()).limit(1).count():
-            return now
-        now = far.select("word", F.coalesce("_next", "root").alias("root"))
+            return far.select("word", "root")
 
 
 def variants(documents: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT,

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, run_folder
 from .common import bound_batches, texts_of
 
 # Fixed values of the file formats.
@@ -267,10 +267,9 @@ def read_archives(paths: DataFrame, folder: str, payload: bool = True) -> DataFr
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write every page to archives under the shared checkpoint folder and read them back."""
     spark = pages.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    if "://" not in root and not root.startswith("file:"):
-        root = f"file://{root}"
-    folder = f"{root}/warc-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "warc")
+    if "://" not in folder and not folder.startswith("file:"):
+        folder = f"file://{folder}"
     written = cut_lineage(write_archives(pages, folder, min_bytes), "warc-paths")
     archives = max(1, written.count())
-    return read_archives(written.repartition(archives, "path"), folder, payload=False)
+    return read_archives(written.repartitionByRange(archives, "path"), folder, payload=False)
