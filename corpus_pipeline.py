@@ -110,10 +110,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as a table in the shared folder and read again."""
+    """Apply the stages to documents, each written as a table in the shared folder, in place of the one
+    before, and read again."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = cut_lineage(stage(spark, docs, sf_dir), f"stage-{name}", replaces=docs)
     return docs
