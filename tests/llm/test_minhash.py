@@ -122,6 +122,52 @@ def test_links_just_above_the_threshold(least, most):
     assert lost == 0
 
 
+def test_estimate_is_that_of_the_union_sketch():
+    """All others at once against the union formed pair by pair."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for _ in range(120):
+        base = rng.choice(400, int(rng.integers(3, 200)), replace=False).astype(np.uint64) * np.uint64(2**50 + 7)
+        sets.append(np.sort(base))
+    sets += [np.sort(np.r_[s[rng.random(len(s)) < 0.95], np.uint64(i)]) for i, s in enumerate(sets)]
+    sizes, k, p = np.array([len(s) for s in sets]), 64, 0.75
+    sketches = [s[:k] for s in sets]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def linked(i, j):
+        small, big = sorted((sizes[i], sizes[j]))
+        if small * 100 < big * 75:
+            return False
+        common = len(np.intersect1d(sketches[i], sketches[j]))
+        if common < minhash.need(min(k, int(sizes[i]))) or common < minhash.need(min(k, int(sizes[j]))):
+            return False
+        if big <= k:
+            return 100 * common >= 75 * (small + big - common)
+        top = min(s[-1] if n > k else np.uint64(2**64 - 1) for s, n in ((sketches[i], sizes[i]), (sketches[j], sizes[j])))
+        union = np.union1d(sketches[i], sketches[j])
+        union = union[union <= top][:k]
+        both = np.isin(union, sketches[i]) & np.isin(union, sketches[j])
+        u = len(union)
+        return both.sum() >= u * p - minhash.SIGMAS * np.sqrt(u * p * (1 - p)) - 1e-9
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if linked(i, j):
+                root[find(i)] = find(j)
+    mine = list(range(len(sets)))
+    for a, b in minhash._estimated(sketches, sizes, k, 75):
+        mine = [mine[a] if m == mine[b] else m for m in mine]
+    groups = lambda names: {frozenset(i for i in range(len(sets)) if names[i] == n) for n in names}
+    fine, want = groups(mine), groups([find(i) for i in range(len(sets))])
+    # need() is asked of one side of a pair only, so a link may be handed on that both sides' need would drop
+    assert all(any(w <= f for f in fine) for w in want) and max(map(len, want)) > 1
+
+
 def test_two_edited_words_are_found(spark):
     rows = []
     for g in range(40):  # 63 shingles each, 54 of 72 in common: the threshold itself

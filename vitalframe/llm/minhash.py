@@ -56,6 +56,7 @@ K = 64                  # retained values
 SIGMAS = 5.0
 BLOCK = 1024            # classes of a list that one task compares
 BLOCK_HASHES = 1 << 19  # hashes of a group's block that one task holds
+BROADCAST_IDS = 1 << 22  # ids of grouped classes that are broadcast (tens of MB); more are joined by a shuffle
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,21 +181,38 @@ def _estimated(sketches: list, sizes: np.ndarray, k: int, percent: int) -> list:
     union's sketch, may reach the threshold."""
     p = percent / 100
     whole = sizes <= k  # the sketch holds the set
-    tops = np.array([np.uint64(2**64 - 1) if w else s[-1] for s, w in zip(sketches, whole, strict=True)], np.uint64)
+    none = np.uint64(2**64 - 1)
+    tops = np.array([none if w else s[-1] for s, w in zip(sketches, whole, strict=True)], np.uint64)
+    length = np.array([len(s) for s in sketches])
+    every = np.full((len(sketches), max(k, length.max(initial=0))), none)
+    for i, s in enumerate(sketches):
+        every[i, :len(s)] = s
+    place = np.arange(every.shape[1])
+
+    def estimate(x, others):
+        """Whether the sketch of each union with x, k values at most and none beyond what both sketches
+        cover, holds enough values of both: all others at once."""
+        mine, theirs = sketches[x], every[others]
+        real = place < length[others, None]
+        below = np.searchsorted(mine, theirs)
+        shared = real & (mine[np.minimum(below, len(mine) - 1)] == theirs) & (below < len(mine))
+        top = np.minimum(tops[x], tops[others])
+        covered = real & (theirs <= top[:, None])
+        u = np.searchsorted(mine, top, side="right") + covered.sum(axis=1) - (shared & covered).sum(axis=1)
+        u = np.minimum(u, k)
+        # a value's place in the union: values of either below it, those of both counted once
+        rank = below + place - (shared.cumsum(axis=1) - shared)
+        both = (shared & covered & (rank < u[:, None])).sum(axis=1)
+        return both >= u * p - SIGMAS * np.sqrt(u * p * (1 - p)) - 1e-9
 
     def test(x, others, common):
         small, big = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
         near = (small * 100 >= big * percent) & (common >= need(min(k, int(sizes[x])), k, percent))
         exact = whole[others] & whole[x]
         near &= ~exact | (100 * common >= percent * (sizes[x] + sizes[others] - common))
-        for i in np.flatnonzero(near & ~exact):
-            y = others[i]
-            union = np.union1d(sketches[x], sketches[y])
-            # the union's sketch: up to k values, none beyond what both sketches cover
-            union = union[union <= min(tops[x], tops[y])][:k]
-            both = np.isin(union, sketches[x], assume_unique=True) & np.isin(union, sketches[y], assume_unique=True)
-            u = len(union)
-            near[i] = both.sum() >= u * p - SIGMAS * math.sqrt(u * p * (1 - p)) - 1e-9
+        at = np.flatnonzero(near & ~exact)
+        if len(at):
+            near[at] = estimate(x, others[at])
         return near
 
     return _linked(sketches, test)
@@ -315,11 +333,19 @@ def exact_edges(documents: DataFrame, groups: DataFrame, percent: int, size: int
         found = [shingles(t, size) for t in texts]
         return [[h.tobytes() for h in found], [fingerprint(h) for h in found]]
 
-    named = texts.join(groups.select("_id", "_fp", "_many"), "_id")
-    sets = with_text_columns(named, "_t", fields, lambda: work, keep=["_id", "_fp", "_many"]).where("_own = _fp")
-    # rows that repeat an id and its set: one of them, picked before any set is shuffled whole
-    again = sets.where("_many").groupBy("_id").agg(F.first("_set").alias("_set"))
-    sets = sets.where("not _many").select("_id", "_set").unionByName(again)
+    def formed(part: DataFrame, n: int) -> DataFrame:
+        """(_id, _set, _own) of every row whose id is in ``part``, ids of ``n`` classes."""
+        ids = part.select("_id")
+        some = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "_id", "left_semi")
+        return with_text_columns(some, "_t", fields, lambda: work, keep=["_id"])
+
+    prints = groups.select("_id", "_fp")
+    count = groups.agg(F.count("*").alias("n"), F.count_if("_many").alias("many")).first()
+    sets = formed(groups.where("not _many"), count["n"] - count["many"]).select("_id", "_set")
+    if count["many"]:  # of rows that repeat an id: one that holds the set that counts
+        again = formed(groups.where("_many"), count["many"]).groupBy("_id", F.col("_own").alias("_fp")).agg(
+            F.first("_set").alias("_set"))
+        sets = sets.unionByName(again.join(prints, ["_id", "_fp"], "left_semi").select("_id", "_set"))
     full = dealt.join(sets, "_id").select("_task", "_id", "_set")
 
     def compare(rows):
