@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 
 LOW, HIGH = -20.0, 12.0      # range of the log ratio
-POINTS, ROUNDS = 65, 5
+POINTS, ROUNDS = 65, 3        # grids of 0.5, 1 / 64 and 1 / 2048, then the vertex of a parabola
 MOST_LEVELS = 1000           # of the smaller of two crossed factors
 _FEW_MODELS = 100_000        # models whose search state is broadcast
 
