@@ -141,3 +141,38 @@ def test_mix_edges(spark, no_docs):
     assert [(r["size"], r["target"], r["taken"]) for r in mixing.mix(one).collect()] == [(0, 0.0, 0)] * 2
     ties = spark.createDataFrame([(1, "a b c", "s")] * 5 + [(2, "d", "t")], "doc_id long, text string, source string")
     assert len({r["taken"] for r in mixing.mix(ties).where("doc_id = 1").collect()}) == 1
+
+
+def test_texts_are_sliced_by_bytes():
+    import pyarrow as pa
+    texts = pa.array([None, "", "x" * 10, "é" * 3_000_000, "y" * 5_000_000, "z"] + ["w" * 100] * 200)
+    parts = list(packing._slices(texts))
+    assert sum(n for _, n in parts) == len(texts) and [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]]
+    sizes = [sum(len((t or "").encode()) for t in texts.slice(a, n).to_pylist()) for a, n in parts]
+    assert all(n <= 64 and (s <= packing.TEXT_BYTES or n == 1) for s, (_, n) in zip(sizes, parts, strict=True))
+    assert list(packing._slices(pa.array([], pa.string()))) == []
+
+
+def test_long_documents_are_handed_on_before_the_buffer_is_full():
+    packer = packing.Packer(packing.TIERS, packing.STEP_TOKENS, 0)
+    ids = np.arange(1_000_003, dtype="<u4").tobytes()
+    rows, most = [], 0
+    for doc in range(25):
+        packer.add(doc, ids)
+        most = max(most, packer.full)
+        if packer.full >= packing.HELD_TOKENS:
+            rows += packer.flush()
+    assert most < packing.HELD_TOKENS + 1_000_003 and len(packer.wait) == 25 < packing.BUFFER
+    packer.pack(last=True)
+    rows += packer.flush()
+    by = defaultdict(list)
+    for doc, start, n, crc, *_ in rows:
+        assert crc == zlib.crc32(ids[4 * start:4 * (start + n)])
+        by[doc].append((start, n))
+    for doc in range(25):
+        at = 0
+        for start, n in sorted(by[doc]):
+            assert start == at
+            at += n
+        assert at == 1_000_003
+    assert len({(r[5], r[6]) for r in rows}) == len(rows)
