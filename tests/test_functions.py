@@ -125,6 +125,26 @@ def test_counter_uniforms_and_bernoulli_forms(spark):
     assert c.agg(F.sum("n_events")).first()[0] == pytest.approx(3000 * 0.45 * 40, rel=0.02)
 
 
+def test_portable_counts_hash_blocks_not_single_draws(spark):
+    import hashlib
+    from vitalframe.operators import draws
+    rows = [(i, str(i * 7919), (i % 11) / 10.0) for i in range(60)]
+    rows += [(None, None, 0.5), (1, None, 0.5), (None, "", 0.5), (1, "\u00e9" * 40, 0.5), (1, "x" * 51, 0.5), (1, "x" * 52, 0.5),
+             (2, "y" * 130, 0.5), (3, "a", None), (3, "a", float("nan")), (3, "a", -1.0), (3, "a", 2.0), (3, "a", 1e300)]
+    df = spark.createDataFrame(rows, "k int, t string, p double").coalesce(1)
+    got = draws.bernoulli_counts(df, "p", ["k", "t"], 120, seed=3, portable=True)
+    # one lambda step and one md5 call a draw took 2.5 us a draw
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    def expected(k, t, p):
+        keys = [str(x) for x in (k, t) if x is not None]
+        u = [int(hashlib.md5("|".join([*keys, str(d), "3"]).encode()).hexdigest()[:8], 16) / 2.0 ** 32 for d in range(120)]
+        return 0 if p is None else 120 if math.isnan(p) else sum(x < p for x in u)
+
+    assert got.schema["n_events"].dataType.simpleString() == "bigint"
+    assert [r.n_events for r in got.collect()] == [expected(*r) for r in rows]
+
+
 def test_cluster_conf_scales_with_input():
     from vitalframe.session import cluster_conf
     c = cluster_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=8)

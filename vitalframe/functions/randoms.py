@@ -137,6 +137,103 @@ def counter_uniforms(seeds, draws):
     return (z >> np.uint64(11)).astype(np.float64) / TWO53
 
 
+_BLOCK = 16384  # numbers worked on at once: the temporaries stay in a core's cache
+
+
+def key_uniforms(prefixes, n_draws: int, seed: int = 0):
+    """The portable uniforms of draws 0 to n_draws - 1, rows x draws, in blocks: (row numbers,
+    draw numbers, uniforms).
+
+    ``prefixes`` are rows' keys as bytes, as :func:`key_prefix` gives them; the uniforms are
+    those of ``hash_uniform(*keys, draw, seed=seed, portable=True)``.  Texts of one length have
+    their key, draw and padding in the same places, so they are hashed at once.
+    """
+    import numpy as np
+    tails = [f"{d}|{seed}".encode() for d in range(n_draws)]
+    for rows, left in _same_length(prefixes):
+        size = left.shape[1]
+        for draws, tail in _same_length(tails):
+            end = size + tail.shape[1]
+            width = 64 * ((end + 8) // 64 + 1)
+            right = np.zeros((len(draws), width), np.uint8)
+            right[:, size:end], right[:, end] = tail, 0x80
+            right[:, width - 8:] = np.frombuffer((8 * end).to_bytes(8, "little"), np.uint8)
+            right = right.view("<u4")
+            many = min(len(draws), _BLOCK)
+            step = max(1, _BLOCK // many)
+            for a in range(0, len(rows), step):
+                head = np.zeros((len(left[a:a + step]), width), np.uint8)
+                head[:, :size] = left[a:a + step]
+                head = head.view("<u4")
+                for b in range(0, len(draws), many):
+                    # a word of the key alone or of the draw alone stays one column or one row
+                    words = [head[:, k, None] if 4 * k + 4 <= size else right[None, b:b + many, k] if 4 * k >= size
+                             else head[:, k, None] | right[None, b:b + many, k] for k in range(width // 4)]
+                    u = _md5_first_word(words).byteswap() / TWO32
+                    yield rows[a:a + step], draws[b:b + many], u
+
+
+def key_prefix(*cols) -> Column:
+    """What :func:`hash_uniform` hashes before the draw in its portable form, as bytes."""
+    parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return F.concat_ws("|", *parts, F.lit("")).cast("binary")
+
+
+def _same_length(texts):
+    """(positions, bytes as a matrix) for each length of the texts."""
+    import numpy as np
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, np.frombuffer(b"".join(texts[i] for i in at), np.uint8).reshape(len(at), n)
+
+
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_TURN = [*(7, 12, 17, 22) * 4, *(5, 9, 14, 20) * 4, *(4, 11, 16, 23) * 4, *(6, 10, 15, 21) * 4]
+_MD5_ADD = [int(abs(math.sin(i + 1)) * TWO32) for i in range(64)]
+
+
+def _md5_first_word(words):
+    """First 32 bits of the MD5 (little-endian) of padded messages; word k of all messages is
+    the uint32 array ``words[k]``, and these broadcast."""
+    import numpy as np
+    shape = np.broadcast_shapes(*(w.shape for w in words))
+    state = [np.full(shape, v, np.uint32) for v in _MD5_START]
+    f = np.empty(shape, np.uint32)
+    for at in range(0, len(words), 16):
+        a, b, c, d = (v.copy() for v in state)
+        for i in range(64):  # in place: a step makes no new arrays
+            if i < 16:
+                k = i
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+            elif i < 32:
+                k = (5 * i + 1) % 16
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+            elif i < 48:
+                k = (3 * i + 5) % 16
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                k = 7 * i % 16
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+            a += f
+            a += words[at + k] + np.uint32(_MD5_ADD[i])
+            np.left_shift(a, np.uint32(_MD5_TURN[i]), out=f)
+            a >>= np.uint32(32 - _MD5_TURN[i])
+            a |= f
+            a += b
+            a, b, c, d = d, a, b, c
+        for total, v in zip(state, (a, b, c, d), strict=True):
+            total += v
+    return state[0]
+
+
 # --- SQL text of the same formulas, for independent engines (oracles) ----
 
 def sql_uniform(*cols: str, seed: int = 0, stream: int | None = None) -> str:

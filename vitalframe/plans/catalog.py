@@ -863,7 +863,7 @@ def q_bernoulli_draws(spark, sf):
 @register("bernoulli_draws_portable")
 def q_bernoulli_draws_portable(spark, sf):
     """M8 with the portable md5 uniforms, reproducible by any SQL engine
-    (slower: one md5 of a key string per draw)."""
+    (slower: one md5 of a key string per draw, in numpy blocks)."""
     return _bernoulli(spark, sf, portable=True)
 
 
