@@ -125,6 +125,32 @@ def test_counter_uniforms_and_bernoulli_forms(spark):
     assert c.agg(F.sum("n_events")).first()[0] == pytest.approx(3000 * 0.45 * 40, rel=0.02)
 
 
+def test_counter_draws_stay_in_cache_sized_blocks():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from vitalframe.operators import draws
+    rng = np.random.default_rng(1)
+    seeds, p = rng.integers(-2 ** 63, 2 ** 63 - 1, 3000), rng.random(3000)
+    p[:9] = [0.0, 1.0, -1.0, 2.0, np.nan, np.inf, -np.inf, 5e-324, 1 - 2.0 ** -53]
+    count = draws._count_udf(1000).func
+    tracemalloc.start()
+    got = count(pd.Series(seeds), pd.Series(p))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # a block of 4,096 rows x 1,000 draws took tens of MB, far beyond a core's cache
+    u = randoms.counter_uniforms(seeds, np.arange(1000))
+    with np.errstate(invalid="ignore"):
+        assert got.tolist() == (u < p[:, None]).sum(axis=1).tolist()
+    for n in (0, 1, 20000):
+        want = (randoms.counter_uniforms(seeds[:20], np.arange(n)) < p[:20, None]).sum(axis=1)
+        assert randoms.counter_counts(seeds[:20], n, p[:20]).tolist() == want.tolist()
+    edge = u[:, 0]  # the uniform itself is not below it, the next number is
+    assert not randoms.counter_counts(seeds, 1, edge).any()
+    assert randoms.counter_counts(seeds, 1, np.nextafter(edge, 2.0)).all()
+
+
 def test_portable_counts_hash_blocks_not_single_draws(spark):
     import hashlib
     from vitalframe.operators import draws

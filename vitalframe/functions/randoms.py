@@ -140,6 +140,35 @@ def counter_uniforms(seeds, draws):
 _BLOCK = 16384  # numbers worked on at once: the temporaries stay in a core's cache
 
 
+def counter_counts(seeds, n_draws: int, p):
+    """How many of the :func:`counter_uniforms` of draws 0 to n_draws - 1 are below ``p``, per row
+    seed; a null (NaN) p has none.  Works in place on one block of seeds x draws at a time."""
+    import numpy as np
+    x, p = np.asarray(seeds, dtype=np.int64).view(np.uint64), np.asarray(p, dtype=float)
+    # u < p for u = (z >> 11) / 2^53 is z >> 11 < ceil(p * 2^53) =: cut, so z <= cut * 2^11 - 1, without
+    # rounding; a cut of 2^53 wraps to the largest z, one of 0 too, whose rows have none
+    cut = np.ceil(np.clip(np.where(np.isnan(p), 0.0, p), 0.0, 1.0) * TWO53).astype(np.uint64)
+    last = (cut << np.uint64(11)) - np.uint64(1)
+    out = np.zeros(len(x), np.int64)
+    many = max(1, min(n_draws, _BLOCK))
+    size = max(1, _BLOCK // many)
+    z, t, below = (np.empty((size, many), kind) for kind in (np.uint64, np.uint64, np.bool_))
+    for b in range(0, n_draws, many):
+        counter = np.uint64(_GOLDEN) * np.arange(b + 1, min(b + many, n_draws) + 1, dtype=np.uint64)
+        for a in range(0, len(x), size):
+            at = slice(a, min(a + size, len(x)))
+            z_, t_, below_ = (v[:at.stop - a, :len(counter)] for v in (z, t, below))
+            np.add(x[at, None], counter, out=z_)
+            for shift, mix in ((30, _MIX1), (27, _MIX2), (31, None)):
+                np.right_shift(z_, np.uint64(shift), out=t_)
+                z_ ^= t_
+                if mix is not None:
+                    z_ *= np.uint64(mix)
+            np.less_equal(z_, last[at, None], out=below_)
+            out[at] += below_.sum(axis=1)
+    return np.where(cut > 0, out, 0)
+
+
 def key_uniforms(prefixes, n_draws: int, seed: int = 0):
     """The portable uniforms of draws 0 to n_draws - 1, rows x draws, in blocks: (row numbers,
     draw numbers, uniforms).
